@@ -1,9 +1,11 @@
 """The queries of this subpackage and their SQL, for __spark_entry__.py."""
 
-from . import exact_dedup, quality_rules
+from . import bpe, exact_dedup, mixing, quality_rules
 
 QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_entropy_mixing": mixing.op5_entropy_mixing,
+    "op7_byte_bpe": bpe.op7_byte_bpe,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 ORACLES = {
