@@ -88,10 +88,14 @@ class Codec:
                 start = at
         return [*out, (start, len(text))]
 
+    def between(self, text: str, start: int, end: int) -> list[str]:
+        """Pieces from one boundary to another; what follows stays in sight, for the pattern's lookahead."""
+        return [m.group() for m in self.rx.finditer(text, start, min(len(text), end + MARGIN)) if m.end() <= end]
+
     def pretokens(self, text: str) -> list[str]:
         if len(text) <= self.chunk:
             return self.rx.findall(text)
-        return [p for a, b in self.spans(text) for p in self.rx.findall(text, a, b)]
+        return [p for a, b in self.spans(text) for p in self.between(text, a, b)]
 
     def encode(self, text: str | None) -> list[int]:
         return [i for p in self.pretokens(text or "") for i in self.encode_piece(p.encode("utf-8", "replace"))]
@@ -110,7 +114,7 @@ class Codec:
         end = len(window) if last else self.resync(window, at + self.chunk)
         if start is None or end is None or not (last or end in self.ends(window, start, min(len(window), end + self.overlap))):
             return False, []
-        return True, [i for p in self.rx.findall(window, start, end) for i in self.encode_piece(p.encode("utf-8", "replace"))]
+        return True, [i for p in self.between(window, start, end) for i in self.encode_piece(p.encode("utf-8", "replace"))]
 
 
 class Shared:

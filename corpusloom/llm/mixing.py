@@ -154,7 +154,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     place = Window.partitionBy("source_key", "null_source", "size", "part").orderBy("order", "id")
     ranked = dealt.withColumn("rank", F.row_number().over(place)).join(offsets.drop("in_part"), ["source_key", "null_source", "size", "part"])
     out = ranked.withColumn("copies", F.col("each") + F.when(F.col("before") + F.col("rank") <= F.col("extra"), 1).otherwise(0))
-    out = out.join(F.broadcast(plan), out["source"].eqNullSafe(plan["source"])).drop(plan["source"])
+    out = out.drop("source").join(F.broadcast(plan.select(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source_key"), F.col("source").isNull().alias("null_source"), "source", "source_size", "target", "lambda", "mean")), ["source_key", "null_source"])
     return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", F.when(F.col("target") == 0, 0.0).otherwise(_rate()).alias("rate"), F.col("copies").cast("long").alias("copies"), (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
