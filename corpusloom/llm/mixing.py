@@ -114,7 +114,7 @@ def round_source(cap: int = CAP):
     return run
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", total_share: float = 1.5, weights=WEIGHTS, max_sources: int = 100_000, part_rows: int = 200_000) -> DataFrame:
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", total_share: float = 1.5, weights=WEIGHTS, max_sources: int = 100_000, part_rows: int = 5_000) -> DataFrame:
     """One row per row of docs: id, source, size, source_size, target, rate, copies, taken.
 
     size counts words (null: 0); null is a source of its own, last in order. Documents without words
