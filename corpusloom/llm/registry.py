@@ -1,14 +1,16 @@
 """The queries of this subpackage and their SQL, for __spark_entry__.py."""
 
-from . import bpe, exact_dedup, mixing, quality_rules
+from . import bpe, exact_dedup, mixing, quality_rules, url_filter
 
 QUERIES = {
+    "op3_url_templates": url_filter.op3_url_templates,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_entropy_mixing": mixing.op5_entropy_mixing,
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 ORACLES = {
+    "op3_url_templates": url_filter.ORACLE,
     "op4_exact_dedup": exact_dedup.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
 }
