@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL, for __spark_entry__.py."""
 
-from . import bpe, exact_dedup, mixing, ngram_join, quality_rules, url_filter
+from . import bpe, exact_dedup, mixing, ngram_join, quality_rules, substring_dedup, url_filter
 
 QUERIES = {
     "op3_url_templates": url_filter.op3_url_templates,
@@ -8,9 +8,11 @@ QUERIES = {
     "op5_entropy_mixing": mixing.op5_entropy_mixing,
     "op6_ngram_jaccard": ngram_join.op6_ngram_jaccard,
     "op7_byte_bpe": bpe.op7_byte_bpe,
+    "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 ORACLES = {
+    "op9_substring_dedup": substring_dedup.ORACLE,
     "op3_url_templates": url_filter.ORACLE,
     "op4_exact_dedup": exact_dedup.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
