@@ -1,13 +1,15 @@
 """The queries of this subpackage and their SQL, for __spark_entry__.py."""
 
-from . import bpe, exact_dedup, mixing, ngram_join, quality_rules, substring_dedup, url_filter
+from . import bpe, exact_dedup, html_extract, mixing, ngram_join, quality_rules, substring_dedup, toxicity, url_filter
 
 QUERIES = {
+    "op1_html_crf": html_extract.op1_html_crf,
     "op3_url_templates": url_filter.op3_url_templates,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_entropy_mixing": mixing.op5_entropy_mixing,
     "op6_ngram_jaccard": ngram_join.op6_ngram_jaccard,
     "op7_byte_bpe": bpe.op7_byte_bpe,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
