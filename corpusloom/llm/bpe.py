@@ -35,7 +35,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class Pieces(dict):
-    """Piece -> (number of ids, ids as text, decoded bytes): a cache that is emptied when full."""
+    """Piece -> (number of ids, ids as text, decoded bytes, ids): a cache that is emptied when full."""
 
     def __init__(self, codec: "Codec", most: int = 250_000):
         super().__init__()
@@ -43,7 +43,7 @@ class Pieces(dict):
 
     def __missing__(self, piece: str):
         ids = self.codec.encode_piece(piece.encode("utf-8", "replace"))
-        found = len(ids), " ".join(map(str, ids)), self.codec.decode(ids)
+        found = len(ids), " ".join(map(str, ids)), self.codec.decode(ids), ids
         if len(piece) < 64:
             if len(self) >= self.most:
                 self.clear()
@@ -98,7 +98,8 @@ class Codec:
         return [p for a, b in self.spans(text) for p in self.between(text, a, b)]
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for p in self.pretokens(text or "") for i in self.encode_piece(p.encode("utf-8", "replace"))]
+        pieces = self.pieces
+        return [i for p in self.pretokens(text or "") for i in pieces[p][3]]
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -139,7 +140,10 @@ def _whole(shared: Shared, mode: str):
         for batch in batches:
             texts = (x.as_py() for x in batch.column(1))
             if mode == "ids":
-                yield pa.record_batch([batch.column(0), pa.array([codec.encode(t) for t in texts], pa.list_(pa.int32()))], names=["id", "ids"])
+                for k in range(0, batch.num_rows, 1000):
+                    ids = [np.array(codec.encode(x.as_py()), np.int32) for x in batch.column(1)[k : k + 1000]]
+                    ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32))
+                    yield pa.record_batch([batch.column(0)[k : k + 1000], pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids)))], names=["id", "ids"])
             else:
                 rows = [codec.digest(t) for t in texts]
                 yield pa.record_batch([batch.column(0), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string())))], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])

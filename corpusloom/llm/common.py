@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -60,16 +61,22 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+_FACTORS = [np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1) ^ (k << 7) | 1) & 0xFFFFFFFFFFFFFFFF) for k in range(64)]
+
+
 def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
-    """64-bit hashes of all runs of n words, from the words' own hashes."""
-    if len(h) < n:
+    """64-bit hashes of all runs of n words (64 at most), from the words' own hashes."""
+    m = len(h) - n + 1
+    if m <= 0:
         return np.empty(0, np.uint64)
-    out = np.zeros(len(h) - n + 1, np.uint64)
     with np.errstate(over="ignore"):
-        for k in range(n):
-            factor = np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1) | 1) & 0xFFFFFFFFFFFFFFFF)
-            out += mix(h[k : k + len(out)] ^ factor) * factor
-        return mix(out)
+        out = h[:m] * _FACTORS[0]
+        for k in range(1, n):
+            out += h[k : k + m] * _FACTORS[k]
+        out ^= out >> np.uint64(32)
+        out *= np.uint64(0xD6E8FEB86659FD93)
+        out ^= out >> np.uint64(29)
+    return out
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -121,6 +128,11 @@ class Workspace:
         out._corpusloom_path = path
         return out
 
+    def release(self) -> None:
+        """Let Spark's cleaner delete the shuffle files of steps that are done; it does so when the driver collects garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *frames: DataFrame) -> None:
         """Delete tables that nothing reads any more."""
         for df in frames:

@@ -158,5 +158,17 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", F.when(F.col("target") == 0, 0.0).otherwise(_rate()).alias("rate"), F.col("copies").cast("long").alias("copies"), (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
+def mixed_rows(docs: DataFrame, **how) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it. Rows that share id and text share their copies evenly."""
+    id_col, text_col = how.get("id_col", "doc_id"), how.get("text_col", "text")
+    named = docs.withColumn("_name", F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row")))
+    taken = mix(named, **(how | {"id_col": "_name"})).groupBy("_name").agg((F.sum("copies") / F.count("*")).cast("int").alias("_copies")).where("_copies > 0")
+    # joined by a hash beside the name, as a struct with a null id equals no other
+    key = F.xxhash64("_name")
+    taken = taken.select(key.alias("_key"), "_copies").hint("shuffle_hash")
+    out = named.withColumn("_key", key).join(taken, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return out.select(*docs.columns)
+
+
 def op5_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")

@@ -32,19 +32,28 @@ from pyspark.sql import functions as F
 from .common import WordHashes, Workspace, gram_hashes, join_groups, read
 from .components import components
 from .lists import batch_of, blocks, pairs_in_lists, whole_lists
-from .sketches import bloom, dense_rows, rarity
+from .sketches import bloom, dense_rows, rarity, without
 
 BUCKETS = 1 << 22
+STEP = 500  # texts hashed together
 _SMALL = np.uint64(0x8A5CD789635D2DFF)
 
 
+def grams(texts: list[bytes], n: int, hashes: WordHashes) -> list[np.ndarray]:
+    """Shingle hashes of each text, in order and with repeats; the whole sequence where there are fewer than n words."""
+    split = [t.lower().split() for t in texts]  # bytes.lower() changes A-Z only
+    h = hashes.of([w for ws in split for w in ws])
+    g, at, out = gram_hashes(h, n), 0, []
+    for ws in split:
+        m = len(ws)
+        out.append(g[at : at + m - n + 1] if m >= n else gram_hashes(h[at : at + m], m) ^ _SMALL if m else np.empty(0, np.uint64))
+        at += m
+    return out
+
+
 def shingles(text: str | None, n: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct shingle hashes; the whole sequence where there are fewer than n words, nothing without words."""
-    ws = text.encode("utf-8", "replace").lower().split() if text else []  # bytes.lower() changes A-Z only
-    if not ws:
-        return np.empty(0, np.uint64)
-    h = hashes.of(ws)
-    return np.unique(gram_hashes(h, n)) if len(ws) >= n else gram_hashes(h, len(ws)) ^ _SMALL
+    """Sorted distinct shingle hashes of one text; none without words."""
+    return np.unique(grams([(text or "").encode("utf-8", "replace")], n, hashes)[0])
 
 
 def prefix_size(n, need: int):
@@ -60,102 +69,103 @@ def _longs(values) -> pa.Array:
     return pa.array(np.asarray(values, np.uint64).view(np.int64))
 
 
-class _Seen(set):
-    """Sets that a task has listed already; a cache to spare work on copies, emptied when full."""
+class _Known(dict):
+    """Text hash -> (number of shingles, set id) of texts that a task has seen; a cache for copies, emptied when full."""
 
-    def first(self, key: int) -> bool:
-        if key in self:
-            return False
+    def put(self, key: int, value: tuple[int, int]) -> None:
         if len(self) >= 200_000:
             self.clear()
-        self.add(key)
-        return True
+        self[key] = value
+
 
+def _encoded(column) -> list[bytes]:
+    return [x.encode("utf-8", "replace") if x else b"" for x in column.to_pylist()]
 
-def _describe(n: int):
-    """Rows (id, n_shingles, set_id) of documents, and at the end the task's counts by bucket as (block, data)."""
+
+def _count(n: int):
+    """The task's counts of shingles by bucket, as (block, data)."""
 
     def run(batches):
         hashes, counts = WordHashes(), np.zeros(BUCKETS, np.uint32)
-        kind = None
         for batch in batches:
-            sets = [shingles(x.as_py(), n, hashes) for x in batch.column(1)]
-            for k in range(0, len(sets), 500):
-                part = np.concatenate(sets[k : k + 500])
-                counts += np.bincount(part.astype(np.int64) & (BUCKETS - 1), minlength=BUCKETS).astype(np.uint32) if len(part) > BUCKETS // 8 else 0
-                if len(part) <= BUCKETS // 8:
-                    at, c = np.unique(part & np.uint64(BUCKETS - 1), return_counts=True)
-                    counts[at.astype(np.int64)] += c.astype(np.uint32)
-            m = len(sets)
-            kind = batch.column(0).type
-            yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary())], names=["id", "n_shingles", "set_id", "block", "data"])
-        if kind is not None:
-            rows = dense_rows(counts)
-            m = rows.num_rows
-            yield pa.record_batch([pa.nulls(m, kind), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), rows.column(0), rows.column(1)], names=["id", "n_shingles", "set_id", "block", "data"])
+            for k in range(0, batch.num_rows, STEP):
+                g = grams(_encoded(batch.column(0)[k : k + STEP]), n, hashes)
+                np.add.at(counts, (np.concatenate(g) & np.uint64(BUCKETS - 1)).astype(np.int64), np.uint32(1))
+        if counts.any():
+            yield dense_rows(counts)
 
     return run
 
 
-def _prefixes(texts, n: int, need: int, hashes: WordHashes, seen: _Seen, rare: np.ndarray):
-    """(set_id, set, its prefix in order) for texts whose set this task has not listed yet."""
-    for x in texts:
-        s = shingles(x.as_py(), n, hashes)
-        if len(s) and seen.first(i := set_id(s)):
-            order = np.argsort((rare[(s & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8)))
-            yield i, s, s[order[: prefix_size(len(s), need)]]
+def _prefixes(texts: list[bytes], n: int, need: int, hashes: WordHashes, known: _Known, rare: np.ndarray):
+    """(set id, set, its prefix in order) of the texts that this task has not seen yet."""
+    keys = [xxhash.xxh3_64_intdigest(t) for t in texts]
+    fresh = {k: t for k, t in zip(keys, texts) if k not in known}
+    for key, g in zip(fresh, grams(list(fresh.values()), n, hashes)):
+        s = np.unique(g)
+        i = set_id(s)
+        known.put(key, (len(s), i))
+        if len(s):
+            order = (rare[(s & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
+            p = prefix_size(len(s), need)
+            top = np.argpartition(order, p - 1)[:p] if p < len(s) else np.arange(len(s))
+            yield i, s, s[top[np.lexsort((s[top], order[top]))]]
 
 
 def _listed(n: int, need: int, rare):
-    """(shingle, least set, greatest set) of the listed shingles, combined within some hundred texts."""
+    """(shingle, set_id) of listed shingles: the least and the greatest set of some hundred texts."""
 
     def run(batches):
-        hashes, seen = WordHashes(), _Seen()
+        hashes, known = WordHashes(), _Known()
         for batch in batches:
-            texts = batch.column(0)
-            for k in range(0, len(texts), 1000):
-                found = [(i, p) for i, _, p in _prefixes(texts[k : k + 1000], n, need, hashes, seen, rare.value)]
+            for k in range(0, batch.num_rows, STEP):
+                found = [(i, p) for i, _, p in _prefixes(_encoded(batch.column(0)[k : k + STEP]), n, need, hashes, known, rare.value)]
                 if found:
                     s = np.concatenate([p for _, p in found])
                     i = np.repeat(np.array([i for i, _ in found], np.int64), [len(p) for _, p in found])
                     order = np.lexsort((i, s))
                     s, i = s[order], i[order]
-                    new = np.ones(len(s), bool)
-                    new[1:] = s[1:] != s[:-1]
-                    at = np.flatnonzero(new)
-                    yield pa.record_batch([_longs(s[at]), pa.array(i[at]), pa.array(i[np.append(at[1:], len(s)) - 1])], names=["shingle", "lo", "hi"])
+                    first = np.concatenate([[True], s[1:] != s[:-1]])
+                    ends = first | np.append(first[1:], True)
+                    yield pa.record_batch([_longs(s[ends]), pa.array(i[ends])], names=["shingle", "set_id"])
 
     return run
 
 
+DOC, INDEX, SET = 0, 1, 2
+
+
 def _shared(n: int, need: int, rare, filters):
-    """Index rows (shingle, set_id, size, place) of shingles in the filter, and the sets that have any, as (set_id, data)."""
+    """Three kinds of rows: documents (id, set_id, size); index rows (shingle, set_id, size, place) of shingles in the filter; sets that have any (set_id, data)."""
 
     def run(batches):
-        hashes, seen = WordHashes(), _Seen()
+        hashes, known = WordHashes(), _Known()
         for batch in batches:
-            texts = batch.column(0)
-            for k in range(0, len(texts), 1000):
-                ids, rows, sets = [], [], []
-                for i, s, p in _prefixes(texts[k : k + 1000], n, need, hashes, seen, rare.value):
+            kind = batch.column(0).type
+
+            def rows(tag, m, **have):
+                types = {"kind": pa.int8(), "id": kind, "shingle": pa.int64(), "set_id": pa.int64(), "size": pa.int32(), "place": pa.int32(), "data": pa.binary()}
+                have["kind"] = pa.array(np.full(m, tag, np.int8))
+                return pa.record_batch([have.get(c) if c in have else pa.nulls(m, t) for c, t in types.items()], names=list(types))
+
+            for k in range(0, batch.num_rows, STEP):
+                texts = _encoded(batch.column(1)[k : k + STEP])
+                if len(known) > 150_000:
+                    known.clear()
+                ids, index, sets = [], [], []
+                for i, s, p in _prefixes(texts, n, need, hashes, known, rare.value):
                     at = np.flatnonzero(filters.value.has(p))
                     if len(at):
                         ids.append(i)
-                        rows.append((p[at], np.full(len(at), len(s), np.int32), at.astype(np.int32)))
+                        index.append((p[at], np.full(len(at), len(s), np.int32), at.astype(np.int32)))
                         sets.append(s.tobytes())
+                own = [known[xxhash.xxh3_64_intdigest(t)] for t in texts]
+                yield rows(DOC, len(texts), id=batch.column(0)[k : k + STEP], set_id=pa.array([x[1] for x in own], pa.int64()), size=pa.array([x[0] for x in own], pa.int32()))
                 if ids:
-                    many = [len(r[0]) for r in rows]
-                    m, w = sum(many), len(ids)
-                    yield pa.record_batch(
-                        [
-                            pa.concat_arrays([_longs(np.concatenate([r[0] for r in rows])), pa.nulls(w, pa.int64())]),
-                            pa.array(np.concatenate([np.repeat(np.array(ids, np.int64), many), np.array(ids, np.int64)])),
-                            pa.concat_arrays([pa.array(np.concatenate([r[1] for r in rows])), pa.nulls(w, pa.int32())]),
-                            pa.concat_arrays([pa.array(np.concatenate([r[2] for r in rows])), pa.nulls(w, pa.int32())]),
-                            pa.concat_arrays([pa.nulls(m, pa.binary()), pa.array(sets, pa.binary())]),
-                        ],
-                        names=["shingle", "set_id", "size", "place", "data"],
-                    )
+                    many = [len(r[0]) for r in index]
+                    shingle, size, place = (np.concatenate([r[c] for r in index]) for c in range(3))
+                    yield rows(INDEX, sum(many), shingle=_longs(shingle), set_id=pa.array(np.repeat(np.array(ids, np.int64), many)), size=pa.array(size), place=pa.array(place))
+                    yield rows(SET, len(ids), set_id=pa.array(ids, pa.int64()), data=pa.array(sets, pa.binary()))
 
     return run
 
@@ -212,17 +222,16 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     space = Workspace(spark, "ngram_join")
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    made = space.table(texts.mapInArrow(_describe(n), f"id {kind}, n_shingles long, set_id long, block long, data binary"))
-    described = made.where("block IS NULL").select("id", "n_shingles", "set_id")
-    rare = spark.sparkContext.broadcast(rarity(made.where("block IS NOT NULL").select("block", "data"), BUCKETS))
-    listed = texts.select("text").mapInArrow(_listed(n, need, rare), "shingle long, lo long, hi long")
-    # no map-side sums: nearly all shingles are single, and a task has combined the frequent ones already
-    listed = listed.repartition("shingle").groupBy("shingle").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("shingle")
-    listed = space.table(listed)
+    rare = spark.sparkContext.broadcast(rarity(texts.select("text").mapInArrow(_count(n), "block long, data binary"), BUCKETS))
+    # No map-side sums: nearly all shingles are single, and a task has combined the frequent ones already.
+    listed = texts.select("text").mapInArrow(_listed(n, need, rare), "shingle long, set_id long").repartition("shingle")
+    listed = space.table(listed.groupBy("shingle").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).where("lo < hi").select("shingle"))
     filters = spark.sparkContext.broadcast(bloom(listed, listed.count()))
-    shared = space.table(texts.select("text").mapInArrow(_shared(n, need, rare, filters), "shingle long, set_id long, size int, place int, data binary"))
-    sets = space.table(shared.where("shingle IS NULL").groupBy("set_id").agg(F.first("data").alias("data")))
-    index = shared.where("shingle IS NOT NULL").select("shingle", "set_id", "size", "place")
+    shared = space.table(texts.mapInArrow(_shared(n, need, rare, filters), f"kind byte, id {kind}, shingle long, set_id long, size int, place int, data binary"))
+    space.release()
+    described = shared.where(F.col("kind") == DOC).select("id", F.col("size").cast("long").alias("n_shingles"), "set_id")
+    sets = space.table(shared.where(F.col("kind") == SET).groupBy("set_id").agg(F.first("data").alias("data")))
+    index = shared.where(F.col("kind") == INDEX).select("shingle", "set_id", "size", "place")
     index_rows = index.count()
     lists = space.table(index.groupBy("shingle").agg(F.min("set_id").alias("pivot"), F.max("set_id").alias("last"), F.count("*").alias("n")).where("pivot < last").drop("last"))
     index = space.table(join_groups(index, lists, ["shingle"], "n", index_rows).dropDuplicates(["shingle", "set_id"]))
@@ -279,6 +288,14 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return some.unionByName(none).withColumnRenamed("id", id_col)
 
 
+def first_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of docs less those whose class has a smaller id. Rows with a null id stay."""
+    space = Workspace(docs.sparkSession, "ngram_first")
+    classes = space.table(jaccard_classes(docs, id_col=id_col, text_col=text_col, **how))
+    space.release()
+    return without(docs, id_col, classes.where(F.col(id_col) > F.col("component_id")).select(id_col))
+
+
 def _neighbours(heads: DataFrame) -> DataFrame:
     """heads(shingle, root, a) -> distinct pairs of heads of classes that follow each other in a list."""
     from pyspark.sql.window import Window

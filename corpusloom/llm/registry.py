@@ -1,9 +1,10 @@
 """The queries of this subpackage and their SQL, for __spark_entry__.py."""
 
-from . import bpe, exact_dedup, html_extract, mixing, ngram_join, quality_rules, substring_dedup, toxicity, url_filter
+from . import bpe, exact_dedup, html_extract, line_dedup, mixing, ngram_join, quality_rules, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_html_crf": html_extract.op1_html_crf,
+    "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_url_templates": url_filter.op3_url_templates,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_entropy_mixing": mixing.op5_entropy_mixing,

@@ -63,9 +63,9 @@ class Bloom:
         return ((self.data[p >> 3] >> (p & 7).astype(np.uint8)) & 1).all(axis=0)
 
 
-def bloom(keys: DataFrame, rows: int, most_bits: int = 1 << 28, hashes: int = 5) -> Bloom:
-    """Bloom filter over the first column of keys (long); about 16 bits a row, within the bound."""
-    bits = int(min(most_bits, max(BLOCK * 8, 1 << int(np.ceil(np.log2(16 * max(1, rows)))))))
+def bloom(keys: DataFrame, rows: int, most_bits: int = 1 << 28, hashes: int = 8) -> Bloom:
+    """Bloom filter over the first column of keys (long); 24 bits a row or more, within the bound."""
+    bits = int(min(most_bits, max(BLOCK * 8, 1 << int(np.ceil(np.log2(24 * max(1, rows)))))))
 
     def set_bits(batches):
         for batch in batches:
@@ -85,3 +85,30 @@ def bloom(keys: DataFrame, rows: int, most_bits: int = 1 << 28, hashes: int = 5)
     for r in keys.mapInArrow(set_bits, "block long, data binary").groupBy("block").applyInPandas(merged, "block long, data binary").toLocalIterator():
         out[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.data, np.uint8)
     return Bloom(out, hashes)
+
+
+def _member(shared):
+    @F.pandas_udf("boolean")
+    def member(key: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.has(key.to_numpy(np.int64).view(np.uint64)))
+
+    return member
+
+
+def split_by(rows: DataFrame, key, keys: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """rows whose key (a long column, never null) may be among the n of keys, and the rows whose key is surely not.
+
+    What is surely not among them need not shuffle to find that out.
+    """
+    member = _member(rows.sparkSession.sparkContext.broadcast(bloom(keys, n)))
+    return rows.where(member(key)), rows.where(~member(key))
+
+
+def without(rows: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
+    """rows whose id is not in gone(id_col); rows with a null id stay. Only rows that the filter lets through shuffle."""
+    n = gone.count()
+    if not n:
+        return rows
+    key = F.xxhash64(F.col(id_col))
+    maybe, rest = split_by(rows, key, gone.select(F.xxhash64(id_col).alias("key")), n)
+    return maybe.join(gone.select(id_col).distinct().hint("shuffle_hash"), id_col, "left_anti").select(*rows.columns).unionByName(rest)

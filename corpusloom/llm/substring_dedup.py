@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import WordHashes, Workspace, gram_hashes, join_groups, read
 from .fm_index import FMIndex
-from .sketches import bloom
+from .sketches import bloom, split_by
 
 SHARD_SEGMENTS = 4_000
 ANCHOR_SEGMENTS = 2_000
@@ -221,7 +221,10 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     kind = docs.schema[id_col].dataType.simpleString()
     spans = repeated_spans(docs, id_col=id_col, text_col=text_col, n=n, k=k)
     texts = docs.select(F.col(id_col).alias("id0"), F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row"))
-    joined = texts.join(spans.hint("shuffle_hash"), ["id", "row"], "left").select(F.col("id0").alias("id"), "text", "starts", "ends")
+    spans = Workspace(docs.sparkSession, "substring_spans").table(spans)
+    some, rest = split_by(texts, F.xxhash64("id", "row"), spans.select(F.xxhash64("id", "row").alias("key")), spans.count())
+    joined = some.join(spans.hint("shuffle_hash"), ["id", "row"], "left").unionByName(rest, allowMissingColumns=True)
+    joined = joined.select(F.col("id0").alias("id"), "text", "starts", "ends")
     return joined.mapInArrow(_removed(digest), f"id {kind}, n_words long, n_removed long, kept string").withColumnRenamed("id", id_col)
 
 
