@@ -8,7 +8,6 @@ import tempfile
 import uuid
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,34 +21,36 @@ HOT_GROUPS = 1000
 HOT_LEAST = 10_000
 
 
-def words(text: str | None) -> list[bytes]:
-    """Words as UTF-8; bytes.split() cuts at exactly the characters that WORD excludes."""
-    return text.encode("utf-8", "replace").split() if text else []
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, 9, 10, 11, 12, 13]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
-def fold_ascii(text: str | None) -> str:
-    """A-Z lower-cased, everything else as it is."""
-    return text.translate(_FOLD) if text else ""
+def hashed_words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, the number of words of each text, and where each word starts.
 
-
-_FOLD = {c: c + 32 for c in range(65, 91)}
-
-
-class WordHashes(dict):
-    """Word -> 64-bit hash. A cache only: it is emptied when full, results do not depend on it."""
-
-    def __init__(self, most: int = 400_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, ws: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, ws), np.uint64, len(ws))
+    A word's hash is a sum over its bytes, of a random number of the byte times one of its place, so
+    that all bytes of all texts are hashed together. Starts count bytes in the texts joined by newlines.
+    """
+    raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    if lower:
+        raw = _LOWER[raw]
+    inside = np.flatnonzero(~_SPACE[raw]).astype(np.int32 if len(raw) < 2**31 else np.int64)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    if not len(inside):
+        return np.empty(0, np.uint64), np.zeros(len(texts), np.int64), np.empty(0, np.int64)
+    first = np.empty(len(inside), bool)
+    first[0] = True
+    np.not_equal(inside[1:], inside[:-1] + 1, out=first[1:])
+    at = np.flatnonzero(first)
+    place = inside - np.repeat(inside[at], np.diff(np.append(at, len(inside))))
+    far = len(_PLACE) <= int(place.max())
+    with np.errstate(over="ignore"):
+        value = _BYTE[raw[inside]] * (mix(place.astype(np.uint64) + np.uint64(1)) | np.uint64(1) if far else _PLACE[place])
+        h = mix(np.add.reduceat(value, at))
+    starts = inside[at].astype(np.int64)
+    return h, np.diff(np.searchsorted(starts, ends), prepend=0), starts
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -61,6 +62,8 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_PLACE = mix(np.arange(1, 4097, dtype=np.uint64)) | np.uint64(1)
 _FACTORS = [np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1) ^ (k << 7) | 1) & 0xFFFFFFFFFFFFFFFF) for k in range(64)]
 
 

@@ -45,6 +45,8 @@ def starts_of(cols: list[np.ndarray]) -> np.ndarray:
 
 def pairs_in_lists(keys: list[np.ndarray], size: np.ndarray, longest, step: int = 2_000_000):
     """Index pairs (i, j), i before j in one list, with size[j] <= longest(size[i]); in pieces."""
+    if not len(size):
+        return
     start = starts_of(keys)
     end = np.repeat(np.append(start[1:], len(size)), np.diff(np.append(start, len(size))))
     limit = longest(size)

@@ -2,12 +2,13 @@
 
 A document is the set of its n-word shingles, as 64-bit hashes. Shingles are ordered by rarity, from a
 sketch of all counts. Two sets with Jaccard >= 0.8 share one of their rarest |x| - ceil(0.8 |x|) + 1
-shingles, so index lists hold only those, and only of shingles that two different sets list.
+shingles, and 1 + k of them if k more are listed; so index lists hold only those, only of shingles that
+two different sets list, and only of sets that share enough of them.
 
 What is skipped, and how the result stays whole:
 - equal sets are one entry, whatever number of documents has them;
 - by index: in a list sorted by length, all partners beyond 5/4 of a set's length are skipped at once,
-  and pairs whose positions leave room for too few common shingles are not looked at;
+  and pairs whose positions, or parity bits, leave room for too few common shingles are not looked at;
 - by answer: each set is first compared with one highly similar set, its pivot. Sets in one class need
   no further comparison. A pair of sets from two classes is compared only if the pivot's overlap with
   the partner, already computed, plus what the set has beyond its pivot can reach the threshold.
@@ -29,36 +30,44 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, Workspace, gram_hashes, join_groups, read
+from .common import Workspace, gram_hashes, hashed_words, join_groups, read
 from .components import components
 from .lists import batch_of, blocks, pairs_in_lists, whole_lists
 from .sketches import bloom, dense_rows, rarity, without
 
 BUCKETS = 1 << 22
 STEP = 500  # texts hashed together
+SPARE = 25  # a set lists one shingle for each so many beyond what it must
 _SMALL = np.uint64(0x8A5CD789635D2DFF)
 
 
-def grams(texts: list[bytes], n: int, hashes: WordHashes) -> list[np.ndarray]:
+def grams(texts: list[bytes], n: int) -> list[np.ndarray]:
     """Shingle hashes of each text, in order and with repeats; the whole sequence where there are fewer than n words."""
-    split = [t.lower().split() for t in texts]  # bytes.lower() changes A-Z only
-    h = hashes.of([w for ws in split for w in ws])
+    h, count, _ = hashed_words(texts, lower=True)
     g, at, out = gram_hashes(h, n), 0, []
-    for ws in split:
-        m = len(ws)
+    for m in count.tolist():
         out.append(g[at : at + m - n + 1] if m >= n else gram_hashes(h[at : at + m], m) ^ _SMALL if m else np.empty(0, np.uint64))
         at += m
     return out
 
 
-def shingles(text: str | None, n: int, hashes: WordHashes) -> np.ndarray:
+def shingles(text: str | None, n: int) -> np.ndarray:
     """Sorted distinct shingle hashes of one text; none without words."""
-    return np.unique(grams([(text or "").encode("utf-8", "replace")], n, hashes)[0])
+    return np.unique(grams([(text or "").encode("utf-8", "replace")], n)[0])
+
+
+def least_shared(n, need: int):
+    """How many listed shingles a set of n shingles shares with any partner at least: what the smallest partner lists beyond the need."""
+    return 1 + ((need * n + 99) // 100) // SPARE
 
 
 def prefix_size(n, need: int):
-    """Rarest shingles to list: n - ceil(need n / 100) + 1."""
-    return n - (need * n + 99) // 100 + 1
+    """Rarest shingles to list: n - ceil(need n / 100) + 1, and one more for each SPARE shingles.
+
+    Two sets that share ceil(need n / 100) shingles for both sizes n share 1 + k of the shingles that
+    they list if each lists k more than it must.
+    """
+    return n - (need * n + 99) // 100 + 1 + n // SPARE
 
 
 def set_id(s: np.ndarray) -> int:
@@ -86,10 +95,10 @@ def _count(n: int):
     """The task's counts of shingles by bucket, as (block, data)."""
 
     def run(batches):
-        hashes, counts = WordHashes(), np.zeros(BUCKETS, np.uint32)
+        counts = np.zeros(BUCKETS, np.uint32)
         for batch in batches:
             for k in range(0, batch.num_rows, STEP):
-                g = grams(_encoded(batch.column(0)[k : k + STEP]), n, hashes)
+                g = grams(_encoded(batch.column(0)[k : k + STEP]), n)
                 np.add.at(counts, (np.concatenate(g) & np.uint64(BUCKETS - 1)).astype(np.int64), np.uint32(1))
         if counts.any():
             yield dense_rows(counts)
@@ -97,11 +106,11 @@ def _count(n: int):
     return run
 
 
-def _prefixes(texts: list[bytes], n: int, need: int, hashes: WordHashes, known: _Known, rare: np.ndarray):
+def _prefixes(texts: list[bytes], n: int, need: int, known: _Known, rare: np.ndarray):
     """(set id, set, its prefix in order) of the texts that this task has not seen yet."""
     keys = [xxhash.xxh3_64_intdigest(t) for t in texts]
     fresh = {k: t for k, t in zip(keys, texts) if k not in known}
-    for key, g in zip(fresh, grams(list(fresh.values()), n, hashes)):
+    for key, g in zip(fresh, grams(list(fresh.values()), n)):
         s = np.unique(g)
         i = set_id(s)
         known.put(key, (len(s), i))
@@ -116,10 +125,10 @@ def _listed(n: int, need: int, rare):
     """(shingle, set_id) of listed shingles: the least and the greatest set of some hundred texts."""
 
     def run(batches):
-        hashes, known = WordHashes(), _Known()
+        known = _Known()
         for batch in batches:
             for k in range(0, batch.num_rows, STEP):
-                found = [(i, p) for i, _, p in _prefixes(_encoded(batch.column(0)[k : k + STEP]), n, need, hashes, known, rare.value)]
+                found = [(i, p) for i, _, p in _prefixes(_encoded(batch.column(0)[k : k + STEP]), n, need, known, rare.value)]
                 if found:
                     s = np.concatenate([p for _, p in found])
                     i = np.repeat(np.array([i for i, _ in found], np.int64), [len(p) for _, p in found])
@@ -139,7 +148,7 @@ def _shared(n: int, need: int, rare, filters):
     """Three kinds of rows: documents (id, set_id, size); index rows (shingle, set_id, size, place) of shingles in the filter; sets that have any (set_id, data)."""
 
     def run(batches):
-        hashes, known = WordHashes(), _Known()
+        known = _Known()
         for batch in batches:
             kind = batch.column(0).type
 
@@ -153,9 +162,9 @@ def _shared(n: int, need: int, rare, filters):
                 if len(known) > 150_000:
                     known.clear()
                 ids, index, sets = [], [], []
-                for i, s, p in _prefixes(texts, n, need, hashes, known, rare.value):
+                for i, s, p in _prefixes(texts, n, need, known, rare.value):
                     at = np.flatnonzero(filters.value.has(p))
-                    if len(at):
+                    if len(at) >= least_shared(len(s), need):
                         ids.append(i)
                         index.append((p[at], np.full(len(at), len(s), np.int32), at.astype(np.int32)))
                         sets.append(s.tobytes())
@@ -192,25 +201,48 @@ def links(seen: DataFrame, need: int) -> DataFrame:
     return seen.where(f"100 * common >= {need} * (size_a + size_b - common)").select("a", "b")
 
 
+PARITY = [f"p{k}" for k in range(8)]
+
+
+def _parities(batches):
+    """(set_id, data) -> set_id, its size and 512 bits: whether an odd number of the set's members fall on each."""
+    for batch in batches:
+        out = np.zeros((batch.num_rows, len(PARITY)), np.uint64)
+        for k, x in enumerate(batch.column(1)):
+            h = np.frombuffer(x.as_buffer(), np.uint64) >> np.uint64(20)
+            odd = (np.bincount((h & np.uint64(511)).astype(np.int64), minlength=512) & 1).astype(np.uint8)
+            out[k] = np.packbits(odd, bitorder="little").view(np.uint64)
+        length = pa.array([len(x.as_buffer()) // 8 for x in batch.column(1)], pa.int64())
+        yield pa.record_batch([batch.column(0), length, *(_longs(out[:, k]) for k in range(len(PARITY)))], names=["set_id", "length", *PARITY])
+
+
 def _across(need: int):
-    """Pairs of one list that are in two classes and that length and place leave possible."""
+    """Pairs of one list that are in two classes and that length, place and parity leave possible.
+
+    Two sets differ in as many shingles as parity bits, at least.
+    """
 
     def run(batches):
-        for key, block_a, block_b, size, place, own, ids, root in whole_lists(batches, 3):
+        for key, block_a, block_b, size, place, own, ids, root, *bits in whole_lists(batches, 3):
             for i, j in pairs_in_lists([key, block_a, block_b], size, lambda n: n.astype(np.int64) * 100 // need):
                 ok = (root[i] != root[j]) & ((block_a[i] == block_b[i]) | (own[i] != own[j]))
                 i, j = i[ok], j[ok]
                 both = size[i].astype(np.int64) + size[j]
                 most = np.minimum(place[i], place[j]) + 1 + np.minimum(size[i] - place[i], size[j] - place[j]) - 1
                 ok = most * (100 + need) >= need * both
+                i, j, both = i[ok], j[ok], both[ok]
+                differ = sum(np.bitwise_count((p[i] ^ p[j]).view(np.uint64)).astype(np.int64) for p in bits)
+                ok = (both - differ) // 2 * (100 + need) >= need * both
                 if ok.any():
                     a, b = ids[i[ok]], ids[j[ok]]
-                    yield batch_of({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+                    # partners share this many listed shingles: a pair met in fewer lists is none
+                    least = 1 + np.minimum(size[i[ok]], size[j[ok]]) // SPARE
+                    yield batch_of({"a": np.maximum(a, b), "b": np.minimum(a, b), "least": least})
 
     return run
 
 
-def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, need: int = 80, rounds: int = 4) -> DataFrame:
+def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, need: int = 80, rounds: int = 1) -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id.
 
     Two documents link when their sets' Jaccard similarity is need / 100 or more; component_id is the
@@ -231,6 +263,7 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     space.release()
     described = shared.where(F.col("kind") == DOC).select("id", F.col("size").cast("long").alias("n_shingles"), "set_id")
     sets = space.table(shared.where(F.col("kind") == SET).groupBy("set_id").agg(F.first("data").alias("data")))
+    parities = space.table(sets.mapInArrow(_parities, "set_id long, length long, " + ", ".join(f"{p} long" for p in PARITY)))
     index = shared.where(F.col("kind") == INDEX).select("shingle", "set_id", "size", "place")
     index_rows = index.count()
     lists = space.table(index.groupBy("shingle").agg(F.min("set_id").alias("pivot"), F.max("set_id").alias("last"), F.count("*").alias("n")).where("pivot < last").drop("last"))
@@ -250,19 +283,21 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         open_ = space.table(join_groups(rooted.drop("n_rows"), mixed, ["shingle"], "n_rows", index_rows))
         if step == rounds:
             break
-        # One set of each class in a list against one of the next class: as many pairs as rows, at most.
-        heads = open_.groupBy("shingle", "root").agg(F.min("set_id").alias("a"))
-        pairs = _neighbours(heads).join(seen.select("a", "b"), ["a", "b"], "left_anti")
-        fresh = overlaps(space, pairs, sets)
+        # In each list, sets outside its largest class against one member of that, another one each step and
+        # list, and one set of each class against one of the next: no more pairs than rows.
+        pairs = _tries(open_, step).join(seen.select("a", "b"), ["a", "b"], "left_anti")
+        fresh = overlaps(space, close_pairs(space, pairs, parities, need), sets)
         new = space.table(links(fresh, need))
         seen = seen.unionByName(fresh)
         if new.isEmpty():
             break
         edges = edges.unionByName(new)
         classes = components(space, edges)
-    across = blocks(open_.select("shingle", "set_id", "size", "place", "root", "n_rows"), "shingle", "set_id", "n_rows")
+    across = open_.select("shingle", "set_id", "size", "place", "root", "n_rows").join(parities.drop("length"), "set_id")
+    across = blocks(across, "shingle", "set_id", "n_rows")
     across = across.repartition("shingle", "block_a", "block_b").sortWithinPartitions("shingle", "block_a", "block_b", "size", "set_id")
-    across = across.select("shingle", "block_a", "block_b", "size", "place", "own", "set_id", "root").mapInArrow(_across(need), "a long, b long").distinct()
+    across = across.select("shingle", "block_a", "block_b", "size", "place", "own", "set_id", "root", *PARITY).mapInArrow(_across(need), "a long, b long, least int")
+    across = across.groupBy("a", "b").agg(F.count("*").alias("met"), F.max("least").alias("least")).where("met >= least").select("a", "b")
     across = space.table(across.join(seen.select("a", "b"), ["a", "b"], "left_anti"))
     # Answers of a set from those of its pivot: |y and z| <= |pivot and z| + |y beyond its pivot|.
     beyond = to_pivot.select("a", F.col("b").alias("x"), (F.col("size_a") - F.col("common")).alias("beyond"), "size_a")
@@ -296,12 +331,28 @@ def first_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     return without(docs, id_col, classes.where(F.col(id_col) > F.col("component_id")).select(id_col))
 
 
-def _neighbours(heads: DataFrame) -> DataFrame:
-    """heads(shingle, root, a) -> distinct pairs of heads of classes that follow each other in a list."""
+def _tries(rows: DataFrame, step: int) -> DataFrame:
+    """rows(shingle, set_id, root) of lists with several classes -> distinct pairs (a, b) to compare, linear in the rows."""
     from pyspark.sql.window import Window
 
-    after = heads.withColumn("b", F.lag("a").over(Window.partitionBy("shingle").orderBy("root")))
-    return after.where("b IS NOT NULL").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    heads = rows.groupBy("shingle", "root").agg(F.count("*").alias("n"), F.min_by("set_id", F.xxhash64("set_id", "shingle", F.lit(step))).alias("head"))
+    largest = heads.groupBy("shingle").agg(F.max_by(F.struct("root", "head"), F.struct("n", "root")).alias("top"), F.sum("n").alias("n"))
+    largest = largest.select("shingle", F.col("top.root").alias("top_root"), F.col("top.head").alias("b"))
+    outside = rows.select("shingle", "set_id", "root").join(largest, "shingle").where("root <> top_root").select(F.col("set_id").alias("a"), "b")
+    after = heads.withColumn("b", F.lag("head").over(Window.partitionBy("shingle").orderBy("root"))).where("b IS NOT NULL").select(F.col("head").alias("a"), "b")
+    return outside.unionByName(after).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def close_pairs(space: Workspace, pairs: DataFrame, parities: DataFrame, need: int) -> DataFrame:
+    """The pairs (a, b) that sizes and parity bits leave possible."""
+    pairs = space.table(pairs)
+    uses = pairs.groupBy("b").agg(F.count("*").alias("uses"))
+    second = parities.select(F.col("set_id").alias("b"), F.col("length").alias("length_b"), *[F.col(p).alias(f"{p}_b") for p in PARITY]).join(uses, "b")
+    both = join_groups(pairs.join(parities.withColumnRenamed("set_id", "a"), "a"), second, ["b"], "uses", pairs.count())
+    differ = sum(F.bit_count(F.col(p).bitwiseXOR(F.col(f"{p}_b"))) for p in PARITY)
+    size = F.col("length") + F.col("length_b")
+    most = F.least("length", "length_b", F.floor((size - differ) / 2))
+    return both.where(most * (100 + need) >= need * size).select("a", "b")
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
