@@ -9,8 +9,9 @@ words, so a line is listed under those. In a list, pairs pass the length filter
 being sorted by length), the positional filter, and a bound from 128 parity bits of the two sets: the
 sets differ in at least as many words as bits. What passes is verified on the words themselves.
 
-A line needs one earlier match only. Each list first offers every line the earliest candidate that
-passes the filters; only lines that none of these offers resolves are then compared with all others.
+A line needs one earlier match only. Each list first offers every line its few earliest candidates that
+pass the filters; a line that has more of them somewhere, and that none of the offers resolves, is then
+compared with all its candidates.
 So groups of near copies cost as many comparisons as they have lines, and no similar line is missed.
 
 Scale: listed words shuffle (two hashes, two integers and the parity bits), not lines; words of lines
@@ -26,36 +27,33 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, Workspace, join_groups, mix, read
-from .lists import batch_of, blocks, pairs_in_lists, whole_lists
+from .common import Workspace, hashed_words, join_groups, mix, read
+from .lists import LIST_ROWS, batch_of, pairs_in_lists, whole_lists
 from .sketches import bloom, dense_rows, rarity, split_by
 
 BUCKETS = 1 << 22
 STEP = 400  # texts handled together
 
 
-def line_sets(texts: list[str | None], hashes: WordHashes, least: int):
-    """Texts -> per line with enough words: text index, line number, sorted distinct word hashes (as one array with starts)."""
-    flat, doc, line, count = [], [], [], []
-    for k, text in enumerate(texts):
-        if text:
-            for j, raw in enumerate(text.encode("utf-8", "replace").split(b"\n")):
-                ws = raw.split()
-                if len(ws) >= least:
-                    flat += ws
-                    doc.append(k)
-                    line.append(j)
-                    count.append(len(ws))
-    h = hashes.of(flat)
-    owner = np.repeat(np.arange(len(count)), count)
+def _encoded(column) -> list[bytes]:
+    return [x.encode("utf-8", "replace") if x else b"" for x in column.to_pylist()]
+
+
+def line_sets(texts: list[bytes], least: int):
+    """Texts -> per line with enough distinct words: text index, line number, number of words; and the words' hashes, sorted in each line."""
+    h, _, starts = hashed_words(texts)
+    ends = np.flatnonzero(np.frombuffer(b"\n".join(texts), np.uint8) == 10)
+    owner = np.searchsorted(ends, starts)  # lines of all texts are numbered on
     order = np.lexsort((h, owner))
     h, owner = h[order], owner[order]
     new = np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])]) if len(h) else np.zeros(0, bool)
     h, owner = h[new], owner[new]
-    size = np.bincount(owner, minlength=len(count)).astype(np.int64)
+    lines, at, size = np.unique(owner, return_index=True, return_counts=True)
     enough = size >= least
-    keep = enough[owner] if len(owner) else np.zeros(0, bool)
-    return np.array(doc, np.int64)[enough], np.array(line, np.int64)[enough], size[enough], h[keep]
+    keep = np.repeat(enough, size)
+    first = np.concatenate([[0], np.cumsum([t.count(b"\n") + 1 for t in texts])])
+    doc = np.searchsorted(first, lines[enough], side="right") - 1
+    return doc, lines[enough] - first[doc], size[enough].astype(np.int64), h[keep]
 
 
 def _starts(size: np.ndarray) -> np.ndarray:
@@ -85,37 +83,54 @@ def _count():
     """Words of all texts by bucket, as (block, data)."""
 
     def run(batches):
-        from collections import Counter
-
-        counts, hashes = np.zeros(BUCKETS, np.uint32), WordHashes()
+        counts = np.zeros(BUCKETS, np.uint32)
         for batch in batches:
             for k in range(0, batch.num_rows, STEP):
-                c = Counter()
-                for x in batch.column(0)[k : k + STEP].to_pylist():
-                    if x:
-                        c.update(x.encode("utf-8", "replace").split())
-                np.add.at(counts, (hashes.of(list(c)) & np.uint64(BUCKETS - 1)).astype(np.int64), np.fromiter(c.values(), np.uint32, len(c)))
+                h = hashed_words(_encoded(batch.column(0)[k : k + STEP]))[0]
+                np.add.at(counts, (h & np.uint64(BUCKETS - 1)).astype(np.int64), np.uint32(1))
         if counts.any():
             yield dense_rows(counts)
 
     return run
 
 
-def _listed(need: int, least: int, rare):
-    """Two kinds of rows: every line (id, row, line, set) and the index rows (word, id, row, line, size, place, bits) of lines whose set is new to the task."""
+INDEX, COPY, GONE = 0, 1, 2
+#: Earliest candidates that a list offers a line before it says that there are more.
+OFFERS = 4
+_ROW = "word long, block_a int, block_b int, kind byte, own int, id long, row long, line int, size int, place int, one long, two long"
+
+
+def _listed(need: int, least: int, rare, copies: bool = True):
+    """Rows of lines, each under a word.
+
+    INDEX rows, of lines whose set is new to the task, stand under their rarest words. A COPY row stands
+    under the name of its set, so that equal lines of all tasks meet; a line that a task has seen an
+    earlier copy of is GONE already. Words that the sketch expects in more than LIST_ROWS lines have
+    their lists cut into blocks.
+    """
 
     def run(batches):
-        hashes, seen = WordHashes(), set()
+        seen: dict[int, tuple] = {}
         for batch in batches:
             ids, rows = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
             for k in range(0, batch.num_rows, STEP):
-                doc, line, size, h = line_sets(batch.column(2)[k : k + STEP].to_pylist(), hashes, least)
+                doc, line, size, h = line_sets(_encoded(batch.column(2)[k : k + STEP]), least)
                 if not len(doc):
                     continue
                 names = set_ids(h, size)
+                lid, lrow = ids[k + doc], rows[k + doc]
                 if len(seen) > 300_000:
                     seen.clear()
-                fresh = np.array([not (n in seen or seen.add(n)) for n in names.tolist()], bool)
+                fresh, gone = np.zeros(len(doc), bool), []
+                for j, (name, me) in enumerate(zip(names.tolist(), zip(lid.tolist(), lrow.tolist(), line.tolist()))):
+                    old = seen.get(name)
+                    if old is None or me < old:
+                        seen[name] = me
+                        fresh[j] = True
+                        if old is not None:
+                            gone.append(old)
+                    elif me > old:
+                        gone.append(me)
                 start = _starts(size)
                 one, two = parity(h, start)
                 owner = np.repeat(np.arange(len(size)), size)
@@ -124,35 +139,73 @@ def _listed(need: int, least: int, rare):
                 place = np.arange(len(h)) - start[owner]
                 prefix = size - (need * size + 99) // 100 + 1
                 # a word that was counted once is in no other line
-                pick = order[(place < prefix[owner]) & fresh[owner] & (r[order] > 8)]
-                own, at = owner[pick], np.empty(len(h), np.int64)
-                at[order] = place
-                m = len(doc)
+                chosen = (place < prefix[owner]) & fresh[owner] & (r[order] > 8)
+                pick, at = order[chosen], place[chosen]
+                own, word = owner[pick], h[pick].view(np.int64)
+                parts = np.maximum(1, np.ceil(np.exp2(r[pick] / 8.0) / LIST_ROWS)).astype(np.int64)
+                if (parts > 1).any():
+                    other = np.concatenate([np.arange(n) for n in parts])
+                    pick, at, own, word, parts = (np.repeat(x, parts) for x in (pick, at, own, word, parts))
+                else:
+                    other = np.zeros(len(pick), np.int64)
+                block = (mix(lid[own].view(np.uint64) + line[own].astype(np.uint64)) % parts.astype(np.uint64)).astype(np.int64)
+                f = np.flatnonzero(fresh) if copies else np.zeros(0, np.int64)
+                g = np.array(gone if copies else [], np.int64).reshape(-1, 3)
+                n, m, z = len(pick), len(f), len(g)
+
+                def col(index, copy, lost, kind=np.int64):
+                    return pa.array(np.concatenate([np.broadcast_to(index, n), np.broadcast_to(copy, m), np.broadcast_to(lost, z)]).astype(kind))
+
                 yield pa.record_batch(
                     [
-                        pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(h[pick].view(np.int64))]),
-                        pa.array(np.concatenate([ids[k + doc], ids[k + doc[own]]])),
-                        pa.array(np.concatenate([rows[k + doc], rows[k + doc[own]]])),
-                        pa.array(np.concatenate([line, line[own]]).astype(np.int32)),
-                        pa.array(np.concatenate([size, size[own]]).astype(np.int32)),
-                        pa.array(np.concatenate([np.zeros(m, np.int64), at[pick]]).astype(np.int32)),
-                        pa.concat_arrays([pa.array(names), pa.array(one[own].view(np.int64))]),
-                        pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(two[own].view(np.int64))]),
+                        col(word, names[f], mix(g[:, 0].astype(np.uint64) + g[:, 2].astype(np.uint64)).view(np.int64)),
+                        col(np.minimum(block, other), 0, 0, np.int32),
+                        col(np.maximum(block, other), 0, 0, np.int32),
+                        col(INDEX, COPY, GONE, np.int8),
+                        col(block, 0, 0, np.int32),
+                        col(lid[own], lid[f], g[:, 0]),
+                        col(lrow[own], lrow[f], g[:, 1]),
+                        col(line[own], line[f], g[:, 2], np.int32),
+                        col(size[own], 0, 0, np.int32),
+                        col(at, 0, 0, np.int32),
+                        col(one[own].view(np.int64), 0, 0),
+                        col(two[own].view(np.int64), 0, 0),
                     ],
-                    names=["word", "id", "row", "line", "size", "place", "one", "two"],
+                    names=[c.split()[0] for c in _ROW.split(", ")],
                 )
 
     return run
 
 
-_INDEX = "word long, id long, row long, line int, size int, place int, one long, two long"
+_PAIR = "kind byte, more boolean, id long, row long, line int, id2 long, row2 long, line2 int"
 
 
 def _offers(need: int, all_for=None):
-    """Candidate pairs (later, earlier) of the lists: the earliest for each line, or all for the lines in a filter."""
+    """Lists -> rows (kind, more, later line, earlier line).
+
+    GONE: the later line is a copy. INDEX: a candidate pair, of each line's OFFERS earliest in the list
+    (more: there are others), or of all where all_for, a filter of lines, has the line.
+    """
+
+    def rows(kind, more, ids, row, line, a, b):
+        return batch_of({"kind": np.full(len(a), kind, np.int8), "more": more, "id": ids[a], "row": row[a], "line": line[a], "id2": ids[b], "row2": row[b], "line2": line[b]})
 
     def run(batches):
-        for word, block_a, block_b, size, place, own, ids, row, line, one, two in whole_lists(batches, 3):
+        for word, block_a, block_b, kind, own, ids, row, line, size, place, one, two in whole_lists(batches, 3):
+            if all_for is None:
+                g = np.flatnonzero(kind == GONE)
+                if len(g):
+                    yield rows(GONE, np.zeros(len(g), bool), ids, row, line, g, g)
+                c = np.flatnonzero(kind == COPY)
+                if len(c):
+                    c = c[np.lexsort((line[c], row[c], ids[c], word[c]))]
+                    first = np.concatenate([[True], word[c][1:] != word[c][:-1]])
+                    lead = c[np.maximum.accumulate(np.where(first, np.arange(len(c)), 0))]
+                    later = (ids[c] != ids[lead]) | (row[c] != row[lead]) | (line[c] != line[lead])
+                    if later.any():
+                        yield rows(GONE, np.zeros(int(later.sum()), bool), ids, row, line, c[later], lead[later])
+            keep = np.flatnonzero(kind == INDEX)
+            word, block_a, block_b, own, ids, row, line, size, place, one, two = (x[keep] for x in (word, block_a, block_b, own, ids, row, line, size, place, one, two))
             for i, j in pairs_in_lists([word, block_a, block_b], size, lambda n: n.astype(np.int64) * 100 // need):
                 ok = (block_a[i] == block_b[i]) | (own[i] != own[j])
                 i, j = i[ok], j[ok]
@@ -161,25 +214,28 @@ def _offers(need: int, all_for=None):
                 most = np.minimum((both - differ) // 2, np.minimum(place[i], place[j]) + np.minimum(size[i] - place[i], size[j] - place[j]))
                 ok = most * (100 + need) >= need * both
                 i, j = i[ok], j[ok]
+                same = (ids[i] == ids[j]) & (row[i] == row[j]) & (line[i] == line[j])
+                i, j = i[~same], j[~same]
                 later = (ids[i] > ids[j]) | ((ids[i] == ids[j]) & ((row[i] > row[j]) | ((row[i] == row[j]) & (line[i] > line[j]))))
                 a, b = np.where(later, i, j), np.where(later, j, i)
+                more = np.zeros(len(a), bool)
                 if all_for is not None:
                     wanted = all_for.value.has(line_keys(ids[a], row[a], line[a]))
-                    a, b = a[wanted], b[wanted]
+                    a, b, more = a[wanted], b[wanted], more[wanted]
                 elif len(a):
                     order = np.lexsort((line[b], row[b], ids[b], a))
                     a, b = a[order], b[order]
-                    first = np.concatenate([[True], a[1:] != a[:-1]])
-                    a, b = a[first], b[first]
+                    first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+                    many = np.diff(np.append(first, len(a)))
+                    turn = np.arange(len(a)) - np.repeat(first, many)
+                    more = np.repeat(many > OFFERS, many)[turn < OFFERS]
+                    a, b = a[turn < OFFERS], b[turn < OFFERS]
                 if len(a):
-                    yield batch_of({"id": ids[a], "row": row[a], "line": line[a], "id2": ids[b], "row2": row[b], "line2": line[b]})
+                    yield rows(INDEX, more, ids, row, line, a, b)
 
     return run
 
 
-_PAIR = "id long, row long, line int, id2 long, row2 long, line2 int"
-
-
 def line_keys(ids: np.ndarray, row: np.ndarray, line: np.ndarray) -> np.ndarray:
     """A 64-bit key of a line, for filters."""
     with np.errstate(over="ignore"):
@@ -196,7 +252,6 @@ def _words_of(least: int, wanted):
     """Word hashes of the lines in a filter: (id, row, line, words)."""
 
     def run(batches):
-        hashes = WordHashes()
         for batch in batches:
             ids, rows = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
             for k in range(0, batch.num_rows, STEP):
@@ -210,7 +265,7 @@ def _words_of(least: int, wanted):
                 out = []
                 for i in hit:
                     raw = texts[owner[i]].split("\n")[lines[i]].encode("utf-8", "replace")
-                    h = np.unique(hashes.of(raw.split()))
+                    h = np.unique(hashed_words([raw])[0])
                     if len(h) >= least:
                         out.append((ids[k + owner[i]], rows[k + owner[i]], lines[i], h.tobytes()))
                 if out:
@@ -239,46 +294,51 @@ def repeated_lines(docs: DataFrame, *, id_col: str, text_col: str, need: int = 8
     spark = docs.sparkSession
     space = Workspace(spark, "line_dedup")
     texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
+    if texts.count() == texts.select("id").distinct().count():
+        texts = texts.withColumn("row", F.lit(0).cast("long"))  # the id alone tells texts apart
+        hashed = False
+    else:
+        hashed = True
     rare = spark.sparkContext.broadcast(rarity(texts.select("text").mapInArrow(_count(), "block long, data binary"), BUCKETS))
-    made = space.table(texts.mapInArrow(_listed(need, least, rare), _INDEX))
-    lines = made.where("word IS NULL").select("id", "row", "line", F.col("one").alias("set"))
-    total = lines.count()
-    place = F.struct("id", "row", "line")
-    sets = lines.groupBy("set").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    sets = space.table(sets)
-    copies = join_groups(lines, sets, ["set"], "n", total).where(place > F.col("first")).select("id", "row", "line")
-    copies = space.table(copies)
-    index = made.where("word IS NOT NULL")
-    counts = space.table(index.groupBy("word").agg(F.count("*").alias("n")).where("n > 1"))
-    index_rows = index.count()
-    index = blocks(join_groups(index, counts, ["word"], "n", index_rows), "word", "line", "n")
     keys = ["word", "block_a", "block_b"]
-    index = index.repartition(*keys).sortWithinPartitions(*keys, "size").select(*keys, "size", "place", "own", "id", "row", "line", "one", "two")
-    gone = copies
-    for step in (0, 1):
-        if step == 0:
-            pairs = space.table(index.mapInArrow(_offers(need), _PAIR).distinct())
-            first = pairs
-        else:
-            open_ = space.table(first.select("id", "row", "line").distinct().join(gone, ["id", "row", "line"], "left_anti"))
-            left = open_.count()
-            if not left:
-                break
-            asked = spark.sparkContext.broadcast(bloom(open_.mapInArrow(_keys, "key long"), left))
-            pairs = index.mapInArrow(_offers(need, asked), _PAIR).distinct().join(open_, ["id", "row", "line"], "left_semi").join(first, first.columns, "left_anti")
-            pairs = space.table(pairs)
-        ends = pairs.select("id", "row", "line").unionByName(pairs.select(F.col("id2").alias("id"), F.col("row2").alias("row"), F.col("line2").alias("line"))).distinct()
-        ends = space.table(ends)
-        if ends.isEmpty():
-            break
-        wanted = spark.sparkContext.broadcast(bloom(ends.mapInArrow(_keys, "key long"), ends.count()))
-        words = space.table(texts.mapInArrow(_words_of(least, wanted), "id long, row long, line int, words binary").dropDuplicates(["id", "row", "line"]))
-        uses = pairs.groupBy("id2", "row2", "line2").agg(F.count("*").alias("uses"))
-        second = words.select(F.col("id").alias("id2"), F.col("row").alias("row2"), F.col("line").alias("line2"), F.col("words").alias("words2")).join(uses, ["id2", "row2", "line2"])
-        both = join_groups(pairs.join(words, ["id", "row", "line"]), second, ["id2", "row2", "line2"], "uses", pairs.count())
-        found = both.select("id", "row", "line", "words", "words2").mapInArrow(_similar(need), "id long, row long, line int")
-        gone = space.table(gone.unionByName(found).distinct())
-    return gone.groupBy("id", "row").agg(F.collect_set("line").alias("lines"))
+
+    def lists(copies: bool) -> DataFrame:
+        return texts.mapInArrow(_listed(need, least, rare, copies), _ROW).repartition(*keys).sortWithinPartitions(*keys, "size")
+
+    met = space.table(lists(True).mapInArrow(_offers(need), _PAIR))
+    space.release()
+    line = ["id", "row", "line"]
+    ends = ["id2", "row2", "line2"]
+    gone = space.table(met.where(F.col("kind") == GONE).select(*line).distinct())
+    offers = met.where(F.col("kind") == INDEX)
+    # the same pair comes from several lists; a line that goes anyhow needs no match
+    pairs = space.table(offers.groupBy(*line, *ends).agg(F.max("more").alias("more")).join(gone, line, "left_anti"))
+    found = _verified(space, texts, pairs, need, least)
+    gone = space.table(gone.unionByName(found).distinct())
+    open_ = space.table(pairs.where("more").select(*line).distinct().join(gone, line, "left_anti"))
+    left = open_.count()
+    if left:
+        asked = spark.sparkContext.broadcast(bloom(open_.mapInArrow(_keys, "key long"), left))
+        rest = lists(False).mapInArrow(_offers(need, asked), _PAIR).select(*line, *ends).distinct().join(open_, line, "left_semi").join(pairs.select(*line, *ends), [*line, *ends], "left_anti")
+        gone = space.table(gone.unionByName(_verified(space, texts, space.table(rest), need, least)).distinct())
+    out = gone.groupBy("id", "row").agg(F.collect_set("line").alias("lines"))
+    return out if hashed else out.withColumn("row", F.lit(None).cast("long"))
+
+
+def _verified(space: Workspace, texts: DataFrame, pairs: DataFrame, need: int, least: int) -> DataFrame:
+    """(id, row, line) of the later lines of the pairs that are similar."""
+    spark = texts.sparkSession
+    line, ends = ["id", "row", "line"], ["id2", "row2", "line2"]
+    members = space.table(pairs.select(*line).unionByName(pairs.select(*[F.col(e).alias(x) for e, x in zip(ends, line)])).distinct())
+    n = members.count()
+    if not n:
+        return pairs.select(*line)
+    wanted = spark.sparkContext.broadcast(bloom(members.mapInArrow(_keys, "key long"), n))
+    words = space.table(texts.mapInArrow(_words_of(least, wanted), "id long, row long, line int, words binary").dropDuplicates(line))
+    uses = pairs.groupBy(*ends).agg(F.count("*").alias("uses"))
+    second = words.select(*[F.col(x).alias(e) for e, x in zip(ends, line)], F.col("words").alias("words2")).join(uses, ends)
+    both = join_groups(pairs.join(words, line), second, ends, "uses", pairs.count())
+    return both.select(*line, "words", "words2").mapInArrow(_similar(need), "id long, row long, line int").distinct()
 
 
 def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", need: int = 80, least: int = 5) -> DataFrame:
@@ -290,11 +350,14 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     so none loses its lines to another. Columns of docs with other names are kept; an empty table
     gives an empty result.
     """
-    gone = Workspace(docs.sparkSession, "line_dedup").table(repeated_lines(docs, id_col=id_col, text_col=text_col, need=need, least=least))
-    gone = gone.select(F.xxhash64("id", "row").alias("_name"), F.col("id").alias("_id"), F.col("row").alias("_row"), F.col("lines").alias("_lines"))
+    space = Workspace(docs.sparkSession, "repeated_lines")
+    gone = space.table(repeated_lines(docs, id_col=id_col, text_col=text_col, need=need, least=least))
+    space.release()
+    gone = gone.select(F.col("id").alias("_id"), F.col("row").alias("_row"), F.col("lines").alias("_lines"))
+    # a null row: ids are unique, and stand for their texts
     keyed = docs.withColumn("_key", F.col(id_col).cast("long")).withColumn("_hash", F.xxhash64(text_col))
-    some, rest = split_by(keyed, F.xxhash64("_key", "_hash"), gone.select("_name"), gone.count())
-    out = some.join(gone.drop("_name").hint("shuffle_hash"), (F.col("_key") == F.col("_id")) & (F.col("_hash") == F.col("_row")), "left")
+    some, rest = split_by(keyed, F.xxhash64("_key"), gone.select(F.xxhash64("_id").alias("key")), gone.count())
+    out = some.join(gone.hint("shuffle_hash"), (F.col("_key") == F.col("_id")) & F.coalesce(F.col("_hash") == F.col("_row"), F.lit(True)), "left")
     out = out.unionByName(rest, allowMissingColumns=True)
     parts = F.split(F.col(text_col), "\n", -1)
     kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_lines", i)), "\n")
