@@ -25,12 +25,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, Workspace, gram_hashes, join_groups, read
+from .common import Workspace, gram_hashes, hashed_words, join_groups, read
 from .fm_index import FMIndex
 from .sketches import bloom, split_by
 
 SHARD_SEGMENTS = 4_000
 ANCHOR_SEGMENTS = 2_000
+STEP = 500  # texts hashed together
 
 
 def segments(h: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -44,6 +45,18 @@ def segments(h: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray, np.
     return g[at[first]], first, np.append(first[1:], len(at)) - 1
 
 
+def _encoded(column) -> list[bytes]:
+    return [x.encode("utf-8", "replace") if x else b"" for x in column.to_pylist()]
+
+
+def _segments_of(texts: list[bytes], n: int, k: int):
+    h, count, _ = hashed_words(texts)
+    at = 0
+    for m in count.tolist():
+        yield segments(h[at : at + m], n, k)
+        at += m
+
+
 def _longs(x) -> pa.Array:
     return pa.array(np.asarray(x, np.uint64).view(np.int64))
 
@@ -52,13 +65,12 @@ def _anchors(n: int, k: int):
     """(anchor, least id, greatest id), combined within some hundred texts."""
 
     def run(batches):
-        hashes = WordHashes()
         for batch in batches:
             ids = batch.column(0).to_numpy().astype(np.int64)
             texts = batch.column(1)
-            for i in range(0, len(ids), 1000):
-                found = [segments(hashes.of(x.as_py().encode("utf-8", "replace").split()), n, k)[0] for x in texts[i : i + 1000]]
-                a, d = np.concatenate(found), np.repeat(ids[i : i + 1000], [len(x) for x in found])
+            for i in range(0, len(ids), STEP):
+                found = [x[0] for x in _segments_of(_encoded(texts[i : i + STEP]), n, k)]
+                a, d = np.concatenate(found), np.repeat(ids[i : i + STEP], [len(x) for x in found])
                 if len(a):
                     order = np.lexsort((d, a))
                     a, d = a[order], d[order]
@@ -72,20 +84,23 @@ def _cut(n: int, k: int, repeated):
     """Segments with an anchor in the filter: (anchor, seg, id, row, start, text), text with the first of a task only."""
 
     def run(batches):
-        hashes, sent = WordHashes(), set()
+        sent = set()
         for batch in batches:
             out = []
-            for i, row, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                ws = x.as_py().encode("utf-8", "replace").split()
-                anchor, first, last = segments(hashes.of(ws), n, k)
+            texts = (t for i in range(0, batch.num_rows, STEP) for e in [_encoded(batch.column(2)[i : i + STEP])] for t in zip(e, _segments_of(e, n, k)))
+            for i, row, (x, (anchor, first, last)) in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts):
                 hit = np.flatnonzero(repeated.value.has(anchor))
+                ws = x.split() if len(hit) else []
                 for a, f, e in zip(anchor[hit].view(np.int64).tolist(), first[hit].tolist(), last[hit].tolist()):
                     text = b" ".join(ws[f : e + n])
                     seg = xxhash.xxh3_64_intdigest(text) - (1 << 63)
-                    out.append((a, seg, i, row, f, None if seg in sent else text))
-                    if len(sent) >= 500_000:
-                        sent.clear()
-                    sent.add(seg)
+                    if seg in sent:
+                        text = None
+                    else:
+                        if len(sent) >= 500_000:
+                            sent.clear()
+                        sent.add(seg)
+                    out.append((a, seg, i, row, f, text))
                 if len(out) > 50_000:
                     yield _rows(out)
                     out = []
@@ -192,6 +207,7 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     anchors = space.table(anchors.repartition("anchor").groupBy("anchor").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("anchor"))
     repeated = spark.sparkContext.broadcast(bloom(anchors, anchors.count()))
     places = space.table(texts.select("id", "row", "text").mapInArrow(_cut(n, k, repeated), "anchor long, seg long, id long, row long, start long, text binary"))
+    space.release()
     total = places.count()
     first = places.groupBy("seg").agg(F.min("id").alias("lo"), F.count("*").alias("n_places"))
     first = space.table(first)
@@ -221,7 +237,9 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     kind = docs.schema[id_col].dataType.simpleString()
     spans = repeated_spans(docs, id_col=id_col, text_col=text_col, n=n, k=k)
     texts = docs.select(F.col(id_col).alias("id0"), F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row"))
-    spans = Workspace(docs.sparkSession, "substring_spans").table(spans)
+    space = Workspace(docs.sparkSession, "substring_spans")
+    spans = space.table(spans)
+    space.release()
     some, rest = split_by(texts, F.xxhash64("id", "row"), spans.select(F.xxhash64("id", "row").alias("key")), spans.count())
     joined = some.join(spans.hint("shuffle_hash"), ["id", "row"], "left").unionByName(rest, allowMissingColumns=True)
     joined = joined.select(F.col("id0").alias("id"), "text", "starts", "ends")
