@@ -50,10 +50,10 @@ def veto_after_cut(spark, sf):
 
 sql("fil01_section", "SELECT doc_id, source, n_chars FROM @documents WHERE source = 'src1'")
 sql("fil02_partition_by_flag", "SELECT event_type = 'error' AS lost, count(*) AS n, min(event_id) AS first_id FROM @events GROUP BY event_type = 'error'")
-sql("fil03_by_year", "SELECT year(o_orderdate) AS year, count(*) AS n FROM @orders GROUP BY year(o_orderdate)")
-sql("fil04_nonempty_not_future", "SELECT o_orderkey, year(o_orderdate) AS year FROM @orders WHERE trim(o_orderpriority) <> '' AND (o_orderdate IS NULL OR year(o_orderdate) <= 1998)")
+sql("fil03_by_year", "SELECT CAST(year(o_orderdate) AS BIGINT) AS year, count(*) AS n FROM @orders GROUP BY year(o_orderdate)")
+sql("fil04_nonempty_not_future", "SELECT o_orderkey, CAST(year(o_orderdate) AS BIGINT) AS year FROM @orders WHERE trim(o_orderpriority) <> '' AND (o_orderdate IS NULL OR year(o_orderdate) <= 1998)")
 sql("fil05_scheduled_visibility", "SELECT event_id, user_id FROM @events WHERE ts <= TIMESTAMP '2024-01-15 12:00:00' AND event_type <> 'error'")
-sql("fil06_dated", "SELECT count(*) AS n, min(year(o_orderdate)) AS first_year, max(year(o_orderdate)) AS last_year FROM @orders WHERE year(o_orderdate) > 1970")
+sql("fil06_dated", "SELECT count(*) AS n, CAST(min(year(o_orderdate)) AS BIGINT) AS first_year, CAST(max(year(o_orderdate)) AS BIGINT) AS last_year FROM @orders WHERE year(o_orderdate) > 1970")
 sql("fil07_length_class", "SELECT doc_id, word_count, CASE WHEN word_count >= 80 THEN 'long' ELSE 'short' END AS length_class FROM @sized")
 sql("fil08_fittable", "SELECT doc_id, source IN ('src0', 'src1', 'src2') AND word_count >= 80 AS fittable FROM @sized")
 
@@ -239,7 +239,7 @@ def normalised(spark, sf):
 
 query("f32_hash_split", "SELECT doc_id, CASE WHEN ('0x' || right(sha1(doc_id::VARCHAR), 1))::INT % 2 = 0 THEN 'dev' ELSE 'test' END AS part FROM documents")(lambda spark, sf: table(spark, sf, "documents").select("doc_id", tx.split_of(F.col("doc_id").cast("string")).alias("part")))
 sql("f33_hashes", "SELECT doc_id, sha2(text, 256) AS sha256, md5(text) AS md5 FROM @documents", "SELECT doc_id, sha256(text) AS sha256, md5(text) AS md5 FROM @documents")
-sql("f40_dates", "SELECT event_id, year(ts) AS y, date_format(ts, 'yyyy.MM.dd') AS shown, CAST(date_add(CAST(ts AS DATE), 10) AS STRING) AS later, CAST(date_trunc('WEEK', ts) AS DATE) AS week FROM @events", "SELECT event_id, year(ts) AS y, strftime(ts, '%Y.%m.%d') AS shown, strftime(ts::DATE + 10, '%Y-%m-%d') AS later, date_trunc('week', ts)::DATE AS week FROM @events")
+sql("f40_dates", "SELECT event_id, CAST(year(ts) AS BIGINT) AS y, date_format(ts, 'yyyy.MM.dd') AS shown, CAST(date_add(CAST(ts AS DATE), 10) AS STRING) AS later, CAST(date_trunc('WEEK', ts) AS DATE) AS week FROM @events", "SELECT event_id, CAST(year(ts) AS BIGINT) AS y, strftime(ts, '%Y.%m.%d') AS shown, strftime(ts::DATE + 10, '%Y-%m-%d') AS later, date_trunc('week', ts)::DATE AS week FROM @events")
 sql("f41_timestamps", "SELECT event_id, date_format(to_timestamp(date_format(ts, 'yyyy-MM-dd HH:mm:ss'), 'yyyy-MM-dd HH:mm:ss'), \"yyyy-MM-dd'T'HH:mm:ss'Z'\") AS iso FROM @events", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso FROM @events")
 sql("f42_math", "SELECT event_id, value + 1 AS plus, value * 2 AS twice, event_id % 7 AS rest, sqrt(abs(value)) AS root, bround(value * 10, 0) AS even FROM @events", "SELECT event_id, value + 1 AS plus, value * 2 AS twice, event_id % 7 AS rest, sqrt(abs(value)) AS root, round_even(value * 10, 0) AS even FROM @events")
 sql("f43_arrays", "SELECT n_regionkey, array_join(array_sort(collect_list(n_name)), ',') AS names, size(collect_list(n_name)) AS n, array_contains(collect_list(n_nationkey), 3) AS has_3 FROM @nation GROUP BY n_regionkey", "SELECT n_regionkey, array_to_string(list_sort(list(n_name)), ',') AS names, len(list(n_name))::INT AS n, list_contains(list(n_nationkey), 3) AS has_3 FROM @nation GROUP BY n_regionkey")

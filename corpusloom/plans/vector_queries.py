@@ -94,7 +94,7 @@ def _next_cosine(spark, sf):
 query("f62_centre", _BASE + "SELECT vec_id, round(vec[1], 8) AS x1, round(list_sum(vec), 8) AS total FROM c")(
     lambda spark, sf: _parts(spark, sf)[0].select("vec_id", F.round(F.col("vec")[0], 8).alias("x1"), F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x), 8).alias("total"))
 )
-query("f63_threshold", "SELECT k, kind, CASE kind WHEN 'long' THEN 0.2 ELSE 0.15 END + CASE WHEN k >= 7 THEN 0.35 - 0.3 ELSE 0.0 END AS threshold FROM (SELECT DISTINCT 3 + label % 6 AS k, CASE WHEN vec_id % 3 = 0 THEN 'short' ELSE 'long' END AS kind FROM embeddings)")(
+query("f63_threshold", "SELECT k, kind, CASE kind WHEN 'long' THEN 0.2::DOUBLE ELSE 0.15::DOUBLE END + CASE WHEN k >= 7 THEN 0.35::DOUBLE - 0.3::DOUBLE ELSE 0.0::DOUBLE END AS threshold FROM (SELECT DISTINCT 3 + label % 6 AS k, CASE WHEN vec_id % 3 = 0 THEN 'short' ELSE 'long' END AS kind FROM embeddings)")(
     lambda spark, sf: table(spark, sf, "embeddings").select((3 + F.col("label") % 6).alias("k"), F.when(F.col("vec_id") % 3 == 0, "short").otherwise("long").alias("kind")).distinct().withColumn("threshold", RULES.threshold_column(F.col("k"), F.col("kind")))
 )
 query("f65_drift", "SELECT label, round(max(abs(a[1] - b[1])), 8) AS first_drift FROM (SELECT label, vec AS a, lead(vec) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM @vectors) GROUP BY label")(lambda spark, sf: _drift(spark, sf))
@@ -120,7 +120,7 @@ def labels_above(spark, sf):
     return rows.select("vec_id", F.col("p.i").cast("long").alias("column_id"), F.round(-F.col("p.minus"), 8).alias("strength"), (F.col("k") + 1).cast("long").alias("position"))
 
 
-@query("f36_label_set", "SELECT vec_id, count(*) AS n, sum(i) AS id_sum FROM (SELECT vec_id, i, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, i) AS r FROM (SELECT vec_id, x, i, max(x) OVER (PARTITION BY vec_id) AS top FROM (SELECT vec_id, unnest(embedding::DOUBLE[]) AS x, unnest(range(64)) AS i FROM embeddings)) WHERE x >= 0.5 * top) WHERE r <= 3 GROUP BY vec_id")
+@query("f36_label_set", "SELECT vec_id, count(*) AS n, sum(i)::BIGINT AS id_sum FROM (SELECT vec_id, i, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, i) AS r FROM (SELECT vec_id, x, i, max(x) OVER (PARTITION BY vec_id) AS top FROM (SELECT vec_id, unnest(embedding::DOUBLE[]) AS x, unnest(range(64)) AS i FROM embeddings)) WHERE x >= 0.5 * top) WHERE r <= 3 GROUP BY vec_id")
 def label_set(spark, sf):
     """The strongest column first, others of half its strength or more, three at most."""
     pairs = F.array_sort(F.transform("vec", lambda x, i: F.struct((-x).alias("minus"), i.alias("i"))))

@@ -184,7 +184,7 @@ sql("j24_stepper", "SELECT event_id, lag(event_id) OVER (PARTITION BY user_id OR
 query("w09_unique_slugs", "SELECT p_partkey, replace(p_name, ' ', '-') || CASE WHEN r = 1 THEN '' ELSE '-' || r END AS slug FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS r FROM part)")(
     lambda spark, sf: hubs.unique_slugs(table(spark, sf, "part").withColumn("s", F.replace("p_name", F.lit(" "), F.lit("-"))), "s", ["p_partkey"]).select("p_partkey", F.col("unique_slug").alias("slug"))
 )
-sql("w10_newest_first", "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS position FROM @orders")
+sql("w10_newest_first", "SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS BIGINT) AS position FROM @orders")
 query("w11_first_seen", "SELECT doc_id, string_agg(term, ' ' ORDER BY pos) AS terms FROM (SELECT doc_id, term, min(pos) AS pos FROM @tokens GROUP BY doc_id, term) GROUP BY doc_id")(
     lambda spark, sf: table(spark, sf, "documents").select("doc_id", F.array_join(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))), " ").alias("terms")).where("terms <> ''")
 )
@@ -201,21 +201,21 @@ def _nearest(spark, sf):
 
 
 sql("ord01_newest_orders", "SELECT o_orderkey, o_orderdate FROM @orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 100")
-sql("ord02_multi_key", "SELECT p_partkey, p_type, p_size, p_name, row_number() OVER (PARTITION BY p_type ORDER BY p_size DESC, p_name, p_partkey) AS position FROM @part")
+sql("ord02_multi_key", "SELECT p_partkey, p_type, p_size, p_name, CAST(row_number() OVER (PARTITION BY p_type ORDER BY p_size DESC, p_name, p_partkey) AS BIGINT) AS position FROM @part")
 sql("lim01_first_twelve", "SELECT event_id, ts FROM @events ORDER BY ts DESC, event_id LIMIT 12")
 sql("set01_union_all", "SELECT l_returnflag AS flag, count(*) AS n FROM (SELECT l_returnflag FROM @lineitem UNION ALL SELECT o_orderstatus FROM @orders) t GROUP BY l_returnflag")
 sql("set02_right_wins", "SELECT doc_id, mark FROM (SELECT doc_id, mark, row_number() OVER (PARTITION BY doc_id ORDER BY p DESC) AS r FROM (SELECT doc_id, lang AS mark, 0 AS p FROM @documents UNION ALL SELECT doc_id, concat('q', quality), 1 FROM @labels) u) t WHERE r = 1")
 sql("set03_array_sets", "SELECT n_regionkey, size(array_except(a, b)) AS only_a, size(array_intersect(a, b)) AS both FROM (SELECT n_regionkey, collect_set(n_nationkey) AS a, collect_set(n_nationkey % 10) AS b FROM @nation GROUP BY n_regionkey) t", "SELECT n_regionkey, len(list_filter(a, lambda x: NOT list_contains(b, x)))::INT AS only_a, len(list_intersect(a, b))::INT AS both FROM (SELECT n_regionkey, list(DISTINCT n_nationkey) AS a, list(DISTINCT n_nationkey % 10) AS b FROM nation GROUP BY n_regionkey) t")
 query("set04_registry", "SELECT slug FROM (SELECT DISTINCT source AS slug FROM documents UNION SELECT DISTINCT lang FROM documents)")(lambda spark, sf: hubs.registry_union(table(spark, sf, "documents").select(F.col("source").alias("slug")), table(spark, sf, "documents").select(F.col("lang").alias("slug"))))
-sql("set05_distinct_years", "SELECT DISTINCT year(l_shipdate) AS year FROM @lineitem")
+sql("set05_distinct_years", "SELECT DISTINCT CAST(year(l_shipdate) AS BIGINT) AS year FROM @lineitem")
 
 # --- views ------------------------------------------------------------------------------------
 
 sql("v01_home", "SELECT c_mktsegment AS pillar, count(*) AS n, count(DISTINCT c_nationkey) AS n_nations FROM @customer GROUP BY c_mktsegment")
-sql("v02_archive", "SELECT year, kind, count(*) AS n FROM (SELECT year(o_orderdate) AS year, 'orders' AS kind FROM @orders UNION ALL SELECT year(l_shipdate), 'lines' FROM @lineitem) t GROUP BY year, kind")
+sql("v02_archive", "SELECT year, kind, count(*) AS n FROM (SELECT CAST(year(o_orderdate) AS BIGINT) AS year, 'orders' AS kind FROM @orders UNION ALL SELECT CAST(year(l_shipdate) AS BIGINT), 'lines' FROM @lineitem) t GROUP BY year, kind")
 sql("v03_term_hub", "SELECT l.label, d.lang, count(*) AS n FROM @doc_labels l JOIN @documents d ON l.doc_id = d.doc_id GROUP BY l.label, d.lang")
-sql("v04_media_lists", "SELECT event_type <> 'error' AS available, year(ts) AS year, count(*) AS n, max(event_id) AS last_id FROM @events GROUP BY event_type <> 'error', year(ts)")
-sql("v05_month_spine", "SELECT year(o_orderdate) AS y, month(o_orderdate) AS m, count(*) AS n, sum(count(*)) OVER (PARTITION BY year(o_orderdate)) AS in_year FROM @orders GROUP BY year(o_orderdate), month(o_orderdate)", "SELECT year(o_orderdate) AS y, month(o_orderdate) AS m, count(*) AS n, (sum(count(*)) OVER (PARTITION BY year(o_orderdate)))::BIGINT AS in_year FROM orders GROUP BY year(o_orderdate), month(o_orderdate)")
+sql("v04_media_lists", "SELECT event_type <> 'error' AS available, CAST(year(ts) AS BIGINT) AS year, count(*) AS n, max(event_id) AS last_id FROM @events GROUP BY event_type <> 'error', year(ts)")
+sql("v05_month_spine", "SELECT CAST(year(o_orderdate) AS BIGINT) AS y, CAST(month(o_orderdate) AS BIGINT) AS m, count(*) AS n, sum(count(*)) OVER (PARTITION BY year(o_orderdate)) AS in_year FROM @orders GROUP BY year(o_orderdate), month(o_orderdate)", "SELECT CAST(year(o_orderdate) AS BIGINT) AS y, CAST(month(o_orderdate) AS BIGINT) AS m, count(*) AS n, (sum(count(*)) OVER (PARTITION BY year(o_orderdate)))::BIGINT AS in_year FROM orders GROUP BY year(o_orderdate), month(o_orderdate)")
 sql("v06_feed", "SELECT doc_id, concat('/posts/', doc_id, '/') AS link, substr(text, 1, 155) AS summary FROM @documents WHERE source = 'src0'")
 sql("v07_single_margin", "SELECT s.s_suppkey, s.s_name, n.n_name, r.r_name FROM @supplier s LEFT JOIN @nation n ON s.s_nationkey = n.n_nationkey LEFT JOIN @region r ON n.n_regionkey = r.r_regionkey")
 sql("v08_shortcode_fallback", "SELECT e.event_id, coalesce(p.p_name, 'missing') AS title FROM @events e LEFT JOIN @part p ON e.event_id = p.p_partkey")
