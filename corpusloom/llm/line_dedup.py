@@ -32,19 +32,29 @@ from .lists import LIST_ROWS, batch_of, pairs_in_lists, whole_lists
 from .sketches import bloom, dense_rows, rarity, split_by
 
 BUCKETS = 1 << 22
-STEP = 400  # texts handled together
+STEP = 200  # texts handled together
 
 
 def _encoded(column) -> list[bytes]:
     return [x.encode("utf-8", "replace") if x else b"" for x in column.to_pylist()]
 
 
+def _key(owner: np.ndarray, *parts: np.ndarray) -> np.ndarray:
+    """One number to sort by: the owner, then parts of one byte, then as much of the last part, a hash, as there is room for."""
+    bits = max(1, int(owner.max()).bit_length()) if len(owner) else 1
+    key = owner.astype(np.uint64)
+    for p in parts[:-1]:
+        key = (key << np.uint64(8)) | p.astype(np.uint64)
+        bits += 8
+    return (key << np.uint64(64 - bits)) | (parts[-1] >> np.uint64(bits))
+
+
 def line_sets(texts: list[bytes], least: int):
     """Texts -> per line with enough distinct words: text index, line number, number of words; and the words' hashes, sorted in each line."""
     h, _, starts = hashed_words(texts)
     ends = np.flatnonzero(np.frombuffer(b"\n".join(texts), np.uint8) == 10)
     owner = np.searchsorted(ends, starts)  # lines of all texts are numbered on
-    order = np.lexsort((h, owner))
+    order = np.argsort(_key(owner, h))
     h, owner = h[order], owner[order]
     new = np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])]) if len(h) else np.zeros(0, bool)
     h, owner = h[new], owner[new]
@@ -97,10 +107,10 @@ def _count():
 INDEX, COPY, GONE = 0, 1, 2
 #: Earliest candidates that a list offers a line before it says that there are more.
 OFFERS = 4
-_ROW = "word long, block_a int, block_b int, kind byte, own int, id long, row long, line int, size int, place int, one long, two long"
+_ROW = "word long, blocks int, what int, id long, row long, line int, spot long, one long, two long"
 
 
-def _listed(need: int, least: int, rare, copies: bool = True):
+def _listed(need: int, least: int, rare, only=None):
     """Rows of lines, each under a word.
 
     INDEX rows, of lines whose set is new to the task, stand under their rarest words. A COPY row stands
@@ -119,38 +129,42 @@ def _listed(need: int, least: int, rare, copies: bool = True):
                     continue
                 names = set_ids(h, size)
                 lid, lrow = ids[k + doc], rows[k + doc]
-                if len(seen) > 300_000:
+                if len(seen) > 100_000:
                     seen.clear()
                 fresh, gone = np.zeros(len(doc), bool), []
                 for j, (name, me) in enumerate(zip(names.tolist(), zip(lid.tolist(), lrow.tolist(), line.tolist()))):
-                    old = seen.get(name)
-                    if old is None or me < old:
+                    old = seen.setdefault(name, me)
+                    if old is me:
+                        fresh[j] = True
+                    elif me < old:
                         seen[name] = me
                         fresh[j] = True
-                        if old is not None:
-                            gone.append(old)
+                        gone.append(old)
                     elif me > old:
                         gone.append(me)
                 start = _starts(size)
                 one, two = parity(h, start)
                 owner = np.repeat(np.arange(len(size)), size)
                 r = rare.value[(h & np.uint64(BUCKETS - 1)).astype(np.int64)]
-                order = np.lexsort((h, r, owner))
+                order = np.argsort(_key(owner, r, h))
                 place = np.arange(len(h)) - start[owner]
                 prefix = size - (need * size + 99) // 100 + 1
                 # a word that was counted once is in no other line
                 chosen = (place < prefix[owner]) & fresh[owner] & (r[order] > 8)
+                if only is not None:
+                    chosen = np.flatnonzero(chosen)
+                    chosen = chosen[only.value.has(h[order[chosen]])]
                 pick, at = order[chosen], place[chosen]
                 own, word = owner[pick], h[pick].view(np.int64)
-                parts = np.maximum(1, np.ceil(np.exp2(r[pick] / 8.0) / LIST_ROWS)).astype(np.int64)
+                parts = np.clip(np.ceil(np.exp2(r[pick] / 8.0) / LIST_ROWS), 1, 1 << 14).astype(np.int64)
                 if (parts > 1).any():
                     other = np.concatenate([np.arange(n) for n in parts])
                     pick, at, own, word, parts = (np.repeat(x, parts) for x in (pick, at, own, word, parts))
                 else:
                     other = np.zeros(len(pick), np.int64)
                 block = (mix(lid[own].view(np.uint64) + line[own].astype(np.uint64)) % parts.astype(np.uint64)).astype(np.int64)
-                f = np.flatnonzero(fresh) if copies else np.zeros(0, np.int64)
-                g = np.array(gone if copies else [], np.int64).reshape(-1, 3)
+                f = np.flatnonzero(fresh) if only is None else np.zeros(0, np.int64)
+                g = np.array(gone if only is None else [], np.int64).reshape(-1, 3)
                 n, m, z = len(pick), len(f), len(g)
 
                 def col(index, copy, lost, kind=np.int64):
@@ -159,15 +173,12 @@ def _listed(need: int, least: int, rare, copies: bool = True):
                 yield pa.record_batch(
                     [
                         col(word, names[f], mix(g[:, 0].astype(np.uint64) + g[:, 2].astype(np.uint64)).view(np.int64)),
-                        col(np.minimum(block, other), 0, 0, np.int32),
-                        col(np.maximum(block, other), 0, 0, np.int32),
-                        col(INDEX, COPY, GONE, np.int8),
-                        col(block, 0, 0, np.int32),
+                        col((np.minimum(block, other) << 15) | np.maximum(block, other), 0, 0, np.int32),
+                        col((block << 2) | INDEX, COPY, GONE, np.int32),
                         col(lid[own], lid[f], g[:, 0]),
                         col(lrow[own], lrow[f], g[:, 1]),
                         col(line[own], line[f], g[:, 2], np.int32),
-                        col(size[own], 0, 0, np.int32),
-                        col(at, 0, 0, np.int32),
+                        col((size[own] << 32) | at, 0, 0),
                         col(one[own].view(np.int64), 0, 0),
                         col(two[own].view(np.int64), 0, 0),
                     ],
@@ -177,7 +188,7 @@ def _listed(need: int, least: int, rare, copies: bool = True):
     return run
 
 
-_PAIR = "kind byte, more boolean, id long, row long, line int, id2 long, row2 long, line2 int"
+_PAIR = "word long, kind byte, more boolean, id long, row long, line int, id2 long, row2 long, line2 int"
 
 
 def _offers(need: int, all_for=None):
@@ -187,15 +198,16 @@ def _offers(need: int, all_for=None):
     (more: there are others), or of all where all_for, a filter of lines, has the line.
     """
 
-    def rows(kind, more, ids, row, line, a, b):
-        return batch_of({"kind": np.full(len(a), kind, np.int8), "more": more, "id": ids[a], "row": row[a], "line": line[a], "id2": ids[b], "row2": row[b], "line2": line[b]})
+    def rows(word, kind, more, ids, row, line, a, b):
+        return batch_of({"word": word[a], "kind": np.full(len(a), kind, np.int8), "more": more, "id": ids[a], "row": row[a], "line": line[a], "id2": ids[b], "row2": row[b], "line2": line[b]})
 
     def run(batches):
-        for word, block_a, block_b, kind, own, ids, row, line, size, place, one, two in whole_lists(batches, 3):
+        for word, block, what, ids, row, line, spot, one, two in whole_lists(batches, 2):
+            kind = what & 3
             if all_for is None:
                 g = np.flatnonzero(kind == GONE)
                 if len(g):
-                    yield rows(GONE, np.zeros(len(g), bool), ids, row, line, g, g)
+                    yield rows(word, GONE, np.zeros(len(g), bool), ids, row, line, g, g)
                 c = np.flatnonzero(kind == COPY)
                 if len(c):
                     c = c[np.lexsort((line[c], row[c], ids[c], word[c]))]
@@ -203,11 +215,12 @@ def _offers(need: int, all_for=None):
                     lead = c[np.maximum.accumulate(np.where(first, np.arange(len(c)), 0))]
                     later = (ids[c] != ids[lead]) | (row[c] != row[lead]) | (line[c] != line[lead])
                     if later.any():
-                        yield rows(GONE, np.zeros(int(later.sum()), bool), ids, row, line, c[later], lead[later])
+                        yield rows(word, GONE, np.zeros(int(later.sum()), bool), ids, row, line, c[later], lead[later])
             keep = np.flatnonzero(kind == INDEX)
-            word, block_a, block_b, own, ids, row, line, size, place, one, two = (x[keep] for x in (word, block_a, block_b, own, ids, row, line, size, place, one, two))
-            for i, j in pairs_in_lists([word, block_a, block_b], size, lambda n: n.astype(np.int64) * 100 // need):
-                ok = (block_a[i] == block_b[i]) | (own[i] != own[j])
+            word, block, what, ids, row, line, spot, one, two = (x[keep] for x in (word, block, what, ids, row, line, spot, one, two))
+            size, place = spot >> 32, spot & 0xFFFFFFFF
+            for i, j in pairs_in_lists([word, block], size, lambda n: n * 100 // need):
+                ok = (block[i] >> 15 == block[i] & 0x7FFF) | (what[i] != what[j])
                 i, j = i[ok], j[ok]
                 both = size[i].astype(np.int64) + size[j]
                 differ = np.bitwise_count((one[i] ^ one[j]).view(np.uint64)).astype(np.int64) + np.bitwise_count((two[i] ^ two[j]).view(np.uint64))
@@ -231,7 +244,7 @@ def _offers(need: int, all_for=None):
                     more = np.repeat(many > OFFERS, many)[turn < OFFERS]
                     a, b = a[turn < OFFERS], b[turn < OFFERS]
                 if len(a):
-                    yield rows(INDEX, more, ids, row, line, a, b)
+                    yield rows(word, INDEX, more, ids, row, line, a, b)
 
     return run
 
@@ -300,12 +313,12 @@ def repeated_lines(docs: DataFrame, *, id_col: str, text_col: str, need: int = 8
     else:
         hashed = True
     rare = spark.sparkContext.broadcast(rarity(texts.select("text").mapInArrow(_count(), "block long, data binary"), BUCKETS))
-    keys = ["word", "block_a", "block_b"]
+    keys = ["word", "blocks"]
 
-    def lists(copies: bool) -> DataFrame:
-        return texts.mapInArrow(_listed(need, least, rare, copies), _ROW).repartition(*keys).sortWithinPartitions(*keys, "size")
+    def lists(only=None) -> DataFrame:
+        return texts.mapInArrow(_listed(need, least, rare, only), _ROW).repartition(*keys).sortWithinPartitions(*keys, "spot")
 
-    met = space.table(lists(True).mapInArrow(_offers(need), _PAIR))
+    met = space.table(lists().mapInArrow(_offers(need), _PAIR))
     space.release()
     line = ["id", "row", "line"]
     ends = ["id2", "row2", "line2"]
@@ -319,7 +332,10 @@ def repeated_lines(docs: DataFrame, *, id_col: str, text_col: str, need: int = 8
     left = open_.count()
     if left:
         asked = spark.sparkContext.broadcast(bloom(open_.mapInArrow(_keys, "key long"), left))
-        rest = lists(False).mapInArrow(_offers(need, asked), _PAIR).select(*line, *ends).distinct().join(open_, line, "left_semi").join(pairs.select(*line, *ends), [*line, *ends], "left_anti")
+        # only the lists that had more to offer these lines are made again
+        again = space.table(offers.where("more").join(open_, line, "left_semi").select("word").distinct())
+        only = spark.sparkContext.broadcast(bloom(again, again.count()))
+        rest = lists(only).mapInArrow(_offers(need, asked), _PAIR).select(*line, *ends).distinct().join(open_, line, "left_semi").join(pairs.select(*line, *ends), [*line, *ends], "left_anti")
         gone = space.table(gone.unionByName(_verified(space, texts, space.table(rest), need, least)).distinct())
     out = gone.groupBy("id", "row").agg(F.collect_set("line").alias("lines"))
     return out if hashed else out.withColumn("row", F.lit(None).cast("long"))

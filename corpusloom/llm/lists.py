@@ -43,7 +43,7 @@ def starts_of(cols: list[np.ndarray]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def pairs_in_lists(keys: list[np.ndarray], size: np.ndarray, longest, step: int = 2_000_000):
+def pairs_in_lists(keys: list[np.ndarray], size: np.ndarray, longest, step: int = 300_000):
     """Index pairs (i, j), i before j in one list, with size[j] <= longest(size[i]); in pieces."""
     if not len(size):
         return

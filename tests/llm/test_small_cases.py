@@ -154,6 +154,13 @@ def test_line_dedup(spark, docs, rows, none):
     assert line_dedup.line_dedup(none).count() == 0
 
 
+def test_line_dedup_asks_again(docs, rows, monkeypatch):
+    """Lines that the few offers do not resolve are compared with all candidates."""
+    want = {r.doc_id: r.text for r in line_dedup.line_dedup(docs).collect()}
+    monkeypatch.setattr(line_dedup, "OFFERS", 1)
+    assert {r.doc_id: r.text for r in line_dedup.line_dedup(docs).collect()} == want
+
+
 def test_repeated_ids(spark):
     twice = table(spark, [(1, "a b c d e f", "a"), (1, "a b c d e f", "a"), (1, "g h i j k l", "a"), (2, "a b c d e f", "a"), (None, "a b c d e f", "a")])
     assert line_dedup.line_dedup(twice).count() == 5
