@@ -82,7 +82,7 @@ class _Known(dict):
     """Text hash -> (number of shingles, set id) of texts that a task has seen; a cache for copies, emptied when full."""
 
     def put(self, key: int, value: tuple[int, int]) -> None:
-        if len(self) >= 200_000:
+        if len(self) >= 100_000:
             self.clear()
         self[key] = value
 
@@ -159,7 +159,7 @@ def _shared(n: int, need: int, rare, filters):
 
             for k in range(0, batch.num_rows, STEP):
                 texts = _encoded(batch.column(1)[k : k + STEP])
-                if len(known) > 150_000:
+                if len(known) > 75_000:
                     known.clear()
                 ids, index, sets = [], [], []
                 for i, s, p in _prefixes(texts, n, need, known, rare.value):
@@ -261,13 +261,15 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     filters = spark.sparkContext.broadcast(bloom(listed, listed.count()))
     shared = space.table(texts.mapInArrow(_shared(n, need, rare, filters), f"kind byte, id {kind}, shingle long, set_id long, size int, place int, data binary"))
     space.release()
-    described = shared.where(F.col("kind") == DOC).select("id", F.col("size").cast("long").alias("n_shingles"), "set_id")
+    described = space.table(shared.where(F.col("kind") == DOC).select("id", F.col("size").cast("long").alias("n_shingles"), "set_id"))
     sets = space.table(shared.where(F.col("kind") == SET).groupBy("set_id").agg(F.first("data").alias("data")))
     parities = space.table(sets.mapInArrow(_parities, "set_id long, length long, " + ", ".join(f"{p} long" for p in PARITY)))
     index = shared.where(F.col("kind") == INDEX).select("shingle", "set_id", "size", "place")
     index_rows = index.count()
     lists = space.table(index.groupBy("shingle").agg(F.min("set_id").alias("pivot"), F.max("set_id").alias("last"), F.count("*").alias("n")).where("pivot < last").drop("last"))
     index = space.table(join_groups(index, lists, ["shingle"], "n", index_rows).dropDuplicates(["shingle", "set_id"]))
+    space.drop(shared, lists)
+    space.release()
     # Each set against the pivot that it shares most lists with.
     pivots = index.where("set_id <> pivot").groupBy("set_id", "pivot").agg(F.count("*").alias("c")).groupBy("set_id").agg(F.max(F.struct("c", "pivot")).alias("best"))
     seen = overlaps(space, pivots.select(F.col("set_id").alias("a"), F.col("best.pivot").alias("b")), sets)
@@ -281,6 +283,7 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         rooted = space.table(rooted)
         mixed = space.table(rooted.groupBy("shingle").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n_rows")).where("r0 < r1").drop("r0", "r1"))
         open_ = space.table(join_groups(rooted.drop("n_rows"), mixed, ["shingle"], "n_rows", index_rows))
+        space.drop(rooted, mixed)
         if step == rounds:
             break
         # In each list, sets outside its largest class against one member of that, another one each step and
@@ -293,7 +296,11 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             break
         edges = edges.unionByName(new)
         classes = components(space, edges)
-    across = open_.select("shingle", "set_id", "size", "place", "root", "n_rows").join(parities.drop("length"), "set_id")
+    space.release()
+    # A set that shares too few lists with other classes has no partner in any.
+    meets = open_.groupBy("set_id").agg(F.count("*").alias("n_lists"))
+    able = parities.join(meets, "set_id").where(f"n_lists >= 1 + floor(ceil({need} * length / 100) / {SPARE})").drop("length", "n_lists")
+    across = open_.select("shingle", "set_id", "size", "place", "root", "n_rows").join(able, "set_id")
     across = blocks(across, "shingle", "set_id", "n_rows")
     across = across.repartition("shingle", "block_a", "block_b").sortWithinPartitions("shingle", "block_a", "block_b", "size", "set_id")
     across = across.select("shingle", "block_a", "block_b", "size", "place", "own", "set_id", "root", *PARITY).mapInArrow(_across(need), "a long, b long, least int")
