@@ -37,7 +37,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Pieces(dict):
     """Piece -> (number of ids, ids as text, decoded bytes, ids): a cache that is emptied when full."""
 
-    def __init__(self, codec: "Codec", most: int = 250_000):
+    def __init__(self, codec: "Codec", most: int = 100_000):
         super().__init__()
         self.codec, self.most = codec, most
 
@@ -140,10 +140,10 @@ def _whole(shared: Shared, mode: str):
         for batch in batches:
             texts = (x.as_py() for x in batch.column(1))
             if mode == "ids":
-                for k in range(0, batch.num_rows, 1000):
-                    ids = [np.array(codec.encode(x.as_py()), np.int32) for x in batch.column(1)[k : k + 1000]]
+                for k in range(0, batch.num_rows, 250):
+                    ids = [np.array(codec.encode(x.as_py()), np.int32) for x in batch.column(1)[k : k + 250]]
                     ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32))
-                    yield pa.record_batch([batch.column(0)[k : k + 1000], pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids)))], names=["id", "ids"])
+                    yield pa.record_batch([batch.column(0)[k : k + 250], pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids)))], names=["id", "ids"])
             else:
                 rows = [codec.digest(t) for t in texts]
                 yield pa.record_batch([batch.column(0), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string())))], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])

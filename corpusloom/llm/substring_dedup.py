@@ -97,7 +97,7 @@ def _cut(n: int, k: int, repeated):
                     if seg in sent:
                         text = None
                     else:
-                        if len(sent) >= 500_000:
+                        if len(sent) >= 200_000:
                             sent.clear()
                         sent.add(seg)
                     out.append((a, seg, i, row, f, text))
