@@ -213,6 +213,7 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     first = space.table(first)
     distinct = places.where("text IS NOT NULL").groupBy("seg").agg(F.first("text").alias("text"), F.first("anchor").alias("anchor"))
     distinct = space.table(distinct.join(first.select("seg", "lo"), "seg"))
+    space.release()
     per_anchor = distinct.groupBy("anchor").agg(F.count("*").alias("n_segments"))
     frequent = per_anchor.where(F.col("n_segments") > ANCHOR_SEGMENTS)
     # at most (segments / ANCHOR_SEGMENTS) anchors are frequent: a shuffled join, or a broadcast where Spark sees that they are few
@@ -222,6 +223,8 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     shards = max(1, -(-distinct.count() // SHARD_SEGMENTS))
     dealt = few.unionByName(many).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
     found = space.table(dealt.groupBy("shard").applyInPandas(search_shard(n), "seg long, from long, to long, least long"))
+    space.drop(distinct)
+    space.release()
     found = found.join(first.select("seg", "n_places"), "seg")
     spans = join_groups(places.select("seg", "id", "row", "start"), found, ["seg"], "n_places", total).where("least < id")
     return spans.select("id", "row", (F.col("start") + F.col("from")).alias("a"), (F.col("start") + F.col("to") + n).alias("b")).groupBy("id", "row").agg(F.collect_list("a").alias("starts"), F.collect_list("b").alias("ends"))
