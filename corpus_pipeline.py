@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import bpe, line_dedup, mixing, ngram_join, toxicity
-from corpusloom.llm.common import WORD, Workspace, read
+from corpusloom.llm.common import WORD, Workspace, read, short_batches
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -20,6 +20,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier line resembles go; so does a document that has lost its last word by that."""
+    short_batches(spark)
     out = line_dedup.line_dedup(docs.select(*COLUMNS))
     out = out.where((F.col("n_removed") == 0) | F.col("text").rlike(WORD))
     return out.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*COLUMNS)
@@ -27,16 +28,19 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links of 80 percent of their 5-word shingles connect, the one with the smallest id stays."""
+    short_batches(spark)
     return ngram_join.first_of_each(docs.select(*COLUMNS))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them: not at all, once or twice."""
+    short_batches(spark)
     return mixing.mixed_rows(docs.select(*COLUMNS))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each row."""
+    short_batches(spark)
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     out = bpe.bpe(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN, mode="ids")
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")

@@ -159,5 +159,13 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     return rows.join(F.broadcast(hot), keys).unionByName(rows.join(few, keys, "left_anti").join(cold, keys))
 
 
+def short_batches(spark: SparkSession, rows: int = 2_500) -> None:
+    """Arrow batches of at most `rows` rows in this session: texts are long, and a batch is held by Spark and by Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > rows:
+        spark.conf.set(key, str(rows))
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
