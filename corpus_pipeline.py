@@ -21,7 +21,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier line resembles go; so does a document that has lost its last word by that."""
     short_batches(spark)
-    out = line_dedup.line_dedup(docs.select(*COLUMNS))
+    out = line_dedup.line_dedup(docs.select(*COLUMNS), least=1)
     out = out.where((F.col("n_removed") == 0) | F.col("text").rlike(WORD))
     return out.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*COLUMNS)
 

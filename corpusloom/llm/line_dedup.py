@@ -2,7 +2,7 @@
 
 A line of `least` distinct words or more is the set of its words. A line goes if an earlier line, by
 (id, line number), has a Jaccard similarity of need / 100 or more with it; lines are judged on the
-input, not on what is left. Shorter lines always stay.
+input, not on what is left. Shorter lines always stay; the query and the pipeline take every line with a word.
 
 Words are ordered by rarity. Two similar lines share one of their rarest n - ceil(need n / 100) + 1
 words, so a line is listed under those. In a list, pairs pass the length filter (a binary cut, lists
@@ -149,8 +149,10 @@ def _listed(need: int, least: int, rare, only=None):
                 order = np.argsort(_key(owner, r, h))
                 place = np.arange(len(h)) - start[owner]
                 prefix = size - (need * size + 99) // 100 + 1
+                # too small a set is similar to none but its equals, which meet by name
+                wide = fresh & (100 * size >= need * (size + 1))
                 # a word that was counted once is in no other line
-                chosen = (place < prefix[owner]) & fresh[owner] & (r[order] > 8)
+                chosen = (place < prefix[owner]) & wide[owner] & (r[order] > 8)
                 if only is not None:
                     chosen = np.flatnonzero(chosen)
                     chosen = chosen[only.value.has(h[order[chosen]])]
@@ -384,5 +386,5 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = line_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"), least=1)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))

@@ -154,6 +154,25 @@ def test_line_dedup(spark, docs, rows, none):
     assert line_dedup.line_dedup(none).count() == 0
 
 
+def test_line_dedup_query_takes_short_lines(spark, tmp_path):
+    """The query and the pipeline leave no repeat behind for being short."""
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    rows = [(i, "\n".join(" ".join(rng.choice("abcdefg") for _ in range(rng.randint(0, 7))) for _ in range(6)), "a") for i in range(60)]
+    rows += [(60, "ha ha ha ha ha ha\nzz", "a"), (61, "zz\nha ha\n\n \nnew", "a"), (62, "p q r s\np q r s t\nt p q r", "a"), (63, "new\n", "a"), (64, None, "a")]
+    lines = [(i, k, frozenset(words(x))) for i, t, _ in rows for k, x in enumerate((t or "").split("\n"))]
+    lines = [x for x in lines if x[2]]
+    gone = {(b[0], b[1]) for k, b in enumerate(lines) for a in lines[:k] if 100 * len(a[2] & b[2]) >= 80 * len(a[2] | b[2])}
+    want = {i: "\n".join(x for k, x in enumerate((t or "").split("\n")) if (i, k) not in gone) for i, t, _ in rows}
+    assert want[61] == "\n \nnew" and want[62] == "p q r s" and want[63] == ""
+    table(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.n_removed, r.text_sha256) for r in line_dedup.op2_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {i: (sum(g[0] == i for g in gone), sha(x)) for i, x in want.items()}
+    kept = {r.doc_id: r.text for r in corpus_pipeline.without_repeated_lines(spark, table(spark, rows), str(tmp_path)).collect()}
+    assert kept == {i: x if t is not None else None for (i, t, _), x in zip(rows, want.values()) if words(x) or not any(g[0] == i for g in gone)}
+
+
 def test_line_dedup_asks_again(docs, rows, monkeypatch):
     """Lines that the few offers do not resolve are compared with all candidates."""
     want = {r.doc_id: r.text for r in line_dedup.line_dedup(docs).collect()}
