@@ -118,15 +118,17 @@ sql("prj03_stable_key", "SELECT doc_id, CASE WHEN source IN ('src0', 'src1') THE
 _MD = r"(SELECT doc_id, '# ' || substr(text, 1, 80) || E'\n\n> [link](http://a.b/' || doc_id || ') and <b>bold</b> . ' || '![pic](x.png) **' || substr(text, 81, 200) || E'**\n```\ncode\n```\nfile%20name ' || doc_id || '.jpg end' AS md FROM documents)"
 
 
-def _markdown(spark, sf):
+def _markdown(spark, sf, whole: bool = False):
     n = F.col("doc_id").cast("string")
-    return table(spark, sf, "documents").select("doc_id", F.concat(F.lit("# "), F.substring("text", 1, 80), F.lit("\n\n> [link](http://a.b/"), n, F.lit(") and <b>bold</b> . ![pic](x.png) **"), F.substring("text", 81, 200), F.lit("**\n```\ncode\n```\nfile%20name "), n, F.lit(".jpg end")).alias("md"))
+    rest = F.substr(F.col("text"), F.lit(81)) if whole else F.substring("text", 81, 200)
+    return table(spark, sf, "documents").select("doc_id", F.concat(F.lit("# "), F.substring("text", 1, 80), F.lit("\n\n> [link](http://a.b/"), n, F.lit(") and <b>bold</b> . ![pic](x.png) **"), rest, F.lit("**\n```\ncode\n```\nfile%20name "), n, F.lit(".jpg end")).alias("md"))
 
 
 _STRIP = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
  md, '(?s)```.*?```', ' ', 'g'), '!\[[^\]]*\]\([^)]*\)', ' ', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '<[^>]+>', ' ', 'g'),
  '(?i)\S*%[0-9A-Fa-f]{2}\S*|\S+\.(?:jpg|jpeg|png|gif|webp|svg|pdf)\b', ' ', 'g'), '(?m)^[ \t]{0,3}(?:[#>]+|[-+*])[ \t]+', '', 'g'), '[*]+', '', 'g'), '\s+', ' ', 'g'), '\s+([,.;:!?…])', '\1', 'g'))"""
 query("f01_strip_markup", f"SELECT doc_id, {_STRIP} AS plain FROM {_MD}")(lambda spark, sf: _markdown(spark, sf).select("doc_id", tx.strip_markup(F.col("md")).alias("plain")))
+query("f01_strip_markup_whole", None)(lambda spark, sf: _markdown(spark, sf, whole=True).select("doc_id", tx.strip_markup(F.col("md")).alias("plain")))
 sql("f02_word_count", "SELECT doc_id, word_count FROM @sized")
 query("f03_strip_html", r"SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS plain FROM pages")(lambda spark, sf: table(spark, sf, "pages").select("page_id", tx.strip_html(F.col("html")).alias("plain")))
 
@@ -144,6 +146,12 @@ def markdown_qa(spark, sf):
     return _markdown(spark, sf).select("doc_id", odd["fences"].alias("odd_fences"), odd["emphasis"].alias("odd_emphasis"))
 
 
+@query("f07_markdown_qa_whole", None)
+def markdown_qa_whole(spark, sf):
+    odd = tx.odd_markers(F.col("md"))
+    return _markdown(spark, sf, whole=True).select("doc_id", odd["fences"].alias("odd_fences"), odd["emphasis"].alias("odd_emphasis"))
+
+
 _IMPORT_SLUG = "regexp_replace(regexp_replace(translate(lower(substr(text, 1, 120)), 'áàâäãåéèêëíìîïóòôöõőúùûüűñçýÿ', 'aaaaaaeeeeiiiioooooouuuuuncyy'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
 query("f08_import_slug", f"SELECT doc_id, CASE WHEN s = '' THEN 'bejegyzes' WHEN length(s) <= 70 THEN s WHEN contains(substr(s, 1, 70), '-') THEN regexp_replace(substr(s, 1, 70), '-[^-]*$', '') ELSE substr(s, 1, 70) END AS slug FROM (SELECT doc_id, {_IMPORT_SLUG} AS s FROM documents)")(
     lambda spark, sf: table(spark, sf, "documents").select("doc_id", tx.import_slug(F.substring("text", 1, 120)).alias("slug"))
