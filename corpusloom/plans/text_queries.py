@@ -156,8 +156,10 @@ _IMPORT_SLUG = "regexp_replace(regexp_replace(translate(lower(substr(text, 1, 12
 query("f08_import_slug", f"SELECT doc_id, CASE WHEN s = '' THEN 'bejegyzes' WHEN length(s) <= 70 THEN s WHEN contains(substr(s, 1, 70), '-') THEN regexp_replace(substr(s, 1, 70), '-[^-]*$', '') ELSE substr(s, 1, 70) END AS slug FROM (SELECT doc_id, {_IMPORT_SLUG} AS s FROM documents)")(
     lambda spark, sf: table(spark, sf, "documents").select("doc_id", tx.import_slug(F.substring("text", 1, 120)).alias("slug"))
 )
+query("f08_import_slug_whole", None)(lambda spark, sf: table(spark, sf, "documents").select("doc_id", tx.import_slug(F.col("text")).alias("slug")))
 query("f09_hub_slug", r"SELECT term, regexp_replace(regexp_replace(strip_accents(replace(lower(term), 'ß', 'ss')), '[^\p{L}\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM " + _RAW)(lambda spark, sf: _raw_terms(spark, sf).select("term", tx.hub_slug(un.fold("term")).alias("slug")))
 query("f10_term_directory", r"SELECT doc_id, regexp_replace(lower(trim(substr(text, 1, 60))), '\s+', '-', 'g') AS directory FROM documents")(lambda spark, sf: table(spark, sf, "documents").select("doc_id", tx.term_directory(F.substring("text", 1, 60)).alias("directory")))
+query("f10_term_directory_whole", None)(lambda spark, sf: table(spark, sf, "documents").select("doc_id", tx.term_directory(F.col("text")).alias("directory")))
 query("f11_nfkc", None)(lambda spark, sf: _raw_terms(spark, sf).select("term", un.nfkc("term").alias("composed")))
 query("f12_fold", "SELECT term, strip_accents(replace(lower(term), 'ß', 'ss')) AS folded FROM " + _RAW)(lambda spark, sf: _raw_terms(spark, sf).select("term", un.fold("term").alias("folded")))
 query("f13_acronym", r"SELECT name, regexp_matches(regexp_replace(name, '[^\p{L}]', '', 'g'), '^\p{Lu}{2,}$') AS acronym FROM (SELECT DISTINCT unnest([o_orderpriority, lower(o_orderpriority), o_orderstatus]) AS name FROM orders)")(
@@ -203,6 +205,7 @@ def chunk_words(spark, sf):
 
 
 sql("f24_prefix", "SELECT doc_id, concat('passage: ', substr(text, 1, 200)) AS prefixed FROM @documents")
+query("f24_prefix_chunks", None)(lambda spark, sf: chunk_words(spark, sf).select("doc_id", "chunk", F.concat(F.lit("passage: "), "chunk_text").alias("prefixed")))
 query("f25_sentences", None)(lambda spark, sf: table(spark, sf, "documents").select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("pos", "sentence")))
 query("f26_matches_lemma", "SELECT n.term, m.term AS lemma FROM (SELECT DISTINCT term FROM @tokens WHERE length(term) BETWEEN 7 AND 9) n JOIN (SELECT DISTINCT term FROM @tokens WHERE length(term) = 7) m ON substr(n.term, 1, 5) = substr(m.term, 1, 5)")(
     lambda spark, sf: _prefix_matches(table(spark, sf, "documents").select(F.explode(tx.tokens(F.col("text"))).alias("term")).distinct())

@@ -40,3 +40,13 @@ def test_markup(spark, sf):
     assert "see this and that here end" in plain[1] and plain[1].count("word") == 80
     odd = {r[0]: r[1:] for r in rows(spark, sf, "f07_markdown_qa_whole")}
     assert odd[1] == (False, False) and odd[2][0] and odd[3][1]
+
+
+def test_slugs(spark, sf):
+    assert dict(rows(spark, sf, "f08_import_slug_whole"))[4] == "late-title"
+    assert dict(rows(spark, sf, "f10_term_directory_whole"))[4] == "-".join(["."] * 80) + "-late-title"
+
+
+def test_prefix(spark, sf):
+    got = sorted(r for r in rows(spark, sf, "f24_prefix_chunks") if r[0] == 2)
+    assert got == [(2, 0, "passage: " + LONG.strip()), (2, 1, "passage: open ``` fence")]
