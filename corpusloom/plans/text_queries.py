@@ -219,6 +219,20 @@ def _prefix_matches(terms):
     return left.join(right, "p").where(tx.matches_lemma(F.col("term"), F.col("lemma"))).select("term", "lemma")
 
 
+#: Parts that the forms of one prefix are dealt out to: many forms share a first letter.
+_PREFIX_PARTS = 16
+
+
+@query("f26_matches_lemma_all", None)
+def matches_lemma_all(spark, sf):
+    """Forms and lemmas of any length: a lemma's key is its first five letters, or all of it; a form has a key for each of its prefixes up to five letters."""
+    terms = table(spark, sf, "documents").select(F.explode(tx.tokens(F.col("text"))).alias("term")).distinct()
+    prefixes = F.transform(F.sequence(F.lit(1), F.least(F.length("term"), F.lit(5))), lambda n: F.substr(F.col("term"), F.lit(1), n))
+    forms = terms.select("term", F.explode(prefixes).alias("p")).withColumn("part", F.pmod(F.hash("term"), F.lit(_PREFIX_PARTS)))
+    lemmas = terms.select(F.col("term").alias("lemma"), F.substring("term", 1, 5).alias("p"), F.explode(F.sequence(F.lit(0), F.lit(_PREFIX_PARTS - 1))).alias("part"))
+    return forms.join(lemmas, ["p", "part"]).select("term", "lemma")
+
+
 _EVIDENCE = ("the", "of", "que", "der", "las")
 
 

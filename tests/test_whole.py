@@ -50,3 +50,10 @@ def test_slugs(spark, sf):
 def test_prefix(spark, sf):
     got = sorted(r for r in rows(spark, sf, "f24_prefix_chunks") if r[0] == 2)
     assert got == [(2, 0, "passage: " + LONG.strip()), (2, 1, "passage: open ``` fence")]
+
+
+def test_lemmas(spark, sf):
+    terms = {t.lower().strip(".") for _, x in TEXTS for t in x.replace("`", " ").replace("*", " ").replace("[", " ").replace("](http://x.y)", " http x y ").split()} - {""}
+    want = sorted((t, m) for t in terms for m in terms if t.startswith(m[:5]))
+    assert sorted(rows(spark, sf, "f26_matches_lemma_all")) == want
+    assert {("abcdef", "a"), ("abcdefghijkl", "abcdeg"), ("abcde", "abcdef")} <= set(want)
