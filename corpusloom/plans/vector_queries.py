@@ -220,8 +220,6 @@ def seed_count_curve(spark, sf):
     import numpy as np
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > discover.MOST_CANDIDATES:
-            raise ValueError("seed groups are curated and small")
         x = np.stack(pdf.sort_values("vec_id").vec.to_numpy())
         rng, out = np.random.default_rng(42), []
         for k in (3, 4, 5, 6, 8):
@@ -230,7 +228,7 @@ def seed_count_curve(spark, sf):
                 for _ in range(20):
                     pick = rng.permutation(len(x))
                     m = x[pick[:k]].mean(axis=0)
-                    sims.append(np.median(x[pick[k:]] @ (m / max(1e-12, np.linalg.norm(m)))))
+                    sims.append(np.median((x @ (m / max(1e-12, np.linalg.norm(m))))[pick[k:]]))
                 out.append((int(pdf.label.iloc[0]), k, float(np.mean(sims))))
         return pd.DataFrame(out, columns=["label", "k", "g"])
 

@@ -5,6 +5,7 @@ import datetime
 import numpy as np
 import pytest
 
+from corpusloom.operators import discover
 from corpusloom.plans import catalog
 
 LONG = "word " * 80
@@ -57,3 +58,19 @@ def test_lemmas(spark, sf):
     want = sorted((t, m) for t in terms for m in terms if t.startswith(m[:5]))
     assert sorted(rows(spark, sf, "f26_matches_lemma_all")) == want
     assert {("abcdef", "a"), ("abcdefghijkl", "abcdeg"), ("abcde", "abcdef")} <= set(want)
+
+
+def test_chained_linkage():
+    rng = np.random.default_rng(3)
+    for cut in (0.05, 0.2, 0.6, 1.2):
+        x = rng.normal(size=(12, 6))[rng.integers(0, 12, 150)] + rng.normal(0, 0.3, (150, 6))
+        x = np.concatenate([x, x[:20], x[:5], np.zeros((2, 6))])
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        assert discover.chained_linkage(x, cut) == discover.average_linkage(x, cut)
+
+
+def test_large_groups(spark, sf):
+    v = spark.read.parquet(f"{sf}/embeddings.parquet").withColumnRenamed("embedding", "vec")
+    got = {(r.label, r.grp): r["count"] for r in discover.groups(v, 0.2).groupBy("label", "grp").count().collect()}
+    assert got == {(0, g): 650 for g in range(8)} | {(1, g): 5 for g in range(8)}
+    assert sorted(r[0] for r in rows(spark, sf, "agg22_seed_count_curve")) == [3, 4, 5, 6, 8]
