@@ -47,7 +47,17 @@ sql("j15_tag_index", "SELECT e.event_id, coalesce(t.n, 0) AS n FROM @events e LE
 @query("j16_unreferenced", r"SELECT p.name FROM (SELECT DISTINCT '/' || term AS name FROM @tokens WHERE length(term) = 4) p WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT lower(unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1))) AS name FROM pages) u WHERE u.name = p.name)".replace('\\"', '"'))
 def unreferenced(spark, sf):
     """Names that no page mentions: names are extracted once and joined, instead of searched in every page."""
-    names = _tokens(spark, sf).where("length(term) = 4").select(F.concat(F.lit("/"), "term").alias("name")).distinct()
+    return _unreferenced(spark, sf, _tokens(spark, sf).where("length(term) = 4"))
+
+
+@query("j16_unreferenced_all", None)
+def unreferenced_all(spark, sf):
+    """The same for names of any length."""
+    return _unreferenced(spark, sf, _tokens(spark, sf))
+
+
+def _unreferenced(spark, sf, terms):
+    names = terms.select(F.concat(F.lit("/"), "term").alias("name")).distinct()
     used = table(spark, sf, "pages").select(F.explode(F.regexp_extract_all("html", F.lit(r'<a href="([^"]*)"'), F.lit(1))).alias("name")).select(F.lower("name").alias("name")).distinct()
     return names.join(used, "name", "left_anti")
 

@@ -74,3 +74,8 @@ def test_large_groups(spark, sf):
     got = {(r.label, r.grp): r["count"] for r in discover.groups(v, 0.2).groupBy("label", "grp").count().collect()}
     assert got == {(0, g): 650 for g in range(8)} | {(1, g): 5 for g in range(8)}
     assert sorted(r[0] for r in rows(spark, sf, "agg22_seed_count_curve")) == [3, 4, 5, 6, 8]
+
+
+def test_unreferenced(spark, sf):
+    got = {r[0] for r in rows(spark, sf, "j16_unreferenced_all")}
+    assert {"/a", "/abcd", "/abcdefghijkl", "/word"} <= got and not got & {"/ab", "/zebra"}
