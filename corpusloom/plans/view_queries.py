@@ -123,7 +123,18 @@ def day_spine(spark, sf):
     """Counts over the union of two sources, gaps filled, as a share of the largest."""
     e = table(spark, sf, "events").where("event_type = 'error' AND value > 40").select(F.to_date("ts").alias("day"))
     o = table(spark, sf, "orders").where("o_orderstatus = 'P' AND o_totalprice > 490000").select(F.date_add(F.to_date("o_orderdate"), 9500).alias("day"))
-    counts = e.unionByName(o).groupBy("day").agg(F.count("*").alias("n"))
+    return _spine(e.unionByName(o))
+
+
+@query("agg10_day_spine_all", None)
+def day_spine_all(spark, sf):
+    """The same over all rows of both sources."""
+    e = table(spark, sf, "events").select(F.to_date("ts").alias("day"))
+    return _spine(e.unionByName(table(spark, sf, "orders").select(F.date_add(F.to_date("o_orderdate"), 9500).alias("day"))))
+
+
+def _spine(days):
+    counts = days.groupBy("day").agg(F.count("*").alias("n"))
     bounds = counts.agg(F.min("day").alias("lo"), F.max("day").alias("hi"), F.max("n").alias("top"))
     spine = bounds.select(F.explode(F.sequence("lo", "hi")).alias("day"), "top")
     return spine.join(counts, "day", "left").select("day", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.round(100.0 * F.coalesce("n", F.lit(0)) / F.col("top"), 6).alias("share"))

@@ -79,3 +79,8 @@ def test_large_groups(spark, sf):
 def test_unreferenced(spark, sf):
     got = {r[0] for r in rows(spark, sf, "j16_unreferenced_all")}
     assert {"/a", "/abcd", "/abcdefghijkl", "/word"} <= got and not got & {"/ab", "/zebra"}
+
+
+def test_spine(spark, sf):
+    d = datetime.date(2024, 1, 1)
+    assert [(r[0], r[1], float(r[2])) for r in sorted(rows(spark, sf, "agg10_day_spine_all"))] == [(d, 2, 100.0), (d.replace(day=2), 1, 50.0), (d.replace(day=3), 0, 0.0), (d.replace(day=4), 1, 50.0)]
