@@ -6,6 +6,9 @@ labels are statistically alike (Wilson interval of the blocked share above, belo
 are merged; a template is rejected when its smoothed labelled purity, (blocked + 1) / (labelled + 2),
 reaches `purity`. A rule's own verdict always goes first.
 
+The tree has the first DEPTH segments of a path: deeper paths that agree in them share a template, with a flag
+that they go on.
+
 Scale: only url is read from the pages. Everything after the first aggregation works on one row per
 host and generalised path; a host with a third of all pages is counted map-side and joined back by
 `join_groups`. Rules are literals in the plan and refused above MAX_RULES.
