@@ -83,11 +83,13 @@ def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or a new one where that is unset."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir, or, in local mode only, a new one where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="corpusloom-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -160,10 +162,44 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
 
 
 def short_batches(spark: SparkSession, rows: int = 2_500) -> None:
-    """Arrow batches of at most `rows` rows in this session: texts are long, and a batch is held by Spark and by Python."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows:
-        spark.conf.set(key, str(rows))
+    """Arrow batches of at most `rows` rows and about 8 MB in this session: texts are long, and a batch is held by Spark and by Python."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", 1 << 23)):
+        now = spark.conf.get(key).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
+def slices(column, rows: int = 1000, most: int = 1 << 18):
+    """(start, stop) of runs of a batch's texts: at most `rows` of them and about `most` bytes (arrays of that many bytes stay in caches), one text at least."""
+    n = len(column)
+    size = np.diff(np.frombuffer(column.buffers()[1], np.int32 if str(column.type) in ("string", "binary") else np.int64)[column.offset : column.offset + n + 1])
+    total = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+    a = 0
+    while a < n:
+        b = min(a + rows, max(a + 1, int(np.searchsorted(total, total[a] + most, side="right")) - 1))
+        yield a, b
+        a = b
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for helper columns that no column of df has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def ordered_ids(space: Workspace, ids: DataFrame) -> DataFrame | None:
+    """None where the one column of ids holds integers; else (id, number): longs in the order of the ids, nulls left out."""
+    name = ids.columns[0]
+    if ids.schema[0].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint"):
+        return None
+    ids = ids.where(F.col(name).isNotNull()).select(F.col(name).alias("id")).distinct().orderBy("id")
+    return space.table(ids.withColumn("number", F.monotonically_increasing_id()))
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,38 +1,46 @@
 """Line dedup by an exact set-similarity join.
 
-A line of `least` distinct words or more is the set of its words. A line goes if an earlier line, by
-(id, line number), has a Jaccard similarity of need / 100 or more with it; lines are judged on the
-input, not on what is left. Shorter lines always stay; the query and the pipeline take every line with a word.
+A line with a word is the set of its words. A line goes if an earlier line, by (id, line number), has a
+Jaccard similarity of need / 100 or more with it; lines are judged on the input, not on what is left.
 
-Words are ordered by rarity. Two similar lines share one of their rarest n - ceil(need n / 100) + 1
-words, so a line is listed under those. In a list, pairs pass the length filter (a binary cut, lists
-being sorted by length), the positional filter, and a bound from 128 parity bits of the two sets: the
-sets differ in at least as many words as bits. What passes is verified on the words themselves.
+Words are ordered by rarity. If two lines differ in d words, then d of the gaps between their shared
+words hold one at most; so some two shared words stand side by side in both lines among the first
+`prefix(n)` of each. A line is listed under those neighbours, pairs of rare words, which far fewer
+lines share than share one. In a list, pairs pass the length filter and the positional filter, and
+what passes is verified on the words themselves.
 
 A line needs one earlier match only. Each list first offers every line its few earliest candidates that
-pass the filters; a line that has more of them somewhere, and that none of the offers resolves, is then
-compared with all its candidates.
+pass the filters; a line that had more to see, and that none of the offers resolves, is then compared with
+all candidates of its lists, which 128 parity bits of the two sets bound once more.
 So groups of near copies cost as many comparisons as they have lines, and no similar line is missed.
+Lists are combined before they shuffle: of a key's lines in one mapper only the earliest go on to other
+tasks, and the rest meet those at once.
 
-Scale: listed words shuffle (two hashes, two integers and the parity bits), not lines; words of lines
-are kept only of lines in a candidate pair, and texts shuffle once, with the numbers of lines to drop.
-Copies of a line are listed once a task; long lists are cut into blocks.
+Scale: listed rows shuffle packed (some 14 bytes each), not lines; words of lines are kept only of lines
+in a candidate pair, and texts shuffle once, with the numbers of lines to drop, if they lose any. Copies
+of a line are found by name, once a task.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, hashed_words, join_groups, mix, read
-from .lists import LIST_ROWS, batch_of, pairs_in_lists, whole_lists
+from .common import Workspace, free_names, hashed_words, join_groups, mix, ordered_ids, read, slices
+from .packed import SCHEMA, Outbox, coarse, exchange, received, unpack
 from .sketches import bloom, dense_rows, rarity, split_by
 
 BUCKETS = 1 << 22
-STEP = 200  # texts handled together
+#: Keys that a part holds, about.
+PART_KEYS = 1_200_000
+#: Rows of one list that one task compares in full; longer lists are cut into blocks.
+LIST_ROWS = 20_000
+#: Earliest rows of a list that each of its lines is compared with at first, and how many of them it is offered.
+FIRST, OFFERS = 16, 4
+#: Rows of one key that a mapper sends on as they are.
+ALONE = 64
 
 
 def _encoded(column) -> list[bytes]:
@@ -49,8 +57,8 @@ def _key(owner: np.ndarray, *parts: np.ndarray) -> np.ndarray:
     return (key << np.uint64(64 - bits)) | (parts[-1] >> np.uint64(bits))
 
 
-def line_sets(texts: list[bytes], least: int):
-    """Texts -> per line with enough distinct words: text index, line number, number of words; and the words' hashes, sorted in each line."""
+def line_sets(texts: list[bytes]):
+    """Texts -> per line with a word: text index, line number, number of distinct words; and the words' hashes, sorted in each line."""
     h, _, starts = hashed_words(texts)
     ends = np.flatnonzero(np.frombuffer(b"\n".join(texts), np.uint8) == 10)
     owner = np.searchsorted(ends, starts)  # lines of all texts are numbered on
@@ -58,12 +66,11 @@ def line_sets(texts: list[bytes], least: int):
     h, owner = h[order], owner[order]
     new = np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])]) if len(h) else np.zeros(0, bool)
     h, owner = h[new], owner[new]
-    lines, at, size = np.unique(owner, return_index=True, return_counts=True)
-    enough = size >= least
-    keep = np.repeat(enough, size)
+    start = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(h) else np.zeros(0, np.int64)
+    lines, size = owner[start], np.diff(np.append(start, len(h)))
     first = np.concatenate([[0], np.cumsum([t.count(b"\n") + 1 for t in texts])])
-    doc = np.searchsorted(first, lines[enough], side="right") - 1
-    return doc, lines[enough] - first[doc], size[enough].astype(np.int64), h[keep]
+    doc = np.searchsorted(first, lines, side="right") - 1
+    return doc, lines - first[doc], size.astype(np.int64), h
 
 
 def _starts(size: np.ndarray) -> np.ndarray:
@@ -80,13 +87,29 @@ def parity(h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.bitwise_xor.reduceat(np.where(low, bit, np.uint64(0)), starts), np.bitwise_xor.reduceat(np.where(low, np.uint64(0), bit), starts)
 
 
-def set_ids(h: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each set."""
-    raw, at, out = h.tobytes(), 0, np.empty(len(size), np.int64)
-    for k, n in enumerate(size.tolist()):
-        out[k] = xxhash.xxh3_64_intdigest(raw[8 * at : 8 * (at + n)]) - (1 << 63)
-        at += n
-    return out
+def set_names(h: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each set: a mixed sum of its mixed members."""
+    if not len(size):
+        return np.zeros(0, np.uint64)
+    with np.errstate(over="ignore"):
+        return mix(np.add.reduceat(mix(h ^ np.uint64(0x2545F4914F6CDD1D)), _starts(size)) + size.astype(np.uint64))
+
+
+def prefix(n: np.ndarray, need: int) -> np.ndarray:
+    """How many of the rarest of a line's n words are listed, each with the next.
+
+    Let x lack dx words of its similar line y, and y lack dy of x. Each of the d = dx + dy spoils one gap
+    between shared words at most, so an unspoilt one ends at word d + 2 + dx of x at the latest, and
+    100 shared >= need (shared + d) bounds dy by dx, and dx by n.
+    """
+    most = n * (100 - need) // 100
+    return np.minimum(n, most + (n - most) * (100 - need) // need + 2)
+
+
+def line_keys(ids: np.ndarray, row: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """A 64-bit key of a line."""
+    with np.errstate(over="ignore"):
+        return mix(mix(mix(ids.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) ^ row.astype(np.int64).view(np.uint64)) + line.astype(np.uint64))
 
 
 def _count():
@@ -95,8 +118,8 @@ def _count():
     def run(batches):
         counts = np.zeros(BUCKETS, np.uint32)
         for batch in batches:
-            for k in range(0, batch.num_rows, STEP):
-                h = hashed_words(_encoded(batch.column(0)[k : k + STEP]))[0]
+            for a, b in slices(batch.column(0)):
+                h = hashed_words(_encoded(batch.column(0)[a:b]))[0]
                 np.add.at(counts, (h & np.uint64(BUCKETS - 1)).astype(np.int64), np.uint32(1))
         if counts.any():
             yield dense_rows(counts)
@@ -104,31 +127,40 @@ def _count():
     return run
 
 
-INDEX, COPY, GONE = 0, 1, 2
-#: Earliest candidates that a list offers a line before it says that there are more.
-OFFERS = 4
-_ROW = "word long, blocks int, what int, id long, row long, line int, spot long, one long, two long"
+KEYS, NAMES, GONE, PAIRS, HOT = range(5)
 
 
-def _listed(need: int, least: int, rare, only=None):
-    """Rows of lines, each under a word.
+def _neighbours(h, size, need, rare):
+    """Rows (owner, key, place) of lines: two words side by side in the order of rarity, under a 48-bit hash."""
+    owner = np.repeat(np.arange(len(size)), size)
+    r = rare[(h & np.uint64(BUCKETS - 1)).astype(np.int64)]
+    order = np.argsort(_key(owner, r, h))
+    h, r = h[order], r[order]
+    place = np.arange(len(h)) - _starts(size)[owner]
+    # too small a set is similar to none but its equals, which meet by name; a word that was counted once is in no other line
+    wide = 100 * size >= need * (size + 1)
+    ok = (place + 1 < prefix(size, need)[owner]) & wide[owner] & (r > 8)
+    ok[:-1] &= r[1:] > 8
+    at = np.flatnonzero(ok)  # the last word of a line is never one of them
+    with np.errstate(over="ignore"):
+        key = mix(mix(h[at]) + h[at + 1]) >> np.uint64(16) << np.uint64(16)
+    return owner[at], key, place[at], np.minimum(r[at], r[at + 1])
 
-    INDEX rows, of lines whose set is new to the task, stand under their rarest words. A COPY row stands
-    under the name of its set, so that equal lines of all tasks meet; a line that a task has seen an
-    earlier copy of is GONE already. Words that the sketch expects in more than LIST_ROWS lines have
-    their lists cut into blocks.
-    """
+
+def _listed(need: int, parts: int, rare):
+    """Blobs: rows of lines under their keys (KEYS), the line's name (NAMES), lines that a task has seen an earlier copy of (GONE)."""
 
     def run(batches):
         seen: dict[int, tuple] = {}
+        box = Outbox(coarse(parts))
         for batch in batches:
             ids, rows = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
-            for k in range(0, batch.num_rows, STEP):
-                doc, line, size, h = line_sets(_encoded(batch.column(2)[k : k + STEP]), least)
+            for a, b in slices(batch.column(2)):
+                doc, line, size, h = line_sets(_encoded(batch.column(2)[a:b]))
                 if not len(doc):
                     continue
-                names = set_ids(h, size)
-                lid, lrow = ids[k + doc], rows[k + doc]
+                names = set_names(h, size)
+                lid, lrow = ids[a + doc], rows[a + doc]
                 if len(seen) > 100_000:
                     seen.clear()
                 fresh, gone = np.zeros(len(doc), bool), []
@@ -142,119 +174,193 @@ def _listed(need: int, least: int, rare, only=None):
                         gone.append(old)
                     elif me > old:
                         gone.append(me)
-                start = _starts(size)
-                one, two = parity(h, start)
-                owner = np.repeat(np.arange(len(size)), size)
-                r = rare.value[(h & np.uint64(BUCKETS - 1)).astype(np.int64)]
-                order = np.argsort(_key(owner, r, h))
-                place = np.arange(len(h)) - start[owner]
-                prefix = size - (need * size + 99) // 100 + 1
-                # too small a set is similar to none but its equals, which meet by name
-                wide = fresh & (100 * size >= need * (size + 1))
-                # a word that was counted once is in no other line
-                chosen = (place < prefix[owner]) & wide[owner] & (r[order] > 8)
-                if only is not None:
-                    chosen = np.flatnonzero(chosen)
-                    chosen = chosen[only.value.has(h[order[chosen]])]
-                pick, at = order[chosen], place[chosen]
-                own, word = owner[pick], h[pick].view(np.int64)
-                parts = np.clip(np.ceil(np.exp2(r[pick] / 8.0) / LIST_ROWS), 1, 1 << 14).astype(np.int64)
-                if (parts > 1).any():
-                    other = np.concatenate([np.arange(n) for n in parts])
-                    pick, at, own, word, parts = (np.repeat(x, parts) for x in (pick, at, own, word, parts))
-                else:
-                    other = np.zeros(len(pick), np.int64)
-                block = (mix(lid[own].view(np.uint64) + line[own].astype(np.uint64)) % parts.astype(np.uint64)).astype(np.int64)
-                f = np.flatnonzero(fresh) if only is None else np.zeros(0, np.int64)
-                g = np.array(gone if only is None else [], np.int64).reshape(-1, 3)
-                n, m, z = len(pick), len(f), len(g)
-
-                def col(index, copy, lost, kind=np.int64):
-                    return pa.array(np.concatenate([np.broadcast_to(index, n), np.broadcast_to(copy, m), np.broadcast_to(lost, z)]).astype(kind))
-
-                yield pa.record_batch(
-                    [
-                        col(word, names[f], mix(g[:, 0].astype(np.uint64) + g[:, 2].astype(np.uint64)).view(np.int64)),
-                        col((np.minimum(block, other) << 15) | np.maximum(block, other), 0, 0, np.int32),
-                        col((block << 2) | INDEX, COPY, GONE, np.int32),
-                        col(lid[own], lid[f], g[:, 0]),
-                        col(lrow[own], lrow[f], g[:, 1]),
-                        col(line[own], line[f], g[:, 2], np.int32),
-                        col((size[own] << 32) | at, 0, 0),
-                        col(one[own].view(np.int64), 0, 0),
-                        col(two[own].view(np.int64), 0, 0),
-                    ],
-                    names=[c.split()[0] for c in _ROW.split(", ")],
-                )
+                f = np.flatnonzero(fresh)
+                box.add(NAMES, names[f], lid[f], lrow[f], line[f])
+                g = np.array(gone, np.int64).reshape(-1, 3)
+                box.add(GONE, line_keys(g[:, 0], g[:, 1], g[:, 2]), g[:, 0], g[:, 1], g[:, 2])
+                h, size = h[np.repeat(fresh, size)], size[f]
+                own, key, place, _ = _neighbours(h, size, need, rare.value)
+                own, count = f[own], size[own]
+                box.add(KEYS, key, lid[own], lrow[own], line[own], count, place)
+                if box.full:
+                    yield from _combined(box, need)
+        yield from _combined(box, need)
 
     return run
 
 
-_PAIR = "word long, kind byte, more boolean, id long, row long, line int, id2 long, row2 long, line2 int"
+def _combined(box: Outbox, need: int):
+    """The held rows, less the later rows of keys that have more than ALONE: those meet the earliest at once."""
+    cols = box.take(KEYS)
+    if cols is not None:
+        start, many = _runs(cols[0])
+        if (many > ALONE).any():
+            crowd = np.repeat(many > ALONE, many)
+            hot = [c[crowd] for c in cols]
+            hot = [c[o] for o in [np.lexsort((hot[3], hot[2], hot[1], hot[0]))] for c in hot]
+            _offer(box, hot, need)
+            turn = _turns(hot[0])
+            kept = turn <= FIRST  # one more than others are compared with: who comes later knows that there are more
+            cols = [np.concatenate([c[~crowd], x[kept]]) for c, x in zip(cols, hot)]
+            order = np.argsort(cols[0])
+            cols = [c[order] for c in cols]
+            # where a list is cut, its lines are named for a full comparison
+            cut = ~kept
+            box.add(HOT, hot[0][cut], *(x[cut] for x in hot[1:4]))
+        yield from box.blobs(KEYS, cols)
+    yield from box.flush()
 
 
-def _offers(need: int, all_for=None):
-    """Lists -> rows (kind, more, later line, earlier line).
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return start, np.diff(np.append(start, len(key)))
 
-    GONE: the later line is a copy. INDEX: a candidate pair, of each line's OFFERS earliest in the list
-    (more: there are others), or of all where all_for, a filter of lines, has the line.
-    """
 
-    def rows(word, kind, more, ids, row, line, a, b):
-        return batch_of({"word": word[a], "kind": np.full(len(a), kind, np.int8), "more": more, "id": ids[a], "row": row[a], "line": line[a], "id2": ids[b], "row2": row[b], "line2": line[b]})
+def _turns(key: np.ndarray) -> np.ndarray:
+    start, many = _runs(key)
+    return np.arange(len(key)) - np.repeat(start, many)
+
+
+def _possible(need, i, j, size, place):
+    """Whether rows i and j of one list can be similar, by length and by position."""
+    both = size[i] + size[j]
+    most = np.minimum(place[i], place[j]) + np.minimum(size[i] - place[i], size[j] - place[j])
+    return (np.minimum(size[i], size[j]) * 100 >= need * np.maximum(size[i], size[j])) & (most * (100 + need) >= need * both)
+
+
+def _offer(box: Outbox, cols, need: int) -> None:
+    """Rows sorted by key and position: PAIRS (later line's key, its id, row, line, the earlier line's, more) of the earliest candidates.
+
+    more: the line has more candidates, or rows that were not looked at; with no candidate at all the pair is one of the line with itself.
+    """
+    key, ids, row, line, size, place = cols
+    turn = _turns(key)
+    start = np.arange(len(key)) - turn
+    got = np.zeros(len(key), np.int64)
+    more = turn > FIRST
+    later, earlier = [], []
+    i = np.flatnonzero(turn > 0)
+    for k in range(FIRST):
+        i = i[turn[i] > k]
+        if not len(i):
+            break
+        j = start[i] + k
+        ok = _possible(need, i, j, size, place) & ~((ids[i] == ids[j]) & (row[i] == row[j]) & (line[i] == line[j]))
+        a, b = i[ok], j[ok]
+        room = got[a] < OFFERS
+        more[a[~room]] = True
+        got[a[room]] += 1
+        later.append(a[room])
+        earlier.append(b[room])
+    none = np.flatnonzero(more & (got == 0))
+    a, b = np.concatenate([*later, none]), np.concatenate([*earlier, none])
+    box.add(PAIRS, line_keys(ids[a], row[a], line[a]), ids[a], row[a], line[a], ids[b], row[b], line[b], more[a].astype(np.int64))
+
+
+def _met(need: int, parts: int):
+    """Parts by key and by name -> parts by line: GONE and PAIRS; and HOT rows (key, id, row, line) of lists with more to see."""
 
     def run(batches):
-        for word, block, what, ids, row, line, spot, one, two in whole_lists(batches, 2):
-            kind = what & 3
-            if all_for is None:
-                g = np.flatnonzero(kind == GONE)
-                if len(g):
-                    yield rows(word, GONE, np.zeros(len(g), bool), ids, row, line, g, g)
-                c = np.flatnonzero(kind == COPY)
-                if len(c):
-                    c = c[np.lexsort((line[c], row[c], ids[c], word[c]))]
-                    first = np.concatenate([[True], word[c][1:] != word[c][:-1]])
-                    lead = c[np.maximum.accumulate(np.where(first, np.arange(len(c)), 0))]
-                    later = (ids[c] != ids[lead]) | (row[c] != row[lead]) | (line[c] != line[lead])
-                    if later.any():
-                        yield rows(word, GONE, np.zeros(int(later.sum()), bool), ids, row, line, c[later], lead[later])
-            keep = np.flatnonzero(kind == INDEX)
-            word, block, what, ids, row, line, spot, one, two = (x[keep] for x in (word, block, what, ids, row, line, spot, one, two))
-            size, place = spot >> 32, spot & 0xFFFFFFFF
-            for i, j in pairs_in_lists([word, block], size, lambda n: n * 100 // need):
-                ok = (block[i] >> 15 == block[i] & 0x7FFF) | (what[i] != what[j])
-                i, j = i[ok], j[ok]
-                both = size[i].astype(np.int64) + size[j]
-                differ = np.bitwise_count((one[i] ^ one[j]).view(np.uint64)).astype(np.int64) + np.bitwise_count((two[i] ^ two[j]).view(np.uint64))
-                most = np.minimum((both - differ) // 2, np.minimum(place[i], place[j]) + np.minimum(size[i] - place[i], size[j] - place[j]))
-                ok = most * (100 + need) >= need * both
-                i, j = i[ok], j[ok]
-                same = (ids[i] == ids[j]) & (row[i] == row[j]) & (line[i] == line[j])
-                i, j = i[~same], j[~same]
-                later = (ids[i] > ids[j]) | ((ids[i] == ids[j]) & ((row[i] > row[j]) | ((row[i] == row[j]) & (line[i] > line[j]))))
-                a, b = np.where(later, i, j), np.where(later, j, i)
-                more = np.zeros(len(a), bool)
-                if all_for is not None:
-                    wanted = all_for.value.has(line_keys(ids[a], row[a], line[a]))
-                    a, b, more = a[wanted], b[wanted], more[wanted]
-                elif len(a):
-                    order = np.lexsort((line[b], row[b], ids[b], a))
-                    a, b = a[order], b[order]
-                    first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-                    many = np.diff(np.append(first, len(a)))
-                    turn = np.arange(len(a)) - np.repeat(first, many)
-                    more = np.repeat(many > OFFERS, many)[turn < OFFERS]
-                    a, b = a[turn < OFFERS], b[turn < OFFERS]
-                if len(a):
-                    yield rows(word, INDEX, more, ids, row, line, a, b)
+        box = Outbox(coarse(parts))
+        for _, kinds in received(batches):
+            if GONE in kinds:
+                box.add(GONE, *kinds[GONE])
+            if PAIRS in kinds:
+                box.add(PAIRS, *kinds[PAIRS])
+            if NAMES in kinds:
+                name, ids, row, line = kinds[NAMES]
+                many = _repeated(name)
+                name, ids, row, line = (c[many] for c in (name, ids, row, line))
+                order = np.lexsort((line, row, ids, name))
+                name, ids, row, line = (c[order] for c in (name, ids, row, line))
+                lead = np.arange(len(name)) - _turns(name)
+                gone = (ids != ids[lead]) | (row != row[lead]) | (line != line[lead])
+                ids, row, line = ids[gone], row[gone], line[gone]
+                box.add(GONE, line_keys(ids, row, line), ids, row, line)
+            if KEYS in kinds:
+                cols = kinds[KEYS]
+                many = _repeated(cols[0])
+                cols = [c[many] for c in cols]
+                cols = [c[o] for o in [np.lexsort((cols[3], cols[2], cols[1], cols[0]))] for c in cols]
+                _offer(box, cols, need)
+                _, many = _runs(cols[0])
+                hot = np.repeat(many > OFFERS + 1, many)
+                box.add(HOT, *(c[hot] for c in cols[:4]))
+            if HOT in kinds:
+                box.add(HOT, *kinds[HOT])
+            if box.full:
+                yield from box.flush()
+        yield from box.flush()
 
     return run
 
 
-def line_keys(ids: np.ndarray, row: np.ndarray, line: np.ndarray) -> np.ndarray:
-    """A 64-bit key of a line, for filters."""
-    with np.errstate(over="ignore"):
-        return mix(mix(ids.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) ^ row.astype(np.int64).view(np.uint64)) + line.astype(np.uint64)
+def _repeated(key: np.ndarray) -> np.ndarray:
+    """Whether each key comes more than once."""
+    order = np.argsort(key)
+    k = key[order]
+    same = np.zeros(len(k), bool)
+    if len(k):
+        equal = k[1:] == k[:-1]
+        same[1:] |= equal
+        same[:-1] |= equal
+    out = np.zeros(len(k), bool)
+    out[order] = same
+    return out
+
+
+_SETTLED = "kind byte, id long, row long, line int, id2 long, row2 long, line2 int, turn int, more boolean, data binary"
+
+
+def _settled():
+    """Parts by line -> rows: GONE lines once each; of lines that are not, their PAIRS, numbered from the earliest on; HOT blobs as they are."""
+
+    def rows(kind, ids, row, line, id2, row2, line2, turn, more):
+        n = len(ids)
+        cols = [np.full(n, kind, np.int8), ids, row, line.astype(np.int32), id2, row2, line2.astype(np.int32), turn.astype(np.int32), more.astype(bool)]
+        return pa.record_batch([*map(pa.array, cols), pa.nulls(n, pa.binary())], names=[c.split()[0] for c in _SETTLED.split(", ")])
+
+    def run(batches):
+        def told(batches):
+            for batch in batches:
+                hot = pa.array(np.asarray(batch.column(1)) == HOT)
+                data = batch.column(2).filter(hot)
+                if len(data):
+                    n = len(data)
+                    blank = {"kind": pa.array(np.full(n, HOT, np.int8)), "data": data}
+                    types = [pa.int8(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
+                    names = [c.split()[0] for c in _SETTLED.split(", ")]
+                    out.append(pa.record_batch([blank.get(c, pa.nulls(n, t)) for c, t in zip(names, types)], names=names))
+                yield batch.filter(pa.array(np.asarray(batch.column(1)) != HOT))
+
+        out: list[pa.RecordBatch] = []
+        for _, kinds in received(told(batches)):
+            gone = np.zeros(0, np.uint64)
+            if GONE in kinds:
+                gone, first = np.unique(kinds[GONE][0], return_index=True)
+                ids, row, line = (c[first] for c in kinds[GONE][1:])
+                yield rows(GONE, ids, row, line, ids, row, line, np.zeros(len(ids)), np.zeros(len(ids)))
+            if PAIRS in kinds:
+                cols = kinds[PAIRS]
+                live = ~np.isin(cols[0], gone)
+                cols = [c[live] for c in cols]
+                if not len(cols[0]):
+                    continue
+                order = np.lexsort((cols[6], cols[5], cols[4], cols[0]))
+                cols = [c[order] for c in cols]
+                start, many = _runs(cols[0])
+                more = np.repeat(np.maximum.reduceat(cols[7], start), many) > 0
+                itself = (cols[1] == cols[4]) & (cols[2] == cols[5]) & (cols[3] == cols[6])
+                new = np.concatenate([[True], np.any([c[1:] != c[:-1] for c in (cols[0], *cols[4:7])], axis=0)]) & ~itself
+                turn = np.cumsum(new)
+                turn = turn - np.repeat(turn[start] - new[start], many)  # the pair's number for its line, from 1
+                # a line without any pair but with more to see is told by a pair with itself
+                alone = (np.repeat(np.add.reduceat(new.astype(np.int64), start), many) == 0) & (_turns(cols[0]) == 0) & more
+                at = np.flatnonzero(new | alone)
+                yield rows(PAIRS, *(c[at] for c in cols[1:7]), turn[at], more[at])
+        yield from out
+
+    return run
 
 
 def _keys(batches):
@@ -263,28 +369,28 @@ def _keys(batches):
         yield pa.record_batch([pa.array(line_keys(ids, row, line).view(np.int64))], names=["key"])
 
 
-def _words_of(least: int, wanted):
+def _words_of(wanted):
     """Word hashes of the lines in a filter: (id, row, line, words)."""
 
     def run(batches):
         for batch in batches:
             ids, rows = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
-            for k in range(0, batch.num_rows, STEP):
-                texts = batch.column(2)[k : k + STEP].to_pylist()
-                # most texts have no line in the filter, and none is split for nothing
-                where = [(i, np.arange(x.count("\n") + 1)) if x else (i, np.zeros(0, np.int64)) for i, x in enumerate(texts)]
-                n = [len(x) for _, x in where]
+            for a, b in slices(batch.column(2)):
+                texts = _encoded(batch.column(2)[a:b])
+                n = np.array([t.count(b"\n") + 1 for t in texts])
                 owner = np.repeat(np.arange(len(texts)), n)
-                lines = np.concatenate([x for _, x in where]) if where else np.zeros(0, np.int64)
-                hit = np.flatnonzero(wanted.value.has(line_keys(ids[k + owner], rows[k + owner], lines))) if len(lines) else []
-                out = []
-                for i in hit:
-                    raw = texts[owner[i]].split("\n")[lines[i]].encode("utf-8", "replace")
-                    h = np.unique(hashed_words([raw])[0])
-                    if len(h) >= least:
-                        out.append((ids[k + owner[i]], rows[k + owner[i]], lines[i], h.tobytes()))
-                if out:
-                    yield pa.record_batch([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["id", "row", "line", "words"])
+                lines = np.arange(len(owner)) - np.repeat(_starts(n), n)
+                hit = wanted.value.has(line_keys(ids[a + owner], rows[a + owner], lines))
+                some = np.unique(owner[hit])  # most texts have no line in the filter, and those are not hashed
+                if not len(some):
+                    continue
+                doc, line, size, h = line_sets([texts[k] for k in some])
+                doc = some[doc]
+                ok = hit[_starts(n)[doc] + line]
+                start, raw = _starts(size), h.tobytes()
+                data = [raw[8 * s : 8 * (s + m)] for s, m in zip(start[ok].tolist(), size[ok].tolist())]
+                doc = a + doc[ok]
+                yield pa.record_batch([pa.array(ids[doc]), pa.array(rows[doc]), pa.array(line[ok].astype(np.int32)), pa.array(data, pa.binary())], names=["id", "row", "line", "words"])
 
     return run
 
@@ -304,8 +410,105 @@ def _similar(need: int):
     return run
 
 
-def repeated_lines(docs: DataFrame, *, id_col: str, text_col: str, need: int = 80, least: int = 5) -> DataFrame:
-    """(id, row, lines): numbers of the lines of each text that go. row is the text's hash."""
+def _hot_keys(asked):
+    """HOT blobs -> keys of lists that have a line in the filter."""
+
+    def run(batches):
+        for batch in batches:
+            for data in batch.column(0):
+                key, ids, row, line = unpack(data.as_buffer())
+                hit = asked.value.has(line_keys(ids, row, line))
+                if hit.any():
+                    yield pa.record_batch([pa.array(np.unique(key[hit]).view(np.int64))], names=["key"])
+
+    return run
+
+
+def _hot_texts(only):
+    """HOT blobs -> keys of the texts that have a line in a list of the filter."""
+
+    def run(batches):
+        for batch in batches:
+            for data in batch.column(0):
+                key, ids, row, _ = unpack(data.as_buffer())
+                hit = only.value.has(key)
+                if hit.any():
+                    yield pa.record_batch([pa.array(np.unique(line_keys(ids[hit], row[hit], np.zeros(int(hit.sum()), np.int64))).view(np.int64))], names=["key"])
+
+    return run
+
+
+def _again(need: int, parts: int, rare, only, asked):
+    """Blobs of lists to compare in full: rows with parity bits; lists above LIST_ROWS in blocks, to all of which the asked lines go."""
+
+    def run(batches):
+        box = Outbox(coarse(parts))
+        for batch in batches:
+            ids, rows = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+            for a, b in slices(batch.column(2)):
+                doc, line, size, h = line_sets(_encoded(batch.column(2)[a:b]))
+                if not len(doc):
+                    continue
+                one, two = parity(h, _starts(size))
+                own, key, place, r = _neighbours(h, size, need, rare.value)
+                some = np.flatnonzero(only.value.has(key))
+                own, key, place, r = own[some], key[some], place[some], r[some]
+                lid, lrow, at = ids[a + doc[own]], rows[a + doc[own]], line[own]
+                name = line_keys(lid, lrow, at)
+                wanted = asked.value.has(name)
+                # no list is longer than its rarer word is frequent
+                blocks = np.clip(np.ceil(np.exp2(r / 8.0) / LIST_ROWS), 1, 1 << 14).astype(np.int64)
+                mine = (name % blocks.astype(np.uint64)).astype(np.int64)
+                pick = np.repeat(np.arange(len(key)), np.where(wanted, blocks, 1))
+                block = np.where(wanted[pick], _turns(pick.astype(np.uint64)), mine[pick])
+                with np.errstate(over="ignore"):
+                    dealt = mix(key[pick] + block.astype(np.uint64))
+                box.add(KEYS, dealt, lid[pick], lrow[pick], at[pick], size[own][pick], place[pick], one[own][pick].view(np.int64), two[own][pick].view(np.int64), ((block == mine[pick]) * 2 + wanted[pick]).astype(np.int64))
+                if box.full:
+                    yield from box.flush()
+        yield from box.flush()
+
+    return run
+
+
+def _full(need: int, parts: int):
+    """Parts by list -> parts by line: PAIRS of every asked line and all earlier lines of its lists that can be similar."""
+
+    def run(batches):
+        box = Outbox(coarse(parts))
+        for _, kinds in received(batches):
+            if KEYS not in kinds:
+                continue
+            cols = kinds[KEYS]
+            cols = [c[o] for o in [np.lexsort((cols[3], cols[2], cols[1], cols[0]))] for c in cols]
+            key, ids, row, line, size, place, one, two, flags = cols
+            turn = _turns(key)
+            i = np.flatnonzero((flags & 1 == 1) & (turn > 0))
+            k = 0
+            while len(i):
+                k += 1
+                i = i[turn[i] >= k]
+                j = i - k
+                ok = (flags[j] & 2 == 2) & _possible(need, i, j, size, place)
+                a, b = i[ok], j[ok]
+                differ = np.bitwise_count((one[a] ^ one[b]).view(np.uint64)).astype(np.int64) + np.bitwise_count((two[a] ^ two[b]).view(np.uint64))
+                ok = ((size[a] + size[b] - differ) // 2 * (100 + need) >= need * (size[a] + size[b])) & ((ids[a] != ids[b]) | (row[a] != row[b]) | (line[a] != line[b]))
+                a, b = a[ok], b[ok]
+                box.add(PAIRS, line_keys(ids[a], row[a], line[a]), ids[a], row[a], line[a], ids[b], row[b], line[b], np.zeros(len(a), np.int64))
+                if box.full:
+                    yield from box.flush()
+        yield from box.flush()
+
+    return run
+
+
+def repeated_lines(docs: DataFrame, *, id_col: str, text_col: str, need: int = 80) -> DataFrame:
+    """(id, row, lines): numbers of the lines of each text that go. row is the text's hash, or null where ids are unique.
+
+    Ids are integers. need is 75 or more: with less, similar lines need not have a listed pair of words in common.
+    """
+    if not 75 <= need <= 100:
+        raise ValueError("need is a percentage from 75 to 100")
     spark = docs.sparkSession
     space = Workspace(spark, "line_dedup")
     texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
@@ -314,36 +517,48 @@ def repeated_lines(docs: DataFrame, *, id_col: str, text_col: str, need: int = 8
         hashed = False
     else:
         hashed = True
-    rare = spark.sparkContext.broadcast(rarity(texts.select("text").mapInArrow(_count(), "block long, data binary"), BUCKETS))
-    keys = ["word", "blocks"]
-
-    def lists(only=None) -> DataFrame:
-        return texts.mapInArrow(_listed(need, least, rare, only), _ROW).repartition(*keys).sortWithinPartitions(*keys, "spot")
-
-    met = space.table(lists().mapInArrow(_offers(need), _PAIR))
-    space.release()
-    line = ["id", "row", "line"]
-    ends = ["id2", "row2", "line2"]
-    gone = space.table(met.where(F.col("kind") == GONE).select(*line).distinct())
-    offers = met.where(F.col("kind") == INDEX)
-    # the same pair comes from several lists; a line that goes anyhow needs no match
-    pairs = space.table(offers.groupBy(*line, *ends).agg(F.max("more").alias("more")).join(gone, line, "left_anti"))
-    found = _verified(space, texts, pairs, need, least)
-    gone = space.table(gone.unionByName(found).distinct())
-    open_ = space.table(pairs.where("more").select(*line).distinct().join(gone, line, "left_anti"))
+    counts = rarity(texts.select("text").mapInArrow(_count(), "block long, data binary"), BUCKETS)
+    rare = spark.sparkContext.broadcast(counts)
+    words = float(np.exp2(counts / 8.0).sum() - BUCKETS)
+    parts = max(spark.sparkContext.defaultParallelism, int(0.45 * words / PART_KEYS) + 1)
+    line, ends = ["id", "row", "line"], ["id2", "row2", "line2"]
+    met = exchange(texts.mapInArrow(_listed(need, parts, rare), SCHEMA), parts).mapInArrow(_met(need, parts), SCHEMA)
+    met = space.table(exchange(met, parts).mapInArrow(_settled(), _SETTLED))
+    gone = met.where(F.col("kind") == GONE).select(*line)
+    offers = met.where(F.col("kind") == PAIRS)
+    pairs = offers.where("id <> id2 OR row <> row2 OR line <> line2").select(*line, *ends, "turn")
+    found = space.table(_verified(space, texts, pairs.where(F.col("turn") <= OFFERS).drop("turn"), need, hashed))
+    open_ = space.table(offers.where(F.col("more") | (F.col("turn") > OFFERS)).select(*line).distinct().join(found, line, "left_anti"))
     left = open_.count()
+    out = gone.unionByName(found)
     if left:
         asked = spark.sparkContext.broadcast(bloom(open_.mapInArrow(_keys, "key long"), left))
-        # only the lists that had more to offer these lines are made again
-        again = space.table(offers.where("more").join(open_, line, "left_semi").select("word").distinct())
-        only = spark.sparkContext.broadcast(bloom(again, again.count()))
-        rest = lists(only).mapInArrow(_offers(need, asked), _PAIR).select(*line, *ends).distinct().join(open_, line, "left_semi").join(pairs.select(*line, *ends), [*line, *ends], "left_anti")
-        gone = space.table(gone.unionByName(_verified(space, texts, space.table(rest), need, least)).distinct())
-    out = gone.groupBy("id", "row").agg(F.collect_set("line").alias("lines"))
+        hot = met.where(F.col("kind") == HOT).select("data")
+        keys = space.table(hot.mapInArrow(_hot_keys(asked), "key long"))
+        only = spark.sparkContext.broadcast(bloom(keys, keys.count()))
+        keys = space.table(hot.mapInArrow(_hot_texts(only), "key long"))
+        some = texts.mapInArrow(_within(spark.sparkContext.broadcast(bloom(keys, keys.count()))), texts.schema)
+        rest = exchange(some.mapInArrow(_again(need, parts, rare, only, asked), SCHEMA), parts).mapInArrow(_full(need, parts), SCHEMA)
+        rest = exchange(rest, parts).mapInArrow(_settled(), _SETTLED).select(*line, *ends)
+        rest = rest.unionByName(pairs.where(F.col("turn") > OFFERS).drop("turn")).distinct()
+        rest = rest.join(open_, line, "left_semi").join(pairs.where(F.col("turn") <= OFFERS).drop("turn"), [*line, *ends], "left_anti")
+        out = out.unionByName(_verified(space, texts, space.table(rest), need, hashed))
+    out = out.groupBy("id", "row").agg(F.collect_set("line").alias("lines"))
     return out if hashed else out.withColumn("row", F.lit(None).cast("long"))
 
 
-def _verified(space: Workspace, texts: DataFrame, pairs: DataFrame, need: int, least: int) -> DataFrame:
+def _within(filters):
+    """Texts whose key is in the filter."""
+
+    def run(batches):
+        for batch in batches:
+            ids, row = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+            yield batch.filter(pa.array(filters.value.has(line_keys(ids, row, np.zeros(len(ids), np.int64)))))
+
+    return run
+
+
+def _verified(space: Workspace, texts: DataFrame, pairs: DataFrame, need: int, hashed: bool) -> DataFrame:
     """(id, row, line) of the later lines of the pairs that are similar."""
     spark = texts.sparkSession
     line, ends = ["id", "row", "line"], ["id2", "row2", "line2"]
@@ -352,39 +567,49 @@ def _verified(space: Workspace, texts: DataFrame, pairs: DataFrame, need: int, l
     if not n:
         return pairs.select(*line)
     wanted = spark.sparkContext.broadcast(bloom(members.mapInArrow(_keys, "key long"), n))
-    words = space.table(texts.mapInArrow(_words_of(least, wanted), "id long, row long, line int, words binary").dropDuplicates(line))
+    words = texts.mapInArrow(_words_of(wanted), "id long, row long, line int, words binary")
+    words = space.table(words.dropDuplicates(line) if hashed else words)
     uses = pairs.groupBy(*ends).agg(F.count("*").alias("uses"))
     second = words.select(*[F.col(x).alias(e) for e, x in zip(ends, line)], F.col("words").alias("words2")).join(uses, ends)
     both = join_groups(pairs.join(words, line), second, ends, "uses", pairs.count())
     return both.select(*line, "words", "words2").mapInArrow(_similar(need), "id long, row long, line int").distinct()
 
 
-def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", need: int = 80, least: int = 5) -> DataFrame:
-    """docs with the text less its repeated lines, and two columns more: n_lines and n_removed.
+def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", need: int = 80) -> DataFrame:
+    """docs with the text less its repeated lines, and two columns: n_lines and n_removed.
 
-    Lines are split at newlines and compared as sets of words; words are separated by ASCII white
-    space and compared as they are. Rows without an id neither lose lines nor make others lose any; a
-    null text stays null, with 0 lines. Of rows that share id and text the copies count as one text,
-    so none loses its lines to another. Columns of docs with other names are kept; an empty table
-    gives an empty result.
+    Lines are split at newlines and compared as sets of words; words are separated by ASCII white space
+    and compared as they are. Lines without a word stay. Ids of any type that can be ordered are taken.
+    Rows without an id neither lose lines nor make others lose any; a null text stays null, with 0 lines.
+    Ties: of equal lines the first by (id, line number) stays; of rows that share an id, the one whose
+    text has the smaller hash counts as earlier, and rows that share id and text are one text, so none
+    loses its lines to another. Texts of any length are taken whole; a task holds one text at a time
+    beside some megabytes. Columns of docs with other names are kept whatever they are called, columns
+    named n_lines and n_removed are replaced; an empty table gives an empty result.
     """
     space = Workspace(docs.sparkSession, "repeated_lines")
-    gone = space.table(repeated_lines(docs, id_col=id_col, text_col=text_col, need=need, least=least))
-    space.release()
-    gone = gone.select(F.col("id").alias("_id"), F.col("row").alias("_row"), F.col("lines").alias("_lines"))
+    number, key, text_hash, owner, row, lines = free_names(docs, "number", "key", "hash", "owner", "row", "lines")
+    order = ordered_ids(space, docs.select(id_col))
+    if order is None:
+        keyed = docs.withColumn(key, F.col(id_col).cast("long"))
+    else:
+        order = order.select(F.col("id").alias(number), F.col("number").alias(key))
+        keyed = docs.join(order, F.col(id_col) == F.col(number), "left").drop(number)
+    gone = space.table(repeated_lines(keyed, id_col=key, text_col=text_col, need=need))
+    gone = gone.select(F.col("id").alias(owner), F.col("row").alias(row), F.col("lines").alias(lines))
     # a null row: ids are unique, and stand for their texts
-    keyed = docs.withColumn("_key", F.col(id_col).cast("long")).withColumn("_hash", F.xxhash64(text_col))
-    some, rest = split_by(keyed, F.xxhash64("_key"), gone.select(F.xxhash64("_id").alias("key")), gone.count())
-    out = some.join(gone.hint("shuffle_hash"), (F.col("_key") == F.col("_id")) & F.coalesce(F.col("_hash") == F.col("_row"), F.lit(True)), "left")
+    keyed = keyed.withColumn(text_hash, F.xxhash64(text_col))
+    some, rest = split_by(keyed, F.xxhash64(key), gone.select(F.xxhash64(owner).alias("key")), gone.count())
+    out = some.join(gone.hint("shuffle_hash"), (F.col(key) == F.col(owner)) & F.coalesce(F.col(text_hash) == F.col(row), F.lit(True)), "left")
     out = out.unionByName(rest, allowMissingColumns=True)
     parts = F.split(F.col(text_col), "\n", -1)
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_lines", i)), "\n")
+    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(lines, i)), "\n")
     out = out.withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(parts)).cast("long"))
-    out = out.withColumn("n_removed", F.coalesce(F.array_size("_lines"), F.lit(0)).cast("long"))
-    out = out.withColumn(text_col, F.when(F.col("_lines").isNull(), F.col(text_col)).otherwise(kept))
-    return out.drop("_key", "_hash", "_id", "_row", "_lines")
+    out = out.withColumn("n_removed", F.coalesce(F.array_size(lines), F.lit(0)).cast("long"))
+    out = out.withColumn(text_col, F.when(F.col(lines).isNull(), F.col(text_col)).otherwise(kept))
+    return out.drop(key, text_hash, owner, row, lines)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"), least=1)
+    out = line_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
