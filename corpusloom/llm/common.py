@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import tempfile
 import uuid
@@ -125,7 +126,8 @@ class Workspace:
         self._count += 1
         path = f"{self.root}/{self._count}"
         writer = df.write.mode("overwrite")
-        (writer.partitionBy(*by) if by else writer).parquet(path)
+        with self._tidy():
+            (writer.partitionBy(*by) if by else writer).parquet(path)
         schema = df.schema
         if by:
             schema = type(schema)([f for f in schema if f.name not in by] + [f for f in schema if f.name in by])
@@ -133,6 +135,17 @@ class Workspace:
         out._corpusloom_path = path
         return out
 
+    @contextlib.contextmanager
+    def _tidy(self):
+        """Spark deletes the shuffle files of a step when the step has been written: nothing reads them again."""
+        key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(key)
+        self.spark.conf.set(key, "true")
+        try:
+            yield
+        finally:
+            self.spark.conf.set(key, before)
+
     def release(self) -> None:
         """Let Spark's cleaner delete the shuffle files of steps that are done; it does so when the driver collects garbage."""
         gc.collect()

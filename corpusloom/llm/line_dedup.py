@@ -6,17 +6,18 @@ Jaccard similarity of need / 100 or more with it; lines are judged on the input,
 Words are ordered by rarity. If two lines differ in d words, then d of the gaps between their shared
 words hold one at most; so some two shared words stand side by side in both lines among the first
 `prefix(n)` of each. A line is listed under those neighbours, pairs of rare words, which far fewer
-lines share than share one. In a list, pairs pass the length filter and the positional filter, and
-what passes is verified on the words themselves.
+lines share than share one. In a list, pairs pass the length filter, the positional filter and a bound from
+64 parity bits of the two sets, which differ in at least as many words as bits; what passes is verified
+on the words themselves.
 
 A line needs one earlier match only. Each list first offers every line its few earliest candidates that
 pass the filters; a line that had more to see, and that none of the offers resolves, is then compared with
-all candidates of its lists, which 128 parity bits of the two sets bound once more.
+all candidates of its lists, by 128 parity bits.
 So groups of near copies cost as many comparisons as they have lines, and no similar line is missed.
 Lists are combined before they shuffle: of a key's lines in one mapper only the earliest go on to other
 tasks, and the rest meet those at once.
 
-Scale: listed rows shuffle packed (some 14 bytes each), not lines; words of lines are kept only of lines
+Scale: listed rows shuffle packed (some 22 bytes each), not lines; words of lines are kept only of lines
 in a candidate pair, and texts shuffle once, with the numbers of lines to drop, if they lose any. Copies
 of a line are found by name, once a task.
 """
@@ -38,9 +39,9 @@ PART_KEYS = 1_200_000
 #: Rows of one list that one task compares in full; longer lists are cut into blocks.
 LIST_ROWS = 20_000
 #: Earliest rows of a list that each of its lines is compared with at first, and how many of them it is offered.
-FIRST, OFFERS = 16, 4
+FIRST, OFFERS = 64, 4
 #: Rows of one key that a mapper sends on as they are.
-ALONE = 64
+ALONE = 256
 
 
 def _encoded(column) -> list[bytes]:
@@ -87,6 +88,13 @@ def parity(h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.bitwise_xor.reduceat(np.where(low, bit, np.uint64(0)), starts), np.bitwise_xor.reduceat(np.where(low, np.uint64(0), bit), starts)
 
 
+def short_parity(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """64 parity bits of each set."""
+    if not len(starts):
+        return np.zeros(0, np.int64)
+    return np.bitwise_xor.reduceat(np.uint64(1) << (mix(h) >> np.uint64(58)), starts).view(np.int64)
+
+
 def set_names(h: np.ndarray, size: np.ndarray) -> np.ndarray:
     """A 64-bit name of each set: a mixed sum of its mixed members."""
     if not len(size):
@@ -180,8 +188,9 @@ def _listed(need: int, parts: int, rare):
                 box.add(GONE, line_keys(g[:, 0], g[:, 1], g[:, 2]), g[:, 0], g[:, 1], g[:, 2])
                 h, size = h[np.repeat(fresh, size)], size[f]
                 own, key, place, _ = _neighbours(h, size, need, rare.value)
+                bits = short_parity(h, _starts(size))[own]
                 own, count = f[own], size[own]
-                box.add(KEYS, key, lid[own], lrow[own], line[own], count, place)
+                box.add(KEYS, key, lid[own], lrow[own], line[own], count, place, bits)
                 if box.full:
                     yield from _combined(box, need)
         yield from _combined(box, need)
@@ -221,19 +230,22 @@ def _turns(key: np.ndarray) -> np.ndarray:
     return np.arange(len(key)) - np.repeat(start, many)
 
 
-def _possible(need, i, j, size, place):
-    """Whether rows i and j of one list can be similar, by length and by position."""
+def _possible(need, i, j, size, place, *bits):
+    """Whether rows i and j of one list can be similar, by length, by position and by parity."""
     both = size[i] + size[j]
     most = np.minimum(place[i], place[j]) + np.minimum(size[i] - place[i], size[j] - place[j])
+    differ = sum(np.bitwise_count((p[i] ^ p[j]).view(np.uint64)).astype(np.int64) for p in bits)
+    most = np.minimum(most, (both - differ) // 2)
     return (np.minimum(size[i], size[j]) * 100 >= need * np.maximum(size[i], size[j])) & (most * (100 + need) >= need * both)
 
 
-def _offer(box: Outbox, cols, need: int) -> None:
+def _offer(box: Outbox, cols, need: int) -> np.ndarray:
     """Rows sorted by key and position: PAIRS (later line's key, its id, row, line, the earlier line's, more) of the earliest candidates.
 
     more: the line has more candidates, or rows that were not looked at; with no candidate at all the pair is one of the line with itself.
+    Returns which rows are in lists that have such lines.
     """
-    key, ids, row, line, size, place = cols
+    key, ids, row, line, size, place, bits = cols
     turn = _turns(key)
     start = np.arange(len(key)) - turn
     got = np.zeros(len(key), np.int64)
@@ -245,7 +257,7 @@ def _offer(box: Outbox, cols, need: int) -> None:
         if not len(i):
             break
         j = start[i] + k
-        ok = _possible(need, i, j, size, place) & ~((ids[i] == ids[j]) & (row[i] == row[j]) & (line[i] == line[j]))
+        ok = _possible(need, i, j, size, place, bits) & ~((ids[i] == ids[j]) & (row[i] == row[j]) & (line[i] == line[j]))
         a, b = i[ok], j[ok]
         room = got[a] < OFFERS
         more[a[~room]] = True
@@ -255,6 +267,8 @@ def _offer(box: Outbox, cols, need: int) -> None:
     none = np.flatnonzero(more & (got == 0))
     a, b = np.concatenate([*later, none]), np.concatenate([*earlier, none])
     box.add(PAIRS, line_keys(ids[a], row[a], line[a]), ids[a], row[a], line[a], ids[b], row[b], line[b], more[a].astype(np.int64))
+    first, many = _runs(key)
+    return np.repeat(np.logical_or.reduceat(more, first), many) if len(key) else more
 
 
 def _met(need: int, parts: int):
@@ -282,9 +296,7 @@ def _met(need: int, parts: int):
                 many = _repeated(cols[0])
                 cols = [c[many] for c in cols]
                 cols = [c[o] for o in [np.lexsort((cols[3], cols[2], cols[1], cols[0]))] for c in cols]
-                _offer(box, cols, need)
-                _, many = _runs(cols[0])
-                hot = np.repeat(many > OFFERS + 1, many)
+                hot = _offer(box, cols, need)
                 box.add(HOT, *(c[hot] for c in cols[:4]))
             if HOT in kinds:
                 box.add(HOT, *kinds[HOT])
@@ -489,11 +501,8 @@ def _full(need: int, parts: int):
                 k += 1
                 i = i[turn[i] >= k]
                 j = i - k
-                ok = (flags[j] & 2 == 2) & _possible(need, i, j, size, place)
+                ok = (flags[j] & 2 == 2) & _possible(need, i, j, size, place, one, two) & ((ids[i] != ids[j]) | (row[i] != row[j]) | (line[i] != line[j]))
                 a, b = i[ok], j[ok]
-                differ = np.bitwise_count((one[a] ^ one[b]).view(np.uint64)).astype(np.int64) + np.bitwise_count((two[a] ^ two[b]).view(np.uint64))
-                ok = ((size[a] + size[b] - differ) // 2 * (100 + need) >= need * (size[a] + size[b])) & ((ids[a] != ids[b]) | (row[a] != row[b]) | (line[a] != line[b]))
-                a, b = a[ok], b[ok]
                 box.add(PAIRS, line_keys(ids[a], row[a], line[a]), ids[a], row[a], line[a], ids[b], row[b], line[b], np.zeros(len(a), np.int64))
                 if box.full:
                     yield from box.flush()
