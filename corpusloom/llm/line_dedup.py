@@ -35,7 +35,7 @@ from .sketches import bloom, dense_rows, rarity, split_by
 
 BUCKETS = 1 << 22
 #: Keys that a part holds, about.
-PART_KEYS = 1_200_000
+PART_KEYS = 400_000
 #: Rows of one list that one task compares in full; longer lists are cut into blocks.
 LIST_ROWS = 20_000
 #: Earliest rows of a list that each of its lines is compared with at first, and how many of them it is offered.
@@ -450,13 +450,17 @@ def _hot_texts(only):
     return run
 
 
-def _again(need: int, parts: int, rare, only, asked):
+def _again(need: int, parts: int, rare, inside, only, asked):
     """Blobs of lists to compare in full: rows with parity bits; lists above LIST_ROWS in blocks, to all of which the asked lines go."""
 
     def run(batches):
         box = Outbox(coarse(parts))
         for batch in batches:
             ids, rows = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+            near = inside.value.has(line_keys(ids, rows, np.zeros(len(ids), np.int64)))
+            if not near.any():
+                continue
+            batch, ids, rows = batch.filter(pa.array(near)), ids[near], rows[near]
             for a, b in slices(batch.column(2)):
                 doc, line, size, h = line_sets(_encoded(batch.column(2)[a:b]))
                 if not len(doc):
@@ -546,8 +550,8 @@ def repeated_lines(docs: DataFrame, *, id_col: str, text_col: str, need: int = 8
         keys = space.table(hot.mapInArrow(_hot_keys(asked), "key long"))
         only = spark.sparkContext.broadcast(bloom(keys, keys.count()))
         keys = space.table(hot.mapInArrow(_hot_texts(only), "key long"))
-        some = texts.mapInArrow(_within(spark.sparkContext.broadcast(bloom(keys, keys.count()))), texts.schema)
-        rest = exchange(some.mapInArrow(_again(need, parts, rare, only, asked), SCHEMA), parts).mapInArrow(_full(need, parts), SCHEMA)
+        inside = spark.sparkContext.broadcast(bloom(keys, keys.count()))
+        rest = exchange(texts.mapInArrow(_again(need, parts, rare, inside, only, asked), SCHEMA), parts).mapInArrow(_full(need, parts), SCHEMA)
         rest = exchange(rest, parts).mapInArrow(_settled(), _SETTLED).select(*line, *ends)
         rest = rest.unionByName(pairs.where(F.col("turn") > OFFERS).drop("turn")).distinct()
         rest = rest.join(open_, line, "left_semi").join(pairs.where(F.col("turn") <= OFFERS).drop("turn"), [*line, *ends], "left_anti")
@@ -556,17 +560,6 @@ def repeated_lines(docs: DataFrame, *, id_col: str, text_col: str, need: int = 8
     return out if hashed else out.withColumn("row", F.lit(None).cast("long"))
 
 
-def _within(filters):
-    """Texts whose key is in the filter."""
-
-    def run(batches):
-        for batch in batches:
-            ids, row = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
-            yield batch.filter(pa.array(filters.value.has(line_keys(ids, row, np.zeros(len(ids), np.int64)))))
-
-    return run
-
-
 def _verified(space: Workspace, texts: DataFrame, pairs: DataFrame, need: int, hashed: bool) -> DataFrame:
     """(id, row, line) of the later lines of the pairs that are similar."""
     spark = texts.sparkSession
@@ -578,9 +571,11 @@ def _verified(space: Workspace, texts: DataFrame, pairs: DataFrame, need: int, h
     wanted = spark.sparkContext.broadcast(bloom(members.mapInArrow(_keys, "key long"), n))
     words = texts.mapInArrow(_words_of(wanted), "id long, row long, line int, words binary")
     words = space.table(words.dropDuplicates(line) if hashed else words)
-    uses = pairs.groupBy(*ends).agg(F.count("*").alias("uses"))
-    second = words.select(*[F.col(x).alias(e) for e, x in zip(ends, line)], F.col("words").alias("words2")).join(uses, ends)
-    both = join_groups(pairs.join(words, line), second, ends, "uses", pairs.count())
+    total = pairs.count()
+    first = words.join(pairs.groupBy(*line).agg(F.count("*").alias("uses")), line)
+    second = words.select(*[F.col(x).alias(e) for e, x in zip(ends, line)], F.col("words").alias("words2")).join(pairs.groupBy(*ends).agg(F.count("*").alias("uses")), ends)
+    one = join_groups(pairs, first, line, "uses", total, least=1000).drop("uses")
+    both = join_groups(one, second, ends, "uses", total, least=1000)
     return both.select(*line, "words", "words2").mapInArrow(_similar(need), "id long, row long, line int").distinct()
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 #: Parts that one exchange deals out to.
 FAN = 4096
 #: Rows that a mapper holds before it emits them.
-FLUSH = 1_000_000
+FLUSH = 250_000
 SCHEMA = "part int, kind byte, data binary"
 _NARROW = (np.uint8, np.uint16, np.uint32, np.uint64)
 
