@@ -29,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import Workspace, gram_hashes, hashed_words, join_groups, read
 from .components import components
@@ -107,7 +108,7 @@ def _count(n: int):
 
 
 def _prefixes(texts: list[bytes], n: int, need: int, known: _Known, rare: np.ndarray):
-    """(set id, set, its prefix in order) of the texts that this task has not seen yet."""
+    """(set id, set, its prefix in order, the shingles as they stand in the text) of the texts that this task has not seen yet."""
     keys = [xxhash.xxh3_64_intdigest(t) for t in texts]
     fresh = {k: t for k, t in zip(keys, texts) if k not in known}
     for key, g in zip(fresh, grams(list(fresh.values()), n)):
@@ -118,7 +119,7 @@ def _prefixes(texts: list[bytes], n: int, need: int, known: _Known, rare: np.nda
             order = (rare[(s & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
             p = prefix_size(len(s), need)
             top = np.argpartition(order, p - 1)[:p] if p < len(s) else np.arange(len(s))
-            yield i, s, s[top[np.lexsort((s[top], order[top]))]]
+            yield i, s, s[top[np.lexsort((s[top], order[top]))]], g
 
 
 def _listed(n: int, need: int, rare):
@@ -128,7 +129,7 @@ def _listed(n: int, need: int, rare):
         known = _Known()
         for batch in batches:
             for k in range(0, batch.num_rows, STEP):
-                found = [(i, p) for i, _, p in _prefixes(_encoded(batch.column(0)[k : k + STEP]), n, need, known, rare.value)]
+                found = [(i, p) for i, _, p, _ in _prefixes(_encoded(batch.column(0)[k : k + STEP]), n, need, known, rare.value)]
                 if found:
                     s = np.concatenate([p for _, p in found])
                     i = np.repeat(np.array([i for i, _ in found], np.int64), [len(p) for _, p in found])
@@ -145,7 +146,7 @@ DOC, INDEX, SET = 0, 1, 2
 
 
 def _shared(n: int, need: int, rare, filters):
-    """Three kinds of rows: documents (id, set_id, size); index rows (shingle, set_id, size, place) of shingles in the filter; sets that have any (set_id, data)."""
+    """Three kinds of rows: documents (id, set_id, size); index rows (shingle, set_id, size, place, spot) of shingles in the filter; sets that have any (set_id, data)."""
 
     def run(batches):
         known = _Known()
@@ -153,7 +154,7 @@ def _shared(n: int, need: int, rare, filters):
             kind = batch.column(0).type
 
             def rows(tag, m, **have):
-                types = {"kind": pa.int8(), "id": kind, "shingle": pa.int64(), "set_id": pa.int64(), "size": pa.int32(), "place": pa.int32(), "data": pa.binary()}
+                types = {"kind": pa.int8(), "id": kind, "shingle": pa.int64(), "set_id": pa.int64(), "size": pa.int32(), "place": pa.int32(), "spot": pa.int32(), "data": pa.binary()}
                 have["kind"] = pa.array(np.full(m, tag, np.int8))
                 return pa.record_batch([have.get(c) if c in have else pa.nulls(m, t) for c, t in types.items()], names=list(types))
 
@@ -162,18 +163,20 @@ def _shared(n: int, need: int, rare, filters):
                 if len(known) > 75_000:
                     known.clear()
                 ids, index, sets = [], [], []
-                for i, s, p in _prefixes(texts, n, need, known, rare.value):
+                for i, s, p, g in _prefixes(texts, n, need, known, rare.value):
                     at = np.flatnonzero(filters.value.has(p))
                     if len(at) >= least_shared(len(s), need):
                         ids.append(i)
-                        index.append((p[at], np.full(len(at), len(s), np.int32), at.astype(np.int32)))
+                        order = np.argsort(g, kind="stable")
+                        spot = order[np.searchsorted(g[order], p[at])]
+                        index.append((p[at], np.full(len(at), len(s), np.int32), at.astype(np.int32), spot.astype(np.int32)))
                         sets.append(s.tobytes())
                 own = [known[xxhash.xxh3_64_intdigest(t)] for t in texts]
                 yield rows(DOC, len(texts), id=batch.column(0)[k : k + STEP], set_id=pa.array([x[1] for x in own], pa.int64()), size=pa.array([x[0] for x in own], pa.int32()))
                 if ids:
                     many = [len(r[0]) for r in index]
-                    shingle, size, place = (np.concatenate([r[c] for r in index]) for c in range(3))
-                    yield rows(INDEX, sum(many), shingle=_longs(shingle), set_id=pa.array(np.repeat(np.array(ids, np.int64), many)), size=pa.array(size), place=pa.array(place))
+                    shingle, size, place, spot = (np.concatenate([r[c] for r in index]) for c in range(4))
+                    yield rows(INDEX, sum(many), shingle=_longs(shingle), set_id=pa.array(np.repeat(np.array(ids, np.int64), many)), size=pa.array(size), place=pa.array(place), spot=pa.array(spot))
                     yield rows(SET, len(ids), set_id=pa.array(ids, pa.int64()), data=pa.array(sets, pa.binary()))
 
     return run
@@ -219,25 +222,33 @@ def _parities(batches):
 def _across(need: int):
     """Pairs of one list that are in two classes and that length, place and parity leave possible.
 
-    Two sets differ in as many shingles as parity bits, at least.
+    Two sets differ in as many shingles as parity bits, at least. A pair is not told in every list that it
+    shares: lists that follow each other in both texts form a run, and only a run's ends tell of it. The
+    sum of `lists` over a pair's rows, its place in the text after the last list of each run less its
+    place before the first, is the number of lists that it shares. (A list whose places rule the pair
+    out tells nothing; such a pair is none, whatever the sum.)
     """
 
     def run(batches):
-        for key, block_a, block_b, size, place, own, ids, root, *bits in whole_lists(batches, 3):
+        for key, block_a, block_b, size, place, own, turn, before, after, ids, root, *bits in whole_lists(batches, 3):
             for i, j in pairs_in_lists([key, block_a, block_b], size, lambda n: n.astype(np.int64) * 100 // need):
                 ok = (root[i] != root[j]) & ((block_a[i] == block_b[i]) | (own[i] != own[j]))
-                i, j = i[ok], j[ok]
+                first, last = before[i] != before[j], after[i] != after[j]
+                ok &= first | last
+                i, j, first, last = i[ok], j[ok], first[ok], last[ok]
                 both = size[i].astype(np.int64) + size[j]
-                most = np.minimum(place[i], place[j]) + 1 + np.minimum(size[i] - place[i], size[j] - place[j]) - 1
+                most = np.minimum(place[i], place[j]) + np.minimum(size[i] - place[i], size[j] - place[j])
                 ok = most * (100 + need) >= need * both
-                i, j, both = i[ok], j[ok], both[ok]
+                i, j, both, first, last = i[ok], j[ok], both[ok], first[ok], last[ok]
                 differ = sum(np.bitwise_count((p[i] ^ p[j]).view(np.uint64)).astype(np.int64) for p in bits)
                 ok = (both - differ) // 2 * (100 + need) >= need * both
                 if ok.any():
-                    a, b = ids[i[ok]], ids[j[ok]]
+                    i, j, first, last = i[ok], j[ok], first[ok], last[ok]
+                    a = np.where(ids[i] > ids[j], i, j)
+                    lists = np.where(last, turn[a].astype(np.int64), 0) - np.where(first, turn[a].astype(np.int64) - 1, 0)
                     # partners share this many listed shingles: a pair met in fewer lists is none
-                    least = 1 + np.minimum(size[i[ok]], size[j[ok]]) // SPARE
-                    yield batch_of({"a": np.maximum(a, b), "b": np.minimum(a, b), "least": least})
+                    least = 1 + np.minimum(size[i], size[j]) // SPARE
+                    yield batch_of({"a": ids[a], "b": np.minimum(ids[i], ids[j]), "lists": lists, "least": least})
 
     return run
 
@@ -259,12 +270,12 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     listed = texts.select("text").mapInArrow(_listed(n, need, rare), "shingle long, set_id long").repartition("shingle")
     listed = space.table(listed.groupBy("shingle").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).where("lo < hi").select("shingle"))
     filters = spark.sparkContext.broadcast(bloom(listed, listed.count()))
-    shared = space.table(texts.mapInArrow(_shared(n, need, rare, filters), f"kind byte, id {kind}, shingle long, set_id long, size int, place int, data binary"))
+    shared = space.table(texts.mapInArrow(_shared(n, need, rare, filters), f"kind byte, id {kind}, shingle long, set_id long, size int, place int, spot int, data binary"))
     space.release()
     described = space.table(shared.where(F.col("kind") == DOC).select("id", F.col("size").cast("long").alias("n_shingles"), "set_id"))
     sets = space.table(shared.where(F.col("kind") == SET).groupBy("set_id").agg(F.first("data").alias("data")))
     parities = space.table(sets.mapInArrow(_parities, "set_id long, length long, " + ", ".join(f"{p} long" for p in PARITY)))
-    index = shared.where(F.col("kind") == INDEX).select("shingle", "set_id", "size", "place")
+    index = shared.where(F.col("kind") == INDEX).select("shingle", "set_id", "size", "place", "spot")
     index_rows = index.count()
     lists = space.table(index.groupBy("shingle").agg(F.min("set_id").alias("pivot"), F.max("set_id").alias("last"), F.count("*").alias("n")).where("pivot < last").drop("last"))
     index = space.table(join_groups(index, lists, ["shingle"], "n", index_rows).dropDuplicates(["shingle", "set_id"]))
@@ -300,11 +311,14 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # A set that shares too few lists with other classes has no partner in any.
     meets = open_.groupBy("set_id").agg(F.count("*").alias("n_lists"))
     able = parities.join(meets, "set_id").where(f"n_lists >= 1 + floor(ceil({need} * length / 100) / {SPARE})").drop("length", "n_lists")
-    across = open_.select("shingle", "set_id", "size", "place", "root", "n_rows").join(able, "set_id")
+    across = open_.select("shingle", "set_id", "size", "place", "spot", "root", "n_rows").join(able, "set_id")
+    # the lists that a set's text has just before and after; where there is none, a number that no other set has
+    text = Window.partitionBy("set_id").orderBy("spot", "shingle")
+    across = across.withColumn("turn", F.row_number().over(text)).withColumn("before", F.coalesce(F.lag("shingle").over(text), "set_id")).withColumn("after", F.coalesce(F.lead("shingle").over(text), "set_id"))
     across = blocks(across, "shingle", "set_id", "n_rows")
     across = across.repartition("shingle", "block_a", "block_b").sortWithinPartitions("shingle", "block_a", "block_b", "size", "set_id")
-    across = across.select("shingle", "block_a", "block_b", "size", "place", "own", "set_id", "root", *PARITY).mapInArrow(_across(need), "a long, b long, least int")
-    across = across.groupBy("a", "b").agg(F.count("*").alias("met"), F.max("least").alias("least")).where("met >= least").select("a", "b")
+    across = across.select("shingle", "block_a", "block_b", "size", "place", "own", "turn", "before", "after", "set_id", "root", *PARITY).mapInArrow(_across(need), "a long, b long, lists long, least int")
+    across = across.groupBy("a", "b").agg(F.sum("lists").alias("met"), F.max("least").alias("least")).where("met >= least").select("a", "b")
     across = space.table(across.join(seen.select("a", "b"), ["a", "b"], "left_anti"))
     # Answers of a set from those of its pivot: |y and z| <= |pivot and z| + |y beyond its pivot|.
     beyond = to_pivot.select("a", F.col("b").alias("x"), (F.col("size_a") - F.col("common")).alias("beyond"), "size_a")
@@ -340,8 +354,6 @@ def first_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
 def _tries(rows: DataFrame, step: int) -> DataFrame:
     """rows(shingle, set_id, root) of lists with several classes -> distinct pairs (a, b) to compare, linear in the rows."""
-    from pyspark.sql.window import Window
-
     heads = rows.groupBy("shingle", "root").agg(F.count("*").alias("n"), F.min_by("set_id", F.xxhash64("set_id", "shingle", F.lit(step))).alias("head"))
     largest = heads.groupBy("shingle").agg(F.max_by(F.struct("root", "head"), F.struct("n", "root")).alias("top"), F.sum("n").alias("n"))
     largest = largest.select("shingle", F.col("top.root").alias("top_root"), F.col("top.head").alias("b"))
