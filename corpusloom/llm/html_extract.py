@@ -32,11 +32,14 @@ BLOCKS = frozenset(
 CLOSES_P = BLOCKS - frozenset("button label legend option select td th tr tbody thead tfoot head html body".split())
 IMPLIED_END = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(SKIPPED) + r")\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*>",
-    re.S | re.I,
-)
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+#: Open elements that count as ancestors; text inside deeper ones counts to the last of these.
+DEPTH = 512
+#: What a tag has up to its end; a > inside quotes does not end it.
+_REST = re.compile(r"(?:[^\"'>]|\"[^\"]*\"|'[^']*')*+>")
+_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in SKIPPED}
+#: Elements whose text is code; without an end tag they go on to the end of the page.
+_CODE = ("script", "style")
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Elements that say most about what they hold.
@@ -44,6 +47,54 @@ SECTIONS = frozenset("article main nav aside header footer form figure table ul
 CUES = frozenset("cookie cookies privacy newsletter subscribe login copyright rights reserved comments comment reply share advertisement sponsored menu search related".split())
 
 
+def markup(page: str):
+    """(start, end, tag, whether an end tag, attributes) of each piece of markup; tag is None for what is to be skipped.
+
+    An element of SKIPPED is skipped with its content; one that stands for itself (<svg/>) or never ends
+    only as a tag, code apart. A < that begins no markup is text. Time is linear in the page, whatever it
+    holds: what is not found once is not looked for again, and tags whose quotes do not close end at
+    the next > once such scans have read the page some times over.
+    """
+    at, missing, room = 0, set(), 8 * len(page) + 65_536
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+            yield at, end, None, False, ""
+            at = end
+            continue
+        name = _NAME.match(page, at)
+        if name is None:
+            odd = page[at + 1 : at + 2] in ("!", "?", "/") and ">" not in missing
+            end = page.find(">", at) + 1 if odd else 0
+            if end:
+                yield at, end, None, False, ""
+            elif odd:
+                missing.add(">")
+            at = end or at + 1
+            continue
+        if ">" in missing:
+            return
+        rest = _REST.match(page, name.end()) if room > 0 else None
+        if rest is None:
+            room -= len(page) - at
+        end = rest.end() if rest else page.find(">", name.end()) + 1
+        if not end:
+            missing.add(">")
+            return
+        tag, attrs, closing = name[1].lower(), page[name.end() : end - 1], page[at + 1] == "/"
+        if tag in _END and not closing and not (tag == "svg" and attrs.endswith("/")):
+            close = None if tag in missing else _END[tag].search(page, end)
+            if close is None:
+                missing.add(tag)
+            if close or tag in _CODE:
+                end = close.end() if close else len(page)
+            yield at, end, None, False, ""
+        else:
+            yield at, end, None if tag in _END else tag, closing, attrs
+        at = end
+
+
 class Block:
     __slots__ = ("tags", "names", "text", "linked")
 
@@ -57,42 +108,45 @@ def leaf_blocks(page: str | None) -> list[Block]:
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
     linked = 0
+    path: tuple | None = None  # tags and names of the open elements, until one opens or ends
 
     def flush():
-        nonlocal linked
+        nonlocal linked, path
         if parts:
             text = "".join(parts)
             text = " ".join((html.unescape(text) if "&" in text else text).split())
             if text:
-                out.append(Block(tuple(t for t, _ in stack), tuple(n for _, ns in stack for n in ns), text, linked))
+                if path is None:
+                    path = tuple(t for t, _ in stack), tuple(n for _, ns in stack for n in ns)
+                out.append(Block(*path, text, linked))
             parts.clear()
         linked = 0
 
     def close(names: frozenset | tuple, within: tuple = ()):
         """Pop up to the innermost of names, unless an element of within comes first."""
+        nonlocal path
         for k in range(len(stack) - 1, -1, -1):
             if stack[k][0] in names:
                 del stack[k:]
+                path = None
                 return
             if stack[k][0] in within:
                 return
 
     at, page = 0, page or ""
     links = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            parts.append(page[at : m.start()])
+    for start, end, tag, closing, attrs in markup(page):
+        if start > at:
+            parts.append(page[at:start])
             if links:
-                linked += m.start() - at
-        at = m.end()
-        tag = m["tag"]
+                linked += start - at
+        at = end
         if tag is None:
             continue
-        tag = tag.lower()
         if tag == "br" or tag == "wbr":
             parts.append(" " if tag == "br" else "")
             continue
-        if m["end"]:
+        if closing:
             if tag in BLOCKS:
                 flush()
             if tag == "a":
@@ -107,11 +161,12 @@ def leaf_blocks(page: str | None) -> list[Block]:
             if tag in IMPLIED_END:
                 names, within = IMPLIED_END[tag]
                 close(tuple(names.split()), within)
-        if tag in VOID or m["attrs"].endswith("/"):
+        if tag in VOID or attrs.endswith("/"):
             continue
-        attrs = m["attrs"]
         names = tuple(w.lower() for x in _NAMES.findall(attrs) for w in _WORD.findall(next((y for y in x if y), ""))) if "=" in attrs else ()
-        stack.append((tag, names))
+        if len(stack) < DEPTH:
+            stack.append((tag, names))
+            path = None
         if tag == "a":
             links += 1
     if at < len(page):

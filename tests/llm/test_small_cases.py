@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from corpusloom.llm import bpe, exact_dedup, html_extract, line_dedup, mixing, ngram_join, quality_rules, substring_dedup, toxicity, url_filter
@@ -311,3 +312,62 @@ def test_fm_index():
         got = index.matching(query, n)
         want = [sum((text[k : k + n] == query[s : s + n]).all() for k in range(len(text) - n + 1)) for s in range(len(query) - n + 1)]
         assert got.tolist() == want
+
+
+@pytest.mark.parametrize(
+    "page, texts",
+    [
+        ("<article><p>one</p><svg width=1 /><p>two</p></article>", ["one", "two"]),
+        ("<article><p>one</p><iframe src=x><p>two</p></article>", ["one", "two"]),
+        ("<p>a < b &lt; c</p><script>x<y</script><p>d</p>", ["a < b < c", "d"]),
+        ("<p title='a>b'>q</p><object>zz</object>r", ["q", "r"]),
+        ("<p>x</p><script>never ends <p>y</p>", ["x"]),
+        ("<p>x<!-- <p>y</p> -->z</p>", ["xz"]),
+    ],
+)
+def test_markup(page, texts):
+    assert [b.text for b in html_extract.leaf_blocks(page)] == texts
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a "', "<!", "<!--", "<script ", "<iframe>", "<svg>", '<a ">" ', "<div>x", "</p>"])
+def test_markup_is_linear(piece):
+    """A megabyte of what never ends takes seconds."""
+    import time
+
+    began = time.perf_counter()
+    html_extract.leaf_blocks(piece * (1_000_000 // len(piece)) + "'>")
+    assert time.perf_counter() - began < 30
+
+
+def test_viterbi_and_sums_against_all_labellings():
+    """The best labelling, label probabilities, expected moves and the sum over all labellings, by enumeration of short chains."""
+    import itertools
+
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 6):
+        field = html_extract.Field({})
+        field.step, s = rng.normal(size=(2, 2)), rng.normal(size=(n, 2))
+        paths = np.array(list(itertools.product((0, 1), repeat=n)))
+        score = np.array([sum(s[k, y[k]] for k in range(n)) + sum(field.step[y[k], y[k + 1]] for k in range(n - 1)) for y in paths])
+        assert list(paths[int(np.argmax(score))]) == field.viterbi(s)
+        p, moves, z = field.marginals(s)
+        share = np.exp(score) / np.exp(score).sum()
+        assert z == pytest.approx(np.log(np.exp(score).sum()))
+        assert p[:, 1] == pytest.approx((share[:, None] * paths).sum(axis=0))
+        want = np.zeros((2, 2))
+        for y, w in zip(paths, share):
+            for k in range(n - 1):
+                want[y[k], y[k + 1]] += w
+        assert moves == pytest.approx(want)
+
+
+def test_rows_with_helper_names(spark):
+    """Columns that are called like helper columns come back as they were."""
+    names = ["number", "key", "hash", "owner", "row", "lines", "name", "copies", "copy", "_key", "_lines"]
+    rows = [(str(k), "a b c d e f\ng h" if k < 3 else None, "s", *(f"{c}{k}" for c in names)) for k in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, source string, " + ", ".join(f"`{c}` string" for c in names))
+    out = line_dedup.line_dedup(docs).collect()
+    assert {(r.doc_id, r.text) for r in out} == {("0", "a b c d e f\ng h"), ("1", ""), ("2", ""), ("3", None), ("4", None)}
+    assert {tuple(r[c] for c in names) for r in out} == {x[3:] for x in rows}
+    again = mixing.mixed_rows(docs)
+    assert again.columns == docs.columns and {tuple(r[c] for c in names) for r in again.collect()} <= {x[3:] for x in rows}
