@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import WORD, Workspace, read
+from .common import free_names, read, WORD, Workspace
 
 WEIGHTS = (3.0, 1.0, 2.0)
 CAP = 2
@@ -161,12 +161,13 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
 def mixed_rows(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs, each as often as the mix takes it. Rows that share id and text share their copies evenly."""
     id_col, text_col = how.get("id_col", "doc_id"), how.get("text_col", "text")
-    named = docs.withColumn("_name", F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row")))
-    taken = mix(named, **(how | {"id_col": "_name"})).groupBy("_name").agg((F.sum("copies") / F.count("*")).cast("int").alias("_copies")).where("_copies > 0")
+    name, copies, key, copy = free_names(docs, "name", "copies", "key", "copy")
+    named = docs.withColumn(name, F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row")))
+    taken = mix(named, **(how | {"id_col": name})).select(F.col(name), F.col("copies").alias(copies))
+    taken = taken.groupBy(name).agg((F.sum(copies) / F.count("*")).cast("int").alias(copies)).where(F.col(copies) > 0)
     # joined by a hash beside the name, as a struct with a null id equals no other
-    key = F.xxhash64("_name")
-    taken = taken.select(key.alias("_key"), "_copies").hint("shuffle_hash")
-    out = named.withColumn("_key", key).join(taken, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    taken = taken.select(F.xxhash64(name).alias(key), copies).hint("shuffle_hash")
+    out = named.withColumn(key, F.xxhash64(name)).join(taken, key).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies))))
     return out.select(*docs.columns)
 
 
