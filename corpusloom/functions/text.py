@@ -98,6 +98,12 @@ def chunks(ws: Column, size: int) -> Column:
     return F.when(F.size(ws) == 0, F.array().cast("array<array<string>>")).otherwise(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(ws, i * size + 1, size)))
 
 
+def chunk_texts(text: Column, size: int) -> Column:
+    """A text in runs of `size` words, as they stand in it: one pass, as opposed to slices of an array of words."""
+    word, space = r"[^\x20\x09-\x0D]", r"[\x20\x09-\x0D]"
+    return F.regexp_extract_all(text, F.lit(rf"(?:{word}++{space}*+){{1,{size}}}"), F.lit(0))
+
+
 def matches_lemma(surface: Column, lemma: Column, least: int = 5) -> Column:
     """Does a surface form begin as the lemma does: with all of it, or with its first letters?"""
     return F.startswith(F.lower(surface), F.substring(F.lower(lemma), 1, least))

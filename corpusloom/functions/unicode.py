@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,7 +13,11 @@ from pyspark.sql import types as T
 HYPHEN_SUFFIXES = "t et at ot öt k ek ak ok ök ben ban ről ról nak nek val vel hoz hez höz ra re ba be ból ből tól től on en ön n nál nél ig ként é ja je".split()
 SHORT_WORDS = ("ad", "fa", "ma", "ok")
 
-_ENDINGS = frozenset(HYPHEN_SUFFIXES) | {a + b for a in HYPHEN_SUFFIXES for b in HYPHEN_SUFFIXES}
+#: A word with one or two endings behind its last hyphen. The word is ASCII, or has a capital or a digit; in
+#: lower-case ASCII words -on is an English particle and stays.
+_ENDED = r"(?s)\A(?![\x00-\x7F&&[^A-Z]]*[a-z][\x00-\x7F&&[^A-Z]]*-on\z)([\x00-\x7F]+|.*[\p{Lu}\p{Nd}].*)-(?:" + "|".join(HYPHEN_SUFFIXES) + r"){1,2}\z"
+#: One or two ASCII characters, a lower-case letter among them and no capital.
+_DEBRIS = r"\A(?=[^A-Z]{1,2}\z)(?=[\x00-\x7F]*[a-z])[\x00-\x7F]+\z"
 
 
 @F.pandas_udf(T.StringType())
@@ -30,21 +35,8 @@ def fold(s: pd.Series) -> pd.Series:
     return s.map(_fold, na_action="ignore")
 
 
-def clean_lemma(lemma: str | None) -> str | None:
-    """A lemma without attached endings; None where nothing worth a keyword is left."""
-    if not lemma:
-        return None
-    while "-" in lemma:
-        stem, ending = lemma[: lemma.rindex("-")], lemma[lemma.rindex("-") + 1 :]
-        named = stem.isascii() or any(c.isupper() or c.isdigit() for c in stem)
-        particle = ending == "on" and stem.isascii() and stem.islower()
-        if not stem or ending not in _ENDINGS or not named or particle:
-            break
-        lemma = stem
-    tiny = len(lemma) < 3 and lemma.isascii() and lemma.islower()
-    return None if tiny and lemma not in SHORT_WORDS else lemma
-
-
-@F.pandas_udf(T.StringType())
-def normalise_lemma(s: pd.Series) -> pd.Series:
-    return s.map(clean_lemma)
+def normalise_lemma(lemma: Column) -> Column:
+    """A lemma without attached endings; null where nothing worth a keyword is left."""
+    # every step takes one ending at most, and there are no more of them than hyphens
+    bare = F.aggregate(F.split(lemma, "-"), lemma, lambda word, _: F.regexp_replace(word, _ENDED, "$1"))
+    return F.when((bare == "") | bare.rlike(_DEBRIS) & ~bare.isin(*SHORT_WORDS), None).otherwise(bare)

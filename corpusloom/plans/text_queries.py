@@ -94,10 +94,9 @@ def drop_stopwords(spark, sf):
 def keyword_lemmas(spark, sf):
     """Normalise, drop stopwords, keep what looks like a word; order and repeats stay."""
     rows = table(spark, sf, "documents").select("doc_id", F.posexplode(tx.tokens(F.col("text"))).alias("pos", "term"))
-    # each distinct term crosses to Python once
-    clean = rows.select("term").distinct().withColumn("lemma", un.normalise_lemma("term")).where(F.col("lemma").isNotNull() & F.col("lemma").rlike(tx.WORDLIKE))
-    clean = clean.join(F.broadcast(stopword_frame(spark).withColumnRenamed("term", "lemma")), "lemma", "left_anti")
-    kept = rows.join(clean, "term").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "lemma"))).alias("ls"))
+    lemmas = rows.select("doc_id", "pos", un.normalise_lemma(F.col("term")).alias("lemma")).where(F.col("lemma").rlike(tx.WORDLIKE))
+    lemmas = lemmas.join(F.broadcast(stopword_frame(spark).withColumnRenamed("term", "lemma")), "lemma", "left_anti")
+    kept = lemmas.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "lemma"))).alias("ls"))
     return kept.select("doc_id", F.array_join(F.transform("ls", lambda x: x["lemma"]), " ").alias("lemmas"))
 
 
@@ -199,9 +198,9 @@ sql("f21_url_and_format", "SELECT n_nationkey, concat('/tag/', replace(lower(n_n
 
 @query("f22_chunk_words", r"SELECT doc_id, k AS chunk, len(w[k * 80 + 1 : k * 80 + 80])::BIGINT AS n_words, array_to_string(w[k * 80 + 1 : k * 80 + 80], ' ') AS chunk_text FROM (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents), unnest(range(CAST(ceil(len(w) / 80.0) AS BIGINT))) AS t(k)")
 def chunk_words(spark, sf):
-    ws = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    rows = table(spark, sf, "documents").select("doc_id", F.posexplode(tx.chunks(ws, 80)).alias("chunk", "ws"))
-    return rows.select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.size("ws").cast("long").alias("n_words"), F.array_join("ws", " ").alias("chunk_text"))
+    rows = table(spark, sf, "documents").select("doc_id", F.posexplode(tx.chunk_texts(F.col("text"), 80)).alias("chunk", "piece"))
+    ws = F.regexp_extract_all("piece", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    return rows.select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.size(ws).cast("long").alias("n_words"), F.array_join(ws, " ").alias("chunk_text"))
 
 
 sql("f24_prefix", "SELECT doc_id, concat('passage: ', substr(text, 1, 200)) AS prefixed FROM @documents")
@@ -239,7 +238,13 @@ _EVIDENCE = ("the", "of", "que", "der", "las")
 def _scored_sentences(spark, sf):
     rows = table(spark, sf, "documents").select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("pos", "sentence"))
     ws = tx.tokens(F.col("sentence"))
-    return rows.withColumn("score", F.size(F.array_intersect(ws, F.array(*[F.lit(t) for t in _EVIDENCE]))))
+    rows = rows.withColumn("ws", F.array_distinct(ws))
+    # a term counts once, if any word of the sentence is a form of it
+
+    def has_form_of(lemma: str):
+        return F.exists("ws", lambda w: tx.matches_lemma(w, F.lit(lemma)))
+
+    return rows.withColumn("score", sum(has_form_of(t).cast("int") for t in _EVIDENCE))
 
 
 query("f27_sentence_terms", None)(lambda spark, sf: _scored_sentences(spark, sf).select("doc_id", "pos", "score"))
@@ -259,7 +264,7 @@ sql("f28_parse_tag", r"SELECT event_id, element_at(split(regexp_extract(tag, r'^
 @query("f30_normalise_lemma", "SELECT event_id, lemma, CASE (event_id % 6) WHEN 0 THEN 'LLM' WHEN 1 THEN 'API' WHEN 2 THEN 'hands-on' WHEN 3 THEN NULL WHEN 4 THEN 'ad' ELSE 'Turing-teszt' END AS clean FROM (SELECT event_id, (['LLM-eket', 'API-hoz', 'hands-on', 'vi', 'ad', 'Turing-teszt'])[1 + event_id % 6] AS lemma FROM events)")
 def normalised(spark, sf):
     forms = F.array(*[F.lit(t) for t in ("LLM-eket", "API-hoz", "hands-on", "vi", "ad", "Turing-teszt")])
-    return table(spark, sf, "events").select("event_id", F.get(forms, (F.col("event_id") % 6).cast("int")).alias("lemma")).withColumn("clean", un.normalise_lemma("lemma"))
+    return table(spark, sf, "events").select("event_id", F.get(forms, (F.col("event_id") % 6).cast("int")).alias("lemma")).withColumn("clean", un.normalise_lemma(F.col("lemma")))
 
 
 query("f32_hash_split", "SELECT doc_id, CASE WHEN ('0x' || right(sha1(doc_id::VARCHAR), 1))::INT % 2 = 0 THEN 'dev' ELSE 'test' END AS part FROM documents")(lambda spark, sf: table(spark, sf, "documents").select("doc_id", tx.split_of(F.col("doc_id").cast("string")).alias("part")))

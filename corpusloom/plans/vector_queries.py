@@ -97,14 +97,14 @@ query("f62_centre", _BASE + "SELECT vec_id, round(vec[1], 8) AS x1, round(list_s
 query("f63_threshold", "SELECT k, kind, CASE kind WHEN 'long' THEN 0.2::DOUBLE ELSE 0.15::DOUBLE END + CASE WHEN k >= 7 THEN 0.35::DOUBLE - 0.3::DOUBLE ELSE 0.0::DOUBLE END AS threshold FROM (SELECT DISTINCT 3 + label % 6 AS k, CASE WHEN vec_id % 3 = 0 THEN 'short' ELSE 'long' END AS kind FROM embeddings)")(
     lambda spark, sf: table(spark, sf, "embeddings").select((3 + F.col("label") % 6).alias("k"), F.when(F.col("vec_id") % 3 == 0, "short").otherwise("long").alias("kind")).distinct().withColumn("threshold", RULES.threshold_column(F.col("k"), F.col("kind")))
 )
-query("f65_drift", "SELECT label, round(max(abs(a[1] - b[1])), 8) AS first_drift FROM (SELECT label, vec AS a, lead(vec) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM @vectors) GROUP BY label")(lambda spark, sf: _drift(spark, sf))
+query("f65_drift", "SELECT label, round(max(list_max(list_transform(range(1, 65), lambda i: abs(a[i] - b[i])))), 8) AS most_drift FROM (SELECT label, vec AS a, lead(vec) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM @vectors) GROUP BY label")(lambda spark, sf: _drift(spark, sf))
 
 
 def _drift(spark, sf):
     from pyspark.sql.window import Window
 
     rows = _vectors(spark, sf).withColumn("after", F.lead("vec").over(Window.partitionBy("label").orderBy("vec_id")))
-    return rows.groupBy("label").agg(F.round(F.max(F.abs(F.col("vec")[0] - F.col("after")[0])), 8).alias("first_drift"))
+    return rows.groupBy("label").agg(F.round(F.max(vx.drift(F.col("vec"), F.col("after"))), 8).alias("most_drift"))
 
 
 query("f34_mixture", "SELECT vec_id, round(list_sum(list_transform(a, lambda x: x / list_sum(a))), 6) AS total, round(a[1] / list_sum(a), 8) AS x1 FROM (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: abs(x)) AS a FROM embeddings)")(
@@ -137,8 +137,9 @@ def pool_chunks(spark, sf):
     """Chunk, encode, pool: here with the stand-in encoder whose first number is the chunk's length."""
     from ..functions import text as tx
 
-    ws = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    rows = table(spark, sf, "documents").select("doc_id", F.explode(tx.chunks(ws, 80)).alias("ws")).select("doc_id", encode(F.array_join("ws", " ")).alias("vec"))
+    pieces = table(spark, sf, "documents").select("doc_id", F.explode(tx.chunk_texts(F.col("text"), 80)).alias("piece"))
+    ws = F.regexp_extract_all("piece", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    rows = pieces.select("doc_id", encode(F.array_join(ws, " ")).alias("vec"))
     pooled = vx.mean_by(rows, ["doc_id"], "vec")
     return pooled.join(rows.groupBy("doc_id").agg(F.count("*").alias("n_chunks")), "doc_id").select("doc_id", F.round(F.col("mean")[0], 6).alias("mean_length"), "n_chunks")
 

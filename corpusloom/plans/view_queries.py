@@ -29,11 +29,11 @@ sql("j12_rename_history", "SELECT o.o_orderpriority AS old_name, m.current AS cu
 sql("j13_unusable_seeds", "SELECT s.s_suppkey, 'no nation' AS problem FROM @supplier s WHERE NOT EXISTS (SELECT 1 FROM @nation n WHERE n.n_nationkey = s.s_nationkey) UNION ALL SELECT min(s_suppkey), 'shared nation' FROM @supplier GROUP BY s_nationkey HAVING count(*) > 1")
 
 
-@query("j14_band_anti", "SELECT DISTINCT day FROM (SELECT CAST(ts AS DATE) AS day FROM events) e WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE CAST(o.o_orderdate AS DATE) + 9500 BETWEEN day - 10 AND day + 10 AND o.o_orderstatus = 'P')")
+@query("j14_band_anti", "SELECT DISTINCT day FROM (SELECT CAST(o_orderdate AS DATE) AS day FROM orders) o WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT CAST(ts AS DATE) - 9500 AS moved FROM events) e WHERE moved BETWEEN day - 10 AND day + 10)")
 def band_anti(spark, sf):
-    """Days without any order within ten days: a band join as an equi-join on ten-day buckets."""
-    days = table(spark, sf, "events").select(F.to_date("ts").alias("day")).distinct()
-    dates = table(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.date_add(F.to_date("o_orderdate"), 9500).alias("at")).distinct()
+    """Days of orders without any event, moved by 9,500 days, within ten days: a band join as an equi-join on ten-day buckets."""
+    days = table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
+    dates = table(spark, sf, "events").select(F.date_sub(F.to_date("ts"), 9500).alias("at")).distinct()
     bucket = lambda c: F.floor(F.unix_date(c) / 10)
     near = dates.withColumn("b", bucket(F.col("at")))
     wide = days.withColumn("b", F.explode(F.array(bucket(F.col("day")) - 1, bucket(F.col("day")), bucket(F.col("day")) + 1)))
@@ -69,10 +69,11 @@ sql("j21_manual_override", "SELECT d.doc_id, coalesce(CASE WHEN l.quality = 0 TH
 sql("j22_referential_integrity", "SELECT 'orders' AS what, count(*) AS n FROM @orders o WHERE NOT EXISTS (SELECT 1 FROM @customer c WHERE c.c_custkey = o.o_custkey) UNION ALL SELECT 'lineitem', count(*) FROM @lineitem l WHERE NOT EXISTS (SELECT 1 FROM @orders o WHERE o.o_orderkey = l.l_orderkey) UNION ALL SELECT 'labels', count(*) FROM @documents d WHERE NOT EXISTS (SELECT 1 FROM @labels l WHERE l.doc_id = d.doc_id) UNION ALL SELECT 'nation', count(*) FROM @nation n WHERE NOT EXISTS (SELECT 1 FROM @region r WHERE r.r_regionkey = n.n_regionkey)")
 
 
-@query("j23_quote_verified", "SELECT d.doc_id, contains(d.text, regexp_extract(d.text, '^[^.!?]+[.!?]')) AS verified FROM documents d")
+@query("j23_quote_verified", "SELECT d.doc_id, contains(d.text, q.quote) AS verified FROM documents d JOIN (SELECT doc_id - doc_id % 2 AS doc_id, regexp_extract(text, '^[^.!?]+[.!?]') AS quote FROM documents) q ON d.doc_id = q.doc_id")
 def quote_verified(spark, sf):
+    """Quotes of each document and of its neighbour, looked up in the document: some are its own and some are not."""
     d = table(spark, sf, "documents")
-    quotes = d.select("doc_id", F.regexp_extract("text", r"^[^.!?]+[.!?]", 0).alias("quote"))
+    quotes = d.select((F.col("doc_id") - F.col("doc_id") % 2).alias("doc_id"), F.regexp_extract("text", r"^[^.!?]+[.!?]", 0).alias("quote"))
     return d.join(quotes, "doc_id").select("doc_id", F.contains("text", "quote").alias("verified"))
 
 

@@ -3,48 +3,37 @@
 from __future__ import annotations
 
 import json
+import re
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
-def _quoted(value: str) -> str:
-    return json.dumps(value, ensure_ascii=False)
+#: Opening line, keys and closing line of front matter, and the body.
+_FRONT = r"(?s)\A(---\n)(.*?)((?<=\n)---\n.*)\z"
 
 
-def with_list_key(text: str, key: str, values: list[str]) -> str:
-    """Front matter with one list key set, or taken out where there are no values; the body stays byte for byte."""
-    if not text.startswith("---\n") or "\n---\n" not in text[3:]:
-        raise ValueError("no front matter")
-    end = text.index("\n---\n", 3)
-    kept, skipping = [], False
-    for line in text[4:end].split("\n") if end > 4 else []:
-        if line.startswith(f"{key}:"):
-            skipping = True
-        elif not (skipping and line[:1] in (" ", "\t", "-")):
-            skipping = False
-            kept.append(line)
-    if values:
-        kept += [f"{key}:", *(f"  - {_quoted(v)}" for v in values)]
-    return "\n".join(["---", *kept]) + text[end:]
+def with_list_key(text: Column, key: str, values: Column) -> Column:
+    """Front matter with one list key set, or taken out where values is null or empty; the body stays byte for byte.
+
+    The key's block is its line and the lines that follow it indented or as list items. Fails on texts without front matter.
+    """
+    block = rf"(?m)^{re.escape(key)}:.*\n(?:[ \t-].*\n)*"
+    # a Java regular expression ends lines at more than newlines; (?d) keeps it to those
+    kept = F.regexp_replace(F.regexp_extract(text, _FRONT, 2), "(?d)" + block, "")
+    # a list in JSON is its items in quotes
+    item = lambda v: F.concat(F.lit("  - "), F.regexp_replace(F.to_json(F.array(v)), r"\A\[|\]\z", ""), F.lit("\n"))
+    added = F.when(F.size(values) > 0, F.concat(F.lit(f"{key}:\n"), F.array_join(F.transform(values, item), ""))).otherwise("")
+    whole = F.concat(F.lit("---\n"), kept, added, F.regexp_extract(text, _FRONT, 3))
+    return F.when(text.rlike(_FRONT), whole).when(text.isNotNull(), F.raise_error(F.lit("no front matter")))
 
 
 def update_front_matter(pages: DataFrame, raw_col: str = "raw", lists: tuple[str, ...] = ("temak", "kulcsszavak")) -> DataFrame:
     """Adds new_raw and changed; each list key comes from the array column of its name."""
-
-    @F.pandas_udf(T.StringType())
-    def run(raw: pd.Series, *cols: pd.Series) -> pd.Series:
-        out = []
-        for k, text in enumerate(raw):
-            for key, col in zip(lists, cols):
-                text = with_list_key(text, key, list(col.iloc[k]) if col.iloc[k] is not None else [])
-            out.append(text)
-        return pd.Series(out)
-
-    out = pages.withColumn("new_raw", run(raw_col, *lists))
-    return out.withColumn("changed", F.col("new_raw") != F.col(raw_col))
+    new = F.col(raw_col)
+    for key in lists:
+        new = with_list_key(new, key, F.col(key))
+    return pages.withColumn("new_raw", new).withColumn("changed", F.col("new_raw") != F.col(raw_col))
 
 
 def write_registry(old: DataFrame, new: DataFrame, path: str) -> DataFrame:

@@ -24,13 +24,21 @@ def test_pages(spark, tmp_path):
     assert front.select(pages.list_items(F.col("front"), "tags").alias("x")).first().x == []
 
 
-def test_front_matter_round_trip():
-    once = sinks.with_list_key(PAGE, "temak", ["a \"b\"", "c: d"])
-    assert once.endswith(PAGE[PAGE.index("\n---\n", 3) :]) and sinks.with_list_key(once, "temak", ["a \"b\"", "c: d"]) == once
-    assert sinks.with_list_key(once, "temak", []) == PAGE
-    assert "három" not in sinks.with_list_key(PAGE, "regi_cimkek", [])
-    with pytest.raises(ValueError):
-        sinks.with_list_key("body", "temak", [])
+def test_front_matter_round_trip(spark):
+    def put(text, key, values):
+        rows = spark.createDataFrame([(text, values)], "t string, v array<string>")
+        return rows.select(sinks.with_list_key(F.col("t"), key, F.col("v")).alias("x")).first().x
+
+    values = ["a \"b\"", "c: d"]
+    once = put(PAGE, "temak", values)
+    assert once.endswith(PAGE[PAGE.index("\n---\n", 3) :]) and put(once, "temak", values) == once
+    assert '  - "a \\"b\\""\n  - "c: d"\n---\n' in once
+    assert put(once, "temak", []) == PAGE and put(once, "temak", None) == PAGE
+    assert "három" not in put(PAGE, "regi_cimkek", [])
+    assert put("---\n---\nbody\n---\n", "temak", ["x"]) == '---\ntemak:\n  - "x"\n---\nbody\n---\n'
+    assert put(None, "temak", ["x"]) is None
+    with pytest.raises(Exception, match="no front matter"):
+        put("body", "temak", [])
 
 
 def test_feeds(spark, tmp_path):

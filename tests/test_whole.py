@@ -84,3 +84,22 @@ def test_unreferenced(spark, sf):
 def test_spine(spark, sf):
     d = datetime.date(2024, 1, 1)
     assert [(r[0], r[1], float(r[2])) for r in sorted(rows(spark, sf, "agg10_day_spine_all"))] == [(d, 2, 100.0), (d.replace(day=2), 1, 50.0), (d.replace(day=3), 0, 0.0), (d.replace(day=4), 1, 50.0)]
+
+
+def test_evidence_by_lemma(spark, data):
+    """Sentence scores against a count word by word: a term counts once, by the beginning of any word."""
+    import re
+
+    from corpusloom.functions import text as tx
+    from corpusloom.plans import text_queries
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    got = {(r.doc_id, r.pos): r.score for r in text_queries._scored_sentences(spark, data).collect()}
+    want = {}
+    for i, text in docs.items():
+        sentences = [s for s in re.split(r"(?<=[.!?…])\s+", (text or "").strip(" ")) if s]
+        for k, s in enumerate(sentences):
+            words = re.findall(r"\w+", s.lower())
+            want[i, k] = sum(any(w.startswith(t) for w in words) for t in text_queries._EVIDENCE)
+    assert set(got) == set(want)
+    assert sum(got.values()) > 0 and sum(abs(got[k] - want[k]) for k in want) == 0, tx.TOKEN
