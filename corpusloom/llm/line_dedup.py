@@ -381,12 +381,25 @@ def _keys(batches):
         yield pa.record_batch([pa.array(line_keys(ids, row, line).view(np.int64))], names=["key"])
 
 
-def _words_of(wanted):
-    """Word hashes of the lines in a filter: (id, row, line, words)."""
+def _text_keys(batches):
+    for batch in batches:
+        ids, row = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+        yield pa.record_batch([pa.array(np.unique(line_keys(ids, row, np.zeros(len(ids), np.int64))).view(np.int64))], names=["key"])
+
+
+def _near(batch, filters):
+    """The rows of a batch (id, row, text) whose text may be in the filter, and their ids and rows."""
+    ids, rows = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+    near = filters.value.has(line_keys(ids, rows, np.zeros(len(ids), np.int64)))
+    return batch.filter(pa.array(near)), ids[near], rows[near]
+
+
+def _words_of(inside, wanted):
+    """Word hashes of the lines in a filter: (id, row, line, words). Most texts have none, and those are not even decoded."""
 
     def run(batches):
         for batch in batches:
-            ids, rows = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+            batch, ids, rows = _near(batch, inside)
             for a, b in slices(batch.column(2)):
                 texts = _encoded(batch.column(2)[a:b])
                 n = np.array([t.count(b"\n") + 1 for t in texts])
@@ -456,11 +469,7 @@ def _again(need: int, parts: int, rare, inside, only, asked):
     def run(batches):
         box = Outbox(coarse(parts))
         for batch in batches:
-            ids, rows = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
-            near = inside.value.has(line_keys(ids, rows, np.zeros(len(ids), np.int64)))
-            if not near.any():
-                continue
-            batch, ids, rows = batch.filter(pa.array(near)), ids[near], rows[near]
+            batch, ids, rows = _near(batch, inside)
             for a, b in slices(batch.column(2)):
                 doc, line, size, h = line_sets(_encoded(batch.column(2)[a:b]))
                 if not len(doc):
@@ -569,7 +578,8 @@ def _verified(space: Workspace, texts: DataFrame, pairs: DataFrame, need: int, h
     if not n:
         return pairs.select(*line)
     wanted = spark.sparkContext.broadcast(bloom(members.mapInArrow(_keys, "key long"), n))
-    words = texts.mapInArrow(_words_of(wanted), "id long, row long, line int, words binary")
+    inside = spark.sparkContext.broadcast(bloom(members.select("id", "row").mapInArrow(_text_keys, "key long"), n))
+    words = texts.mapInArrow(_words_of(inside, wanted), "id long, row long, line int, words binary")
     words = space.table(words.dropDuplicates(line) if hashed else words)
     total = pairs.count()
     first = words.join(pairs.groupBy(*line).agg(F.count("*").alias("uses")), line)
