@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import gc
 import tempfile
 import uuid
 
@@ -146,11 +145,6 @@ class Workspace:
         finally:
             self.spark.conf.set(key, before)
 
-    def release(self) -> None:
-        """Let Spark's cleaner delete the shuffle files of steps that are done; it does so when the driver collects garbage."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
     def drop(self, *frames: DataFrame) -> None:
         """Delete tables that nothing reads any more."""
         for df in frames:

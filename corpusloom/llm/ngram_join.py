@@ -271,7 +271,6 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     listed = space.table(listed.groupBy("shingle").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).where("lo < hi").select("shingle"))
     filters = spark.sparkContext.broadcast(bloom(listed, listed.count()))
     shared = space.table(texts.mapInArrow(_shared(n, need, rare, filters), f"kind byte, id {kind}, shingle long, set_id long, size int, place int, spot int, data binary"))
-    space.release()
     described = space.table(shared.where(F.col("kind") == DOC).select("id", F.col("size").cast("long").alias("n_shingles"), "set_id"))
     sets = space.table(shared.where(F.col("kind") == SET).groupBy("set_id").agg(F.first("data").alias("data")))
     parities = space.table(sets.mapInArrow(_parities, "set_id long, length long, " + ", ".join(f"{p} long" for p in PARITY)))
@@ -280,7 +279,6 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     lists = space.table(index.groupBy("shingle").agg(F.min("set_id").alias("pivot"), F.max("set_id").alias("last"), F.count("*").alias("n")).where("pivot < last").drop("last"))
     index = space.table(join_groups(index, lists, ["shingle"], "n", index_rows).dropDuplicates(["shingle", "set_id"]))
     space.drop(shared, lists)
-    space.release()
     # Each set against the pivot that it shares most lists with.
     pivots = index.where("set_id <> pivot").groupBy("set_id", "pivot").agg(F.count("*").alias("c")).groupBy("set_id").agg(F.max(F.struct("c", "pivot")).alias("best"))
     seen = overlaps(space, pivots.select(F.col("set_id").alias("a"), F.col("best.pivot").alias("b")), sets)
@@ -307,7 +305,6 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             break
         edges = edges.unionByName(new)
         classes = components(space, edges)
-    space.release()
     # A set that shares too few lists with other classes has no partner in any.
     meets = open_.groupBy("set_id").agg(F.count("*").alias("n_lists"))
     able = parities.join(meets, "set_id").where(f"n_lists >= 1 + floor(ceil({need} * length / 100) / {SPARE})").drop("length", "n_lists")
@@ -348,7 +345,6 @@ def first_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """The rows of docs less those whose class has a smaller id. Rows with a null id stay."""
     space = Workspace(docs.sparkSession, "ngram_first")
     classes = space.table(jaccard_classes(docs, id_col=id_col, text_col=text_col, **how))
-    space.release()
     return without(docs, id_col, classes.where(F.col(id_col) > F.col("component_id")).select(id_col))
 
 

@@ -207,13 +207,11 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     anchors = space.table(anchors.repartition("anchor").groupBy("anchor").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("anchor"))
     repeated = spark.sparkContext.broadcast(bloom(anchors, anchors.count()))
     places = space.table(texts.select("id", "row", "text").mapInArrow(_cut(n, k, repeated), "anchor long, seg long, id long, row long, start long, text binary"))
-    space.release()
     total = places.count()
     first = places.groupBy("seg").agg(F.min("id").alias("lo"), F.count("*").alias("n_places"))
     first = space.table(first)
     distinct = places.where("text IS NOT NULL").groupBy("seg").agg(F.first("text").alias("text"), F.first("anchor").alias("anchor"))
     distinct = space.table(distinct.join(first.select("seg", "lo"), "seg"))
-    space.release()
     per_anchor = distinct.groupBy("anchor").agg(F.count("*").alias("n_segments"))
     frequent = per_anchor.where(F.col("n_segments") > ANCHOR_SEGMENTS)
     # at most (segments / ANCHOR_SEGMENTS) anchors are frequent: a shuffled join, or a broadcast where Spark sees that they are few
@@ -224,7 +222,6 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     dealt = few.unionByName(many).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
     found = space.table(dealt.groupBy("shard").applyInPandas(search_shard(n), "seg long, from long, to long, least long"))
     space.drop(distinct)
-    space.release()
     found = found.join(first.select("seg", "n_places"), "seg")
     spans = join_groups(places.select("seg", "id", "row", "start"), found, ["seg"], "n_places", total).where("least < id")
     return spans.select("id", "row", (F.col("start") + F.col("from")).alias("a"), (F.col("start") + F.col("to") + n).alias("b")).groupBy("id", "row").agg(F.collect_list("a").alias("starts"), F.collect_list("b").alias("ends"))
@@ -242,7 +239,6 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     texts = docs.select(F.col(id_col).alias("id0"), F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row"))
     space = Workspace(docs.sparkSession, "substring_spans")
     spans = space.table(spans)
-    space.release()
     some, rest = split_by(texts, F.xxhash64("id", "row"), spans.select(F.xxhash64("id", "row").alias("key")), spans.count())
     joined = some.join(spans.hint("shuffle_hash"), ["id", "row"], "left").unionByName(rest, allowMissingColumns=True)
     joined = joined.select(F.col("id0").alias("id"), "text", "starts", "ends")
