@@ -202,7 +202,13 @@ def _pairs(spark, sf):
     return _vectors(spark, sf).select("label", F.sqrt(F.abs(F.col("vec")[0])).alias("a"), F.sqrt(F.abs(F.col("vec")[1])).alias("b"))
 
 
-query("agg19_paired_bootstrap", None)(lambda spark, sf: evaluate.paired_mean_delta(_pairs(spark, sf).withColumn("set", F.lit("all")), ["set"]))
+@query("agg19_paired_bootstrap", None)
+def paired_bootstrap(spark, sf):
+    """The placement of agg18 against the one without genre-like themes, on the same resamples."""
+    items = _bcubed_items(spark, sf).select(F.array_except("pred", F.array(F.lit("en"))).alias("a"), F.col("pred").alias("b"), "gold")
+    return evaluate.paired_bootstrap(items)
+
+
 query("agg20_paired_mean_delta", None)(lambda spark, sf: evaluate.paired_mean_delta(_pairs(spark, sf), ["label"]))
 query("agg34_variant_delta", f"SELECT label, round(avg(b - a), 8) AS delta, avg(b - a) >= 0.03 AS clears, count(*) AS n FROM {_SCORES} GROUP BY label")(
     lambda spark, sf: _pairs(spark, sf).groupBy("label").agg(F.round(F.avg(F.col("b") - F.col("a")), 8).alias("delta"), (F.avg(F.col("b") - F.col("a")) >= 0.03).alias("clears"), F.count("*").alias("n"))

@@ -1,5 +1,6 @@
 """Worked examples as data."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,6 +143,40 @@ def test_bcubed_matrix(spark):
     assert (r.precision, r.recall, r.n) == (pytest.approx(side(1, 2)), pytest.approx(side(2, 1)), len(gold))
 
 
+def test_paired_bootstrap(spark):
+    """Against drawing the items themselves, pair by pair."""
+    rng = np.random.default_rng(3)
+    pick = lambda names, most: sorted({names[k] for k in rng.integers(0, len(names), rng.integers(0, most + 1))})
+    rows = [(pick("xyz", 2), pick("vw", 1), pick("pqr", 2)) for _ in range(60)]
+    scored = [r for r in rows if r[2]]
+
+    def f(drawn, side):
+        totals = []
+        for num, den in ((side, 2), (2, side)):
+            values = []
+            for i in drawn:
+                met = []
+                for j in drawn:
+                    one = lambda c: len(set(scored[i][c]) & set(scored[j][c])) or int(i == j and c != 2 and not scored[i][c])  # noqa: B023, E731
+                    if one(num):
+                        met.append(min(one(num), one(den)) / one(num))
+                values.append(np.mean(met))
+            totals.append(np.mean(values))
+        return 2 * totals[0] * totals[1] / sum(totals)
+
+    def delta(drawn):
+        return f(drawn, 1) - f(drawn, 0)
+
+    got = evaluate.paired_bootstrap(spark.createDataFrame(rows, "a array<string>, b array<string>, gold array<string>")).first()
+    draws = [delta(rng.integers(0, len(scored), len(scored))) for _ in range(150)]
+    low, high = np.percentile(draws, [2.5, 97.5])
+    assert got.n == len(scored) and got.delta == pytest.approx(delta(range(len(scored))))
+    assert got.low == pytest.approx(low, abs=0.04) and got.high == pytest.approx(high, abs=0.04) and got.low < got.high
+    same = spark.createDataFrame([(["x"], ["x"], ["p"]), ([], [], ["q"])], "a array<string>, b array<string>, gold array<string>")
+    assert evaluate.paired_bootstrap(same).first()[:3] == (0.0, 0.0, 0.0)
+    assert evaluate.paired_bootstrap(same.limit(0)).count() == 0
+
+
 def test_bootstrap():
     assert evaluate.bootstrap([0.2, 0.4], [0.3, 0.5]) == (pytest.approx(0.1), pytest.approx(0.1), pytest.approx(0.1))
 
