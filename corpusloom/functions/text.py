@@ -104,6 +104,24 @@ def chunk_texts(text: Column, size: int) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"(?:{word}++{space}*+){{1,{size}}}"), F.lit(0))
 
 
+def paragraph_pieces(text: Column, most: int = 6000) -> Column:
+    """A text in pieces of whole paragraphs (lines), of at most `most` characters unless one paragraph alone is longer."""
+    none = F.array().cast("array<string>")
+
+    def add(state, line):
+        begun = state["last"] != ""
+        full = begun & (F.length(state["last"]) + F.length(line) + 1 > most)
+        done = F.when(full, F.concat(state["done"], F.array(state["last"]))).otherwise(state["done"])
+        last = F.when(full | ~begun, line).otherwise(F.concat(state["last"], F.lit("\n"), line))
+        return F.struct(done.alias("done"), last.alias("last"))
+
+    def end(state):
+        return F.when(state["last"] != "", F.concat(state["done"], F.array(state["last"]))).otherwise(state["done"])
+
+    pieces = F.aggregate(F.split(text, "\n", -1), F.struct(none.alias("done"), F.lit("").alias("last")), add, end)
+    return F.when(F.length(text) <= most, F.array(text)).otherwise(pieces)
+
+
 def matches_lemma(surface: Column, lemma: Column, least: int = 5) -> Column:
     """Does a surface form begin as the lemma does: with all of it, or with its first letters?"""
     return F.startswith(F.lower(surface), F.substring(F.lower(lemma), 1, least))

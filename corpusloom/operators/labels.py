@@ -11,7 +11,7 @@ def clean_labels(labels: DataFrame, genres: DataFrame, merges: DataFrame, least:
 
     genres(label) and merges(label, target) are curated lists. Document frequency is counted after both.
     """
-    rows = labels.select(key, source, F.lower("label").alias("label"))
+    rows = labels.select(key, source, F.lower(F.trim("label")).alias("label"))
     rows = rows.join(F.broadcast(merges), "label", "left").select(key, source, F.coalesce("target", "label").alias("label"))
     rows = rows.join(F.broadcast(genres), "label", "left_anti").distinct()
     enough = rows.groupBy(source, "label").agg(F.count("*").alias("n")).where(F.col("n") >= least).drop("n")

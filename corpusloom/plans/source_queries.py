@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..functions import vectors as vx
 from ..operators import keyness, placement
 from ..sources import feeds, pages, sinks
@@ -54,6 +55,17 @@ def analyser(spark, sf):
     return tokens.select("conv_id", F.col("pos").cast("long").alias("turn"), "form", "lemma", "xpostag")
 
 
+@query("f31_lemmatise", "SELECT conv_id, string_agg(role, ' ' ORDER BY turn) AS lemmas FROM conversations WHERE role <> 'system' GROUP BY conv_id")
+def lemmatise(spark, sf):
+    """Lemmas of the content words of each reply, in order and with their case; here system turns are conjunctions."""
+    c = table(spark, sf, "conversations")
+    line = F.concat("role", F.when(F.col("role") == "system", "\t[/Cnj]\t").otherwise("\t[/N]\t"), "role")
+    replies = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"]), "\n").alias("body"))
+    tokens = feeds.analyser_tokens(replies.select("conv_id", F.concat(F.lit("form\txpostag\tlemma\n"), "body", F.lit("\n\n")).alias("tsv")), "conv_id")
+    kept = tokens.where(tx.content_word(F.col("xpostag"))).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("pos", "lemma"))).alias("ls"))
+    return kept.select("conv_id", F.array_join(F.transform("ls", lambda x: x["lemma"]), " ").alias("lemmas"))
+
+
 query("src20_distinct_links", r"""SELECT page_id, link, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS position FROM (SELECT page_id, link, min(pos) AS pos FROM (SELECT page_id, unnest(l) AS link, unnest(range(len(l))) AS pos FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS l FROM pages)) GROUP BY ALL)""")(
     lambda spark, sf: table(spark, sf, "pages").select("page_id", F.posexplode(F.array_distinct(F.regexp_extract_all("html", F.lit(r'<a href="([^"]*)"'), F.lit(1)))).alias("pos", "link")).select("page_id", "link", (F.col("pos") + 1).cast("long").alias("position"))
 )

@@ -203,6 +203,7 @@ def chunk_words(spark, sf):
     return rows.select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.size(ws).cast("long").alias("n_words"), F.array_join(ws, " ").alias("chunk_text"))
 
 
+query("f23_pieces", None)(lambda spark, sf: table(spark, sf, "documents").select("doc_id", F.posexplode(tx.paragraph_pieces(F.col("text"), 600)).alias("pos", "piece")))
 sql("f24_prefix", "SELECT doc_id, concat('passage: ', substr(text, 1, 200)) AS prefixed FROM @documents")
 query("f24_prefix_chunks", None)(lambda spark, sf: chunk_words(spark, sf).select("doc_id", "chunk", F.concat(F.lit("passage: "), "chunk_text").alias("prefixed")))
 query("f25_sentences", None)(lambda spark, sf: table(spark, sf, "documents").select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("pos", "sentence")))

@@ -6,8 +6,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import text as tx
 from ..functions import vectors as vx
-from ..operators import discover, evaluate, placement
+from ..operators import discover, evaluate, gate, placement
 from .registry import _vectors, query, sql, table
 
 RULES = placement.Rules(tau={"long": 0.2, "short": 0.15}, g={3: 0.2, 5: 0.3, 8: 0.35}, delta=0.1, cap=3)
@@ -135,8 +136,6 @@ query("f37_probability_columns", "SELECT DISTINCT label AS column_id FROM embedd
 @query("f64_pool_chunks", r"SELECT doc_id, round(avg(n), 6) AS mean_length, count(*) AS n_chunks FROM (SELECT doc_id, length(array_to_string(w[k * 80 + 1 : k * 80 + 80], ' ')) AS n FROM (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents), unnest(range(CAST(ceil(len(w) / 80.0) AS BIGINT))) AS t(k)) GROUP BY doc_id")
 def pool_chunks(spark, sf):
     """Chunk, encode, pool: here with the stand-in encoder whose first number is the chunk's length."""
-    from ..functions import text as tx
-
     pieces = table(spark, sf, "documents").select("doc_id", F.explode(tx.chunk_texts(F.col("text"), 80)).alias("piece"))
     ws = F.regexp_extract_all("piece", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
     rows = pieces.select("doc_id", encode(F.array_join(ws, " ")).alias("vec"))
@@ -209,6 +208,13 @@ def paired_bootstrap(spark, sf):
     return evaluate.paired_bootstrap(items)
 
 
+@query("job05_gate", None)
+def release_gate(spark, sf):
+    """The held-out half of the items of agg18; the baseline is each item's language alone."""
+    items = _bcubed_items(spark, sf).where(tx.split_of(F.col("key").cast("string")) == "test")
+    return gate.gate(items.select(F.col("pred").alias("new"), F.slice("pred", 1, 1).alias("base"), "gold"), ["en"])
+
+
 query("agg20_paired_mean_delta", None)(lambda spark, sf: evaluate.paired_mean_delta(_pairs(spark, sf), ["label"]))
 query("agg34_variant_delta", f"SELECT label, round(avg(b - a), 8) AS delta, avg(b - a) >= 0.03 AS clears, count(*) AS n FROM {_SCORES} GROUP BY label")(
     lambda spark, sf: _pairs(spark, sf).groupBy("label").agg(F.round(F.avg(F.col("b") - F.col("a")), 8).alias("delta"), (F.avg(F.col("b") - F.col("a")) >= 0.03).alias("clears"), F.count("*").alias("n"))

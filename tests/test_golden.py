@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as tx
 from corpusloom.functions import unicode as un
 from corpusloom.functions import vectors as vx
-from corpusloom.operators import evaluate, hubs, keyness, labels, placement
+from corpusloom.operators import evaluate, gate, hubs, keyness, labels, placement
 from corpusloom.operators.discover import average_linkage
 
 
@@ -194,3 +194,21 @@ def test_linkage():
     x = np.array([[1, 0, 0], [0.99, 0.1, 0], [0.98, 0.15, 0], [0, 1, 0], [0, 0.99, 0.1]], float)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     assert average_linkage(x.copy(), 0.1, 3) == [[0, 1, 2]] and average_linkage(x.copy(), 0.1, 2) == [[0, 1, 2], [3, 4]]
+
+
+def test_pieces(spark):
+    cut = lambda t, n: one(spark, tx.paragraph_pieces(F.col("t"), n), t=t)
+    assert cut("aaa\nbbb\nccc", 7) == ["aaa\nbbb", "ccc"]
+    assert cut("aaa", 7) == ["aaa"] and cut("a" * 9, 7) == ["a" * 9] and cut("\n\naaaa\nbbbb", 7) == ["aaaa", "bbbb"]
+    text = "\n".join("x" * k for k in range(1, 40))
+    assert "\n".join(cut(text, 50)) == text and max(map(len, cut(text, 50))) <= 50
+
+
+def test_gate(spark):
+    """Themes that equal the labels pass against one theme for all; one theme for all does not."""
+    rows = [([f"t{k % 8}"], ["all"], [f"l{k % 8}"]) for k in range(80)]
+    items = spark.createDataFrame(rows, "new array<string>, base array<string>, gold array<string>")
+    good = gate.gate(items, [], resamples=200).first()
+    assert good.passed and good.f_new == pytest.approx(1) and (good.coverage, good.mean_themes, good.largest_share) == (1.0, 1.0, 0.125)
+    bad = gate.gate(items.select(F.col("base").alias("new"), F.col("new").alias("base"), "gold"), [], resamples=200).first()
+    assert not bad.passed and not bad.better and not bad.wide and bad.delta < 0
