@@ -160,7 +160,7 @@ def _listed(need: int, parts: int, rare):
 
     def run(batches):
         seen: dict[int, tuple] = {}
-        box = Outbox(coarse(parts))
+        box = Outbox(parts)
         for batch in batches:
             ids, rows = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
             for a, b in slices(batch.column(2)):
@@ -275,7 +275,7 @@ def _met(need: int, parts: int):
     """Parts by key and by name -> parts by line: GONE and PAIRS; and HOT rows (key, id, row, line) of lists with more to see."""
 
     def run(batches):
-        box = Outbox(coarse(parts))
+        box = Outbox(parts)
         for _, kinds in received(batches):
             if GONE in kinds:
                 box.add(GONE, *kinds[GONE])
@@ -467,7 +467,7 @@ def _again(need: int, parts: int, rare, inside, only, asked):
     """Blobs of lists to compare in full: rows with parity bits; lists above LIST_ROWS in blocks, to all of which the asked lines go."""
 
     def run(batches):
-        box = Outbox(coarse(parts))
+        box = Outbox(parts)
         for batch in batches:
             batch, ids, rows = _near(batch, inside)
             for a, b in slices(batch.column(2)):
@@ -500,7 +500,7 @@ def _full(need: int, parts: int):
     """Parts by list -> parts by line: PAIRS of every asked line and all earlier lines of its lists that can be similar."""
 
     def run(batches):
-        box = Outbox(coarse(parts))
+        box = Outbox(parts)
         for _, kinds in received(batches):
             if KEYS not in kinds:
                 continue
@@ -543,8 +543,9 @@ def repeated_lines(docs: DataFrame, *, id_col: str, text_col: str, need: int = 8
     rare = spark.sparkContext.broadcast(counts)
     words = float(np.exp2(counts / 8.0).sum() - BUCKETS)
     parts = max(spark.sparkContext.defaultParallelism, int(0.45 * words / PART_KEYS) + 1)
+    first = coarse(parts)
     line, ends = ["id", "row", "line"], ["id2", "row2", "line2"]
-    met = exchange(texts.mapInArrow(_listed(need, parts, rare), SCHEMA), parts).mapInArrow(_met(need, parts), SCHEMA)
+    met = exchange(texts.mapInArrow(_listed(need, first, rare), SCHEMA), parts).mapInArrow(_met(need, first), SCHEMA)
     met = space.table(exchange(met, parts).mapInArrow(_settled(), _SETTLED))
     gone = met.where(F.col("kind") == GONE).select(*line)
     offers = met.where(F.col("kind") == PAIRS)
@@ -560,7 +561,7 @@ def repeated_lines(docs: DataFrame, *, id_col: str, text_col: str, need: int = 8
         only = spark.sparkContext.broadcast(bloom(keys, keys.count()))
         keys = space.table(hot.mapInArrow(_hot_texts(only), "key long"))
         inside = spark.sparkContext.broadcast(bloom(keys, keys.count()))
-        rest = exchange(texts.mapInArrow(_again(need, parts, rare, inside, only, asked), SCHEMA), parts).mapInArrow(_full(need, parts), SCHEMA)
+        rest = exchange(texts.mapInArrow(_again(need, first, rare, inside, only, asked), SCHEMA), parts).mapInArrow(_full(need, first), SCHEMA)
         rest = exchange(rest, parts).mapInArrow(_settled(), _SETTLED).select(*line, *ends)
         rest = rest.unionByName(pairs.where(F.col("turn") > OFFERS).drop("turn")).distinct()
         rest = rest.join(open_, line, "left_semi").join(pairs.where(F.col("turn") <= OFFERS).drop("turn"), [*line, *ends], "left_anti")
