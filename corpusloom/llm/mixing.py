@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import free_names, read, WORD, Workspace
+from .common import WORD, Workspace, free_names, read
 
 WEIGHTS = (3.0, 1.0, 2.0)
 CAP = 2

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, gram_hashes, hashed_words, join_groups, read
+from .common import Workspace, gram_hashes, hashed_words, join_groups, ordered_ids, read
 from .fm_index import FMIndex
 from .sketches import bloom, split_by
 
@@ -231,14 +231,19 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """One row per row of docs: id, n_words, n_removed and kept, the words that stay joined by one space (digest: their SHA-256).
 
     Null and empty texts have no words. Rows without an id neither lose words nor make others lose
-    any. Rows that share an id do not make each other lose words. Other columns of docs are not looked
-    at; an empty table gives an empty result.
+    any. Rows that share an id do not make each other lose words. Ids of any type that can be ordered
+    are taken. Texts of any length are taken whole. Other columns of docs are not looked at; an empty
+    table gives an empty result.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    spans = repeated_spans(docs, id_col=id_col, text_col=text_col, n=n, k=k)
-    texts = docs.select(F.col(id_col).alias("id0"), F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row"))
     space = Workspace(docs.sparkSession, "substring_spans")
-    spans = space.table(spans)
+    texts = docs.select(F.col(id_col).alias("id0"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("row"))
+    order = ordered_ids(space, texts.select("id0"))
+    if order is None:
+        texts = texts.withColumn("id", F.col("id0").cast("long"))
+    else:
+        texts = texts.join(order.select(F.col("id").alias("id0"), F.col("number").alias("id")), "id0", "left")
+    spans = space.table(repeated_spans(texts, id_col="id", text_col="text", n=n, k=k))
     some, rest = split_by(texts, F.xxhash64("id", "row"), spans.select(F.xxhash64("id", "row").alias("key")), spans.count())
     joined = some.join(spans.hint("shuffle_hash"), ["id", "row"], "left").unionByName(rest, allowMissingColumns=True)
     joined = joined.select(F.col("id0").alias("id"), "text", "starts", "ends")

@@ -371,3 +371,11 @@ def test_rows_with_helper_names(spark):
     assert {tuple(r[c] for c in names) for r in out} == {x[3:] for x in rows}
     again = mixing.mixed_rows(docs)
     assert again.columns == docs.columns and {tuple(r[c] for c in names) for r in again.collect()} <= {x[3:] for x in rows}
+
+
+def test_ids_of_other_types(spark):
+    """Ids are ordered as their type orders them."""
+    passage = " ".join(f"p{k}" for k in range(20))
+    rows = [("b", passage + " tail"), ("a10", "head " + passage), ("a9", None), (None, passage)]
+    out = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert {(r.doc_id, r.n_words, r.n_removed, r.kept) for r in out} == {("a10", 21, 0, "head " + passage), ("b", 21, 20, "tail"), ("a9", 0, 0, ""), (None, 20, 0, passage)}
