@@ -114,20 +114,19 @@ sql("prj03_stable_key", "SELECT doc_id, CASE WHEN source IN ('src0', 'src1') THE
 
 # --- scalar functions -------------------------------------------------------------------------
 
-_MD = r"(SELECT doc_id, '# ' || substr(text, 1, 80) || E'\n\n> [link](http://a.b/' || doc_id || ') and <b>bold</b> . ' || '![pic](x.png) **' || substr(text, 81, 200) || E'**\n```\ncode\n```\nfile%20name ' || doc_id || '.jpg end' AS md FROM documents)"
+_MD = r"(SELECT doc_id, '# ' || substr(text, 1, 80) || E'\n\n> [link](http://a.b/' || doc_id || ') and <b>bold</b> . ' || '![pic](x.png) **' || substr(text, 81) || E'**\n```\ncode\n```\nfile%20name ' || doc_id || '.jpg end' AS md FROM documents)"
 
 
-def _markdown(spark, sf, whole: bool = False):
+def _markdown(spark, sf):
+    """Whole texts as a page: a heading, a link, and all the rest between markers."""
     n = F.col("doc_id").cast("string")
-    rest = F.substr(F.col("text"), F.lit(81)) if whole else F.substring("text", 81, 200)
-    return table(spark, sf, "documents").select("doc_id", F.concat(F.lit("# "), F.substring("text", 1, 80), F.lit("\n\n> [link](http://a.b/"), n, F.lit(") and <b>bold</b> . ![pic](x.png) **"), rest, F.lit("**\n```\ncode\n```\nfile%20name "), n, F.lit(".jpg end")).alias("md"))
+    return table(spark, sf, "documents").select("doc_id", F.concat(F.lit("# "), F.substring("text", 1, 80), F.lit("\n\n> [link](http://a.b/"), n, F.lit(") and <b>bold</b> . ![pic](x.png) **"), F.substr(F.col("text"), F.lit(81)), F.lit("**\n```\ncode\n```\nfile%20name "), n, F.lit(".jpg end")).alias("md"))
 
 
 _STRIP = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
  md, '(?s)```.*?```', ' ', 'g'), '!\[[^\]]*\]\([^)]*\)', ' ', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '<[^>]+>', ' ', 'g'),
  '(?i)\S*%[0-9A-Fa-f]{2}\S*|\S+\.(?:jpg|jpeg|png|gif|webp|svg|pdf)\b', ' ', 'g'), '(?m)^[ \t]{0,3}(?:[#>]+|[-+*])[ \t]+', '', 'g'), '[*]+', '', 'g'), '\s+', ' ', 'g'), '\s+([,.;:!?…])', '\1', 'g'))"""
 query("f01_strip_markup", f"SELECT doc_id, {_STRIP} AS plain FROM {_MD}")(lambda spark, sf: _markdown(spark, sf).select("doc_id", tx.strip_markup(F.col("md")).alias("plain")))
-query("f01_strip_markup_whole", None)(lambda spark, sf: _markdown(spark, sf, whole=True).select("doc_id", tx.strip_markup(F.col("md")).alias("plain")))
 sql("f02_word_count", "SELECT doc_id, word_count FROM @sized")
 query("f03_strip_html", r"SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS plain FROM pages")(lambda spark, sf: table(spark, sf, "pages").select("page_id", tx.strip_html(F.col("html")).alias("plain")))
 
@@ -145,20 +144,12 @@ def markdown_qa(spark, sf):
     return _markdown(spark, sf).select("doc_id", odd["fences"].alias("odd_fences"), odd["emphasis"].alias("odd_emphasis"))
 
 
-@query("f07_markdown_qa_whole", None)
-def markdown_qa_whole(spark, sf):
-    odd = tx.odd_markers(F.col("md"))
-    return _markdown(spark, sf, whole=True).select("doc_id", odd["fences"].alias("odd_fences"), odd["emphasis"].alias("odd_emphasis"))
-
-
-_IMPORT_SLUG = "regexp_replace(regexp_replace(translate(lower(substr(text, 1, 120)), 'áàâäãåéèêëíìîïóòôöõőúùûüűñçýÿ', 'aaaaaaeeeeiiiioooooouuuuuncyy'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
+_IMPORT_SLUG = "regexp_replace(regexp_replace(translate(lower(text), 'áàâäãåéèêëíìîïóòôöõőúùûüűñçýÿ', 'aaaaaaeeeeiiiioooooouuuuuncyy'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
 query("f08_import_slug", f"SELECT doc_id, CASE WHEN s = '' THEN 'bejegyzes' WHEN length(s) <= 70 THEN s WHEN contains(substr(s, 1, 70), '-') THEN regexp_replace(substr(s, 1, 70), '-[^-]*$', '') ELSE substr(s, 1, 70) END AS slug FROM (SELECT doc_id, {_IMPORT_SLUG} AS s FROM documents)")(
-    lambda spark, sf: table(spark, sf, "documents").select("doc_id", tx.import_slug(F.substring("text", 1, 120)).alias("slug"))
+    lambda spark, sf: table(spark, sf, "documents").select("doc_id", tx.import_slug(F.col("text")).alias("slug"))
 )
-query("f08_import_slug_whole", None)(lambda spark, sf: table(spark, sf, "documents").select("doc_id", tx.import_slug(F.col("text")).alias("slug")))
 query("f09_hub_slug", r"SELECT term, regexp_replace(regexp_replace(strip_accents(replace(lower(term), 'ß', 'ss')), '[^\p{L}\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM " + _RAW)(lambda spark, sf: _raw_terms(spark, sf).select("term", tx.hub_slug(un.fold("term")).alias("slug")))
-query("f10_term_directory", r"SELECT doc_id, regexp_replace(lower(trim(substr(text, 1, 60))), '\s+', '-', 'g') AS directory FROM documents")(lambda spark, sf: table(spark, sf, "documents").select("doc_id", tx.term_directory(F.substring("text", 1, 60)).alias("directory")))
-query("f10_term_directory_whole", None)(lambda spark, sf: table(spark, sf, "documents").select("doc_id", tx.term_directory(F.col("text")).alias("directory")))
+query("f10_term_directory", r"SELECT doc_id, regexp_replace(lower(trim(text)), '\s+', '-', 'g') AS directory FROM documents")(lambda spark, sf: table(spark, sf, "documents").select("doc_id", tx.term_directory(F.col("text")).alias("directory")))
 query("f11_nfkc", None)(lambda spark, sf: _raw_terms(spark, sf).select("term", un.nfkc("term").alias("composed")))
 query("f12_fold", "SELECT term, strip_accents(replace(lower(term), 'ß', 'ss')) AS folded FROM " + _RAW)(lambda spark, sf: _raw_terms(spark, sf).select("term", un.fold("term").alias("folded")))
 query("f13_acronym", r"SELECT name, regexp_matches(regexp_replace(name, '[^\p{L}]', '', 'g'), '^\p{Lu}{2,}$') AS acronym FROM (SELECT DISTINCT unnest([o_orderpriority, lower(o_orderpriority), o_orderstatus]) AS name FROM orders)")(
@@ -196,7 +187,10 @@ query("f20_first_sentence", "SELECT doc_id, substr(regexp_extract(text, '^[^.!?]
 sql("f21_url_and_format", "SELECT n_nationkey, concat('/tag/', replace(lower(n_name), '_', '-'), '/') AS permalink, lpad(CAST(n_nationkey AS VARCHAR(9)), 3, '0') AS padded, n_name LIKE 'NATION%' AS prefixed FROM @nation")
 
 
-@query("f22_chunk_words", r"SELECT doc_id, k AS chunk, len(w[k * 80 + 1 : k * 80 + 80])::BIGINT AS n_words, array_to_string(w[k * 80 + 1 : k * 80 + 80], ' ') AS chunk_text FROM (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents), unnest(range(CAST(ceil(len(w) / 80.0) AS BIGINT))) AS t(k)")
+_CHUNKS = r"SELECT doc_id, k AS chunk, len(w[k * 80 + 1 : k * 80 + 80])::BIGINT AS n_words, array_to_string(w[k * 80 + 1 : k * 80 + 80], ' ') AS chunk_text FROM (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents), unnest(range(CAST(ceil(len(w) / 80.0) AS BIGINT))) AS t(k)"
+
+
+@query("f22_chunk_words", _CHUNKS)
 def chunk_words(spark, sf):
     rows = table(spark, sf, "documents").select("doc_id", F.posexplode(tx.chunk_texts(F.col("text"), 80)).alias("chunk", "piece"))
     ws = F.regexp_extract_all("piece", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
@@ -204,33 +198,24 @@ def chunk_words(spark, sf):
 
 
 query("f23_pieces", None)(lambda spark, sf: table(spark, sf, "documents").select("doc_id", F.posexplode(tx.paragraph_pieces(F.col("text"), 600)).alias("pos", "piece")))
-sql("f24_prefix", "SELECT doc_id, concat('passage: ', substr(text, 1, 200)) AS prefixed FROM @documents")
-query("f24_prefix_chunks", None)(lambda spark, sf: chunk_words(spark, sf).select("doc_id", "chunk", F.concat(F.lit("passage: "), "chunk_text").alias("prefixed")))
+query("f24_prefix", f"SELECT doc_id, chunk, 'passage: ' || chunk_text AS prefixed FROM ({_CHUNKS})")(lambda spark, sf: chunk_words(spark, sf).select("doc_id", F.col("chunk"), F.concat(F.lit("passage: "), "chunk_text").alias("prefixed")))
 query("f25_sentences", None)(lambda spark, sf: table(spark, sf, "documents").select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("pos", "sentence")))
-query("f26_matches_lemma", "SELECT n.term, m.term AS lemma FROM (SELECT DISTINCT term FROM @tokens WHERE length(term) BETWEEN 7 AND 9) n JOIN (SELECT DISTINCT term FROM @tokens WHERE length(term) = 7) m ON substr(n.term, 1, 5) = substr(m.term, 1, 5)")(
-    lambda spark, sf: _prefix_matches(table(spark, sf, "documents").select(F.explode(tx.tokens(F.col("text"))).alias("term")).distinct())
-)
-
-
-def _prefix_matches(terms):
-    """An equi-join on the prefix, not a comparison of all pairs."""
-    left = terms.where("length(term) BETWEEN 7 AND 9").withColumn("p", F.substring("term", 1, 5))
-    right = terms.where("length(term) = 7").select(F.col("term").alias("lemma"), F.substring("term", 1, 5).alias("p"))
-    return left.join(right, "p").where(tx.matches_lemma(F.col("term"), F.col("lemma"))).select("term", "lemma")
-
-
-#: Parts that the forms of one prefix are dealt out to: many forms share a first letter.
-_PREFIX_PARTS = 16
-
-
-@query("f26_matches_lemma_all", None)
-def matches_lemma_all(spark, sf):
-    """Forms and lemmas of any length: a lemma's key is its first five letters, or all of it; a form has a key for each of its prefixes up to five letters."""
+@query("f26_matches_lemma", """
+WITH t AS (SELECT DISTINCT term FROM @tokens), l AS (SELECT substr(term, 1, 5) AS p, count(*) AS n, min(term) AS lo, max(term) AS hi FROM t GROUP BY 1),
+f AS (SELECT term, substr(term, 1, k) AS p FROM t, unnest(range(1, least(length(term), 5) + 1)) AS u(k))
+SELECT term, CAST(sum(n) AS BIGINT) AS n_lemmas, min(lo) AS first_lemma, max(hi) AS last_lemma FROM f JOIN l USING (p) GROUP BY term""")
+def matches_lemma(spark, sf):
+    """Each term as a form: how many terms are a lemma that it matches, the first and the last of them.
+
+    Lemmas of one prefix match the same forms, so they are counted as one class; no pair is written out. A lemma's key is its first
+    five letters, or all of it; a form has a key for each of its prefixes up to five letters.
+    """
     terms = table(spark, sf, "documents").select(F.explode(tx.tokens(F.col("text"))).alias("term")).distinct()
-    prefixes = F.transform(F.sequence(F.lit(1), F.least(F.length("term"), F.lit(5))), lambda n: F.substr(F.col("term"), F.lit(1), n))
-    forms = terms.select("term", F.explode(prefixes).alias("p")).withColumn("part", F.pmod(F.hash("term"), F.lit(_PREFIX_PARTS)))
-    lemmas = terms.select(F.col("term").alias("lemma"), F.substring("term", 1, 5).alias("p"), F.explode(F.sequence(F.lit(0), F.lit(_PREFIX_PARTS - 1))).alias("part"))
-    return forms.join(lemmas, ["p", "part"]).select("term", "lemma")
+    classes = terms.groupBy(F.substring("term", 1, 5).alias("p")).agg(F.count("*").alias("n"), F.min("term").alias("lo"), F.max("term").alias("hi"))
+    prefixes = F.transform(F.sequence(F.lit(1), F.length("head")), lambda n: F.substr(F.col("head"), F.lit(1), n))
+    forms = classes.select(F.col("p").alias("head")).select("head", F.explode(prefixes).alias("p"))
+    found = forms.join(classes, "p").groupBy("head").agg(F.sum("n").alias("n_lemmas"), F.min("lo").alias("first_lemma"), F.max("hi").alias("last_lemma"))
+    return terms.withColumn("head", F.substring("term", 1, 5)).join(found, "head").select("term", "n_lemmas", "first_lemma", "last_lemma")
 
 
 _EVIDENCE = ("the", "of", "que", "der", "las")

@@ -44,20 +44,10 @@ def band_anti(spark, sf):
 sql("j15_tag_index", "SELECT e.event_id, coalesce(t.n, 0) AS n FROM @events e LEFT JOIN (SELECT user_id, count(*) AS n FROM @events WHERE event_type = 'click' GROUP BY user_id) t ON e.user_id = t.user_id")
 
 
-@query("j16_unreferenced", r"SELECT p.name FROM (SELECT DISTINCT '/' || term AS name FROM @tokens WHERE length(term) = 4) p WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT lower(unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1))) AS name FROM pages) u WHERE u.name = p.name)".replace('\\"', '"'))
+@query("j16_unreferenced", r"SELECT p.name FROM (SELECT DISTINCT '/' || term AS name FROM @tokens) p WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT lower(unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1))) AS name FROM pages) u WHERE u.name = p.name)".replace('\\"', '"'))
 def unreferenced(spark, sf):
     """Names that no page mentions: names are extracted once and joined, instead of searched in every page."""
-    return _unreferenced(spark, sf, _tokens(spark, sf).where("length(term) = 4"))
-
-
-@query("j16_unreferenced_all", None)
-def unreferenced_all(spark, sf):
-    """The same for names of any length."""
-    return _unreferenced(spark, sf, _tokens(spark, sf))
-
-
-def _unreferenced(spark, sf, terms):
-    names = terms.select(F.concat(F.lit("/"), "term").alias("name")).distinct()
+    names = _tokens(spark, sf).select(F.concat(F.lit("/"), "term").alias("name")).distinct()
     used = table(spark, sf, "pages").select(F.explode(F.regexp_extract_all("html", F.lit(r'<a href="([^"]*)"'), F.lit(1))).alias("name")).select(F.lower("name").alias("name")).distinct()
     return names.join(used, "name", "left_anti")
 
@@ -116,25 +106,14 @@ def hub_members(spark, sf):
 
 
 @query("agg10_day_spine", """
-WITH d AS (SELECT CAST(ts AS DATE) AS day FROM events WHERE event_type = 'error' AND value > 40 UNION ALL SELECT CAST(o_orderdate AS DATE) + 9500 FROM orders WHERE o_orderstatus = 'P' AND o_totalprice > 490000),
+WITH d AS (SELECT CAST(ts AS DATE) AS day FROM events UNION ALL SELECT CAST(o_orderdate AS DATE) + 9500 FROM orders),
 b AS (SELECT min(day) AS lo, max(day) AS hi FROM d), s AS (SELECT CAST(unnest(generate_series(lo::TIMESTAMP, hi::TIMESTAMP, INTERVAL 1 DAY)) AS DATE) AS day FROM b),
 c AS (SELECT s.day, count(d.day) AS n FROM s LEFT JOIN d USING (day) GROUP BY s.day)
 SELECT day, n, round(100.0 * n / max(n) OVER (), 6) AS share FROM c""")
 def day_spine(spark, sf):
     """Counts over the union of two sources, gaps filled, as a share of the largest."""
-    e = table(spark, sf, "events").where("event_type = 'error' AND value > 40").select(F.to_date("ts").alias("day"))
-    o = table(spark, sf, "orders").where("o_orderstatus = 'P' AND o_totalprice > 490000").select(F.date_add(F.to_date("o_orderdate"), 9500).alias("day"))
-    return _spine(e.unionByName(o))
-
-
-@query("agg10_day_spine_all", None)
-def day_spine_all(spark, sf):
-    """The same over all rows of both sources."""
     e = table(spark, sf, "events").select(F.to_date("ts").alias("day"))
-    return _spine(e.unionByName(table(spark, sf, "orders").select(F.date_add(F.to_date("o_orderdate"), 9500).alias("day"))))
-
-
-def _spine(days):
+    days = e.unionByName(table(spark, sf, "orders").select(F.date_add(F.to_date("o_orderdate"), 9500).alias("day")))
     counts = days.groupBy("day").agg(F.count("*").alias("n"))
     bounds = counts.agg(F.min("day").alias("lo"), F.max("day").alias("hi"), F.max("n").alias("top"))
     spine = bounds.select(F.explode(F.sequence("lo", "hi")).alias("day"), "top")
