@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,13 +49,27 @@ def strip_html(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, TAG, " "), r"(?U)\s+", " "))
 
 
-# Accents that fold to ASCII letters in slugs of imported posts.
-ACCENTED = "áàâäãåéèêëíìîïóòôöõőúùûüűñçýÿ"
-PLAIN = "aaaaaaeeeeiiiioooooouuuuuncyy"
+def _unaccented() -> tuple[str, str]:
+    """Characters that decompose to one ASCII letter or digit with marks, what they become, and the marks, which have no partner and go."""
+    single, plain, marks = [], [], []
+    for c in map(chr, (*range(0xA0, 0xD800), *range(0xF900, 0x10000))):
+        base = "".join(b for b in unicodedata.normalize("NFKD", c) if not unicodedata.combining(b))
+        if unicodedata.combining(c):
+            marks.append(c)
+        elif len(base) == 1 and base.isascii() and base.isalnum():
+            single.append(c)
+            plain.append(base.lower())
+    return "".join(single + marks), "".join(plain)
+
+
+ACCENTED, PLAIN = _unaccented()
 
 
 def import_slug(text: Column, most: int = 70) -> Column:
-    """ASCII slug, cut at a hyphen within `most` characters; a fixed word where nothing is left."""
+    """ASCII slug without accents, cut at a hyphen within `most` characters; a fixed word where nothing is left.
+
+    A character that decomposes to several (a ligature, a fraction) is no letter here and becomes a hyphen.
+    """
     slug = F.regexp_replace(F.regexp_replace(F.translate(F.lower(text), ACCENTED, PLAIN), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
     head = F.substring(slug, 1, most)
     cut = F.when(F.length(slug) <= most, slug).otherwise(F.when(F.contains(head, F.lit("-")), F.regexp_replace(head, r"-[^-]*$", "")).otherwise(head))

@@ -144,7 +144,7 @@ def markdown_qa(spark, sf):
     return _markdown(spark, sf).select("doc_id", odd["fences"].alias("odd_fences"), odd["emphasis"].alias("odd_emphasis"))
 
 
-_IMPORT_SLUG = "regexp_replace(regexp_replace(translate(lower(text), 'áàâäãåéèêëíìîïóòôöõőúùûüűñçýÿ', 'aaaaaaeeeeiiiioooooouuuuuncyy'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
+_IMPORT_SLUG = "regexp_replace(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
 query("f08_import_slug", f"SELECT doc_id, CASE WHEN s = '' THEN 'bejegyzes' WHEN length(s) <= 70 THEN s WHEN contains(substr(s, 1, 70), '-') THEN regexp_replace(substr(s, 1, 70), '-[^-]*$', '') ELSE substr(s, 1, 70) END AS slug FROM (SELECT doc_id, {_IMPORT_SLUG} AS s FROM documents)")(
     lambda spark, sf: table(spark, sf, "documents").select("doc_id", tx.import_slug(F.col("text")).alias("slug"))
 )

@@ -212,3 +212,13 @@ def test_gate(spark):
     assert good.passed and good.f_new == pytest.approx(1) and (good.coverage, good.mean_themes, good.largest_share) == (1.0, 1.0, 0.125)
     bad = gate.gate(items.select(F.col("base").alias("new"), F.col("new").alias("base"), "gold"), [], resamples=200).first()
     assert not bad.passed and not bad.better and not bad.wide and bad.delta < 0
+
+
+def test_import_slug_folds_every_accent(spark):
+    from pyspark.sql import functions as F
+
+    from corpusloom.functions import text as tx
+
+    cases = {"Čeština šála": "cestina-sala", "Őszi TŰZ": "oszi-tuz", "été": "ete", "ﬁn ½": "n", "İstanbul": "istanbul", "½": "bejegyzes", "": "bejegyzes", "Smørrebrød": "sm-rrebr-d", "ế": "e", "ａｂ１": "ab1"}
+    rows = spark.createDataFrame([(k,) for k in cases], "s string").select("s", tx.import_slug(F.col("s")).alias("slug")).collect()
+    assert {r.s: r.slug for r in rows} == cases
