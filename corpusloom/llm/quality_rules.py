@@ -128,3 +128,14 @@ b AS (SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_re
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, n_lines, fail_bits, 2 AS policy
 FROM b
 """
+
+
+def ablation_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the current policy rejects, and what only it rejects."""
+    return ablation(ledger(read(spark, sf_dir, "documents")))
+
+
+ABLATION_ORACLE = (
+    f"WITH rows AS ({ORACLE}), p AS (SELECT *, fail_bits & {mask(CURRENT)} AS bits FROM rows)\n"
+    + "\nUNION ALL ".join(f"SELECT '{r}' AS rule, count(*) FILTER (WHERE bits & {1 << RULES[r][0]} <> 0) AS n_fails, count(*) FILTER (WHERE bits = {1 << RULES[r][0]}) AS n_alone, count(*) AS n, count(*) FILTER (WHERE bits <> 0) AS n_rejected FROM p" for r in POLICIES[CURRENT])
+)

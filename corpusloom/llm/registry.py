@@ -13,10 +13,12 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "ablation_quality_rules": quality_rules.ablation_quality_rules,
 }
 ORACLES = {
     "op9_substring_dedup": substring_dedup.ORACLE,
     "op3_url_templates": url_filter.ORACLE,
     "op4_exact_dedup": exact_dedup.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
+    "ablation_quality_rules": quality_rules.ABLATION_ORACLE,
 }

@@ -87,6 +87,33 @@ def test_quality_rules(docs, rows, none):
     assert rule["few_words"].n_fails == sum(len(words(t)) < 50 for _, t, _ in rows)
 
 
+def test_ablation_query_and_sql(spark, docs, rows, tmp_path):
+    """Counts by rule against the ledger's own columns read one by one, and the SQL on the same rows."""
+    import duckdb
+
+    docs.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.rule: (r.n_fails, r.n_alone, r.n, r.n_rejected) for r in quality_rules.ablation_quality_rules(spark, str(tmp_path)).collect()}
+    fails = []
+    for _, t, _ in rows:
+        n, chars, symbols, lines, dup, repeat = quality_rules.measure(t)
+        checks = {"few_words": n < 50, "repeated_words": 2 * repeat > n, "symbols": 10 * symbols > n, "repeated_lines": lines >= 4 and 2 * dup > lines, "short_words": chars < 2 * n, "long_words": chars > 20 * n}
+        fails.append({r for r, bad in checks.items() if bad})
+    rejected = sum(map(bool, fails))
+    assert got == {r: (sum(r in f for f in fails), sum(f == {r} for f in fails), len(rows), rejected) for r in checks}
+    assert got["few_words"][1] > 0 and got["repeated_words"][1] > 0
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert {r[0]: tuple(r[1:]) for r in con.sql(quality_rules.ABLATION_ORACLE).fetchall()} == got
+
+
+def test_toxicity_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(i, "x" * (10 if i % 2 else 30), "en") for i in range(40)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 3 % 2) for i in range(40)], "doc_id long, toxic int")
+    taken = toxicity.labelled_sample(docs, labels, "doc_id", "text", "toxic", "lang", 5, 20, (0, 1, 3))
+    assert 0 < len(taken) <= 10 and all(i % 2 and t == "x" * 10 for _, i, t, _, _ in taken)
+    assert len(toxicity.labelled_sample(docs, labels, "doc_id", "text", "toxic", "lang", 5, 30, (0, 1, 3))) == 10
+
+
 def test_mixing(docs, rows, none):
     got = mixing.mix(docs, part_rows=20).collect()
     size = {s: sum(len(words(t)) for _, t, x in rows if x == s) for s in ("a", "b", "c", None)}
