@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL, for __spark_entry__.py."""
 
-from . import bpe, exact_dedup, html_extract, line_dedup, mixing, ngram_join, quality_rules, substring_dedup, toxicity, url_filter
+from . import bpe, chat_repair, exact_dedup, html_extract, line_dedup, merkle, mixing, ngram_join, quality_rules, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_html_crf": html_extract.op1_html_crf,
@@ -13,6 +13,8 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op11_conversation_repair": chat_repair.op11_conversation_repair,
+    "op13_merkle_manifest": merkle.op13_merkle_manifest,
     "ablation_quality_rules": quality_rules.ablation_quality_rules,
 }
 ORACLES = {
@@ -20,5 +22,7 @@ ORACLES = {
     "op3_url_templates": url_filter.ORACLE,
     "op4_exact_dedup": exact_dedup.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
+    "op11_conversation_repair": chat_repair.ORACLE,
+    "op13_merkle_manifest": merkle.ORACLE,
     "ablation_quality_rules": quality_rules.ABLATION_ORACLE,
 }
