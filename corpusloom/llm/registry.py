@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL, for __spark_entry__.py."""
 
-from . import bpe, chat_repair, exact_dedup, html_extract, line_dedup, merkle, mixing, ngram_join, quality_rules, substring_dedup, toxicity, url_filter
+from . import bpe, chat_format, chat_repair, exact_dedup, html_extract, line_dedup, merkle, mixing, ngram_join, quality_rules, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_html_crf": html_extract.op1_html_crf,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_quality_rules": quality_rules.op10_quality_rules,
     "op11_conversation_repair": chat_repair.op11_conversation_repair,
+    "op12_chat_windows": chat_format.op12_chat_windows,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
     "ablation_quality_rules": quality_rules.ablation_quality_rules,
 }
@@ -23,6 +24,7 @@ ORACLES = {
     "op4_exact_dedup": exact_dedup.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
     "op11_conversation_repair": chat_repair.ORACLE,
+    "op12_chat_windows": chat_format.ORACLE,
     "op13_merkle_manifest": merkle.ORACLE,
     "ablation_quality_rules": quality_rules.ABLATION_ORACLE,
 }
