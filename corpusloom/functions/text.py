@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import unicodedata
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import unicode as un
+
 #: Unicode words; DuckDB and Java agree on this pattern, while they differ on \w.
 TOKEN = r"[\p{L}\p{N}_]+"
 WORDLIKE = r"^\p{L}[\p{L}\p{N}.\-]*$"
@@ -21,9 +21,27 @@ URL_JUNK = r"(?i)\S*%[0-9A-Fa-f]{2}\S*|\S+\.(?:jpg|jpeg|png|gif|webp|svg|pdf)\b"
 LINE_MARKER = r"(?m)^[ \t]{0,3}(?:[#>]+|[-+*])[ \t]+"
 
 
+#: Words of junk, tried once each and not from every letter of a word.
+_JUNK_WORDS = r"(?U)(?i)(?<!\S)(?:" + URL_JUNK.removeprefix("(?i)") + ")"
+
+
+def _replaced_up_to(text: Column, last: str, pattern: str, to: str) -> Column:
+    """The pattern replaced in what stands before the last `last`, with which every match ends: openings that nothing closes are not searched from."""
+
+    def replaced(t):
+        rest = F.length(F.substring_index(t, last, -1))
+        return F.concat(F.regexp_replace(F.left(t, F.length(t) - rest), pattern, to), F.right(t, rest))
+
+    # one name for the text, or each step would hold the steps before it several times over
+    return F.element_at(F.transform(F.array(text), lambda t: replaced(t)), 1)
+
+
 def strip_markup(text: Column) -> Column:
     """Markdown -> plain prose; the order of the steps matters."""
-    for pattern, to in ((CODE_FENCE, " "), (IMAGE, " "), (LINK, "$1"), (TAG, " "), ("(?U)" + URL_JUNK, " "), (LINE_MARKER, ""), (r"[*]+", ""), (r"(?U)\s+", " "), (r"(?U)\s+([,.;:!?…])", "$1")):
+    text = F.regexp_replace(text, CODE_FENCE, " ")
+    for end, pattern, to in ((")", IMAGE, " "), (")", LINK, "$1"), (">", TAG, " ")):
+        text = _replaced_up_to(text, end, pattern, to)
+    for pattern, to in ((_JUNK_WORDS, " "), (LINE_MARKER, ""), (r"[*]+", ""), (r"(?U)\s+", " "), (r"(?U)\s+([,.;:!?…])", "$1")):
         text = F.regexp_replace(text, pattern, to)
     return F.trim(text)
 
@@ -46,31 +64,15 @@ def length_class(n_words: Column) -> Column:
 
 
 def strip_html(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(text, TAG, " "), r"(?U)\s+", " "))
-
-
-def _unaccented() -> tuple[str, str]:
-    """Characters that decompose to one ASCII letter or digit with marks, what they become, and the marks, which have no partner and go."""
-    single, plain, marks = [], [], []
-    for c in map(chr, (*range(0xA0, 0xD800), *range(0xF900, 0x10000))):
-        base = "".join(b for b in unicodedata.normalize("NFKD", c) if not unicodedata.combining(b))
-        if unicodedata.combining(c):
-            marks.append(c)
-        elif len(base) == 1 and base.isascii() and base.isalnum():
-            single.append(c)
-            plain.append(base.lower())
-    return "".join(single + marks), "".join(plain)
-
-
-ACCENTED, PLAIN = _unaccented()
+    return F.trim(F.regexp_replace(_replaced_up_to(text, ">", TAG, " "), r"(?U)\s+", " "))
 
 
 def import_slug(text: Column, most: int = 70) -> Column:
     """ASCII slug without accents, cut at a hyphen within `most` characters; a fixed word where nothing is left.
 
-    A character that decomposes to several (a ligature, a fraction) is no letter here and becomes a hyphen.
+    Characters that decompose to several (ligatures, fractions) keep all their letters and digits.
     """
-    slug = F.regexp_replace(F.regexp_replace(F.translate(F.lower(text), ACCENTED, PLAIN), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
+    slug = F.regexp_replace(F.regexp_replace(F.lower(un.decomposed(text)), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
     head = F.substring(slug, 1, most)
     cut = F.when(F.length(slug) <= most, slug).otherwise(F.when(F.contains(head, F.lit("-")), F.regexp_replace(head, r"-[^-]*$", "")).otherwise(head))
     return F.when(cut == "", "bejegyzes").otherwise(cut)
@@ -121,21 +123,9 @@ def chunk_texts(text: Column, size: int) -> Column:
 
 
 def paragraph_pieces(text: Column, most: int = 6000) -> Column:
-    """A text in pieces of whole paragraphs (lines), of at most `most` characters unless one paragraph alone is longer."""
-    none = F.array().cast("array<string>")
-
-    def add(state, line):
-        begun = state["last"] != ""
-        full = begun & (F.length(state["last"]) + F.length(line) + 1 > most)
-        done = F.when(full, F.concat(state["done"], F.array(state["last"]))).otherwise(state["done"])
-        last = F.when(full | ~begun, line).otherwise(F.concat(state["last"], F.lit("\n"), line))
-        return F.struct(done.alias("done"), last.alias("last"))
-
-    def end(state):
-        return F.when(state["last"] != "", F.concat(state["done"], F.array(state["last"]))).otherwise(state["done"])
-
-    pieces = F.aggregate(F.split(text, "\n", -1), F.struct(none.alias("done"), F.lit("").alias("last")), add, end)
-    return F.when(F.length(text) <= most, F.array(text)).otherwise(pieces)
+    """A text in pieces of whole paragraphs (lines), of at most `most` characters unless one paragraph alone is longer. A piece does not begin with an empty line."""
+    whole_lines = rf"(?s)[^\n].{{0,{most - 1}}}(?=\n|\z)|[^\n]++"
+    return F.when(F.length(text) <= most, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(whole_lines), F.lit(0)))
 
 
 def matches_lemma(surface: Column, lemma: Column, least: int = 5) -> Column:
@@ -150,10 +140,25 @@ def odd_markers(body: Column) -> Column:
     return F.struct(fences.alias("fences"), emphasis.alias("emphasis"))
 
 
-def yaml_quote(value: Column) -> Column:
-    """Plain where YAML allows it, else in double quotes."""
-    plain = value.rlike(r"^[\p{L}\p{N}][\p{L}\p{N} _./-]*$") & ~F.lower(value).isin("true", "false", "null", "yes", "no", "on", "off") & ~value.rlike(r"^[0-9.\-]+$") & ~F.endswith(value, F.lit(" "))
-    return F.when(plain, value).otherwise(F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(value, r"\\", r"\\\\\\\\"), '"', '\\\\\\\\"'), F.lit('"')))
+#: Fixed value: characters with which a YAML scalar needs quotes.
+YAML_SPECIAL = ":#[]{},&*!|>%@`\"'"
+
+
+def yaml_quote(value: Column, always: bool = False) -> Column:
+    """A scalar of YAML: as it is where nothing in it needs quotes (and they aren't asked for), else in double quotes."""
+    special = "[" + "".join("\\" + c for c in YAML_SPECIAL) + "]"
+    quoted = F.concat(F.lit('"'), F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    plain = (value != "") & ~value.rlike(special) & ~value.rlike(r"(?U)\A\s|\s\z")
+    return quoted if always else F.when(plain, value).otherwise(quoted)
+
+
+def yaml_unquote(value: Column) -> Column:
+    """One pair of quotes off, and what they escape as it was."""
+    bare = F.btrim(value, F.lit(" \t\n\r\x0b\x0c"))
+    inner = F.substring(bare, F.lit(2), F.length(bare) - 2)
+    double = F.regexp_replace(inner, r'\\([\\"])', "$1")
+    quoted = lambda q: (F.length(bare) >= 2) & F.startswith(bare, F.lit(q)) & F.endswith(bare, F.lit(q))
+    return F.when(quoted('"'), double).when(quoted("'"), F.replace(inner, F.lit("''"), F.lit("'"))).otherwise(bare)
 
 
 def content_word(xpostag: Column, pronouns: bool = True) -> Column:

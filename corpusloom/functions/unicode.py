@@ -35,6 +35,12 @@ def fold(s: pd.Series) -> pd.Series:
     return s.map(_fold, na_action="ignore")
 
 
+@F.pandas_udf(T.StringType())
+def decomposed(s: pd.Series) -> pd.Series:
+    """Characters as what they are made of, without their marks: ligatures and fractions give several."""
+    return s.map(lambda x: x if x.isascii() else "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)), na_action="ignore")
+
+
 def normalise_lemma(lemma: Column) -> Column:
     """A lemma without attached endings; null where nothing worth a keyword is left."""
     # every step takes one ending at most, and there are no more of them than hyphens

@@ -90,14 +90,30 @@ def drop_stopwords(spark, sf):
     return rows.join(F.broadcast(stopword_frame(spark)), "term", "left_anti").groupBy("doc_id").agg(F.count("*").alias("n_kept"), F.count_distinct("term").alias("n_terms"))
 
 
-@query("fil12_keyword_lemmas", rf"SELECT doc_id, string_agg(term, ' ' ORDER BY pos) AS lemmas FROM @tokens WHERE term NOT IN {_STOP} AND regexp_matches(term, '{tx.WORDLIKE}') AND NOT (length(term) <= 2 AND regexp_matches(term, '^[\x00-\x7F]+$') AND regexp_matches(term, '[a-z]') AND term NOT IN ('ad', 'fa', 'ma', 'ok')) GROUP BY doc_id")
+#: Words that may hold hyphens, as a lemmatiser gives them.
+_LEMMA = r"[\p{L}\p{N}_]+(?:-[\p{L}\p{N}_]+)*"
+
+
+def _normal_sql(lemma: str) -> str:
+    """SQL for normalise_lemma of a lemma with one hyphen at most."""
+    low = r"[\x00-\x40\x5B-\x7F]*"
+    ended = rf"'(?s)^([\x00-\x7F]+|.*[\p{{Lu}}\p{{Nd}}].*)-(?:{'|'.join(un.HYPHEN_SUFFIXES)}){{1,2}}$'"
+    bare = rf"CASE WHEN regexp_matches({lemma}, {ended}) AND NOT regexp_matches({lemma}, '(?s)^{low}[a-z]{low}-on$') THEN regexp_extract({lemma}, {ended}, 1) ELSE {lemma} END"
+    short = ", ".join(f"'{w}'" for w in un.SHORT_WORDS)
+    return rf"(SELECT CASE WHEN b = '' OR length(b) <= 2 AND regexp_matches(b, '^[\x00-\x40\x5B-\x7F]+$') AND regexp_matches(b, '[a-z]') AND b NOT IN ({short}) THEN NULL ELSE b END FROM (SELECT {bare} AS b))"
+
+
+@query("fil12_keyword_lemmas", rf"""
+WITH l AS (SELECT doc_id, unnest(range(len(w))) AS pos, unnest(w) AS lemma FROM (SELECT doc_id, regexp_extract_all(lower(text), '{_LEMMA}') AS w FROM documents)),
+n AS (SELECT doc_id, pos, {_normal_sql("lemma")} AS lemma FROM l)
+SELECT doc_id, string_agg(lemma, ' ' ORDER BY pos) AS lemmas FROM n WHERE lemma NOT IN {_STOP} AND regexp_matches(lemma, '{tx.WORDLIKE}') GROUP BY doc_id""")
 def keyword_lemmas(spark, sf):
-    """Normalise, drop stopwords, keep what looks like a word; order and repeats stay."""
-    rows = table(spark, sf, "documents").select("doc_id", F.posexplode(tx.tokens(F.col("text"))).alias("pos", "term"))
-    lemmas = rows.select("doc_id", "pos", un.normalise_lemma(F.col("term")).alias("lemma")).where(F.col("lemma").rlike(tx.WORDLIKE))
-    lemmas = lemmas.join(F.broadcast(stopword_frame(spark).withColumnRenamed("term", "lemma")), "lemma", "left_anti")
-    kept = lemmas.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "lemma"))).alias("ls"))
-    return kept.select("doc_id", F.array_join(F.transform("ls", lambda x: x["lemma"]), " ").alias("lemmas"))
+    """Normalise, drop stopwords, keep what looks like a word; order and repeats stay. All of it within a row's array: nothing is shuffled, and only words with a hyphen are searched for endings."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(_LEMMA), F.lit(0))
+    stop = sorted({w for ws in STOPWORDS.values() for w in ws})
+    normal = F.transform(words, lambda w: F.when(F.contains(w, F.lit("-")) | (F.length(w) <= 2), un.normalise_lemma(w)).otherwise(w))
+    kept = F.filter(normal, lambda w: w.isNotNull() & w.rlike(tx.WORDLIKE) & ~w.isin(stop))
+    return table(spark, sf, "documents").select("doc_id", kept.alias("ls")).where(F.size("ls") > 0).select("doc_id", F.array_join("ls", " ").alias("lemmas"))
 
 
 sql("fil13_subjectless", "SELECT doc_id, max(CASE WHEN lower(label) IN ('toxic', 'year-0') THEN 1 ELSE 0 END) = 1 AS subjectless FROM @doc_labels GROUP BY doc_id")
@@ -155,6 +171,21 @@ query("f12_fold", "SELECT term, strip_accents(replace(lower(term), 'ß', 'ss'))
 query("f13_acronym", r"SELECT name, regexp_matches(regexp_replace(name, '[^\p{L}]', '', 'g'), '^\p{Lu}{2,}$') AS acronym FROM (SELECT DISTINCT unnest([o_orderpriority, lower(o_orderpriority), o_orderstatus]) AS name FROM orders)")(
     lambda spark, sf: table(spark, sf, "orders").select(F.explode(F.array("o_orderpriority", F.lower("o_orderpriority"), "o_orderstatus")).alias("name")).distinct().select("name", tx.is_acronym(F.col("name")).alias("acronym"))
 )
+#: Words as they are, and with quotes, a blank and a backslash put to them.
+_SCALARS = r"""(SELECT DISTINCT unnest([term, term || '"', ' ' || term, term || '\' || term, chr(39) || term || chr(39)]) AS value FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS term FROM documents))"""
+
+
+@query("f14_yaml_quote", rf"""SELECT value, CASE WHEN value <> '' AND NOT regexp_matches(value, '[:#\[\]{{}},&*!|>%@`"'']') AND trim(value) = value THEN value ELSE q END AS quoted, q AS always, value AS back
+FROM (SELECT value, '"' || replace(replace(value, '\', '\\'), '"', '\"') || '"' AS q FROM {_SCALARS})""")
+def yaml_scalars(spark, sf):
+    """Words as scalars of YAML and back, with quotes, backslashes and blanks put to them."""
+    term = F.col("term")
+    forms = F.array(term, F.concat(term, F.lit('"')), F.concat(F.lit(" "), term), F.concat(term, F.lit("\\"), term), F.concat(F.lit("'"), term, F.lit("'")))
+    rows = _raw_terms(spark, sf).select(F.explode(forms).alias("value")).distinct()
+    rows = rows.withColumn("quoted", tx.yaml_quote(F.col("value"))).withColumn("always", tx.yaml_quote(F.col("value"), always=True))
+    return rows.withColumn("back", tx.yaml_unquote(F.when(F.startswith("quoted", F.lit('"')), F.col("quoted")).otherwise(F.col("always"))))
+
+
 sql("f15_split_labels", "SELECT o_orderkey, part FROM (SELECT o_orderkey, explode(split(concat(o_orderpriority, '��', o_orderstatus), '�+')) AS part FROM @orders) WHERE part <> ''", "SELECT o_orderkey, part FROM (SELECT o_orderkey, unnest([o_orderpriority, o_orderstatus]) AS part FROM @orders) WHERE part <> ''")
 
 
@@ -197,7 +228,16 @@ def chunk_words(spark, sf):
     return rows.select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.size(ws).cast("long").alias("n_words"), F.array_join(ws, " ").alias("chunk_text"))
 
 
-query("f23_pieces", None)(lambda spark, sf: table(spark, sf, "documents").select("doc_id", F.posexplode(tx.paragraph_pieces(F.col("text"), 600)).alias("pos", "piece")))
+def _pieces_sql(most: int) -> str:
+    """Lines added to the last piece while it holds them, as one string with chr(1) between pieces."""
+    last = "regexp_extract(s, '[^\\x01]*$')"
+    return rf"""
+WITH p AS (SELECT doc_id, CASE WHEN length(text) <= {most} THEN [text] ELSE list_filter(string_split(list_reduce(string_split(text, chr(10)),
+  lambda s, l: CASE WHEN {last} = '' THEN s || l WHEN length({last}) + 1 + length(l) > {most} THEN s || chr(1) || l ELSE s || chr(10) || l END), chr(1)), lambda x: x <> '') END AS ps FROM documents)
+SELECT doc_id, unnest(range(len(ps)))::INT AS pos, unnest(ps) AS piece FROM p"""
+
+
+query("f23_pieces", _pieces_sql(600))(lambda spark, sf: table(spark, sf, "documents").select("doc_id", F.posexplode(tx.paragraph_pieces(F.col("text"), 600)).alias("pos", "piece")))
 query("f24_prefix", f"SELECT doc_id, chunk, 'passage: ' || chunk_text AS prefixed FROM ({_CHUNKS})")(lambda spark, sf: chunk_words(spark, sf).select("doc_id", F.col("chunk"), F.concat(F.lit("passage: "), "chunk_text").alias("prefixed")))
 query("f25_sentences", None)(lambda spark, sf: table(spark, sf, "documents").select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("pos", "sentence")))
 @query("f26_matches_lemma", """
@@ -247,10 +287,18 @@ def evidence_quote(spark, sf):
 sql("f28_parse_tag", r"SELECT event_id, element_at(split(regexp_extract(tag, r'^\[/?([^\]]*)\]', 1), '[|]'), 1) AS pos FROM (SELECT event_id, concat('[/', CASE WHEN event_id % 2 = 0 THEN 'N|Pro' ELSE 'V' END, '][Nom]') AS tag FROM @events)", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'N' ELSE 'V' END AS pos FROM @events")
 
 
-@query("f30_normalise_lemma", "SELECT event_id, lemma, CASE (event_id % 6) WHEN 0 THEN 'LLM' WHEN 1 THEN 'API' WHEN 2 THEN 'hands-on' WHEN 3 THEN NULL WHEN 4 THEN 'ad' ELSE 'Turing-teszt' END AS clean FROM (SELECT event_id, (['LLM-eket', 'API-hoz', 'hands-on', 'vi', 'ad', 'Turing-teszt'])[1 + event_id % 6] AS lemma FROM events)")
+_ENDINGS = ("eket", "ban", "on", "nek", "teszt", "hez")
+
+
+@query("f30_normalise_lemma", rf"""
+WITH f AS (SELECT DISTINCT unnest([term, 'X' || term || '-' || e, term || '-' || e]) AS lemma FROM (SELECT term, (['{"', '".join(_ENDINGS)}'])[1 + length(term) % {len(_ENDINGS)}] AS e FROM (SELECT DISTINCT term FROM @tokens)))
+SELECT lemma, {_normal_sql("lemma")} AS clean FROM f""")
 def normalised(spark, sf):
-    forms = F.array(*[F.lit(t) for t in ("LLM-eket", "API-hoz", "hands-on", "vi", "ad", "Turing-teszt")])
-    return table(spark, sf, "events").select("event_id", F.get(forms, (F.col("event_id") % 6).cast("int")).alias("lemma")).withColumn("clean", un.normalise_lemma(F.col("lemma")))
+    """Every term of the documents as a lemma, and with an ending behind a hyphen, as it stands and with a capital."""
+    terms = table(spark, sf, "documents").select(F.explode(tx.tokens(F.col("text"))).alias("term")).distinct()
+    ending = F.get(F.array(*[F.lit(e) for e in _ENDINGS]), F.length("term") % len(_ENDINGS))
+    lemmas = terms.select(F.explode(F.array("term", F.concat(F.lit("X"), "term", F.lit("-"), ending), F.concat("term", F.lit("-"), ending))).alias("lemma")).distinct()
+    return lemmas.withColumn("clean", un.normalise_lemma(F.col("lemma")))
 
 
 query("f32_hash_split", "SELECT doc_id, CASE WHEN ('0x' || right(sha1(doc_id::VARCHAR), 1))::INT % 2 = 0 THEN 'dev' ELSE 'test' END AS part FROM documents")(lambda spark, sf: table(spark, sf, "documents").select("doc_id", tx.split_of(F.col("doc_id").cast("string")).alias("part")))

@@ -26,15 +26,9 @@ def scalar(front: Column, key: str) -> Column:
 def list_items(front: Column, key: str) -> Column:
     """The items of a list key, in block or in flow form; an empty array where the key is absent."""
     flow = F.regexp_extract(front, rf"(?m)^{key}:[ \t]*\[(.*)\][ \t]*$", 1)
-    block = F.regexp_extract(front, rf"(?m)^{key}:[ \t]*\n((?:[ \t]+- .*(?:\n|$))*)", 1)
-    items = F.when(flow != "", F.split(flow, r"\s*,\s*(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)")).otherwise(F.regexp_extract_all(block, F.lit(r"(?m)^[ \t]+- (.*)$"), F.lit(1)))
-    return F.filter(F.transform(items, unquote), lambda x: x != "")
-
-
-def unquote(value: Column) -> Column:
-    value = F.trim(value)
-    inner = F.regexp_extract(value, r'^"(.*)"$', 1)
-    return F.when(value.rlike(r'^".*"$'), F.regexp_replace(F.regexp_replace(inner, r'\\"', '"'), r"\\\\", r"\\")).when(value.rlike(r"^'.*'$"), F.replace(F.regexp_extract(value, r"^'(.*)'$", 1), F.lit("''"), F.lit("'"))).otherwise(value)
+    block = F.regexp_extract(front, rf"(?m)^{key}:[ \t]*\n((?:[ \t]++- [^\n]*+(?:\n|\z))*+)", 1)
+    items = F.when(flow != "", F.transform(F.regexp_extract_all(flow, F.lit(r'(?:"(?:[^"\\]++|\\.)*+"|[^,"]++|")++'), F.lit(0)), lambda x: F.trim(x))).otherwise(F.regexp_extract_all(block, F.lit(r"(?m)^[ \t]+- (.*)$"), F.lit(1)))
+    return F.filter(F.transform(items, tx.yaml_unquote), lambda x: x != "")
 
 
 def parse_pages(files: DataFrame, source: str) -> DataFrame:

@@ -18,7 +18,8 @@ def with_list_key(text: Column, key: str, values: Column) -> Column:
 
     The key's block is its line and the lines that follow it indented or as list items. Fails on texts without front matter.
     """
-    block = rf"(?m)^{re.escape(key)}:.*\n(?:[ \t-].*\n)*"
+    # possessive throughout: Java matches a group that may give back by recursion, one level an item
+    block = rf"(?m)^{re.escape(key)}:[^\n]*+\n(?:[ \t-][^\n]*+\n)*+"
     # a Java regular expression ends lines at more than newlines; (?d) keeps it to those
     kept = F.regexp_replace(F.regexp_extract(text, _FRONT, 2), "(?d)" + block, "")
     # a list in JSON is its items in quotes

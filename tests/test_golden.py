@@ -219,6 +219,6 @@ def test_import_slug_folds_every_accent(spark):
 
     from corpusloom.functions import text as tx
 
-    cases = {"Čeština šála": "cestina-sala", "Őszi TŰZ": "oszi-tuz", "été": "ete", "ﬁn ½": "n", "İstanbul": "istanbul", "½": "bejegyzes", "": "bejegyzes", "Smørrebrød": "sm-rrebr-d", "ế": "e", "ａｂ１": "ab1"}
+    cases = {"Čeština šála": "cestina-sala", "Őszi TŰZ": "oszi-tuz", "été": "ete", "ﬁn ½": "fin-1-2", "İstanbul": "istanbul", "½": "1-2", "": "bejegyzes", "Smørrebrød": "sm-rrebr-d", "ế": "e", "ａｂ１": "ab1"}
     rows = spark.createDataFrame([(k,) for k in cases], "s string").select("s", tx.import_slug(F.col("s")).alias("slug")).collect()
     assert {r.s: r.slug for r in rows} == cases
