@@ -25,7 +25,6 @@ def placement_diff(spark, sf):
     return d.select("doc_id", F.size(F.array_except(new, old)).cast("long").alias("gained"), F.size(F.array_except(old, new)).cast("long").alias("lost"))
 
 
-sql("j12_rename_history", "SELECT o.o_orderpriority AS old_name, m.current AS current_name, count(*) AS n FROM @orders o JOIN (SELECT DISTINCT o_orderpriority AS name, substr(o_orderpriority, 3, 20) AS current FROM @orders) m ON o.o_orderpriority = m.name GROUP BY o.o_orderpriority, m.current")
 sql("j13_unusable_seeds", "SELECT s.s_suppkey, 'no nation' AS problem FROM @supplier s WHERE NOT EXISTS (SELECT 1 FROM @nation n WHERE n.n_nationkey = s.s_nationkey) UNION ALL SELECT min(s_suppkey), 'shared nation' FROM @supplier GROUP BY s_nationkey HAVING count(*) > 1")
 
 
