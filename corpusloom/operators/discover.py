@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Up to so many candidates a group is held as a full matrix of distances; larger ones are followed along chains of nearest neighbours.
-MOST_CANDIDATES = 5_000
-
+from ..functions import vectors as vx
+from . import evaluate
+from .lineage import checkpointed
 
 def average_linkage(vectors: np.ndarray, cut: float, least: int = 3) -> list[list[int]]:
     """Groups of unit vectors joined while their mean cosine distance is at most cut; by size, then by first member."""
@@ -32,67 +32,91 @@ def average_linkage(vectors: np.ndarray, cut: float, least: int = 3) -> list[lis
     return sorted(groups, key=lambda g: (-len(g), g[0]))
 
 
-def chained_linkage(vectors: np.ndarray, cut: float, least: int = 3) -> list[list[int]]:
-    """The groups of average_linkage without its matrix: memory grows with the vectors, time with their square.
+def _nearest(clusters: DataFrame) -> DataFrame:
+    """clusters(by, key, vec) -> by, key, dist, near: each one's nearest of its value of `by`, the least key of equals.
 
-    The mean cosine distance of two groups is one minus the product of their mean vectors. Groups that are each
-    other's nearest can be joined at once, as no other join brings anything nearer; one whose nearest is beyond the
-    cut is done. Distances within 1e-12 count as equal, and equal ones may be joined in another order.
+    Blocks meet in pairs, one matrix product each, and hand on one row a cluster; the least of a
+    cluster's rows is found map-side.
     """
-    n = len(vectors)
-    mean, size, members, active = vectors.astype(float), np.ones(n), {k: [k] for k in range(n)}, np.ones(n, bool)
-    if cut >= 0:  # copies are joined before all else
-        _, first, same = np.unique(mean, axis=0, return_index=True, return_inverse=True)
-        first = first[same.reshape(-1)]
-        for k in np.flatnonzero((first != np.arange(n)) & mean.any(axis=1)).tolist():
-            members[first[k]] += members.pop(k)
-            size[first[k]] += 1
-            active[k] = False
-    chain: list[int] = []
-    for k in range(n):
-        while active[k] or chain:
-            if not chain:
-                chain.append(k)
-            a = chain[-1]
-            d = 1.0 - mean @ mean[a]
-            d[~active] = np.inf
-            d[a] = np.inf
-            b = int(np.argmin(d))
-            if len(chain) > 1 and d[chain[-2]] <= d[b] + 1e-12:
-                b = chain[-2]
-            if not d[b] <= cut:
-                active[a] = False
-                chain.pop()
-            elif len(chain) > 1 and b == chain[-2]:
-                del chain[-2:]
-                mean[b] = (size[a] * mean[a] + size[b] * mean[b]) / (size[a] + size[b])
-                size[b] += size[a]
-                members[b] += members.pop(a)
-                active[a] = False
-            else:
-                chain.append(b)
-    found = [sorted(m) for m in members.values() if len(m) >= least]
-    return sorted(found, key=lambda g: (-len(g), g[0]))
+
+    def best(keys, near, sims) -> pd.DataFrame:
+        order = np.argsort(near, kind="stable")
+        at = order[np.argmax(np.round(sims[:, order], 12), axis=1)]
+        rows = np.arange(len(keys))
+        out = pd.DataFrame({"key": keys, "dist": np.round(1.0 - sims[rows, at], 12), "near": near[at]})
+        return out[np.isfinite(out["dist"])]
+
+    def pairs(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"by": [], "key": [], "dist": [], "near": []})
+        own, other = a["key"].to_numpy(), b["key2"].to_numpy()
+        sims = np.stack(a["vec"].to_numpy()) @ np.stack(b["vec2"].to_numpy()).T
+        if a["i"].iloc[0] == a["j"].iloc[0]:
+            sims[own[:, None] == other[None]] = -np.inf
+            out = best(own, other, sims)
+        else:
+            out = pd.concat([best(own, other, sims), best(other, own, sims.T)])
+        return out.assign(by=a["by"].iloc[0])[["by", "key", "dist", "near"]]
+
+    kind, by = clusters.schema["key"].dataType.simpleString(), clusters.schema["by"].dataType.simpleString()
+    found = evaluate.block_pairs(clusters, "key", "by").applyInPandas(pairs, f"by {by}, key {kind}, dist double, near {kind}")
+    return found.groupBy("by", "key").agg(F.min(F.struct("dist", "near")).alias("m")).select("by", "key", "m.dist", "m.near")
+
+
+def linked(rows: DataFrame, cut: float, by: str = "label", key: str = "vec_id") -> DataFrame:
+    """rows(by, key, vec) -> by, key, first: groups of average linkage by cosine distance, named by their least key.
+
+    The mean cosine distance of two groups is one less the product of their members' mean unit vectors, so a
+    group is one vector. In each round, groups that are each other's nearest are joined, all of them at once:
+    no join brings anything nearer than both of its sides were, so these joins are the ones that joining the
+    nearest two, one after the other, would make. A group whose nearest is beyond the cut is done. Rounds are
+    about as many as the logarithm of the rows; each costs a blocked product of the groups still open, whose
+    rows and pairs no task holds whole. Equal vectors are one group before the first round, whatever their
+    number. Equal distances go to the lesser keys. Vectors of length zero are at distance one from all others.
+    """
+    own = rows.select(F.col(by).alias("by"), F.col(key).alias("key"), vx.unit(F.col("vec")).alias("vec"))
+    if cut < 0:
+        return own.select(F.col("by").alias(by), F.col("key").alias(key), F.col("key").alias("first"))
+    own = own.withColumn("alone", F.when(~F.exists("vec", lambda x: x != 0), F.col("key")))
+    open_ = checkpointed(own.groupBy("by", "vec", "alone").agg(F.min("key").alias("key"), F.count("*").alias("n")))
+    same = (own["vec"] == F.col("vec2")) & (own["by"] == F.col("by2")) & own["alone"].eqNullSafe(F.col("alone2"))
+    keys = own.join(open_.select(F.col("by").alias("by2"), F.col("vec").alias("vec2"), F.col("alone").alias("alone2"), F.col("key").alias("copy")), same).select("by", F.col("key").alias("own"), F.col("copy").alias("key"))
+    open_, merges = open_.drop("alone"), None
+    while True:
+        near = checkpointed(_nearest(open_.select("by", "key", "vec")).where(F.col("dist") <= cut))
+        back = near.select("by", F.col("key").alias("near"), F.col("near").alias("key"), F.lit(True).alias("mutual"))
+        joins = checkpointed(near.join(back, ["by", "key", "near"]).where("key < near").select("by", "key", "near"))
+        if not joins.limit(1).count():
+            break
+        merges = joins if merges is None else merges.union(joins)
+        alive = open_.join(near.select("by", "key"), ["by", "key"], "left_semi")
+        gone = alive.select("by", F.col("key").alias("near"), F.col("vec").alias("vec2"), F.col("n").alias("n2"))
+        both = F.col("n") + F.col("n2")
+        mean = F.zip_with("vec", "vec2", lambda x, y: (x * F.col("n") + y * F.col("n2")) / both)
+        met = alive.join(joins, ["by", "key"]).join(gone, ["by", "near"]).select("by", "key", mean.alias("vec"), both.alias("n"))
+        taken = joins.select("by", "key").union(joins.select("by", F.col("near").alias("key")))
+        open_ = checkpointed(met.unionByName(alive.join(taken, ["by", "key"], "left_anti")))
+    if merges is None:
+        return keys.select(F.col("by").alias(by), F.col("own").alias(key), F.col("key").alias("first"))
+    up = checkpointed(merges.select("by", F.col("near").alias("key"), F.col("key").alias("first")))
+    while True:  # pointers doubled until all of them end at a group's least key
+        on = up.select("by", F.col("key").alias("first"), F.col("first").alias("beyond"))
+        if not up.join(on, ["by", "first"], "left_semi").limit(1).count():
+            break
+        up = checkpointed(up.join(on, ["by", "first"], "left").select("by", "key", F.coalesce("beyond", "first").alias("first")))
+    return keys.join(up, ["by", "key"], "left").select(F.col("by").alias(by), F.col("own").alias(key), F.coalesce("first", "key").alias("first"))
 
 
 def groups(rows: DataFrame, cut: float, least: int = 3, by: str = "label", key: str = "vec_id") -> DataFrame:
-    """rows(by, key, vec) -> by, grp, key, central: groups found within each value of `by`."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        linked = average_linkage if len(pdf) <= MOST_CANDIDATES else chained_linkage
-        pdf = pdf.sort_values(key).reset_index(drop=True)
-        x = np.stack(pdf.vec.to_numpy())
-        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        out = []
-        for g, members in enumerate(linked(x, cut, least)):
-            centre = x[members].mean(axis=0)
-            near = np.argsort(-np.round(x[members] @ centre, 12), kind="stable")
-            place = {members[m]: r + 1 for r, m in enumerate(near)}
-            out += [(pdf[by].iloc[0], g, pdf[key].iloc[m], place[m]) for m in members]
-        return pd.DataFrame(out, columns=[by, "grp", key, "central"])
-
-    kinds = f"`{by}` {rows.schema[by].dataType.simpleString()}, grp int, `{key}` {rows.schema[key].dataType.simpleString()}, central int"
-    return rows.select(by, key, "vec").groupBy(by).applyInPandas(run, kinds)
+    """rows(by, key, vec) -> by, grp, key, central: groups of `least` rows or more within each value of `by`, the largest first, and how central each member is."""
+    found = linked(rows, cut, by, key)
+    sizes = found.groupBy(by, "first").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    sizes = sizes.withColumn("grp", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("n"), "first")) - 1)
+    members = checkpointed(found.join(sizes.select(by, "first", "grp"), [by, "first"]).join(rows.select(by, key, vx.unit(F.col("vec")).alias("vec")), [by, key]).select(by, "grp", key, "vec"))
+    centre = vx.mean_by(members, [by, "grp"], "vec", "centre")
+    near = F.round(vx.dot(F.col("vec"), F.col("centre")), 12)
+    place = F.row_number().over(Window.partitionBy(by, "grp").orderBy(near.desc(), key))
+    return members.join(centre, [by, "grp"]).select(by, "grp", key, place.alias("central"))
 
 
 def lift(labels: DataFrame, chosen: DataFrame, key: str = "doc_id", least: int = 2) -> DataFrame:

@@ -74,7 +74,7 @@ def knn_agreement(vectors: DataFrame, k: int = 5, key: str = "vec_id") -> DataFr
     return share.agg(F.avg("share").alias("agreement"), F.count("*").alias("n"))
 
 
-def _block_pairs(vectors: DataFrame, key: str, by: str):
+def block_pairs(vectors: DataFrame, key: str, by: str):
     """Cogroups in which every pair of rows with one value of `by` meets once: blocks i <= j of BLOCK_ROWS rows about."""
     # one number for all groups: blocks of the largest hold BLOCK_ROWS rows, those of others fewer
     largest = vectors.groupBy(by).count().agg(F.max("count")).first()[0] or 1
@@ -109,7 +109,7 @@ def cohesion_threshold(vectors: DataFrame, key: str = "vec_id", by: str = "label
         at, n = np.unique(bin_of(_pair_sims(a, b)), return_counts=True)
         return pd.DataFrame({"bin": at, "n": n})
 
-    counts = _block_pairs(vectors, key, by).applyInPandas(count, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).orderBy("bin").collect()
+    counts = block_pairs(vectors, key, by).applyInPandas(count, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).orderBy("bin").collect()
     n = sum(r["n"] for r in counts)
     spark = vectors.sparkSession
     if not n:
@@ -126,7 +126,7 @@ def cohesion_threshold(vectors: DataFrame, key: str = "vec_id", by: str = "label
         s = _pair_sims(a, b)
         return pd.DataFrame({"sim": s[np.isin(bin_of(s), chosen)]})
 
-    found = _block_pairs(vectors, key, by).applyInPandas(values, "sim double").orderBy("sim")
+    found = block_pairs(vectors, key, by).applyInPandas(values, "sim double").orderBy("sim")
     ranks = [w - skip for w in sorted(want)]
     row = Window.orderBy("sim")
     return found.withColumn("r", F.row_number().over(row) - 1).where(F.col("r").isin(ranks)).agg((1 - F.avg("sim")).alias("threshold")).withColumn("n", F.lit(n).cast("long"))

@@ -1,20 +1,44 @@
-"""Cutting lineage in the folder that the driver and all executors share."""
+"""Cutting lineage: tables in the folder that the driver and all executors share."""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_ROOTS: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or, in local mode only, a new folder where that is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="corpusloom-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def _root(spark: SparkSession) -> str:
+    app = spark.sparkContext.applicationId
+    if app not in _ROOTS:
+        _ROOTS[app] = f"{shared_folder(spark)}/corpusloom-{uuid.uuid4().hex[:12]}"
+
+        def forget(path=_ROOTS[app]):
+            with contextlib.suppress(Exception):  # the session may be gone already
+                where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+        atexit.register(forget)
+    return _ROOTS[app]
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written and read again: to spark.checkpoint.dir, or, in local mode only, to a new folder where that is unset."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            folder = tempfile.mkdtemp(prefix="corpusloom-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
+    """df, written once and read again; what it was made of is forgotten, its constraints too, which grow with every round of a loop."""
+    path = f"{_root(df.sparkSession)}/{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

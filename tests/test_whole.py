@@ -60,13 +60,19 @@ def test_lemmas(spark, sf):
     assert "a" in match["abcdef"] and "abcdeg" in match["abcdefghijkl"] and "abcdef" in match["abcde"]
 
 
-def test_chained_linkage():
+@pytest.mark.parametrize("cut", [0.2, 1.2])
+def test_linkage_in_rounds(spark, cut, monkeypatch):
+    """Joined in rounds, against joining the nearest two over and over; small blocks, copies, vectors of length zero."""
+    monkeypatch.setattr("corpusloom.operators.evaluate.BLOCK_ROWS", 40)
     rng = np.random.default_rng(3)
-    for cut in (0.05, 0.2, 0.6, 1.2):
-        x = rng.normal(size=(12, 6))[rng.integers(0, 12, 150)] + rng.normal(0, 0.3, (150, 6))
-        x = np.concatenate([x, x[:20], x[:5], np.zeros((2, 6))])
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        assert discover.chained_linkage(x, cut) == discover.average_linkage(x, cut)
+    x = rng.normal(size=(12, 6))[rng.integers(0, 12, 100)] + rng.normal(0, 0.3, (100, 6))
+    x = np.concatenate([x, x[:20], x[:5], np.zeros((2, 6))])
+    v = spark.createDataFrame([(1, k, [float(a) for a in row]) for k, row in enumerate(x)], "label int, vec_id long, vec array<double>")
+    found = {}
+    for r in discover.groups(v, cut).collect():
+        found.setdefault(r.grp, []).append(r.vec_id)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    assert [sorted(found[g]) for g in sorted(found)] == discover.average_linkage(x, cut)
 
 
 def test_large_groups(spark, sf):
