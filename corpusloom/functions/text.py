@@ -133,6 +133,19 @@ def matches_lemma(surface: Column, lemma: Column, least: int = 5) -> Column:
     return F.startswith(F.lower(surface), F.substring(F.lower(lemma), 1, least))
 
 
+def evidence(text: Column, terms: Column, most: int = 400) -> Column:
+    """The sentence of `most` characters at most in which most of the terms (an array) begin a word; the earliest of equals, null where no term does."""
+
+    def told(sentence, place):
+        ws = tokens(sentence)
+        used = F.size(F.filter(terms, lambda t: F.exists(ws, lambda w: F.startswith(w, F.lower(t)))))
+        return F.struct(used.alias("used"), (-place).alias("place"), sentence.alias("sentence"))
+
+    parts = F.filter(F.transform(F.split(text, r"(?U)(?<=[.!?])\s+"), lambda x: F.regexp_replace(x, r"(?U)\A\s+|\s+\z", "")), lambda x: (x != "") & (F.length(x) <= most))
+    best = F.array_max(F.transform(parts, told))
+    return F.when(best["used"] > 0, best["sentence"])
+
+
 def odd_markers(body: Column) -> Column:
     """struct(fences, emphasis): an odd number of code fences, a paragraph with an odd number of **."""
     fences = (F.size(F.split(body, "```")) - 1) % 2 == 1

@@ -7,8 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..functions import vectors as vx
-from . import evaluate
+from . import evaluate, keyness, placement
 from .lineage import checkpointed
 
 def average_linkage(vectors: np.ndarray, cut: float, least: int = 3) -> list[list[int]]:
@@ -63,6 +64,33 @@ def _nearest(clusters: DataFrame) -> DataFrame:
     return found.groupBy("by", "key").agg(F.min(F.struct("dist", "near")).alias("m")).select("by", "key", "m.dist", "m.near")
 
 
+def _rounds(cut: float):
+    """applyInPandas function: the rounds of `linked` on clusters of one value of `by` that fit one block -> joins (by, key, near)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("key")
+        keys, vec, n = pdf["key"].to_numpy(), np.stack(pdf["vec"].to_numpy()), pdf["n"].to_numpy(float)
+        alive, out = np.arange(len(keys)), []
+        while len(alive) > 1:
+            sims = vec[alive] @ vec[alive].T
+            np.fill_diagonal(sims, -np.inf)
+            near = np.argmax(np.round(sims, 12), axis=1)
+            open_ = np.round(1.0 - sims[np.arange(len(alive)), near], 12) <= cut
+            mine = np.arange(len(alive))
+            first = mine[open_ & (near[near] == mine) & (mine < near)]
+            if not len(first):
+                break
+            a, b = alive[first], alive[near[first]]
+            out += zip(keys[a], keys[b], strict=True)
+            total = n[a] + n[b]
+            vec[a] = (vec[a] * n[a][:, None] + vec[b] * n[b][:, None]) / total[:, None]
+            n[a] = total
+            alive = np.setdiff1d(alive[open_], b)
+        return pd.DataFrame({"by": [pdf["by"].iloc[0]] * len(out), "key": [x for x, _ in out], "near": [x for _, x in out]})
+
+    return run
+
+
 def linked(rows: DataFrame, cut: float, by: str = "label", key: str = "vec_id") -> DataFrame:
     """rows(by, key, vec) -> by, key, first: groups of average linkage by cosine distance, named by their least key.
 
@@ -71,18 +99,23 @@ def linked(rows: DataFrame, cut: float, by: str = "label", key: str = "vec_id")
     no join brings anything nearer than both of its sides were, so these joins are the ones that joining the
     nearest two, one after the other, would make. A group whose nearest is beyond the cut is done. Rounds are
     about as many as the logarithm of the rows; each costs a blocked product of the groups still open, whose
-    rows and pairs no task holds whole. Equal vectors are one group before the first round, whatever their
+    rows and pairs no task holds whole. Once they fit one block, the remaining rounds are one task's. Equal vectors are one group before the first round, whatever their
     number. Equal distances go to the lesser keys. Vectors of length zero are at distance one from all others.
     """
     own = rows.select(F.col(by).alias("by"), F.col(key).alias("key"), vx.unit(F.col("vec")).alias("vec"))
     if cut < 0:
         return own.select(F.col("by").alias(by), F.col("key").alias(key), F.col("key").alias("first"))
-    own = own.withColumn("alone", F.when(~F.exists("vec", lambda x: x != 0), F.col("key")))
+    own = checkpointed(own).withColumn("alone", F.when(~F.exists("vec", lambda x: x != 0), F.col("key")))
     open_ = checkpointed(own.groupBy("by", "vec", "alone").agg(F.min("key").alias("key"), F.count("*").alias("n")))
     same = (own["vec"] == F.col("vec2")) & (own["by"] == F.col("by2")) & own["alone"].eqNullSafe(F.col("alone2"))
     keys = own.join(open_.select(F.col("by").alias("by2"), F.col("vec").alias("vec2"), F.col("alone").alias("alone2"), F.col("key").alias("copy")), same).select("by", F.col("key").alias("own"), F.col("copy").alias("key"))
     open_, merges = open_.drop("alone"), None
+    key_kind, by_kind = open_.schema["key"].dataType.simpleString(), open_.schema["by"].dataType.simpleString()
     while True:
+        if (open_.groupBy("by").count().agg(F.max("count")).first()[0] or 0) <= evaluate.BLOCK_ROWS:
+            joins = open_.groupBy("by").applyInPandas(_rounds(cut), f"by {by_kind}, key {key_kind}, near {key_kind}")
+            merges = joins if merges is None else merges.union(joins)
+            break
         near = checkpointed(_nearest(open_.select("by", "key", "vec")).where(F.col("dist") <= cut))
         back = near.select("by", F.col("key").alias("near"), F.col("near").alias("key"), F.lit(True).alias("mutual"))
         joins = checkpointed(near.join(back, ["by", "key", "near"]).where("key < near").select("by", "key", "near"))
@@ -128,3 +161,50 @@ def lift(labels: DataFrame, chosen: DataFrame, key: str = "doc_id", least: int =
     n_group = chosen.join(own.select(key).distinct(), key, "left_semi").groupBy("grp").agg(F.count("*").alias("n_group"))
     rows = inside.where(F.col("in_group") >= least).join(in_all, "label").join(n_group, "grp").crossJoin(F.broadcast(n_all))
     return rows.withColumn("ratio", (F.col("in_group") / F.col("n_group")) / (F.col("in_all") / F.col("n_all"))).where("ratio > 1")
+
+
+def proposals(candidates: DataFrame, writings: DataFrame, labels: DataFrame, themes: DataFrame, cut: float, least: int = 3, key: str = "doc_id", terms: int = 8, users: int = 2) -> DataFrame:
+    """What an author needs to judge each new group by: rows (grp, size, part, rank, name, n, value, quote).
+
+    candidates(key, vec), writings(key, text), labels(key, label), themes(theme, vec). The parts are
+    member (the writings, the most central first; value is their place), term (keyness of the group against
+    all writings; n members use it, `users` at least), label (over-represented; value is the ratio), theme
+    (the three nearest; value is the cosine) and seed (the three most central members, with the
+    sentence in which most of the group's terms stand). All parts start from one clustering and one count of words.
+    """
+    candidates, themes = checkpointed(candidates.select(key, "vec")), checkpointed(themes.select("theme", "vec"))
+    found = groups(candidates.select(F.lit(0).alias("all"), key, "vec"), cut, least, "all", key)
+    chosen = checkpointed(found.select(key, "grp", "central"))
+    sizes = chosen.groupBy("grp").agg(F.count("*").alias("size"))
+    counts = checkpointed(keyness.doc_counts(writings, key))
+    inside = counts.join(chosen.select(key, "grp"), key).groupBy("grp", "term").agg(F.sum("focus").alias("focus"), F.count("*").alias("users"))
+    n_focus = inside.groupBy("grp").agg(F.sum("focus").alias("n_focus"))
+    whole = counts.agg(F.sum("focus").alias("n_all"))
+    # the totals of the groups' terms only, and one number
+    rows = inside.join(keyness.totals(counts), "term").join(n_focus, "grp").crossJoin(F.broadcast(whole))
+    rows = rows.withColumn("reference", F.col("total") - F.col("focus")).withColumn("n_reference", F.col("n_all") - F.col("n_focus"))
+    own = Window.partitionBy("grp").orderBy(F.desc(F.round("score", 9)), "term")
+    # of the first 40 by score, those that several members use
+    best = keyness.scored(rows.where("focus >= 2")).withColumn("place", F.row_number().over(own)).where(F.col("place") <= 40).where(F.col("users") >= users)
+    best = checkpointed(best.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= terms).select("grp", "rank", "term", "users", "score"))
+    strong = Window.partitionBy("grp").orderBy(F.desc(F.round("ratio", 9)), F.desc("in_group"), "label")
+    lifted = lift(labels, chosen, key).withColumn("rank", F.row_number().over(strong)).where("rank <= 6")
+    vectors = chosen.join(candidates.select(key, vx.unit(F.col("vec")).alias("vec")), key)
+    centre = vx.mean_by(vectors, ["grp"], "vec", "vec").select("grp", vx.unit(F.col("vec")).alias("vec"))
+    near = placement.similarities(centre, themes.select("theme", F.lit(0).alias("k"), "vec"), "grp")
+    by_sim = Window.partitionBy("grp").orderBy(F.desc(F.round("sim", 10)), "theme")
+    near = near.withColumn("rank", F.row_number().over(by_sim)).where("rank <= 3")
+    listed = best.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("ts")).select("grp", F.transform("ts", lambda t: t["term"]).alias("ts"))
+    seeds = chosen.where("central <= 3").join(listed, "grp", "left").join(writings.select(key, "text"), key)
+    quote = tx.evidence(F.col("text"), F.coalesce("ts", F.array().cast("array<string>")))
+
+    def part(rows: DataFrame, name: str, rank: str, what, n=None, value=None, quote=None) -> DataFrame:
+        none = F.lit(None)
+        return rows.select("grp", F.lit(name).alias("part"), F.col(rank).cast("long").alias("rank"), what.cast("string").alias("name"), (none if n is None else n).cast("long").alias("n"), (none if value is None else value).cast("double").alias("value"), (none if quote is None else quote).cast("string").alias("quote"))
+
+    out = part(chosen, "member", "central", F.col(key))
+    out = out.unionByName(part(best, "term", "rank", F.col("term"), F.col("users"), F.col("score")))
+    out = out.unionByName(part(lifted, "label", "rank", F.col("label"), F.col("in_group"), F.col("ratio")))
+    out = out.unionByName(part(near, "theme", "rank", F.col("theme"), None, F.col("sim")))
+    out = out.unionByName(part(seeds, "seed", "central", F.col(key), quote=quote))
+    return out.join(sizes, "grp").select("grp", "size", "part", "rank", "name", "n", "value", "quote")

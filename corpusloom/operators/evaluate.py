@@ -11,29 +11,29 @@ from pyspark.sql.window import Window
 BLOCK_ROWS = 2_000
 
 
-def bcubed(items: DataFrame, pred: str = "pred", gold: str = "gold", key: str = "key") -> DataFrame:
-    """items(key, pred array, gold array) -> one row (precision, recall, f, n), over items with a gold label.
+def bcubed(items: DataFrame, pred: str = "pred", gold: str = "gold", key: str = "key", by: tuple[str, ...] = ()) -> DataFrame:
+    """items(key, pred array, gold array) -> one row (precision, recall, f, n), over items with a gold label; one a value of `by`, if given.
 
     An item without a predicted label is a cluster of its own. Items with the same two label sets are
     one class with a count, and only classes are paired, so a label that all items share costs no
     pairs of items.
     """
-    rows = items.where(F.size(gold) > 0).select(F.array_sort(F.array_distinct(pred)).alias("p"), F.array_sort(F.array_distinct(gold)).alias("g"))
-    kinds = rows.groupBy("p", "g").agg(F.count("*").alias("n")).withColumn("c", F.xxhash64("p", "g"))
+    rows = items.where(F.size(gold) > 0).select(*by, F.array_sort(F.array_distinct(pred)).alias("p"), F.array_sort(F.array_distinct(gold)).alias("g"))
+    kinds = rows.groupBy(*by, "p", "g").agg(F.count("*").alias("n")).withColumn("c", F.xxhash64("p", "g"))
 
     def side(own: str, other: str) -> DataFrame:
         # For an unplaced item only the item itself counts: 1.
-        one = kinds.where(F.size(own) > 0).select("c", F.explode(own).alias("label"), F.col(own).alias("own"), F.col(other).alias("other"), "n")
-        two = one.select(F.col("c").alias("c2"), "label", F.col("own").alias("own2"), F.col("other").alias("other2"), F.col("n").alias("n2"))
-        pairs = one.drop("n").join(two, "label").dropDuplicates(["c", "c2"])
+        one = kinds.where(F.size(own) > 0).select(*by, "c", F.explode(own).alias("label"), F.col(own).alias("own"), F.col(other).alias("other"), "n")
+        two = one.select(*by, F.col("c").alias("c2"), "label", F.col("own").alias("own2"), F.col("other").alias("other2"), F.col("n").alias("n2"))
+        pairs = one.drop("n").join(two, [*by, "label"]).dropDuplicates([*by, "c", "c2"])
         shared, both = F.size(F.array_intersect("own", "own2")), F.size(F.array_intersect("other", "other2"))
-        value = pairs.groupBy("c").agg((F.sum(F.col("n2") * F.least(shared, both) / shared) / F.sum("n2")).alias("v"))
-        return kinds.join(value, "c", "left").agg((F.sum(F.col("n") * F.coalesce("v", F.lit(1.0))) / F.sum("n")).alias("v"), F.sum("n").alias("n"))
+        value = pairs.groupBy(*by, "c").agg((F.sum(F.col("n2") * F.least(shared, both) / shared) / F.sum("n2")).alias("v"))
+        return kinds.join(value, [*by, "c"], "left").groupBy(*by).agg((F.sum(F.col("n") * F.coalesce("v", F.lit(1.0))) / F.sum("n")).alias("v"), F.sum("n").alias("n"))
 
-    p, r = side("p", "g"), side("g", "p")
-    both = p.select(F.col("v").alias("precision"), "n").crossJoin(r.select(F.col("v").alias("recall")))
+    p, r = side("p", "g").withColumnRenamed("v", "precision"), side("g", "p").select(*by, F.col("v").alias("recall"))
+    both = p.join(r, list(by)) if by else p.crossJoin(r)
     f = F.when(F.col("precision") + F.col("recall") == 0, 0.0).otherwise(2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall")))
-    return both.select("precision", "recall", f.alias("f"), "n")
+    return both.select(*by, "precision", "recall", f.alias("f"), "n")
 
 
 def neighbours(vectors: DataFrame, k: int = 5, key: str = "vec_id") -> DataFrame:

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import moves
-from .registry import query, table
+from ..functions import text as tx
+from ..operators import discover, evaluate, moves, placement, tune
+from ..operators.lineage import shared_folder
+from ..streaming.keywords import KeywordLog
+from .registry import _doc_labels, query, table
+from .vector_queries import _BASE, RULES, _parts
 
 # --- moves ------------------------------------------------------------------------------------
 
@@ -79,3 +83,70 @@ def moved_into(spark, sf):
 @query("job06_by_source", _MOVES + ", r AS (SELECT unnest([source, NULL]) AS source, kind FROM m) SELECT source, " + ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS {k.replace(' ', '_')}" for k in moves.KINDS) + ", count(*) AS \"all\" FROM r GROUP BY source")
 def moved_by_source(spark, sf):
     return moves.by_source(_moved(spark, sf))
+
+
+# --- discovery, tuning, keywords by arrival ---------------------------------------------------
+
+
+def _discovered(spark, sf, cut=None):
+    """Vectors that no theme takes or whose document is of one source, grouped somewhat more tightly than the seeds of the themes are."""
+    centred, seeds, themes = _parts(spark, sf)
+    d = table(spark, sf, "documents")
+    taken = placement.place(placement.similarities(centred, themes).withColumn("seed", F.lit(False)), RULES).select("vec_id").distinct().withColumn("taken", F.lit(True))
+    writings = d.select(F.col("doc_id").alias("vec_id"), "source", "text")
+    own = centred.join(writings, "vec_id").join(taken, "vec_id", "left").where("source IN ('src0', 'src1', 'src2') OR taken IS NULL").select("vec_id", "vec")
+    if cut is None:
+        together = centred.join(seeds, "vec_id").select("vec_id", F.col("theme").alias("label"), "vec")
+        cut = 0.8 * evaluate.cohesion_threshold(together).first()["threshold"]
+    return discover.proposals(own, writings, _doc_labels(spark, sf).withColumnRenamed("doc_id", "vec_id"), themes, cut, key="vec_id")
+
+
+@query("job07_discover", None)
+def discovered(spark, sf):
+    return _discovered(spark, sf)
+
+
+query("f39_evidence", None)(lambda spark, sf: table(spark, sf, "documents").select("doc_id", tx.evidence(F.col("text"), F.array(*[F.lit(t) for t in ("the", "en", "der", "que", "and")])).alias("quote")))
+
+
+_LIMITS = tune.Limits(coverage=0.6, mean_themes=1.6, share=0.25)
+_TUNED = _BASE + """,
+g AS (SELECT tau::DOUBLE AS tau, delta::DOUBLE AS delta FROM unnest([0.15, 0.2, 0.25]) a(tau), unnest([0.05, 0.1, 0.15]) b(delta)),
+q AS (SELECT tau, delta, vec_id, theme FROM (SELECT *, row_number() OVER (PARTITION BY tau, delta, vec_id ORDER BY sim DESC, theme) AS turn FROM (SELECT vec_id, theme, sim, max(sim) OVER (PARTITION BY vec_id) AS top FROM sims), g WHERE sim >= tau) WHERE turn = 1 OR turn <= 3 AND top - sim <= delta),
+i AS (SELECT tau, delta, v.vec_id AS key, list_filter(list(DISTINCT q.theme::VARCHAR), lambda x: x IS NOT NULL) AS pred, ['l' || any_value(v.label), 'k' || any_value(v.vec_id % 3)] AS gold FROM v CROSS JOIN g LEFT JOIN q USING (tau, delta, vec_id) GROUP BY tau, delta, v.vec_id),
+pr AS (SELECT a.tau, a.delta, a.key, len(list_intersect(a.pred, b.pred)) AS sp, len(list_intersect(a.gold, b.gold)) AS sg FROM i a JOIN i b ON a.tau = b.tau AND a.delta = b.delta AND (len(list_intersect(a.pred, b.pred)) > 0 OR len(list_intersect(a.gold, b.gold)) > 0)),
+bc AS (SELECT i.tau, i.delta, i.key, coalesce(avg(least(sp, sg) / sp::DOUBLE) FILTER (WHERE sp > 0), 1.0) AS p, coalesce(avg(least(sp, sg) / sg::DOUBLE) FILTER (WHERE sg > 0), 1.0) AS r FROM i JOIN pr USING (tau, delta, key) GROUP BY ALL),
+f AS (SELECT tau, delta, avg(p) AS precision, avg(r) AS recall, 2 * avg(p) * avg(r) / (avg(p) + avg(r)) AS f FROM bc GROUP BY ALL),
+t1 AS (SELECT tau, delta, max(c) AS top FROM (SELECT tau, delta, theme, count(*) AS c FROM q GROUP BY ALL) GROUP BY ALL),
+s1 AS (SELECT tau, delta, avg(CASE WHEN len(pred) > 0 THEN 1.0 ELSE 0.0 END) AS coverage, avg(len(pred)) AS mean_themes, count(*) AS n FROM i GROUP BY ALL),
+o AS (SELECT tau, delta, coverage, mean_themes, coalesce(top, 0) / n::DOUBLE AS largest_share, precision, recall, f FROM s1 LEFT JOIN t1 USING (tau, delta) LEFT JOIN f USING (tau, delta)),
+a AS (SELECT *, coverage >= {l.coverage} AND mean_themes <= {l.mean_themes} AND largest_share <= {l.share} AS admissible FROM o)
+SELECT tau, delta, round(coverage, 6) AS coverage, round(mean_themes, 6) AS mean_themes, round(largest_share, 6) AS largest_share, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f, 6) AS f, admissible,
+  row_number() OVER (ORDER BY admissible DESC, round(f, 12) DESC, tau DESC, delta) = 1 AS chosen FROM a"""
+
+
+@query("job03_tune", _TUNED.format(l=_LIMITS))
+def tuned(spark, sf):
+    """Nine configurations, scored by BCubed, and the one that is taken."""
+    centred, _, themes = _parts(spark, sf)
+    items = centred.select("vec_id", F.array(F.concat(F.lit("l"), "label"), F.concat(F.lit("k"), F.col("vec_id") % 3)).alias("gold"))
+    grid = spark.createDataFrame([(t, d) for t in (0.15, 0.2, 0.25) for d in (0.05, 0.1, 0.15)], "tau double, delta double")
+    out = tune.tuned(placement.similarities(centred, themes), items, grid, _LIMITS)
+    return out.select("tau", "delta", *[F.round(c, 6).alias(c) for c in ("coverage", "mean_themes", "largest_share", "precision", "recall", "f")], "admissible", "chosen")
+
+
+@query("job01_keywords_by_arrival", """
+WITH c AS (SELECT doc_id, doc_id % 4 AS batch, term, focus FROM @counts), n AS (SELECT doc_id, sum(focus) AS n_focus FROM c GROUP BY doc_id),
+b AS (SELECT DISTINCT batch FROM c), t AS (SELECT b.batch, term, sum(focus) AS total FROM c JOIN b ON c.batch <= b.batch GROUP BY b.batch, term), a AS (SELECT batch, sum(total) AS n_all FROM t GROUP BY batch),
+l AS (SELECT c.doc_id, c.batch, c.term, focus, total - focus AS reference, n_focus, n_all - n_focus AS n_reference FROM c JOIN t USING (batch, term) JOIN n USING (doc_id) JOIN a USING (batch) WHERE focus >= 2),
+s AS (SELECT *, round((focus * 1e6 / n_focus + 1) / (reference * 1e6 / n_reference + 1), 6) AS score FROM l WHERE focus * 1e6 / n_focus > reference * 1e6 / n_reference)
+SELECT doc_id, batch, rank, term, score, focus FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term) AS rank FROM s) WHERE rank <= 8""")
+def keywords_by_arrival(spark, sf):
+    """Documents in four batches, each compared with its own batch and those before it."""
+    import uuid
+
+    log = KeywordLog(spark, f"{shared_folder(spark)}/arrival-{uuid.uuid4().hex[:12]}")
+    d = table(spark, sf, "documents")
+    for number in range(4):
+        log.batch(d.where(F.col("doc_id") % 4 == number), number)
+    return log.keywords().select("doc_id", F.col("batch").cast("long").alias("batch"), F.col("rank").cast("long").alias("rank"), "term", "score", "focus")
