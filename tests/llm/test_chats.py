@@ -51,7 +51,7 @@ def cheapest(rows):
                 audit += edit + "I" * n
             system = len(roles) % 2
             want = ["s"] * system + ["u", "a"] * (len(roles) // 2)
-            if len(roles) == 1 or any(w != (r or ("x" if w == "s" else w))[:1] for r, w in zip(roles, want, strict=True)):
+            if len(roles) == 1 or any(w == "s" if r is None else w != r[:1] for r, w in zip(roles, want, strict=True)):
                 continue
             if best is None or (cost, audit) < best:
                 best = cost, audit
@@ -66,7 +66,7 @@ def apply(rows, audit):
         if e != "D":
             out.append((role if e == "K" else None, text, e))
     first = len(out) % 2
-    return [(r or ("user" if (k - first) % 2 == 0 else "assistant"), t, e) for k, (r, t, e) in enumerate(out)]
+    return [(("user" if (k - first) % 2 == 0 else "assistant") if r is None else r, t, e) for k, (r, t, e) in enumerate(out)]
 
 
 def random_conversations(seed, n, most):
