@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import markdown as md
 from ..functions import text as tx
 from ..operators import discover, evaluate, moves, placement, tune
 from ..operators.lineage import shared_folder
@@ -150,3 +151,9 @@ def keywords_by_arrival(spark, sf):
     for number in range(4):
         log.batch(d.where(F.col("doc_id") % 4 == number), number)
     return log.keywords().select("doc_id", F.col("batch").cast("long").alias("batch"), F.col("rank").cast("long").alias("rank"), "term", "score", "focus")
+
+
+# --- pages ------------------------------------------------------------------------------------
+
+query("f04_markdown", None)(lambda spark, sf: table(spark, sf, "pages").select("page_id", md.markdown(F.col("html")).alias("markdown")))
+query("f06_encode_url", "SELECT page_id, regexp_extract(url, '^[^?#]*') || '/%C3%A9%20%20?q=%C5%B1' AS encoded FROM pages")(lambda spark, sf: table(spark, sf, "pages").select("page_id", md.encoded_url(F.concat(F.regexp_extract("url", "^[^?#]*", 0), F.lit("/é %20?q=ű"))).alias("encoded")))
