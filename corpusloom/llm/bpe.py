@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import frugal, read
 
 #: Characters beyond a boundary that can have a say in it, for patterns with short lookahead.
 MARGIN = 16
@@ -147,6 +147,7 @@ def _whole(shared: Shared, mode: str):
             else:
                 rows = [codec.digest(t) for t in texts]
                 yield pa.record_batch([batch.column(0), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string())))], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        codec.pieces.clear()
 
     return run
 
@@ -184,7 +185,7 @@ def bpe(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, mode: str = "
     made = "ids array<int>" if mode == "ids" else "n_tokens long, ids_sha256 string, decoded_sha256 string"
     shared = Shared(docs.sparkSession, ranks, pattern, chunk, overlap)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = rows.where("text IS NULL OR length(text) <= %d" % long_chars).mapInArrow(_whole(shared, mode), f"id {kind}, {made}")
+    out = rows.where("text IS NULL OR length(text) <= %d" % long_chars).mapInArrow(frugal(_whole(shared, mode)), f"id {kind}, {made}")
     long = rows.where("length(text) > %d" % long_chars).withColumn("sha", F.sha2("text", 256))
     parts = (
         long.dropDuplicates(["sha"])
@@ -195,12 +196,12 @@ def bpe(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, mode: str = "
         .select("sha", "k", F.expr(f"substring(text, from + 1, CASE WHEN last THEN n ELSE (k + 1) * {chunk} + {overlap} - from END)").alias("window"), F.expr(f"k * {chunk} - from").alias("at"), F.expr("k = 0").alias("first"), "last")
         .repartition("sha", "k")
     )
-    encoded = parts.mapInArrow(_chunks(shared), "sha string, k int, ok boolean, ids binary")
+    encoded = parts.mapInArrow(frugal(_chunks(shared)), "sha string, k int, ok boolean, ids binary")
     joined = encoded.groupBy("sha").applyInPandas(_joined(shared, mode), f"sha string, ok boolean, {made}")
     found = long.join(joined, "sha")
     names = [c.split()[0] for c in made.split(", ")]
     out = out.unionByName(found.where("ok").select("id", *names))
-    out = out.unionByName(found.where("NOT ok").select("id", "text").mapInArrow(_whole(shared, mode), f"id {kind}, {made}"))
+    out = out.unionByName(found.where("NOT ok").select("id", "text").mapInArrow(frugal(_whole(shared, mode)), f"id {kind}, {made}"))
     return out.withColumnRenamed("id", id_col)
 
 

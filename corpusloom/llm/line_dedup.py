@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, free_names, hashed_words, join_groups, mix, ordered_ids, read, slices
+from .common import Workspace, free_names, frugal, hashed_words, join_groups, mix, ordered_ids, read, slices
 from .packed import SCHEMA, Outbox, coarse, exchange, received, unpack
 from .sketches import bloom, dense_rows, rarity, split_by
 
@@ -539,14 +539,14 @@ def repeated_lines(docs: DataFrame, *, id_col: str, text_col: str, need: int = 8
         hashed = False
     else:
         hashed = True
-    counts = rarity(texts.select("text").mapInArrow(_count(), "block long, data binary"), BUCKETS)
+    counts = rarity(texts.select("text").mapInArrow(frugal(_count()), "block long, data binary"), BUCKETS)
     rare = spark.sparkContext.broadcast(counts)
     words = float(np.exp2(counts / 8.0).sum() - BUCKETS)
     parts = max(spark.sparkContext.defaultParallelism, int(0.45 * words / PART_KEYS) + 1)
     first = coarse(parts)
     line, ends = ["id", "row", "line"], ["id2", "row2", "line2"]
-    met = exchange(texts.mapInArrow(_listed(need, first, rare), SCHEMA), parts).mapInArrow(_met(need, first), SCHEMA)
-    met = space.table(exchange(met, parts).mapInArrow(_settled(), _SETTLED))
+    met = exchange(texts.mapInArrow(frugal(_listed(need, first, rare)), SCHEMA), parts).mapInArrow(frugal(_met(need, first)), SCHEMA)
+    met = space.table(exchange(met, parts).mapInArrow(frugal(_settled()), _SETTLED))
     gone = met.where(F.col("kind") == GONE).select(*line)
     offers = met.where(F.col("kind") == PAIRS)
     pairs = offers.where("id <> id2 OR row <> row2 OR line <> line2").select(*line, *ends, "turn")
@@ -555,14 +555,14 @@ def repeated_lines(docs: DataFrame, *, id_col: str, text_col: str, need: int = 8
     left = open_.count()
     out = gone.unionByName(found)
     if left:
-        asked = spark.sparkContext.broadcast(bloom(open_.mapInArrow(_keys, "key long"), left))
+        asked = spark.sparkContext.broadcast(bloom(open_.mapInArrow(frugal(_keys), "key long"), left))
         hot = met.where(F.col("kind") == HOT).select("data")
-        keys = space.table(hot.mapInArrow(_hot_keys(asked), "key long"))
+        keys = space.table(hot.mapInArrow(frugal(_hot_keys(asked)), "key long"))
         only = spark.sparkContext.broadcast(bloom(keys, keys.count()))
-        keys = space.table(hot.mapInArrow(_hot_texts(only), "key long"))
+        keys = space.table(hot.mapInArrow(frugal(_hot_texts(only)), "key long"))
         inside = spark.sparkContext.broadcast(bloom(keys, keys.count()))
-        rest = exchange(texts.mapInArrow(_again(need, first, rare, inside, only, asked), SCHEMA), parts).mapInArrow(_full(need, first), SCHEMA)
-        rest = exchange(rest, parts).mapInArrow(_settled(), _SETTLED).select(*line, *ends)
+        rest = exchange(texts.mapInArrow(frugal(_again(need, first, rare, inside, only, asked)), SCHEMA), parts).mapInArrow(frugal(_full(need, first)), SCHEMA)
+        rest = exchange(rest, parts).mapInArrow(frugal(_settled()), _SETTLED).select(*line, *ends)
         rest = rest.unionByName(pairs.where(F.col("turn") > OFFERS).drop("turn")).distinct()
         rest = rest.join(open_, line, "left_semi").join(pairs.where(F.col("turn") <= OFFERS).drop("turn"), [*line, *ends], "left_anti")
         out = out.unionByName(_verified(space, texts, space.table(rest), need, hashed))
@@ -578,16 +578,16 @@ def _verified(space: Workspace, texts: DataFrame, pairs: DataFrame, need: int, h
     n = members.count()
     if not n:
         return pairs.select(*line)
-    wanted = spark.sparkContext.broadcast(bloom(members.mapInArrow(_keys, "key long"), n))
-    inside = spark.sparkContext.broadcast(bloom(members.select("id", "row").mapInArrow(_text_keys, "key long"), n))
-    words = texts.mapInArrow(_words_of(inside, wanted), "id long, row long, line int, words binary")
+    wanted = spark.sparkContext.broadcast(bloom(members.mapInArrow(frugal(_keys), "key long"), n))
+    inside = spark.sparkContext.broadcast(bloom(members.select("id", "row").mapInArrow(frugal(_text_keys), "key long"), n))
+    words = texts.mapInArrow(frugal(_words_of(inside, wanted)), "id long, row long, line int, words binary")
     words = space.table(words.dropDuplicates(line) if hashed else words)
     total = pairs.count()
     first = words.join(pairs.groupBy(*line).agg(F.count("*").alias("uses")), line)
     second = words.select(*[F.col(x).alias(e) for e, x in zip(ends, line)], F.col("words").alias("words2")).join(pairs.groupBy(*ends).agg(F.count("*").alias("uses")), ends)
     one = join_groups(pairs, first, line, "uses", total, least=1000).drop("uses")
     both = join_groups(one, second, ends, "uses", total, least=1000)
-    return both.select(*line, "words", "words2").mapInArrow(_similar(need), "id long, row long, line int").distinct()
+    return both.select(*line, "words", "words2").mapInArrow(frugal(_similar(need)), "id long, row long, line int").distinct()
 
 
 def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", need: int = 80) -> DataFrame:

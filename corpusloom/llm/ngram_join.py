@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Workspace, gram_hashes, hashed_words, join_groups, read
+from .common import Workspace, frugal, gram_hashes, hashed_words, join_groups, read
 from .components import components
 from .lists import batch_of, blocks, pairs_in_lists, whole_lists
 from .sketches import bloom, dense_rows, rarity, without
@@ -197,7 +197,7 @@ def overlaps(space: Workspace, pairs: DataFrame, sets: DataFrame) -> DataFrame:
     uses = pairs.groupBy("b").agg(F.count("*").alias("uses"))
     two = sets.select(F.col("set_id").alias("b"), F.col("data").alias("two")).join(uses, "b")
     both = join_groups(one, two, ["b"], "uses", total).select("a", "b", "one", "two")
-    return space.table(both.mapInArrow(_overlaps, "a long, b long, size_a long, size_b long, common long"))
+    return space.table(both.mapInArrow(frugal(_overlaps), "a long, b long, size_a long, size_b long, common long"))
 
 
 def links(seen: DataFrame, need: int) -> DataFrame:
@@ -265,15 +265,15 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     space = Workspace(spark, "ngram_join")
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rare = spark.sparkContext.broadcast(rarity(texts.select("text").mapInArrow(_count(n), "block long, data binary"), BUCKETS))
+    rare = spark.sparkContext.broadcast(rarity(texts.select("text").mapInArrow(frugal(_count(n)), "block long, data binary"), BUCKETS))
     # No map-side sums: nearly all shingles are single, and a task has combined the frequent ones already.
-    listed = texts.select("text").mapInArrow(_listed(n, need, rare), "shingle long, set_id long").repartition("shingle")
+    listed = texts.select("text").mapInArrow(frugal(_listed(n, need, rare)), "shingle long, set_id long").repartition("shingle")
     listed = space.table(listed.groupBy("shingle").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).where("lo < hi").select("shingle"))
     filters = spark.sparkContext.broadcast(bloom(listed, listed.count()))
-    shared = space.table(texts.mapInArrow(_shared(n, need, rare, filters), f"kind byte, id {kind}, shingle long, set_id long, size int, place int, spot int, data binary"))
+    shared = space.table(texts.mapInArrow(frugal(_shared(n, need, rare, filters)), f"kind byte, id {kind}, shingle long, set_id long, size int, place int, spot int, data binary"))
     described = space.table(shared.where(F.col("kind") == DOC).select("id", F.col("size").cast("long").alias("n_shingles"), "set_id"))
     sets = space.table(shared.where(F.col("kind") == SET).groupBy("set_id").agg(F.first("data").alias("data")))
-    parities = space.table(sets.mapInArrow(_parities, "set_id long, length long, " + ", ".join(f"{p} long" for p in PARITY)))
+    parities = space.table(sets.mapInArrow(frugal(_parities), "set_id long, length long, " + ", ".join(f"{p} long" for p in PARITY)))
     index = shared.where(F.col("kind") == INDEX).select("shingle", "set_id", "size", "place", "spot")
     index_rows = index.count()
     lists = space.table(index.groupBy("shingle").agg(F.min("set_id").alias("pivot"), F.max("set_id").alias("last"), F.count("*").alias("n")).where("pivot < last").drop("last"))
@@ -314,7 +314,7 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     across = across.withColumn("turn", F.row_number().over(text)).withColumn("before", F.coalesce(F.lag("shingle").over(text), "set_id")).withColumn("after", F.coalesce(F.lead("shingle").over(text), "set_id"))
     across = blocks(across, "shingle", "set_id", "n_rows")
     across = across.repartition("shingle", "block_a", "block_b").sortWithinPartitions("shingle", "block_a", "block_b", "size", "set_id")
-    across = across.select("shingle", "block_a", "block_b", "size", "place", "own", "turn", "before", "after", "set_id", "root", *PARITY).mapInArrow(_across(need), "a long, b long, lists long, least int")
+    across = across.select("shingle", "block_a", "block_b", "size", "place", "own", "turn", "before", "after", "set_id", "root", *PARITY).mapInArrow(frugal(_across(need)), "a long, b long, lists long, least int")
     across = across.groupBy("a", "b").agg(F.sum("lists").alias("met"), F.max("least").alias("least")).where("met >= least").select("a", "b")
     across = space.table(across.join(seen.select("a", "b"), ["a", "b"], "left_anti"))
     # Answers of a set from those of its pivot: |y and z| <= |pivot and z| + |y beyond its pivot|.
