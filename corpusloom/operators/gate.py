@@ -16,7 +16,8 @@ class Limits:
 
     delta: float = 0.03  # least gain of BCubed F over the stronger baseline, whose interval must lie above zero
     coverage: float = 0.40  # least share of items with a theme
-    share: float = 0.25  # greatest share of items that one theme may have
+    coverage_pages: float = 0.70  # the same for long pages
+    share: float = 0.25  # greatest share of items, and of pages, that one theme may have
 
 
 def spread(items: DataFrame, placed: str) -> DataFrame:
@@ -29,10 +30,19 @@ def spread(items: DataFrame, placed: str) -> DataFrame:
     return total.crossJoin(top).select("coverage", "mean_themes", (F.col("top") / F.col("n")).alias("largest_share"))
 
 
-def gate(items: DataFrame, genres: list[str], limits: Limits = Limits(), resamples: int = 2_000, seed: int = 42) -> DataFrame:
+def named_posts(posts: DataFrame, forbidden: list[str]) -> DataFrame:
+    """posts(key, new array, expected array) with ok: none of the forbidden themes, and one of the expected or none at all."""
+    got = F.coalesce("new", F.array().cast("array<string>"))
+    barred = F.array(*[F.lit(x) for x in forbidden]).cast("array<string>")
+    return posts.withColumn("ok", ~F.arrays_overlap(got, barred) & ((F.size(got) == 0) | F.arrays_overlap(got, F.col("expected"))))
+
+
+def gate(items: DataFrame, genres: list[str], limits: Limits = Limits(), resamples: int = 2_000, seed: int = 42, pages: DataFrame | None = None, posts: DataFrame | None = None, forbidden: list[str] = ()) -> DataFrame:
     """items(new array, base array, gold array) -> one row of figures and the verdict, passed.
 
     The baseline is the stronger by BCubed F of base as it is (A) and base without its genre-like themes (B).
+    pages(new array) are the long pages, with a limit of their own; posts(key, new, expected) are those whose themes
+    are known beforehand, judged by named_posts(). Without either, its part counts as passed.
     """
     both = items.withColumn("bare", F.array_except("base", F.array(*[F.lit(g) for g in genres]).cast("array<string>")))
     f = {name: evaluate.bcubed(both.withColumn("key", F.lit(0)), col).first()["f"] for name, col in (("new", "new"), ("A", "base"), ("B", "bare"))}
@@ -43,4 +53,11 @@ def gate(items: DataFrame, genres: list[str], limits: Limits = Limits(), resampl
     out = delta.crossJoin(new).crossJoin(old).select(F.lit(stronger).alias("stronger"), F.lit(f["new"]).alias("f_new"), F.lit(f[stronger]).alias("f_base"), "delta", "low", "high", "n", "coverage", "mean_themes", "mean_themes_base", "largest_share")
     better = (F.col("delta") >= limits.delta) & (F.col("low") > 0)
     wide = (F.col("coverage") >= limits.coverage) & (F.col("mean_themes") <= F.col("mean_themes_base")) & (F.col("largest_share") <= limits.share)
-    return out.withColumn("better", better).withColumn("wide", wide).withColumn("passed", better & wide)
+    known = F.lit(True)
+    if pages is not None:
+        out = out.crossJoin(spread(pages, "new").select(F.col("coverage").alias("coverage_pages"), F.col("largest_share").alias("largest_share_pages")))
+        wide = wide & (F.col("coverage_pages") >= limits.coverage_pages) & (F.col("largest_share_pages") <= limits.share)
+    if posts is not None:
+        out = out.crossJoin(named_posts(posts, list(forbidden)).agg(F.count("*").alias("n_posts"), F.count_if(~F.col("ok")).alias("bad_posts")))
+        known = F.col("bad_posts") == 0
+    return out.withColumn("better", better).withColumn("wide", wide).withColumn("known", known).withColumn("passed", F.col("better") & F.col("wide") & F.col("known"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markdown as md
 from ..functions import text as tx
-from ..operators import discover, evaluate, moves, placement, tune
+from ..operators import discover, evaluate, integrity, moves, placement, tune
 from ..operators.lineage import shared_folder
 from ..streaming.keywords import KeywordLog
 from .registry import _doc_labels, query, table
@@ -157,3 +157,45 @@ def keywords_by_arrival(spark, sf):
 
 query("f04_markdown", None)(lambda spark, sf: table(spark, sf, "pages").select("page_id", md.markdown(F.col("html")).alias("markdown")))
 query("f06_encode_url", "SELECT page_id, regexp_extract(url, '^[^?#]*') || '/%C3%A9%20%20?q=%C5%B1' AS encoded FROM pages")(lambda spark, sf: table(spark, sf, "pages").select("page_id", md.encoded_url(F.concat(F.regexp_extract("url", "^[^?#]*", 0), F.lit("/é %20?q=ű"))).alias("encoded")))
+
+
+_P = "regexp_replace(regexp_replace(regexp_replace({}, '[?#].*', ''), '^[a-z]+://[^/]*', ''), '/+$', '')"
+_INTEGRITY = rf"""
+WITH RECURSIVE p AS (SELECT page_id, {_P.format('url')} AS path, html FROM pages),
+site AS MATERIALIZED (SELECT path, html FROM p UNION ALL SELECT '', string_agg('<a href="' || path || '/">x</a>', '') FROM p UNION ALL SELECT path || '/old', '(text)[http://x] <h1>none</h1>' FROM p WHERE page_id % 50 = 0),
+re AS MATERIALIZED (SELECT '/' || replace(lang, ' ', '') || doc_id AS source, CASE WHEN doc_id % 4 = 0 THEN (SELECT min(path) FROM p) WHEN doc_id % 4 = 1 THEN '/nowhere' ELSE '/' || (SELECT min(lang) FROM documents) || (doc_id - doc_id % 4) END AS target FROM documents),
+hop AS (SELECT source, target, 0 AS k FROM re UNION ALL SELECT h.source, r.target, k + 1 FROM hop h JOIN re r ON r.source = h.target WHERE k < 30),
+endings AS (SELECT source FROM hop WHERE target IN (SELECT path FROM site)),
+alive AS MATERIALIZED (SELECT DISTINCT path FROM (SELECT path FROM site UNION ALL SELECT source FROM endings)),
+h AS MATERIALIZED (SELECT path AS at_, unnest(list_distinct(regexp_extract_all(html, '<a\s[^>]*?href\s*=\s*["'']?([^"''\s>]+)', 1))) AS href FROM site),
+l AS MATERIALIZED (SELECT at_, {_P.format('href')} AS path FROM h WHERE starts_with(href, '/') AND NOT starts_with(href, '//')),
+d AS (SELECT DISTINCT path FROM l),
+reg AS (SELECT DISTINCT source AS path FROM re),
+n AS (SELECT DISTINCT trim(regexp_extract(html, '(?is)<h1[^>]*>([^<]*)</h1>', 1)) AS name FROM p WHERE page_id % 2 = 0),
+hd AS (SELECT DISTINCT name FROM (SELECT trim(regexp_extract(html, '(?is)<h1[^>]*>([^<]*)</h1>', 1)) AS name FROM site) WHERE name <> ''),
+ca AS (SELECT DISTINCT lang AS name FROM documents)
+SELECT 'links' AS "check", count(*) AS n_checked, count(*) FILTER (WHERE path NOT IN (SELECT path FROM alive)) AS n_bad, min(path) FILTER (WHERE path NOT IN (SELECT path FROM alive)) AS first_bad FROM d
+UNION ALL SELECT 'blind', count(*), (count(*) = 0)::BIGINT, NULL FROM d
+UNION ALL SELECT 'registry', count(*), count(*) FILTER (WHERE path NOT IN (SELECT path FROM alive)), min(path) FILTER (WHERE path NOT IN (SELECT path FROM alive)) FROM reg
+UNION ALL SELECT 'headings', count(*), count(*) FILTER (WHERE name NOT IN (SELECT name FROM n)), min(name) FILTER (WHERE name NOT IN (SELECT name FROM n)) FROM hd
+UNION ALL SELECT 'names', count(*), count(*) FILTER (WHERE name NOT IN (SELECT name FROM n)), min(name) FILTER (WHERE name NOT IN (SELECT name FROM n)) FROM ca
+UNION ALL SELECT 'inside_out', count(*), count(*) FILTER (WHERE contains(html, ')[http')), min(path) FILTER (WHERE contains(html, ')[http')) FROM site
+UNION ALL SELECT 'twice', count(*), count(*) FILTER (WHERE c > 1), min(path) FILTER (WHERE c > 1) FROM (SELECT path, count(*) AS c FROM site GROUP BY path)
+UNION ALL SELECT 'required', 2, (CASE WHEN b = 0 THEN 1 ELSE 0 END + CASE WHEN f = 0 THEN 1 ELSE 0 END)::BIGINT, CASE WHEN b = 0 OR f = 0 THEN '/modszer' END FROM (SELECT count(*) FILTER (WHERE path = '/modszer') AS b, (SELECT count(*) FROM l WHERE at_ = '' AND path = '/modszer') AS f FROM site)"""
+
+
+@query("job15_integrity", _INTEGRITY)
+def integrity_checks(spark, sf):
+    """The pages as a site, with a home page that links to all, some pages of faults, and redirects from the documents."""
+    p = table(spark, sf, "pages").select("page_id", integrity.path_of(F.col("url")).alias("path"), "html")
+    home = p.agg(F.lit("").alias("path"), F.array_join(F.transform(F.collect_list("path"), lambda x: F.concat(F.lit('<a href="'), x, F.lit('/">x</a>'))), "").alias("html"))
+    faults = p.where("page_id % 50 = 0").select(F.concat("path", F.lit("/old")).alias("path"), F.lit("(text)[http://x] <h1>none</h1>").alias("html"))
+    site = p.select("path", "html").unionByName(home).unionByName(faults)
+    d = table(spark, sf, "documents")
+    one = d.agg(F.min("lang").alias("least")).crossJoin(p.agg(F.min("path").alias("top")))  # one row
+    k = F.col("doc_id") % 4
+    target = F.when(k == 0, F.col("top")).when(k == 1, "/nowhere").otherwise(F.concat(F.lit("/"), "least", F.col("doc_id") - k))
+    redirects = d.crossJoin(F.broadcast(one)).select(F.concat(F.lit("/"), F.replace("lang", F.lit(" "), F.lit("")), "doc_id").alias("source"), target.alias("target"))
+    heading = F.trim(F.regexp_extract("html", integrity.HEADING, 1))
+    names = p.where("page_id % 2 = 0").select(heading.alias("name"))
+    return integrity.checks(site, redirects, redirects.select(F.col("source").alias("path")), names, d.select(F.lit("x").alias("path"), F.col("lang").alias("name")), "/modszer")

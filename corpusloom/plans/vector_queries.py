@@ -208,11 +208,40 @@ def paired_bootstrap(spark, sf):
     return evaluate.paired_bootstrap(items)
 
 
+def _halves(spark, sf):
+    """The items of agg18 as rows (held out) and pages, and of each those whose themes are known beforehand."""
+    items = _bcubed_items(spark, sf).join(table(spark, sf, "documents").select(F.col("doc_id").alias("key"), "source"), "key").withColumn("new", F.col("pred"))
+    test = tx.split_of(F.col("key").cast("string")) == "test"
+    posts = items.where("key % 7 = 0").withColumn("expected", F.array("source"))
+    return items.where(test), items.where(~test), posts.where(test), posts.where(~test)
+
+
 @query("job05_gate", None)
 def release_gate(spark, sf):
-    """The held-out half of the items of agg18; the baseline is each item's language alone."""
-    items = _bcubed_items(spark, sf).where(tx.split_of(F.col("key").cast("string")) == "test")
-    return gate.gate(items.select(F.col("pred").alias("new"), F.slice("pred", 1, 1).alias("base"), "gold"), ["en"])
+    """The held-out half of the items of agg18, with the other half as pages; the baseline is each item's language alone."""
+    rows, pages, posts, _ = _halves(spark, sf)
+    return gate.gate(rows.select("new", F.slice("pred", 1, 1).alias("base"), "gold"), ["en"], pages=pages, posts=posts, forbidden=["de"])
+
+
+_HALVES = """
+WITH i AS (SELECT doc_id AS key, source, CASE WHEN doc_id % 5 = 0 THEN []::VARCHAR[] WHEN doc_id % 5 < 3 THEN [lang] ELSE [lang, source] END AS new, CASE WHEN ('0x' || right(sha1(doc_id::VARCHAR), 1))::INT % 2 = 0 THEN 'pages' ELSE 'rows' END AS half FROM documents),
+c AS (SELECT half, max(c) AS top FROM (SELECT half, t, count(*) AS c FROM (SELECT half, unnest(new) AS t FROM i) GROUP BY ALL) GROUP BY half)
+SELECT half, round(avg(CASE WHEN len(new) > 0 THEN 1.0 ELSE 0.0 END), 8) AS coverage, round(avg(len(new)), 8) AS mean_themes, round(any_value(top) / count(*)::DOUBLE, 8) AS largest_share,
+  count(*) FILTER (WHERE key % 7 = 0) AS n_posts, count(*) FILTER (WHERE key % 7 = 0 AND (list_contains(new, 'de') OR len(new) > 0 AND NOT list_contains(new, source))) AS bad_posts
+FROM i JOIN c USING (half) GROUP BY half"""
+
+
+@query("job05_limits", _HALVES)
+def release_limits(spark, sf):
+    """What the gate limits by class, and what it knows beforehand."""
+    rows, pages, posts, page_posts = _halves(spark, sf)
+    out = None
+    for half, items, known in (("rows", rows, posts), ("pages", pages, page_posts)):
+        judged = gate.named_posts(known, ["de"]).agg(F.count("*").alias("n_posts"), F.count_if(~F.col("ok")).alias("bad_posts"))
+        figures = [F.round(c, 8).alias(c) for c in ("coverage", "mean_themes", "largest_share")]
+        one = gate.spread(items, "new").crossJoin(judged).select(F.lit(half).alias("half"), *figures, "n_posts", "bad_posts")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 query("agg20_paired_mean_delta", None)(lambda spark, sf: evaluate.paired_mean_delta(_pairs(spark, sf), ["label"]))

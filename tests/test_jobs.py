@@ -181,3 +181,36 @@ def test_stopped_and_resumed_stream_equals_one_run(spark, tmp_path):
     # a batch that ran before and is run again, as after a failure, changes nothing
     log.batch(spark.createDataFrame([(k, docs[k]) for k in [*range(16, 24), 3, 4]], schema), 2)
     assert {tuple(r) for r in log.keywords().collect()} == got
+
+
+def test_gate_knows_posts_and_classes(spark):
+    from corpusloom.operators import gate
+
+    posts = spark.createDataFrame([(1, ["a"], ["a"]), (2, [], ["a"]), (3, None, ["a"]), (4, ["b"], ["a"]), (5, ["a", "x"], ["a"])], "key int, new array<string>, expected array<string>")
+    assert {r.key: r.ok for r in gate.named_posts(posts, ["x"]).collect()} == {1: True, 2: True, 3: True, 4: False, 5: False}
+    items = spark.createDataFrame([([f"t{k % 5}"], ["z"] if k % 2 else ["y"], [f"g{k % 5}"]) for k in range(60)], "new array<string>, base array<string>, gold array<string>")
+    pages = spark.createDataFrame([([f"t{k % 5}"] if k < 8 else [],) for k in range(10)], "new array<string>")
+    judge = lambda **how: gate.gate(items, [], resamples=100, **how).first()
+    assert judge().passed and judge(pages=pages, posts=posts.where("key < 4"), forbidden=["x"]).passed
+    assert not judge(pages=pages.where("size(new) = 0")).passed
+    r = judge(posts=posts, forbidden=["x"])
+    assert (r.n_posts, r.bad_posts, r.known, r.better, r.passed) == (5, 2, False, True, False)
+
+
+def test_integrity_of_a_small_site(spark):
+    from corpusloom.operators import integrity
+
+    pages = spark.createDataFrame(
+        [("", '<a href="/a/">x</a> <a href=/old?q=1#f>y</a> <A HREF="/dead">n</a> <a href="//else.where/x">z</a> <a href="/m">m</a><h1>Home</h1>'), ("/a", "<h1> A </h1>"), ("/a", "(t)[http://x]"), ("/m", "<h1>Old name</h1><a href='/round'>r</a>")],
+        "path string, html string",
+    )
+    redirects = spark.createDataFrame([("/old", "/older"), ("/older", "/oldest"), ("/oldest", "/a"), ("/round", "/round2"), ("/round2", "/round"), ("/lost", "/nowhere")], "source string, target string")
+    assert {(r.source, r.target) for r in integrity.redirected(redirects).collect()} == {("/old", "/a"), ("/older", "/a"), ("/oldest", "/a"), ("/lost", "/nowhere")}
+    names = spark.createDataFrame([("Home",), ("A",)], "name string")
+    registry = spark.createDataFrame([("/old",), ("/a",), ("/lost",), ("/round",)], "path string")
+    carried = spark.createDataFrame([("/a", "A"), ("/m", "B")], "path string, name string")
+    got = {r.check: (r.n_checked, r.n_bad, r.first_bad) for r in integrity.checks(pages, redirects, registry, names, carried, "/m").collect()}
+    # an upper-case tag is no link here: what renders the pages writes lower case
+    assert got == {"links": (4, 1, "/round"), "blind": (4, 0, None), "registry": (4, 2, "/lost"), "headings": (3, 1, "Old name"), "names": (2, 1, "B"), "inside_out": (4, 1, "/a"), "twice": (3, 1, "/a"), "required": (2, 0, None)}
+    none = integrity.checks(pages.limit(0), redirects.limit(0), registry, names, carried, "/m")
+    assert {r.check: r.n_bad for r in none.collect()} == {"links": 0, "blind": 1, "registry": 4, "headings": 0, "names": 1, "inside_out": 0, "twice": 0, "required": 2}
