@@ -3,8 +3,10 @@
 Urls that a rule judges are the labelled ones. Per host, path segments that are variable by their form
 (numbers, dates, hashes) or by their count below one parent become wildcards; sibling templates whose
 labels are statistically alike (Wilson interval of the blocked share above, below or across one half)
-are merged; a template is rejected when its smoothed labelled purity, (blocked + 1) / (labelled + 2),
-reaches `purity`. A rule's own verdict always goes first.
+are merged. Labels are pooled up the tree: a host's purity is (blocked + 1) / (labelled + 2), that of a
+first segment is smoothed by its host's, (blocked + 2 host) / (labelled + 2), and a template's by its first
+segment's in the same way. So a template with labels of its own is judged by them, and one with none by its
+host. It is rejected when its purity reaches PURITY. A rule's own verdict always goes first.
 
 The tree has the first DEPTH segments of a path: deeper paths that agree in them share a template, with a flag
 that they go on.
@@ -27,6 +29,8 @@ MAX_RULES = 1000
 DEPTH = 4
 BRANCHES = 20
 PURITY = 0.9
+#: Labels that the purity of the level above counts as.
+PRIOR = 2.0
 Z = 1.96
 ABSENT = "/"  # no segment can be this
 
@@ -114,9 +118,17 @@ def url_filter(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url
         merged = space.table(join_groups(merged, like, others, "n_alike", total).withColumn(m[k], F.when(joins, "*").otherwise(F.col(m[k]))).drop("low", "high", "none", "n_alike"))
     final = ["host", *m, "deeper", "class"]
     judged = merged.groupBy(*final).agg(F.sum("blocked").alias("all_blocked"), F.sum("labelled").alias("n_labelled"), F.count("*").alias("n_alike"))
+    # labels of the host and of the first segment, one row each
+    pooled = [F.sum("blocked"), F.sum("labelled"), F.count("*")]
+    hosts = merged.groupBy("host").agg(*[c.alias(n) for c, n in zip(pooled, ("host_blocked", "host_labelled", "n_host"))])
+    firsts = merged.groupBy("host", m[0]).agg(*[c.alias(n) for c, n in zip(pooled, ("first_blocked", "first_labelled", "n_first"))])
+    judged = join_groups(join_groups(judged, hosts, ["host"], "n_host", total), firsts, ["host", m[0]], "n_first", total)
+    of_host = (F.col("host_blocked") + 1.0) / (F.col("host_labelled") + 2.0)
+    of_first = (F.col("first_blocked") + F.lit(PRIOR) * of_host) / (F.col("first_labelled") + PRIOR)
+    judged = judged.withColumn("purity", (F.col("all_blocked") + F.lit(PRIOR) * of_first) / (F.col("n_labelled") + PRIOR)).select(*final, "n_labelled", "purity", "n_alike")
     named = join_groups(merged.select("host", *_T, "deeper", "class", *m, "n_rows"), judged, final, "n_alike", total)
     shown = [F.when(F.col(x) == ABSENT, "").otherwise(F.concat(F.lit("/"), F.col(x))) for x in m]
-    named = named.select("host", *_T, "deeper", F.concat(*shown, F.when(F.col("deeper"), "/**").otherwise("")).alias("template"), "n_labelled", ((F.col("all_blocked") + 1.0) / (F.col("n_labelled") + 2.0)).alias("purity"), (10 * (F.col("all_blocked") + 1) >= round(10 * PURITY) * (F.col("n_labelled") + 2)).alias("impure"), F.col("n_rows").alias("n_tree"))
+    named = named.select("host", *_T, "deeper", F.concat(*shown, F.when(F.col("deeper"), "/**").otherwise("")).alias("template"), "n_labelled", "purity", (F.col("purity") >= PURITY).alias("impure"), F.col("n_rows").alias("n_tree"))
     leaves = space.table(join_groups(tree.drop("labelled", "blocked"), named, ["host", *_T, "deeper"], "n_tree", total).select("host", *_S, "deeper", "n", "template", "n_labelled", "purity", "impure"))
     out = join_groups(rows, leaves, ["host", *_S, "deeper"], "n", total)
     verdict = F.coalesce("ruled", F.when(F.col("impure"), "block").otherwise("allow"))
@@ -158,11 +170,12 @@ def oracle() -> str:
         ctes.append(f"c{k + 1} AS (SELECT * REPLACE (CASE WHEN min({m[k]}) OVER w <> max({m[k]}) OVER w AND count(*) FILTER (WHERE {m[k]} = '{ABSENT}') OVER w = 0 THEN '*' ELSE {m[k]} END AS {m[k]}) FROM c{k} WINDOW w AS (PARTITION BY {others}))")
     final = ", ".join(["host", *m, "deeper", "class"])
     shown = " || ".join(f"CASE WHEN {x} = '{ABSENT}' THEN '' ELSE '/' || {x} END" for x in m)
-    ctes.append(f"j AS (SELECT host, {t}, deeper, {shown} || CASE WHEN deeper THEN '/**' ELSE '' END AS template, (sum(labelled) OVER w)::BIGINT AS n_labelled, (sum(blocked) OVER w)::BIGINT AS all_blocked FROM c{DEPTH} WINDOW w AS (PARTITION BY {final}))")
+    ctes.append(f"j AS (SELECT host, {t}, deeper, {shown} || CASE WHEN deeper THEN '/**' ELSE '' END AS template, (sum(labelled) OVER w)::BIGINT AS n_labelled, (sum(blocked) OVER w)::DOUBLE AS all_blocked, (sum(blocked) OVER h)::DOUBLE AS hb, (sum(labelled) OVER h)::DOUBLE AS hl, (sum(blocked) OVER f)::DOUBLE AS fb, (sum(labelled) OVER f)::DOUBLE AS fl FROM c{DEPTH} WINDOW w AS (PARTITION BY {final}), h AS (PARTITION BY host), f AS (PARTITION BY host, m1))")
+    one, two, prior = "1.0::DOUBLE", "2.0::DOUBLE", f"{PRIOR}::DOUBLE"
+    ctes.append(f"q AS (SELECT * EXCLUDE (all_blocked, hb, hl, fb, fl), (all_blocked + {prior} * ((fb + {prior} * ((hb + {one}) / (hl + {two}))) / (fl + {prior}))) / (n_labelled::DOUBLE + {prior}) AS purity FROM j)")
     return "WITH " + ",\n".join(ctes) + f"""
-SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN 10 * (all_blocked + 1) >= {round(10 * PURITY)} * (n_labelled + 2) THEN 'block' ELSE 'allow' END) AS verdict,
-       template, n_labelled, (all_blocked + 1.0::DOUBLE) / (n_labelled + 2.0::DOUBLE) AS purity
-FROM b JOIN g{DEPTH} USING (host, {s}, deeper) JOIN j USING (host, {t}, deeper)"""
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN purity >= {PURITY}::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict, template, n_labelled, purity
+FROM b JOIN g{DEPTH} USING (host, {s}, deeper) JOIN q USING (host, {t}, deeper)"""
 
 
 ORACLE = oracle()

@@ -325,6 +325,19 @@ def test_url_templates_reject(spark):
         assert [r.verdict for r in got] == [verdict]
 
 
+def test_url_labels_pool_up_the_tree(spark):
+    """A template without labels has its first segment's purity, and that one its host's."""
+    urls = [f"http://h.com/bad/{k}" for k in range(30)] + [f"http://h.com/good/{k}" for k in range(10)] + ["http://h.com/other", "http://h.com/bad/x/y", "http://new.org/other"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for rules, host in (([("h.com/bad/1", "block"), ("h.com/bad/2", "block")], (22 + 1) / (22 + 2)), ([("h.com/bad/1", "block"), ("h.com/bad/2", "block"), ("h.com/good/", "allow")], (22 + 1) / (32 + 2))):
+        got = {r.page_id: r for r in url_filter.url_filter(pages, rules=rules).collect()}
+        first = (22 + 2 * host) / (22 + 2)
+        assert got[40].purity == host and got[40].verdict == ("block" if host >= 0.9 else "allow")
+        assert got[41].purity == (0 + 2 * first) / 2 and got[41].verdict == "block"
+        assert got[5].purity == (22 + 2 * first) / (22 + 2) and got[5].rule is None and got[5].verdict == "block"
+        assert got[42].purity == 0.5 and got[42].verdict == "allow"
+
+
 def test_fm_index():
     import numpy as np
 
