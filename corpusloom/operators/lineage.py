@@ -23,7 +23,8 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def _root(spark: SparkSession) -> str:
+def scratch(spark: SparkSession) -> str:
+    """A folder of this application in the shared one, which goes when the interpreter ends."""
     app = spark.sparkContext.applicationId
     if app not in _ROOTS:
         _ROOTS[app] = f"{shared_folder(spark)}/corpusloom-{uuid.uuid4().hex[:12]}"
@@ -39,6 +40,6 @@ def _root(spark: SparkSession) -> str:
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, written once and read again; what it was made of is forgotten, its constraints too, which grow with every round of a loop."""
-    path = f"{_root(df.sparkSession)}/{uuid.uuid4().hex[:12]}"
+    path = f"{scratch(df.sparkSession)}/{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

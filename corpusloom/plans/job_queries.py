@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import markdown as md
 from ..functions import text as tx
 from ..operators import discover, evaluate, integrity, moves, placement, tune
-from ..operators.lineage import shared_folder
+from ..operators.lineage import scratch
 from ..streaming.keywords import KeywordLog
 from .registry import _doc_labels, query, table
 from .vector_queries import _BASE, RULES, _parts
@@ -146,7 +146,7 @@ def keywords_by_arrival(spark, sf):
     """Documents in four batches, each compared with its own batch and those before it."""
     import uuid
 
-    log = KeywordLog(spark, f"{shared_folder(spark)}/arrival-{uuid.uuid4().hex[:12]}")
+    log = KeywordLog(spark, f"{scratch(spark)}/arrival-{uuid.uuid4().hex[:12]}")
     d = table(spark, sf, "documents")
     for number in range(4):
         log.batch(d.where(F.col("doc_id") % 4 == number), number)
