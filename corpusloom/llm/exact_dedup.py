@@ -6,8 +6,8 @@ rows whose bits are all set twice shuffle, and their SHA-256 decides. False posi
 never a wrong result.
 
 Scale: the filter is cut into slices by fingerprint, so that a slice holds at most `slice_rows` rows
-and `slice_rows * bits_per_row / 8` bytes (48 MB at the defaults), whatever the corpus holds; one
-slice at a time is broadcast. Bits are gathered by segment through a shuffle, so no task holds more
+and `slice_rows * bits_per_row / 8` bytes (48 MB at the defaults), whatever the corpus holds; each
+slice's filter is broadcast, and all of them live until the result has been read. Bits are gathered by segment through a shuffle, so no task holds more
 than a segment. Copies of one text, even a third of all rows, are counted map-side and joined back
 by `join_groups`.
 """
@@ -106,8 +106,8 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """One row per row of docs: id, keep_id, group_size, kept, text_sha256.
 
     Null text counts as empty; of equal texts the largest id stays. Rows that repeat an id each give
-    a row; equal texts under one id are a group too, and every row with the kept id is kept. Other
-    columns of docs, whatever their names, are not looked at. An empty table gives an empty result.
+    a row; equal texts under one id are a group too, and every row with the kept id is kept. Texts of
+    any length leave the scan as their digests. Other columns of docs, whatever their names, are not looked at. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     space = Workspace(spark, "exact_dedup")

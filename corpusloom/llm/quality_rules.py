@@ -72,7 +72,7 @@ def ledger(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
     """id, the measurements and fail_bits, one row per row of docs.
 
     Null or empty texts have no words and fail the rules that say so; repeated ids, ties and other
-    columns do not matter; an empty table gives an empty ledger.
+    columns do not matter; texts are measured whole, one at a time; an empty table gives an empty ledger.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     measured = docs.select(id_col, text_col).mapInArrow(_measures, f"`{id_col}` {kind}, " + ", ".join(f"{m} long" for m in MEASURES))

@@ -1,4 +1,4 @@
-"""The pipeline's stages against brute force on a small fixture."""
+"""The pipeline's stages one after the other: what each keeps is part of what it got. Their operators are tested against brute force elsewhere."""
 
 import pytest
 
