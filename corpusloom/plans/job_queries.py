@@ -107,7 +107,13 @@ def discovered(spark, sf):
     return _discovered(spark, sf)
 
 
-query("f39_evidence", None)(lambda spark, sf: table(spark, sf, "documents").select("doc_id", tx.evidence(F.col("text"), F.array(*[F.lit(t) for t in ("the", "en", "der", "que", "and")])).alias("quote")))
+_TERMS = ("the", "en", "der", "que", "and")
+_QUOTES = rf"""
+WITH s AS (SELECT doc_id, unnest(range(len(ss))) AS pos, trim(unnest(ss), ' ' || chr(9) || chr(10) || chr(13)) AS sentence FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS ss FROM documents)),
+u AS (SELECT *, {" + ".join(f"(len(list_filter(ws, lambda w: starts_with(w, '{t}'))) > 0)::INT" for t in _TERMS)} AS used FROM (SELECT *, regexp_extract_all(lower(sentence), '{tx.TOKEN}') AS ws FROM s WHERE sentence <> '' AND length(sentence) <= 400)),
+b AS (SELECT doc_id, sentence AS quote, row_number() OVER (PARTITION BY doc_id ORDER BY used DESC, pos) AS r FROM u WHERE used > 0)
+SELECT d.doc_id, b.quote FROM documents d LEFT JOIN b ON b.doc_id = d.doc_id AND r = 1"""
+query("f39_evidence", _QUOTES)(lambda spark, sf: table(spark, sf, "documents").select("doc_id", tx.evidence(F.col("text"), F.array(*[F.lit(t) for t in _TERMS])).alias("quote")))
 
 
 _LIMITS = tune.Limits(coverage=0.6, mean_themes=1.6, share=0.25)

@@ -102,7 +102,10 @@ def export_hubs(spark, sf):
 _GRID = [(tau, delta) for tau in (0.15, 0.2, 0.25) for delta in (0.05, 0.1, 0.15)]
 
 
-@query("job03_tuning_grid", None)
+@query("job03_tuning_grid", _BASE + """,
+g AS (SELECT tau::DOUBLE AS tau, delta::DOUBLE AS delta FROM unnest([0.15, 0.2, 0.25]) a(tau), unnest([0.05, 0.1, 0.15]) b(delta)),
+q AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tau, delta, vec_id ORDER BY sim DESC, theme) AS turn FROM (SELECT vec_id, theme, sim, max(sim) OVER (PARTITION BY vec_id) AS top FROM sims), g WHERE sim >= tau) WHERE turn = 1 OR turn <= 3 AND top - sim <= delta)
+SELECT tau, delta, round(count(DISTINCT vec_id) / (SELECT count(*) FROM v)::DOUBLE, 6) AS coverage, round(count(*) / (SELECT count(*) FROM v)::DOUBLE, 6) AS themes_per_row FROM q GROUP BY tau, delta""")
 def tuning_grid(spark, sf):
     """Coverage and themes per writing for every configuration at once: the grid is one more key."""
     c, _, themes = _parts(spark, sf)

@@ -239,7 +239,9 @@ SELECT doc_id, unnest(range(len(ps)))::INT AS pos, unnest(ps) AS piece FROM p"""
 
 query("f23_pieces", _pieces_sql(600))(lambda spark, sf: table(spark, sf, "documents").select("doc_id", F.posexplode(tx.paragraph_pieces(F.col("text"), 600)).alias("pos", "piece")))
 query("f24_prefix", f"SELECT doc_id, chunk, 'passage: ' || chunk_text AS prefixed FROM ({_CHUNKS})")(lambda spark, sf: chunk_words(spark, sf).select("doc_id", F.col("chunk"), F.concat(F.lit("passage: "), "chunk_text").alias("prefixed")))
-query("f25_sentences", None)(lambda spark, sf: table(spark, sf, "documents").select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("pos", "sentence")))
+#: Sentences by a mark put after each end, as RE2 has no lookbehind.
+_SENTENCES = r"(SELECT doc_id, unnest(range(len(ss)))::INT AS pos, unnest(ss) AS sentence FROM (SELECT doc_id, list_filter(string_split(regexp_replace(trim(text), '([.!?…])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS ss FROM documents))"
+query("f25_sentences", f"SELECT * FROM {_SENTENCES}")(lambda spark, sf: table(spark, sf, "documents").select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("pos", "sentence")))
 @query("f26_matches_lemma", """
 WITH t AS (SELECT DISTINCT term FROM @tokens), l AS (SELECT substr(term, 1, 5) AS p, count(*) AS n, min(term) AS lo, max(term) AS hi FROM t GROUP BY 1),
 f AS (SELECT term, substr(term, 1, k) AS p FROM t, unnest(range(1, least(length(term), 5) + 1)) AS u(k))
@@ -273,10 +275,11 @@ def _scored_sentences(spark, sf):
     return rows.withColumn("score", sum(has_form_of(t).cast("int") for t in _EVIDENCE))
 
 
-query("f27_sentence_terms", None)(lambda spark, sf: _scored_sentences(spark, sf).select("doc_id", "pos", "score"))
+_TOLD = "(SELECT doc_id, pos, sentence, (" + " + ".join(f"(len(list_filter(ws, lambda w: starts_with(w, '{t[:5]}'))) > 0)::INT" for t in _EVIDENCE) + f")::INT AS score FROM (SELECT *, regexp_extract_all(lower(sentence), '{tx.TOKEN}') AS ws FROM {_SENTENCES}))"
+query("f27_sentence_terms", f"SELECT doc_id, pos, score FROM {_TOLD}")(lambda spark, sf: _scored_sentences(spark, sf).select("doc_id", "pos", "score"))
 
 
-@query("f38_evidence_quote", None)
+@query("f38_evidence_quote", f"SELECT doc_id, sentence, score, pos FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS r FROM {_TOLD} WHERE length(sentence) <= 260 AND score > 0) WHERE r = 1")
 def evidence_quote(spark, sf):
     """The sentence of 260 characters at most with most distinct terms; the earliest of equals."""
     rows = _scored_sentences(spark, sf).where("length(sentence) <= 260 AND score > 0")
