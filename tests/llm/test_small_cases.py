@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -284,6 +285,25 @@ def test_toxicity(spark, none):
     assert toxicity.fit(docs, labels.where("toxic = 0")) == 0.0
 
 
+def test_toxicity_learns_from_rows_beyond_the_sample(spark):
+    rng = random.Random(2)
+    words = [f"w{k}" for k in range(300)]
+    # one kind of toxic text is in short texts, the other only in those that are too long for the sample
+    rows = [(i, " ".join([rng.choice(words) for _ in range(40 if i % 2 else 90)] + (["vile" if i % 2 else "grim"] * 2 if i % 4 < 2 else [])), "a") for i in range(1200)]
+    docs = table(spark, rows)
+    labels = spark.createDataFrame([(i, int(i % 4 < 2)) for i, _, _ in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity(docs, toxicity.fit(docs, labels, sample=100, sample_chars=200)).collect()}
+    held = [i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert sum(got[i] == (i % 4 < 2) for i in held) >= 0.95 * len(held)
+
+
+def test_toxicity_weights_as_one_matrix():
+    model, other = toxicity.Model(64, 16, 12, 3), toxicity.Model(64, 16, 12, 4)
+    other.load(model.flat())
+    texts = [["a", "b", "c"], [], ["d"] * 9]
+    assert (model.logits(texts) == other.logits(texts)).all() and (other.flat() == model.flat()).all()
+
+
 PAGE = "<html><head><title>no</title><script>var a='<p>no</p>'</script></head><body><header class=site-header><p>no</p></header><nav><ul><li><a href=/>no</a></ul></nav><div class='cookie-banner'>no, no.</div><article><h1>Big &amp; small</h1><p>First  one\n here.<p>Second <b>one</b>.</p><div class=ad>no</div><form><label>no</label></form></article><aside class=sidebar><p>no</p></aside><section id=comments><h3>no</h3><p>no no.</p></section><footer>no</footer>"
 
 
