@@ -23,11 +23,11 @@ k AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY round(score
 
 sql("agg01_corpus_totals", "SELECT term, CAST(sum(focus) AS BIGINT) AS n FROM @counts GROUP BY term")
 sql("agg02_doc_counts", "SELECT doc_id, term, focus FROM @counts")
-query("agg03_leave_one_out", _LOO + " SELECT * FROM l")(lambda spark, sf: keyness.leave_one_out(keyness.doc_counts(table(spark, sf, "documents"))))
+query("agg03_leave_one_out", _LOO + " SELECT * FROM l")(lambda spark, sf: keyness.leave_one_out(table(spark, sf, "documents")))
 
 
 def _top(spark, sf, top=8):
-    rows = keyness.scored(keyness.leave_one_out(keyness.doc_counts(table(spark, sf, "documents"))).where("focus >= 2"))
+    rows = keyness.scored(keyness.leave_one_out(table(spark, sf, "documents"), least=2))
     rows = rows.withColumn("score", F.round("score", 6)).withColumn("effect_size", F.round("effect_size", 6))
     place = Window.partitionBy("doc_id").orderBy(F.desc("score"), "term")
     return rows.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= top).select("doc_id", F.col("rank").cast("long"), "term", "score", "effect_size", "focus")
