@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import text as tx
 from ..operators import discover, hubs, labels
+from ..operators.lineage import checkpointed
 from .registry import _doc_labels, _tokens, query, sql, table
 
 # --- joins ------------------------------------------------------------------------------------
@@ -169,8 +171,10 @@ s AS (SELECT lang, term, round(sqrt(n / z::DOUBLE) * ln(1 + a / f), 8) AS score
 SELECT lang, term, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, term) AS rank FROM s) WHERE rank <= 12""")
 def class_tfidf(spark, sf):
     """Terms of a class: damped share in the class times the log of one plus average class size over total count."""
-    rows = _tokens(spark, sf).join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
-    c = rows.groupBy("lang", "term").agg(F.count("*").alias("n"))
+    d = table(spark, sf, "documents")
+    # texts meet their languages before they are cut into terms, and the counts, which are read three times, are written once
+    rows = d.select("doc_id", "text").join(d.select("doc_id", "lang"), "doc_id").select("lang", F.explode(tx.tokens(F.col("text"))).alias("term"))
+    c = checkpointed(rows.groupBy("lang", "term").agg(F.count("*").alias("n")))
     z = c.groupBy("lang").agg(F.sum("n").alias("z"))
     score = F.round(F.sqrt(F.col("n") / F.col("z")) * F.log(1 + F.col("a") / F.col("f")), 8)
     s = c.join(c.groupBy("term").agg(F.sum("n").alias("f")), "term").join(F.broadcast(z.crossJoin(z.agg(F.avg("z").alias("a")))), "lang").withColumn("score", score)

@@ -30,3 +30,11 @@ def test_no_count_is_shuffled_where_all_terms_are_frequent(spark):
     docs = spark.createDataFrame(ROWS, "doc_id long, text string")
     plan = keyness.top_keywords(docs)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(doc_id" in plan
+
+
+def test_class_terms_are_cut_once(spark, data):
+    """No join of single terms: texts are not in the plan that ranks the counts."""
+    from corpusloom.plans import catalog
+
+    plan = catalog.QUERIES["agg35_class_tfidf"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" not in plan and "documents.parquet" not in plan
