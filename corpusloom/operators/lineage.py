@@ -1,4 +1,4 @@
-"""Cutting lineage: tables in the folder that the driver and all executors share."""
+"""Cutting lineage: tables in the folder that the driver and all executors share; and into how many parts rows are dealt."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOTS: dict[str, str] = {}
+#: Short rows that one task sorts or joins, whatever the input.
+TASK_ROWS = 250_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -43,3 +45,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     path = f"{scratch(df.sparkSession)}/{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def parts_for(spark: SparkSession, rows: int, most: int = TASK_ROWS) -> int:
+    """How many parts hold at most about `most` of so many rows each; for few rows as many as a shuffle has, but not parts of a few rows."""
+    return max(1, -(-rows // most), min(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // 10_000))

@@ -2,24 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lineage import checkpointed
+from .lineage import TASK_ROWS, checkpointed, parts_for
 
 #: What can become of a writing's themes.
 KINDS = ("unchanged", "still none", "loses all", "gains", "widened", "narrowed", "changed")
 
 
-def _followed(points: DataFrame, log: DataFrame) -> DataFrame:
-    """points(name, at, ...) with next: the first rename of the name after `at`, null if there is none. Null at comes before all renames.
+def _followed(points: DataFrame, log: DataFrame, most: int = TASK_ROWS) -> DataFrame:
+    """points(name, at) -> name, at, next: the first rename of the name after `at`, null if there is none. Null at comes before all renames.
 
-    Renames of one name travel as one sorted array, so that any number of points with that name can be split among tasks.
+    Points and renames of a name meet in one sorted group. A name with more than `most` of them is cut by quantiles of `at`
+    (numbers or times) into blocks of about that many; where a block has no later rename, the first of the blocks after it counts.
     """
-    leaves = log.groupBy(F.col("old").alias("_old")).agg(F.array_sort(F.collect_list("at")).alias("_ats"))
-    found = points.join(leaves, F.col("name") == F.col("_old"), "left")
-    after = F.when(F.col("at").isNull(), F.get("_ats", F.lit(0))).otherwise(F.get(F.filter("_ats", lambda x: x > F.col("at")), F.lit(0)))
-    return found.withColumn("next", after).drop("_old", "_ats")
+    events = points.select("name", "at", F.lit(None).cast(log.schema["at"].dataType).alias("then"))
+    events = events.unionByName(log.where("old IS NOT NULL").select(F.col("old").alias("name"), "at", F.col("at").alias("then")))
+    sizes = events.groupBy("name").agg(F.count("*").alias("n"))
+    total = sizes.agg(F.sum("n").alias("n"), F.max(F.when(F.col("name").isNotNull(), F.col("n"))).alias("largest")).first()
+    parts = parts_for(log.sparkSession, total.n or 0, most)
+    blocks = -(-(total.largest or 0) // most)
+    if blocks > 1:
+        hot = F.broadcast(sizes.where((F.col("n") > most) & F.col("name").isNotNull()).select("name"))  # a share of 1 / most of the rows at most
+        quantiles = events.join(hot, "name").groupBy("name").agg(F.percentile_approx("at", [k / blocks for k in range(1, blocks)]).alias("cuts"))
+        events = events.join(F.broadcast(quantiles), "name", "left")
+        events = events.withColumn("block", F.when(F.col("cuts").isNotNull(), F.size(F.filter("cuts", lambda x: x <= F.col("at")))).otherwise(0)).drop("cuts")
+    else:
+        events = events.withColumn("block", F.lit(0))
+    # downwards, and points before renames of the same time, so that the last rename met is the next one
+    down = Window.partitionBy("name", "block").orderBy(F.desc("at"), F.col("then").isNotNull())
+    met = events.repartition(parts, "name", "block").withColumn("next", F.last("then", ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    found = met.where("then IS NULL AND name IS NOT NULL").select("name", "at", "block", "next")
+    if blocks > 1:
+        firsts = events.join(hot, "name").where("then IS NOT NULL").groupBy("name", "block").agg(F.min("then").alias("first"))
+        firsts = firsts.groupBy("name").agg(F.collect_list(F.struct("block", "first")).alias("firsts"))
+        later = F.array_min(F.transform(F.filter("firsts", lambda x: x["block"] > F.col("block")), lambda x: x["first"]))
+        found = found.join(F.broadcast(firsts), "name", "left").withColumn("next", F.coalesce("next", later))
+    unnamed = points.where("name IS NULL").select("name", "at", F.lit(None).cast(log.schema["at"].dataType).alias("next"))
+    return found.select("name", "at", "next").unionByName(unnamed)
 
 
 def replayed(log: DataFrame) -> DataFrame:
@@ -27,14 +48,17 @@ def replayed(log: DataFrame) -> DataFrame:
 
     A rename is followed by the next rename of its new name, if there is one; names may come back, as
     only later renames count. Pointers are doubled until none moves: a chain of n renames takes about
-    log2(n) equi-joins.
+    log2(n) equi-joins. Renames that have reached their end are looked up, but not joined again: they have
+    no next, and rows without a key would all meet in one task.
     """
-    steps = checkpointed(_followed(log.select(F.col("new").alias("name"), "at"), log).select("at", "next", F.col("at").alias("end")))
-    while steps.where("next IS NOT NULL").limit(1).count():
-        on = steps.select(F.col("at").alias("next"), F.col("next").alias("beyond"), F.col("end").alias("reached"))
-        steps = checkpointed(steps.join(on, "next", "left").select("at", F.col("beyond").alias("next"), F.coalesce("reached", "end").alias("end")))
-    ends = log.select(F.col("at").alias("end"), F.col("new").alias("final"))
-    return log.join(steps.select("at", "end"), "at").join(ends, "end").select("at", "old", "new", "final")
+    parts = parts_for(log.sparkSession, log.count())
+    steps = checkpointed(_followed(log.select(F.col("new").alias("name"), "at"), log).select("at", "next", F.col("name").alias("final")))
+    every, live = steps.where("next IS NULL"), steps.where("next IS NOT NULL")
+    while live.limit(1).count():
+        on = every.unionByName(live).select(F.col("at").alias("next"), F.col("next").alias("beyond"), F.col("final").alias("reached"))
+        steps = checkpointed(live.select("at", "next").repartition(parts, "next").join(on.repartition(parts, "next"), "next").select("at", F.col("beyond").alias("next"), F.col("reached").alias("final")))
+        every, live = every.unionByName(steps.where("next IS NULL")), steps.where("next IS NOT NULL")
+    return log.repartition(parts, "at").join(every.select("at", "final").repartition(parts, "at"), "at").select("at", "old", "new", "final")
 
 
 def current_names(recorded: DataFrame, log: DataFrame, registry: DataFrame | None = None, name: str = "name", at: str = "at") -> DataFrame:
@@ -43,13 +67,19 @@ def current_names(recorded: DataFrame, log: DataFrame, registry: DataFrame | Non
     With a registry(name, ...), a name that it lacks in the end is an error, which tells the name.
     """
     names = recorded.select(F.col(name).alias("name"), F.col(at).alias("at")).distinct()
+    found = checkpointed(_followed(names, log))
+    parts = parts_for(log.sparkSession, max(log.count(), recorded.count()))
     ends = replayed(log).select(F.col("at").alias("next"), "final")
-    found = _followed(names, log).join(ends, "next", "left").select(F.col("name").alias("_name"), F.col("at").alias("_at"), F.coalesce("final", "name").alias("current"))
+    moved = found.where("next IS NOT NULL").repartition(parts, "next").join(ends.repartition(parts, "next"), "next").select("name", "at", F.col("final").alias("current"))
+    found = found.where("next IS NULL").select("name", "at", F.col("name").alias("current")).unionByName(moved)
     if registry is not None:
-        known = registry.select(F.col("name").alias("current")).distinct().withColumn("_known", F.lit(True))
-        unknown = F.raise_error(F.concat(F.lit("no such name: "), F.coalesce("current", F.lit("null"))))
-        found = found.join(known, "current", "left").select("_name", "_at", F.when(F.col("_known"), F.col("current")).otherwise(unknown).alias("current"))
-    return recorded.join(found, recorded[name].eqNullSafe(F.col("_name")) & recorded[at].eqNullSafe(F.col("_at"))).drop("_name", "_at")
+        found = checkpointed(found)
+        known = registry.select(F.col("name").alias("current")).distinct()
+        unknown = found.select("current").distinct().join(known, "current", "left_anti").agg(F.count("*").alias("_unknown"), F.min("current").alias("_which"))  # one row
+        error = F.raise_error(F.concat(F.lit("no such name: "), F.coalesce("_which", F.lit("null"))))
+        found = found.crossJoin(F.broadcast(unknown)).select("name", "at", F.when(F.col("_unknown") == 0, F.col("current")).otherwise(error).alias("current"))
+    found = found.select(F.struct("name", "at").alias("_key"), "current")
+    return recorded.withColumn("_key", F.struct(F.col(name).alias("name"), F.col(at).alias("at"))).repartition(parts, "_key").join(found.repartition(parts, "_key"), "_key").drop("_key")
 
 
 def kind(old: Column, new: Column) -> Column:

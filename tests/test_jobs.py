@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
 from corpusloom.operators import discover, moves, tune
+from corpusloom.operators.lineage import parts_for
 from corpusloom.streaming.keywords import KeywordLog
 
 LOG = [(1, "a", "b"), (2, "b", "c"), (3, "x", "x"), (4, "c", "a"), (5, "y", "z"), (6, "a", "d"), (8, "x", "y"), (9, "d", "e")]
@@ -34,6 +35,26 @@ def test_renames_are_replayed_by_time(spark):
     assert got["a", None] == "e" and got["a", 5] == "e" and got["x", 3] == "y" and got["x", None] == "y"
 
 
+def test_a_name_of_many_renames_is_cut_into_blocks(spark):
+    rng = random.Random(7)
+    log = [(t, rng.choice("aaaab"), "c") for t in rng.sample(range(1000), 300)]
+    asked = [(n, t) for n in ("a", "b", "c", None) for t in [None, -1, 2000, *rng.sample(range(1000), 40), *(t for t, _, _ in log[:20])]]
+    asked = list(dict.fromkeys(asked))
+    points = spark.createDataFrame(asked, "name string, at long")
+    frame = spark.createDataFrame(log, "at long, old string, new string")
+    want = {(n, t): min((x for x, old, _ in log if old == n and (t is None or x > t)), default=None) for n, t in asked}
+    for most in (10, 60, 10_000):
+        assert {(r.name, r.at): r.next for r in moves._followed(points, frame, most).collect()} == want
+
+
+def test_parts_of_a_replay_grow_with_the_log(spark):
+    assert [parts_for(spark, n) for n in (0, 9_999, 20_000, 1_000_000, 50_000_000)] == [1, 1, 2, 4, 200]
+    # no rename has a next one, so no part may be where all of these meet
+    log = spark.range(40_000).select(F.col("id").alias("at"), F.concat(F.lit("a"), "id").alias("old"), F.concat(F.lit("b"), "id").alias("new"))
+    sizes = [r["count"] for r in moves.replayed(log).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 15_000
+
+
 def test_unknown_names_abort(spark):
     log = spark.createDataFrame(LOG, "at long, old string, new string")
     registry = spark.createDataFrame([("e",), ("y",)], "name string")
