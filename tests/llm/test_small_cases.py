@@ -1,6 +1,7 @@
 """Every operator on nulls, empty and long texts, ties, repeats, empty tables and extra columns; brute force on random documents."""
 
 import hashlib
+import pathlib
 import random
 import re
 import zlib
@@ -8,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.llm import bpe, exact_dedup, html_extract, line_dedup, mixing, ngram_join, quality_rules, substring_dedup, toxicity, url_filter
 
@@ -297,6 +299,21 @@ def test_toxicity_learns_from_rows_beyond_the_sample(spark):
     assert sum(got[i] == (i % 4 < 2) for i in held) >= 0.95 * len(held)
 
 
+def test_toxicity_shuffles_labelled_texts_only_and_leaves_no_table(spark):
+    docs = table(spark, [(i, "t" * (i % 7) if i % 11 else None, "a") for i in range(4000)])
+    labels = spark.createDataFrame([(i, int(i % 40 == 0)) for i in range(0, 5000, 20)], "doc_id int, toxic int")
+    folds = {i for i in range(0, 4000, 20) if zlib.crc32(str(i).encode()) % 4 in (0, 1, 3)}
+    rows = docs.select(F.col("doc_id").alias("id"), "text", "lang")
+    taken = [r.id for r in toxicity._candidates(rows, toxicity._pool(labels, "doc_id", "toxic", (0, 1, 3)), (0, 1, 3)).collect()]
+    assert folds <= set(taken) and len(taken) < len(folds) + 40
+    got = toxicity.labelled(docs, labels, "doc_id", "text", "toxic", "lang", (0, 1, 3)).collect()
+    assert {(r.id, r.y) for r in got} == {(i, int(i % 40 == 0)) for i in folds} and len(got) == len(folds)
+    shared = pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(shared.glob("*/*/*.parquet"))
+    toxicity.fit(docs, labels, sample=20)
+    assert set(shared.glob("*/*/*.parquet")) == before
+
+
 def test_toxicity_weights_as_one_matrix():
     model, other = toxicity.Model(64, 16, 12, 3), toxicity.Model(64, 16, 12, 4)
     other.load(model.flat())
