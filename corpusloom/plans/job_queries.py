@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import markdown as md
 from ..functions import text as tx
 from ..operators import discover, evaluate, integrity, moves, placement, tune
-from ..operators.lineage import scratch
+from ..operators.lineage import parts_for, scratch
 from ..streaming.keywords import KeywordLog
 from .registry import _doc_labels, query, table
 from .vector_queries import _BASE, RULES, _parts
@@ -50,12 +50,14 @@ m AS (SELECT *, CASE WHEN old = new THEN CASE WHEN len(old) = 0 THEN 'still none
 
 def _moved(spark, sf):
     """Old themes as recorded at some time and named as they are now, against a new placement."""
-    d = table(spark, sf, "documents")
+    d = table(spark, sf, "documents").select("doc_id", "n_chars", "source")
+    parts = parts_for(spark, d.count())
     names = F.slice(F.array(F.concat(F.lit("c"), F.col("doc_id") % 1500), F.concat(F.lit("c"), F.col("n_chars") % 1500)), F.lit(1), (F.col("doc_id") % 3).cast("int"))
     recorded = d.select("doc_id", (F.col("doc_id") * 7).alias("at"), F.explode(names).alias("name"))
     log = _log(spark, sf)
     every = log.select(F.col("old").alias("name")).union(log.select("new")).union(recorded.select("name"))
-    now = moves.current_names(recorded, log, every).groupBy("doc_id").agg(F.array_sort(F.collect_set("current")).alias("themes"))
+    d = d.repartition(parts, "doc_id")
+    now = moves.current_names(recorded, log, every).repartition(parts, "doc_id").groupBy("doc_id").agg(F.array_sort(F.collect_set("current")).alias("themes"))
     named = d.select("doc_id", "n_chars").join(now, "doc_id", "left").withColumn("old", F.coalesce("themes", F.array().cast("array<string>")))
     k, t = F.col("n_chars") % 6, lambda n: F.array(F.concat(F.lit("t"), F.col("n_chars") % n))
     new = F.when(k == 0, F.col("old")).when(k == 1, F.slice("old", 1, 1)).when(k == 2, F.array().cast("array<string>")).when(k == 3, F.array_union("old", t(5))).otherwise(t(7))
