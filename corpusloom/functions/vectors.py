@@ -17,7 +17,8 @@ def norm(v: Column) -> Column:
 def unit(v: Column) -> Column:
     """Length one; the zero vector stays zero."""
     n = norm(v)
-    return F.when(n == 0, v).otherwise(F.transform(v, lambda x: x / n))
+    # the norm stands outside the lambda, where it is told once a row and not once an element
+    return F.when(n == 0, v).otherwise(F.zip_with(v, F.array_repeat(n, F.size(v)), lambda x, y: x / y))
 
 
 def minus(a: Column, b: Column) -> Column:

@@ -58,15 +58,26 @@ def centred(vectors: DataFrame, mean: DataFrame) -> DataFrame:
     return vectors.crossJoin(F.broadcast(mean)).withColumn("vec", vx.unit(vx.minus(F.col("vec"), F.col("mean")))).drop("mean")
 
 
-def similarities(vectors: DataFrame, themes: DataFrame, key: str = "vec_id") -> DataFrame:
-    """Every writing with every theme. Themes are a curated list; more than MOST_THEMES of them are refused."""
-    rows = themes.limit(MOST_THEMES + 1).count()
-    if rows > MOST_THEMES:
+def _few(themes: DataFrame) -> DataFrame:
+    """Themes are a curated list; more than MOST_THEMES of them are refused."""
+    if themes.limit(MOST_THEMES + 1).count() > MOST_THEMES:
         raise ValueError(f"more than {MOST_THEMES} themes")
-    t = themes.select("theme", "k", F.col("vec").alias("theme_vec"))
+    return themes
+
+
+def similarities(vectors: DataFrame, themes: DataFrame, key: str = "vec_id") -> DataFrame:
+    """Every writing with every theme."""
+    t = _few(themes).select("theme", "k", F.col("vec").alias("theme_vec"))
     return vectors.join(F.broadcast(t)).withColumn("sim", vx.dot(F.col("vec"), F.col("theme_vec"))).drop("vec", "theme_vec")
 
 
+def similarity_lists(vectors: DataFrame, themes: DataFrame, key: str = "vec_id") -> DataFrame:
+    """key, sims: of every writing, an array of (theme, sim) with all themes, told within its row."""
+    t = _few(themes).agg(F.collect_list(F.struct("theme", "vec")).alias("themes"))
+    sims = F.transform("themes", lambda x: F.struct(x["theme"].alias("theme"), vx.dot(F.col("vec"), x["vec"]).alias("sim")))
+    return vectors.join(F.broadcast(t)).select(key, sims.alias("sims"))
+
+
 def place(sims: DataFrame, rules: Rules, key: str = "vec_id", kind: str = "kind") -> DataFrame:
     """sims(key, kind, theme, k, sim, seed) -> the chosen (key, theme, position, sim, best, role).
 

@@ -140,7 +140,7 @@ def tuned(spark, sf):
     centred, _, themes = _parts(spark, sf)
     items = centred.select("vec_id", F.array(F.concat(F.lit("l"), "label"), F.concat(F.lit("k"), F.col("vec_id") % 3)).alias("gold"))
     grid = spark.createDataFrame([(t, d) for t in (0.15, 0.2, 0.25) for d in (0.05, 0.1, 0.15)], "tau double, delta double")
-    out = tune.tuned(placement.similarities(centred, themes), items, grid, _LIMITS)
+    out = tune.tuned(placement.similarity_lists(centred, themes), items, grid, _LIMITS)
     return out.select("tau", "delta", *[F.round(c, 6).alias(c) for c in ("coverage", "mean_themes", "largest_share", "precision", "recall", "f")], "admissible", "chosen")
 
 

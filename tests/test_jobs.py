@@ -235,3 +235,24 @@ def test_integrity_of_a_small_site(spark):
     assert got == {"links": (4, 1, "/round"), "blind": (4, 0, None), "registry": (4, 2, "/lost"), "headings": (3, 1, "Old name"), "names": (2, 1, "B"), "inside_out": (4, 1, "/a"), "twice": (3, 1, "/a"), "required": (2, 0, None)}
     none = integrity.checks(pages.limit(0), redirects.limit(0), registry, names, carried, "/m")
     assert {r.check: r.n_bad for r in none.collect()} == {"links": 0, "blind": 1, "registry": 4, "headings": 0, "names": 1, "inside_out": 0, "twice": 0, "required": 2}
+
+
+def test_tuning_counts_classes_and_takes_lists(spark):
+    rng = random.Random(5)
+    sims = [(k, [(f"t{t}", float(rng.choice([0.0, 0.2, 0.25, 0.4, 0.9]))) for t in range(5)]) for k in range(80)]
+    lists = spark.createDataFrame(sims, "vec_id long, sims array<struct<theme: string, sim: double>>")
+    rows = lists.select("vec_id", F.inline("sims"))
+    items = spark.createDataFrame([(k, [f"l{k % 4}", f"k{k % 3}"]) for k in range(85)], "vec_id long, gold array<string>")
+    grid = spark.createDataFrame([(t, d) for t in (0.2, 0.3) for d in (0.0, 0.5)], "tau double, delta double")
+    want = {}
+    for tau in (0.2, 0.3):
+        for delta in (0.0, 0.5):
+            preds = {k: set() for k in range(85)}
+            for k, ts in sims:
+                top = sorted((-s, t) for t, s in ts if s >= tau)[:3]
+                preds[k] = {t for i, (s, t) in enumerate(top) if i == 0 or s - top[0][0] <= delta}
+            want[tau, delta] = (sum(map(bool, preds.values())) / 85, sum(map(len, preds.values())) / 85, Counter(t for p in preds.values() for t in p).most_common(1)[0][1] / 85)
+    by_list, by_row = (tune.tuned(x, items, grid).collect() for x in (lists, rows))
+    got = {(r.tau, r.delta): (r.coverage, r.mean_themes, r.largest_share) for r in by_list}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert {(r.tau, r.delta): round(r.f, 12) for r in by_list} == {(r.tau, r.delta): round(r.f, 12) for r in by_row}
