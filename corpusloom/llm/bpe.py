@@ -8,7 +8,8 @@ of one pass over the whole text. Each piece is then encoded by itself; decoding
 
 Scale: most texts are one chunk and are encoded where they are read, with no shuffle. Texts above
 `long_chars` are dealt out by (text, chunk) so that their chunks are encoded side by side, and only
-their token ids meet again. Vocabulary and pattern are broadcast (a file of fixed size).
+their token ids meet again. Vocabulary and pattern are broadcast (a file of fixed size). Workers serve stage
+after stage, so a task drops its encoder when it ends: otherwise every idle worker of an executor keeps one.
 """
 
 from __future__ import annotations
@@ -35,15 +36,14 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class Pieces(dict):
-    """Piece -> (number of ids, ids as text, decoded bytes, ids): a cache that is emptied when full."""
+    """Piece -> what make says of it: a cache that is emptied when full."""
 
-    def __init__(self, codec: "Codec", most: int = 100_000):
+    def __init__(self, make, most: int = 100_000):
         super().__init__()
-        self.codec, self.most = codec, most
+        self.make, self.most = make, most
 
     def __missing__(self, piece: str):
-        ids = self.codec.encode_piece(piece.encode("utf-8", "replace"))
-        found = len(ids), " ".join(map(str, ids)), self.codec.decode(ids), ids
+        found = self.make(piece)
         if len(piece) < 64:
             if len(self) >= self.most:
                 self.clear()
@@ -51,6 +51,21 @@ class Pieces(dict):
         return found
 
 
+def _packed(encode_piece):
+    """Piece -> its ids as 32-bit integers in one bytes object."""
+    return lambda piece: np.array(encode_piece(piece.encode("utf-8", "replace")), np.int32).tobytes()
+
+
+def _told(encode_piece, bytes_of):
+    """Piece -> (number of ids, ids as text, decoded bytes)."""
+
+    def make(piece: str):
+        ids = encode_piece(piece.encode("utf-8", "replace"))
+        return len(ids), " ".join(map(str, ids)), b"".join(map(bytes_of.__getitem__, ids))
+
+    return make
+
+
 class Codec:
     """Ranks and pattern -> encoder and decoder of one process."""
 
@@ -63,7 +78,8 @@ class Codec:
         self.encode_piece = tiktoken.Encoding("corpusloom", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.chunk, self.overlap = chunk, overlap
-        self.pieces = Pieces(self)
+        # no reference back to self: what a task has built goes at once when it drops the codec
+        self.packed, self.told = Pieces(_packed(self.encode_piece)), Pieces(_told(self.encode_piece, self.bytes_of))
 
     def ends(self, text: str, start: int, stop: int) -> list[int]:
         """Boundaries of one run from start that more text could not move; all of them if stop is the end."""
@@ -97,16 +113,18 @@ class Codec:
             return self.rx.findall(text)
         return [p for a, b in self.spans(text) for p in self.between(text, a, b)]
 
+    def ids(self, text: str | None) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.packed.__getitem__, self.pretokens(text or ""))), np.int32)
+
     def encode(self, text: str | None) -> list[int]:
-        pieces = self.pieces
-        return [i for p in self.pretokens(text or "") for i in pieces[p][3]]
+        return self.ids(text).tolist()
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids, and the hashes of their decimal form and of their decoded bytes."""
-        found = [self.pieces[p] for p in self.pretokens(text or "")]
+        found = [self.told[p] for p in self.pretokens(text or "")]
         return sum(f[0] for f in found), hashlib.sha256(" ".join([f[1] for f in found]).encode()).hexdigest(), hashlib.sha256(b"".join([f[2] for f in found])).hexdigest()
 
     def part(self, window: str, at: int, first: bool, last: bool) -> tuple[bool, list[int]]:
@@ -119,45 +137,57 @@ class Codec:
 
 
 class Shared:
-    """What the executors need for a Codec; each Python worker builds it once."""
+    """What the executors need for a Codec, as three values instead of an object for each rank; a task builds it once."""
 
     def __init__(self, spark: SparkSession, ranks: dict[bytes, int], pattern: str, chunk: int, overlap: int):
-        self.value = spark.sparkContext.broadcast((ranks, pattern, chunk, overlap))
+        ends = np.cumsum([len(b) for b in ranks], dtype=np.int64)
+        self.value = spark.sparkContext.broadcast((b"".join(ranks), ends, np.fromiter(ranks.values(), np.int64, len(ranks)), pattern, chunk, overlap))
 
     def codec(self) -> Codec:
         key = id(self.value.value)
         if _BUILT.get("key") != key:
-            _BUILT.update(key=key, codec=Codec(*self.value.value))
+            raw, ends, ids, *rest = self.value.value
+            ends = ends.tolist()
+            _BUILT.update(key=key, codec=Codec({raw[a:b]: i for a, b, i in zip([0, *ends], ends, ids.tolist())}, *rest))
         return _BUILT["codec"]
 
+    def drop(self) -> None:
+        """Of this worker's module: a function that is pickled by value has a copy of _BUILT."""
+        _BUILT.clear()
+
 
 _BUILT: dict = {}
 
 
 def _whole(shared: Shared, mode: str):
     def run(batches):
-        codec = shared.codec()
-        for batch in batches:
-            texts = (x.as_py() for x in batch.column(1))
-            if mode == "ids":
-                for k in range(0, batch.num_rows, 250):
-                    ids = [np.array(codec.encode(x.as_py()), np.int32) for x in batch.column(1)[k : k + 250]]
-                    ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32))
-                    yield pa.record_batch([batch.column(0)[k : k + 250], pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids)))], names=["id", "ids"])
-            else:
-                rows = [codec.digest(t) for t in texts]
-                yield pa.record_batch([batch.column(0), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string())))], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        codec.pieces.clear()
+        try:
+            codec = shared.codec()
+            for batch in batches:
+                texts = (x.as_py() for x in batch.column(1))
+                if mode == "ids":
+                    for k in range(0, batch.num_rows, 250):
+                        ids = [codec.ids(x.as_py()) for x in batch.column(1)[k : k + 250]]
+                        ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32))
+                        yield pa.record_batch([batch.column(0)[k : k + 250], pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids)))], names=["id", "ids"])
+                else:
+                    rows = [codec.digest(t) for t in texts]
+                    yield pa.record_batch([batch.column(0), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string())))], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        finally:
+            shared.drop()
 
     return run
 
 
 def _chunks(shared: Shared):
     def run(batches):
-        codec = shared.codec()
-        for batch in batches:
-            rows = [codec.part(w, at, first, last) for w, at, first, last in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)))]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([r[0] for r in rows]), pa.array([np.array(r[1], np.int32).tobytes() for r in rows], pa.binary())], names=["sha", "k", "ok", "ids"])
+        try:
+            codec = shared.codec()
+            for batch in batches:
+                rows = [codec.part(w, at, first, last) for w, at, first, last in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)))]
+                yield pa.record_batch([batch.column(0), batch.column(1), pa.array([r[0] for r in rows]), pa.array([np.array(r[1], np.int32).tobytes() for r in rows], pa.binary())], names=["sha", "k", "ok", "ids"])
+        finally:
+            shared.drop()
 
     return run
 
