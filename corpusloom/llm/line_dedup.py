@@ -35,7 +35,9 @@ from .sketches import bloom, dense_rows, rarity, split_by
 
 BUCKETS = 1 << 22
 #: Keys that a part holds, about.
-PART_KEYS = 400_000
+PART_KEYS = 1_000_000
+#: Words that a mapper counts at once.
+COUNTED = 1_000_000
 #: Rows of one list that one task compares in full; longer lists are cut into blocks.
 LIST_ROWS = 20_000
 #: Earliest rows of a list that each of its lines is compared with at first, and how many of them it is offered.
@@ -58,12 +60,21 @@ def _key(owner: np.ndarray, *parts: np.ndarray) -> np.ndarray:
     return (key << np.uint64(64 - bits)) | (parts[-1] >> np.uint64(bits))
 
 
-def line_sets(texts: list[bytes]):
-    """Texts -> per line with a word: text index, line number, number of distinct words; and the words' hashes, sorted in each line."""
+def line_sets(texts: list[bytes], rare: np.ndarray | None = None):
+    """Texts -> per line with a word: text index, line number, number of distinct words; and the words' hashes, sorted in each line.
+
+    With rare (bucket -> rarity) words are sorted by rarity first, and their rarities come too.
+    """
     h, _, starts = hashed_words(texts)
     ends = np.flatnonzero(np.frombuffer(b"\n".join(texts), np.uint8) == 10)
-    owner = np.searchsorted(ends, starts)  # lines of all texts are numbered on
-    order = np.argsort(_key(owner, h))
+    n = np.diff(np.concatenate([[0], np.searchsorted(starts, ends), [len(starts)]]))
+    owner = np.repeat(np.arange(len(n)), n)  # lines of all texts are numbered on
+    if rare is None:
+        order = np.argsort(_key(owner, h))
+    else:
+        r = rare[(h & np.uint64(BUCKETS - 1)).astype(np.int64)]
+        order = np.argsort(_key(owner, r, h))
+        r = r[order]
     h, owner = h[order], owner[order]
     new = np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])]) if len(h) else np.zeros(0, bool)
     h, owner = h[new], owner[new]
@@ -71,7 +82,8 @@ def line_sets(texts: list[bytes]):
     lines, size = owner[start], np.diff(np.append(start, len(h)))
     first = np.concatenate([[0], np.cumsum([t.count(b"\n") + 1 for t in texts])])
     doc = np.searchsorted(first, lines, side="right") - 1
-    return doc, lines - first[doc], size.astype(np.int64), h
+    out = doc, lines - first[doc], size.astype(np.int64), h
+    return out if rare is None else (*out, r[new])
 
 
 def _starts(size: np.ndarray) -> np.ndarray:
@@ -124,11 +136,22 @@ def _count():
     """Words of all texts by bucket, as (block, data)."""
 
     def run(batches):
-        counts = np.zeros(BUCKETS, np.uint32)
+        counts, held = np.zeros(BUCKETS, np.uint32), []
+
+        def add():
+            # equal buckets together: sorting them costs less than to look up each word's count
+            bucket = np.sort(np.concatenate(held))
+            start, many = _runs(bucket)
+            counts[bucket[start]] += many.astype(np.uint32)
+            held.clear()
+
         for batch in batches:
             for a, b in slices(batch.column(0)):
-                h = hashed_words(_encoded(batch.column(0)[a:b]))[0]
-                np.add.at(counts, (h & np.uint64(BUCKETS - 1)).astype(np.int64), np.uint32(1))
+                held.append((hashed_words(_encoded(batch.column(0)[a:b]))[0] & np.uint64(BUCKETS - 1)).astype(np.uint32))
+                if sum(map(len, held)) >= COUNTED:
+                    add()
+        if held:
+            add()
         if counts.any():
             yield dense_rows(counts)
 
@@ -138,12 +161,9 @@ def _count():
 KEYS, NAMES, GONE, PAIRS, HOT = range(5)
 
 
-def _neighbours(h, size, need, rare):
-    """Rows (owner, key, place) of lines: two words side by side in the order of rarity, under a 48-bit hash."""
+def _neighbours(h, r, size, need):
+    """Rows (owner, key, place) of lines with words in the order of rarity: two words side by side, under a 48-bit hash."""
     owner = np.repeat(np.arange(len(size)), size)
-    r = rare[(h & np.uint64(BUCKETS - 1)).astype(np.int64)]
-    order = np.argsort(_key(owner, r, h))
-    h, r = h[order], r[order]
     place = np.arange(len(h)) - _starts(size)[owner]
     # too small a set is similar to none but its equals, which meet by name; a word that was counted once is in no other line
     wide = 100 * size >= need * (size + 1)
@@ -164,7 +184,7 @@ def _listed(need: int, parts: int, rare):
         for batch in batches:
             ids, rows = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
             for a, b in slices(batch.column(2)):
-                doc, line, size, h = line_sets(_encoded(batch.column(2)[a:b]))
+                doc, line, size, h, r = line_sets(_encoded(batch.column(2)[a:b]), rare.value)
                 if not len(doc):
                     continue
                 names = set_names(h, size)
@@ -186,8 +206,9 @@ def _listed(need: int, parts: int, rare):
                 box.add(NAMES, names[f], lid[f], lrow[f], line[f])
                 g = np.array(gone, np.int64).reshape(-1, 3)
                 box.add(GONE, line_keys(g[:, 0], g[:, 1], g[:, 2]), g[:, 0], g[:, 1], g[:, 2])
-                h, size = h[np.repeat(fresh, size)], size[f]
-                own, key, place, _ = _neighbours(h, size, need, rare.value)
+                mine = np.repeat(fresh, size)
+                h, r, size = h[mine], r[mine], size[f]
+                own, key, place, _ = _neighbours(h, r, size, need)
                 bits = short_parity(h, _starts(size))[own]
                 own, count = f[own], size[own]
                 box.add(KEYS, key, lid[own], lrow[own], line[own], count, place, bits)
@@ -276,15 +297,13 @@ def _met(need: int, parts: int):
 
     def run(batches):
         box = Outbox(parts)
-        for _, kinds in received(batches):
+        for _, kinds in received(batches, {NAMES: _repeated, KEYS: _repeated}):
             if GONE in kinds:
                 box.add(GONE, *kinds[GONE])
             if PAIRS in kinds:
                 box.add(PAIRS, *kinds[PAIRS])
             if NAMES in kinds:
                 name, ids, row, line = kinds[NAMES]
-                many = _repeated(name)
-                name, ids, row, line = (c[many] for c in (name, ids, row, line))
                 order = np.lexsort((line, row, ids, name))
                 name, ids, row, line = (c[order] for c in (name, ids, row, line))
                 lead = np.arange(len(name)) - _turns(name)
@@ -293,8 +312,6 @@ def _met(need: int, parts: int):
                 box.add(GONE, line_keys(ids, row, line), ids, row, line)
             if KEYS in kinds:
                 cols = kinds[KEYS]
-                many = _repeated(cols[0])
-                cols = [c[many] for c in cols]
                 cols = [c[o] for o in [np.lexsort((cols[3], cols[2], cols[1], cols[0]))] for c in cols]
                 hot = _offer(box, cols, need)
                 box.add(HOT, *(c[hot] for c in cols[:4]))
@@ -406,16 +423,15 @@ def _words_of(inside, wanted):
                 owner = np.repeat(np.arange(len(texts)), n)
                 lines = np.arange(len(owner)) - np.repeat(_starts(n), n)
                 hit = wanted.value.has(line_keys(ids[a + owner], rows[a + owner], lines))
-                some = np.unique(owner[hit])  # most texts have no line in the filter, and those are not hashed
-                if not len(some):
+                owner, lines = owner[hit], lines[hit]  # most lines are not in the filter, and those are not hashed
+                if not len(owner):
                     continue
-                doc, line, size, h = line_sets([texts[k] for k in some])
-                doc = some[doc]
-                ok = hit[_starts(n)[doc] + line]
+                split = {k: texts[k].split(b"\n") for k in np.unique(owner).tolist()}
+                some, _, size, h = line_sets([split[k][j] for k, j in zip(owner.tolist(), lines.tolist())])
                 start, raw = _starts(size), h.tobytes()
-                data = [raw[8 * s : 8 * (s + m)] for s, m in zip(start[ok].tolist(), size[ok].tolist())]
-                doc = a + doc[ok]
-                yield pa.record_batch([pa.array(ids[doc]), pa.array(rows[doc]), pa.array(line[ok].astype(np.int32)), pa.array(data, pa.binary())], names=["id", "row", "line", "words"])
+                data = [raw[8 * s : 8 * (s + m)] for s, m in zip(start.tolist(), size.tolist())]
+                doc = a + owner[some]
+                yield pa.record_batch([pa.array(ids[doc]), pa.array(rows[doc]), pa.array(lines[some].astype(np.int32)), pa.array(data, pa.binary())], names=["id", "row", "line", "words"])
 
     return run
 
@@ -423,13 +439,17 @@ def _words_of(inside, wanted):
 def _similar(need: int):
     def run(batches):
         for batch in batches:
-            a, b = batch.column(3), batch.column(4)
-            ok = []
-            for x, y in zip(a, b):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                n = np.intersect1d(x, y, assume_unique=True).size
-                ok.append(100 * n >= need * (len(x) + len(y) - n))
-            ok = pa.array(ok, pa.bool_())
+            if not batch.num_rows:
+                continue
+            sides = [[x.as_py() for x in batch.column(k)] for k in (3, 4)]
+            sizes = [np.array([len(x) // 8 for x in side]) for side in sides]
+            h = np.concatenate([np.frombuffer(b"".join(side), np.uint64) for side in sides])
+            owner = np.concatenate([np.repeat(np.arange(len(size)), size) for size in sizes])
+            order = np.argsort(_key(owner, h))
+            h, owner = h[order], owner[order]
+            # a side has no word twice, so what comes twice is shared
+            n = np.bincount(owner[1:][(h[1:] == h[:-1]) & (owner[1:] == owner[:-1])], minlength=batch.num_rows)
+            ok = pa.array(100 * n >= need * (sizes[0] + sizes[1] - n))
             yield pa.record_batch([batch.column(k).filter(ok) for k in range(3)], names=["id", "row", "line"])
 
     return run
@@ -471,11 +491,11 @@ def _again(need: int, parts: int, rare, inside, only, asked):
         for batch in batches:
             batch, ids, rows = _near(batch, inside)
             for a, b in slices(batch.column(2)):
-                doc, line, size, h = line_sets(_encoded(batch.column(2)[a:b]))
+                doc, line, size, h, r = line_sets(_encoded(batch.column(2)[a:b]), rare.value)
                 if not len(doc):
                     continue
                 one, two = parity(h, _starts(size))
-                own, key, place, r = _neighbours(h, size, need, rare.value)
+                own, key, place, r = _neighbours(h, r, size, need)
                 some = np.flatnonzero(only.value.has(key))
                 own, key, place, r = own[some], key[some], place[some], r[some]
                 lid, lrow, at = ids[a + doc[own]], rows[a + doc[own]], line[own]
@@ -534,7 +554,8 @@ def repeated_lines(docs: DataFrame, *, id_col: str, text_col: str, need: int = 8
     spark = docs.sparkSession
     space = Workspace(spark, "line_dedup")
     texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
-    if texts.count() == texts.select("id").distinct().count():
+    # ids of null texts count too: where they repeat, a hash of the text more is carried, and no text is read for this
+    if docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).count().where("count > 1").isEmpty():
         texts = texts.withColumn("row", F.lit(0).cast("long"))  # the id alone tells texts apart
         hashed = False
     else:
@@ -550,7 +571,7 @@ def repeated_lines(docs: DataFrame, *, id_col: str, text_col: str, need: int = 8
     gone = met.where(F.col("kind") == GONE).select(*line)
     offers = met.where(F.col("kind") == PAIRS)
     pairs = offers.where("id <> id2 OR row <> row2 OR line <> line2").select(*line, *ends, "turn")
-    found = space.table(_verified(space, texts, pairs.where(F.col("turn") <= OFFERS).drop("turn"), need, hashed))
+    found = space.table(_verified(space, texts, pairs.where(F.col("turn") <= OFFERS).drop("turn"), need, hashed, few=True))
     open_ = space.table(offers.where(F.col("more") | (F.col("turn") > OFFERS)).select(*line).distinct().join(found, line, "left_anti"))
     left = open_.count()
     out = gone.unionByName(found)
@@ -570,8 +591,8 @@ def repeated_lines(docs: DataFrame, *, id_col: str, text_col: str, need: int = 8
     return out if hashed else out.withColumn("row", F.lit(None).cast("long"))
 
 
-def _verified(space: Workspace, texts: DataFrame, pairs: DataFrame, need: int, hashed: bool) -> DataFrame:
-    """(id, row, line) of the later lines of the pairs that are similar."""
+def _verified(space: Workspace, texts: DataFrame, pairs: DataFrame, need: int, hashed: bool, few: bool = False) -> DataFrame:
+    """(id, row, line) of the later lines of the pairs that are similar. few: no later line has more than OFFERS pairs."""
     spark = texts.sparkSession
     line, ends = ["id", "row", "line"], ["id2", "row2", "line2"]
     members = space.table(pairs.select(*line).unionByName(pairs.select(*[F.col(e).alias(x) for e, x in zip(ends, line)])).distinct())
@@ -583,9 +604,12 @@ def _verified(space: Workspace, texts: DataFrame, pairs: DataFrame, need: int, h
     words = texts.mapInArrow(frugal(_words_of(inside, wanted)), "id long, row long, line int, words binary")
     words = space.table(words.dropDuplicates(line) if hashed else words)
     total = pairs.count()
-    first = words.join(pairs.groupBy(*line).agg(F.count("*").alias("uses")), line)
     second = words.select(*[F.col(x).alias(e) for e, x in zip(ends, line)], F.col("words").alias("words2")).join(pairs.groupBy(*ends).agg(F.count("*").alias("uses")), ends)
-    one = join_groups(pairs, first, line, "uses", total, least=1000).drop("uses")
+    if few:
+        one = pairs.join(words, line)
+    else:
+        first = words.join(pairs.groupBy(*line).agg(F.count("*").alias("uses")), line)
+        one = join_groups(pairs, first, line, "uses", total, least=1000).drop("uses")
     both = join_groups(one, second, ends, "uses", total, least=1000)
     return both.select(*line, "words", "words2").mapInArrow(frugal(_similar(need)), "id long, row long, line int").distinct()
 
@@ -619,7 +643,9 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     out = out.unionByName(rest, allowMissingColumns=True)
     parts = F.split(F.col(text_col), "\n", -1)
     kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(lines, i)), "\n")
-    out = out.withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(parts)).cast("long"))
+    # newlines are counted, and only texts that lose lines are split
+    ends = F.octet_length(text_col) - F.octet_length(F.replace(F.col(text_col), F.lit("\n"), F.lit("")))
+    out = out.withColumn("n_lines", F.coalesce(ends + 1, F.lit(0)).cast("long"))
     out = out.withColumn("n_removed", F.coalesce(F.array_size(lines), F.lit(0)).cast("long"))
     out = out.withColumn(text_col, F.when(F.col(lines).isNull(), F.col(text_col)).otherwise(kept))
     return out.drop(key, text_hash, owner, row, lines)

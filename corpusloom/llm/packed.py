@@ -21,6 +21,7 @@ FAN = 4096
 FLUSH = 250_000
 SCHEMA = "part int, kind byte, data binary"
 _NARROW = (np.uint8, np.uint16, np.uint32, np.uint64)
+_MOST = np.array([np.iinfo(t).max for t in _NARROW], np.uint64)
 
 
 def pack(cols: list[np.ndarray]) -> bytes:
@@ -44,12 +45,40 @@ def pack(cols: list[np.ndarray]) -> bytes:
     return np.array(head, np.int64).tobytes() + b"".join(body)
 
 
-def unpack(data) -> list[np.ndarray]:
-    """The columns of pack(): the first as uint64, the others as int64."""
+def pack_pieces(cols: list[np.ndarray], starts: np.ndarray):
+    """pack() of each run of rows from one start to the next; ranges are found for all of them at once."""
+    n = np.diff(np.append(starts, len(cols[0])))
+    head = np.empty((len(starts), 2 + 2 * len(cols)), np.int64)
+    head[:, 0], head[:, 1] = n, len(cols)
+    rests, kinds = [], []
+    for k, c in enumerate(cols):
+        c = c.astype(np.int64, copy=False).view(np.uint64) if c.dtype != np.uint64 else c
+        if k == 0:
+            shift = np.where(np.bitwise_or.reduceat(c, starts) & np.uint64(0xFFFF), 0, 16)
+            c = c >> np.repeat(shift, n).astype(np.uint64)
+            lo = c[starts]
+            rest = np.diff(c, prepend=lo[:1])
+            rest[starts] = 0
+        else:
+            shift = 0
+            lo = np.minimum.reduceat(c.view(np.int64), starts).view(np.uint64)
+            with np.errstate(over="ignore"):
+                rest = c - np.repeat(lo, n)
+        most = np.maximum.reduceat(rest, starts)
+        kind = np.where(most == 0, 0, 1 + np.searchsorted(_MOST, most))
+        head[:, 2 + 2 * k], head[:, 3 + 2 * k] = lo.view(np.int64), kind | shift << 8
+        rests.append(rest)
+        kinds.append(kind.tolist())
+    for i, (a, m) in enumerate(zip(starts.tolist(), n.tolist())):
+        yield b"".join([head[i].tobytes(), *(r[a : a + m].astype(_NARROW[k[i] - 1]).tobytes() for r, k in zip(rests, kinds) if k[i])])
+
+
+def unpack(data, most: int | None = None) -> list[np.ndarray]:
+    """The columns of pack(), or as many of them: the first as uint64, the others as int64."""
     n, k = np.frombuffer(data, np.int64, 2).tolist()
     head = np.frombuffer(data, np.int64, 2 * k, 16)
     at, out = 16 + 16 * k, []
-    for i in range(k):
+    for i in range(k)[:most]:
         lo, kind = head[2 * i].view(np.uint64), int(head[2 * i + 1])
         shift, kind = kind >> 8, kind & 0xFF
         if kind:
@@ -104,12 +133,12 @@ class Outbox:
         if cols is None or not len(cols[0]):
             return
         part = part_of(cols[0], self.parts)
-        cuts = np.flatnonzero(np.diff(part)) + 1
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1])
         where, data, size = [], [], 0
-        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(part)]):
-            where.append(int(part[a]))
-            data.append(pack([c[a:b] for c in cols]))
-            size += len(data[-1])
+        for at, piece in zip(part[starts].tolist(), pack_pieces(cols, starts)):
+            where.append(at)
+            data.append(piece)
+            size += len(piece)
             if size > 1 << 23:
                 yield _rows(where, kind, data)
                 where, data, size = [], [], 0
@@ -143,12 +172,24 @@ def coarse(parts: int) -> int:
     return min(parts, FAN)
 
 
-def received(batches):
-    """(part, {kind: columns}) for each part of a task: one, as a rule. A task holds its own parts, packed."""
+def _picked(blobs: list[bytes], pick) -> list[np.ndarray]:
+    """Columns of the rows that pick, told all keys, lets through; the others are unpacked blob by blob only."""
+    keys = [unpack(x, 1)[0] for x in blobs]
+    through = np.split(pick(np.concatenate(keys)), np.cumsum([len(k) for k in keys])[:-1])
+    rows = [[c[m] for c in unpack(x)] for x, m in zip(blobs, through) if m.any()]
+    return [np.concatenate(c) for c in zip(*rows)] if rows else [c[:0] for c in unpack(blobs[0])]
+
+
+def received(batches, picks: dict | None = None):
+    """(part, {kind: columns}) for each part of a task: one, as a rule. A task holds its own parts, packed.
+
+    picks: kind -> function that says which of all the kind's keys in a part are wanted.
+    """
+    picks = picks or {}
     held: dict[int, dict[int, list[bytes]]] = {}
     for batch in batches:
         for part, kind, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             held.setdefault(part, {}).setdefault(kind, []).append(data.as_py())
     for part in list(held):
         kinds = held.pop(part)
-        yield part, {kind: [np.concatenate(c) for c in zip(*(unpack(x) for x in blobs))] for kind, blobs in kinds.items()}
+        yield part, {kind: _picked(blobs, picks[kind]) if kind in picks else [np.concatenate(c) for c in zip(*(unpack(x) for x in blobs))] for kind, blobs in kinds.items()}
