@@ -12,7 +12,7 @@ on the words themselves.
 
 A line needs one earlier match only. Each list first offers every line its few earliest candidates that
 pass the filters; a line that had more to see, and that none of the offers resolves, is then compared with
-all candidates of its lists, by 128 parity bits.
+all candidates of its lists.
 So groups of near copies cost as many comparisons as they have lines, and no similar line is missed.
 Lists are combined before they shuffle: of a key's lines in one mapper only the earliest go on to other
 tasks, and the rest meet those at once.
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Workspace, free_names, frugal, hashed_words, join_groups, mix, ordered_ids, read, slices
-from .packed import SCHEMA, Outbox, coarse, exchange, received, unpack
+from .packed import SCHEMA, SPARE_BITS, Outbox, coarse, exchange, received, unpack
 from .sketches import bloom, dense_rows, rarity, split_by
 
 BUCKETS = 1 << 22
@@ -47,7 +47,8 @@ ALONE = 256
 
 
 def _encoded(column) -> list[bytes]:
-    return [x.encode("utf-8", "replace") if x else b"" for x in column.to_pylist()]
+    """The texts' bytes as they are; nothing for a null."""
+    return [x or b"" for x in column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()]
 
 
 def _key(owner: np.ndarray, *parts: np.ndarray) -> np.ndarray:
@@ -161,8 +162,11 @@ def _count():
 KEYS, NAMES, GONE, PAIRS, HOT = range(5)
 
 
+_HASH = np.uint64((1 << 64) - (1 << SPARE_BITS + 8))
+
+
 def _neighbours(h, r, size, need):
-    """Rows (owner, key, place) of lines with words in the order of rarity: two words side by side, under a 48-bit hash."""
+    """Rows (owner, key, place) of lines with words in the order of rarity: two words side by side, under a 37-bit hash and the rarer one's rarity."""
     owner = np.repeat(np.arange(len(size)), size)
     place = np.arange(len(h)) - _starts(size)[owner]
     # too small a set is similar to none but its equals, which meet by name; a word that was counted once is in no other line
@@ -171,8 +175,8 @@ def _neighbours(h, r, size, need):
     ok[:-1] &= r[1:] > 8
     at = np.flatnonzero(ok)  # the last word of a line is never one of them
     with np.errstate(over="ignore"):
-        key = mix(mix(h[at]) + h[at + 1]) >> np.uint64(16) << np.uint64(16)
-    return owner[at], key, place[at], np.minimum(r[at], r[at + 1])
+        key = mix(mix(h[at]) + h[at + 1]) & _HASH
+    return owner[at], key | np.minimum(r[at], r[at + 1]).astype(np.uint64) << np.uint64(SPARE_BITS), place[at]
 
 
 def _listed(need: int, parts: int, rare):
@@ -208,7 +212,7 @@ def _listed(need: int, parts: int, rare):
                 box.add(GONE, line_keys(g[:, 0], g[:, 1], g[:, 2]), g[:, 0], g[:, 1], g[:, 2])
                 mine = np.repeat(fresh, size)
                 h, r, size = h[mine], r[mine], size[f]
-                own, key, place, _ = _neighbours(h, r, size, need)
+                own, key, place = _neighbours(h, r, size, need)
                 bits = short_parity(h, _starts(size))[own]
                 own, count = f[own], size[own]
                 box.add(KEYS, key, lid[own], lrow[own], line[own], count, place, bits)
@@ -234,9 +238,8 @@ def _combined(box: Outbox, need: int):
             cols = [np.concatenate([c[~crowd], x[kept]]) for c, x in zip(cols, hot)]
             order = np.argsort(cols[0])
             cols = [c[order] for c in cols]
-            # where a list is cut, its lines are named for a full comparison
-            cut = ~kept
-            box.add(HOT, hot[0][cut], *(x[cut] for x in hot[1:4]))
+            # what is cut off is kept aside for a full comparison
+            box.add(HOT, *(x[~kept] for x in hot))
         yield from box.blobs(KEYS, cols)
     yield from box.flush()
 
@@ -264,7 +267,7 @@ def _offer(box: Outbox, cols, need: int) -> np.ndarray:
     """Rows sorted by key and position: PAIRS (later line's key, its id, row, line, the earlier line's, more) of the earliest candidates.
 
     more: the line has more candidates, or rows that were not looked at; with no candidate at all the pair is one of the line with itself.
-    Returns which rows are in lists that have such lines.
+    Returns which rows are in lists that have, or may have, such lines.
     """
     key, ids, row, line, size, place, bits = cols
     turn = _turns(key)
@@ -289,11 +292,12 @@ def _offer(box: Outbox, cols, need: int) -> np.ndarray:
     a, b = np.concatenate([*later, none]), np.concatenate([*earlier, none])
     box.add(PAIRS, line_keys(ids[a], row[a], line[a]), ids[a], row[a], line[a], ids[b], row[b], line[b], more[a].astype(np.int64))
     first, many = _runs(key)
-    return np.repeat(np.logical_or.reduceat(more, first), many) if len(key) else more
+    # a list that a mapper has cut has more than FIRST rows here
+    return np.repeat(np.logical_or.reduceat(more, first) | (many > FIRST), many) if len(key) else more
 
 
 def _met(need: int, parts: int):
-    """Parts by key and by name -> parts by line: GONE and PAIRS; and HOT rows (key, id, row, line) of lists with more to see."""
+    """Parts by key and by name -> parts by line: GONE and PAIRS; and HOT, all rows of lists with more to see."""
 
     def run(batches):
         box = Outbox(parts)
@@ -314,7 +318,7 @@ def _met(need: int, parts: int):
                 cols = kinds[KEYS]
                 cols = [c[o] for o in [np.lexsort((cols[3], cols[2], cols[1], cols[0]))] for c in cols]
                 hot = _offer(box, cols, need)
-                box.add(HOT, *(c[hot] for c in cols[:4]))
+                box.add(HOT, *(c[hot] for c in cols))
             if HOT in kinds:
                 box.add(HOT, *kinds[HOT])
             if box.full:
@@ -461,7 +465,7 @@ def _hot_keys(asked):
     def run(batches):
         for batch in batches:
             for data in batch.column(0):
-                key, ids, row, line = unpack(data.as_buffer())
+                key, ids, row, line = unpack(data.as_buffer(), 4)
                 hit = asked.value.has(line_keys(ids, row, line))
                 if hit.any():
                     yield pa.record_batch([pa.array(np.unique(key[hit]).view(np.int64))], names=["key"])
@@ -475,7 +479,7 @@ def _hot_texts(only):
     def run(batches):
         for batch in batches:
             for data in batch.column(0):
-                key, ids, row, _ = unpack(data.as_buffer())
+                key, ids, row = unpack(data.as_buffer(), 3)
                 hit = only.value.has(key)
                 if hit.any():
                     yield pa.record_batch([pa.array(np.unique(line_keys(ids[hit], row[hit], np.zeros(int(hit.sum()), np.int64))).view(np.int64))], names=["key"])
@@ -483,6 +487,21 @@ def _hot_texts(only):
     return run
 
 
+def _deal(box: Outbox, asked, key, ids, row, line, size, place, one, two) -> None:
+    """Rows of lists under the lists' blocks: every row in its own, asked ones in all."""
+    name = line_keys(ids, row, line)
+    wanted = asked.value.has(name)
+    # no list is longer than its rarer word is frequent
+    r = (key >> np.uint64(SPARE_BITS)).astype(np.uint8)
+    blocks = np.clip(np.ceil(np.exp2(r / 8.0) / LIST_ROWS), 1, 1 << 14).astype(np.int64)
+    mine = (name % blocks.astype(np.uint64)).astype(np.int64)
+    pick = np.repeat(np.arange(len(key)), np.where(wanted, blocks, 1))
+    block = np.where(wanted[pick], _turns(pick.astype(np.uint64)), mine[pick])
+    with np.errstate(over="ignore"):
+        dealt = mix(key[pick] + block.astype(np.uint64))
+    box.add(KEYS, dealt, *(c[pick] for c in (ids, row, line, size, place, one, two)), ((block == mine[pick]) * 2 + wanted[pick]).astype(np.int64))
+
+
 def _again(need: int, parts: int, rare, inside, only, asked):
     """Blobs of lists to compare in full: rows with parity bits; lists above LIST_ROWS in blocks, to all of which the asked lines go."""
 
@@ -495,20 +514,29 @@ def _again(need: int, parts: int, rare, inside, only, asked):
                 if not len(doc):
                     continue
                 one, two = parity(h, _starts(size))
-                own, key, place, r = _neighbours(h, r, size, need)
+                own, key, place = _neighbours(h, r, size, need)
                 some = np.flatnonzero(only.value.has(key))
-                own, key, place, r = own[some], key[some], place[some], r[some]
-                lid, lrow, at = ids[a + doc[own]], rows[a + doc[own]], line[own]
-                name = line_keys(lid, lrow, at)
-                wanted = asked.value.has(name)
-                # no list is longer than its rarer word is frequent
-                blocks = np.clip(np.ceil(np.exp2(r / 8.0) / LIST_ROWS), 1, 1 << 14).astype(np.int64)
-                mine = (name % blocks.astype(np.uint64)).astype(np.int64)
-                pick = np.repeat(np.arange(len(key)), np.where(wanted, blocks, 1))
-                block = np.where(wanted[pick], _turns(pick.astype(np.uint64)), mine[pick])
-                with np.errstate(over="ignore"):
-                    dealt = mix(key[pick] + block.astype(np.uint64))
-                box.add(KEYS, dealt, lid[pick], lrow[pick], at[pick], size[own][pick], place[pick], one[own][pick].view(np.int64), two[own][pick].view(np.int64), ((block == mine[pick]) * 2 + wanted[pick]).astype(np.int64))
+                own, key, place = own[some], key[some], place[some]
+                _deal(box, asked, key, ids[a + doc[own]], rows[a + doc[own]], line[own], size[own], place, one[own].view(np.int64), two[own].view(np.int64))
+                if box.full:
+                    yield from box.flush()
+        yield from box.flush()
+
+    return run
+
+
+def _recalled(parts: int, only, asked):
+    """_again from HOT blobs instead of texts, and with the 64 parity bits that are there; copies that a task had seen take no part again."""
+
+    def run(batches):
+        box = Outbox(parts)
+        for batch in batches:
+            for data in batch.column(0):
+                cols = unpack(data.as_buffer())
+                some = np.flatnonzero(only.value.has(cols[0]))
+                if len(some):
+                    cols = [c[some] for c in cols]
+                    _deal(box, asked, *cols, np.zeros(len(some), np.int64))
                 if box.full:
                     yield from box.flush()
         yield from box.flush()
@@ -544,9 +572,11 @@ def _full(need: int, parts: int):
     return run
 
 
-def repeated_lines(docs: DataFrame, *, id_col: str, text_col: str, need: int = 80) -> DataFrame:
+def repeated_lines(docs: DataFrame, *, id_col: str, text_col: str, need: int = 80, reread: bool = False) -> DataFrame:
     """(id, row, lines): numbers of the lines of each text that go. row is the text's hash, or null where ids are unique.
 
+    reread: lists to be compared in full are told from the texts anew, by 128 parity bits, which suits very long
+    lines; else from the rows that were kept of them, by 64. What goes is the same.
     Ids are integers. need is 75 or more: with less, similar lines need not have a listed pair of words in common.
     """
     if not 75 <= need <= 100:
@@ -580,9 +610,13 @@ def repeated_lines(docs: DataFrame, *, id_col: str, text_col: str, need: int = 8
         hot = met.where(F.col("kind") == HOT).select("data")
         keys = space.table(hot.mapInArrow(frugal(_hot_keys(asked)), "key long"))
         only = spark.sparkContext.broadcast(bloom(keys, keys.count()))
-        keys = space.table(hot.mapInArrow(frugal(_hot_texts(only)), "key long"))
-        inside = spark.sparkContext.broadcast(bloom(keys, keys.count()))
-        rest = exchange(texts.mapInArrow(frugal(_again(need, first, rare, inside, only, asked)), SCHEMA), parts).mapInArrow(frugal(_full(need, first)), SCHEMA)
+        if reread:
+            keys = space.table(hot.mapInArrow(frugal(_hot_texts(only)), "key long"))
+            inside = spark.sparkContext.broadcast(bloom(keys, keys.count()))
+            rest = texts.mapInArrow(frugal(_again(need, first, rare, inside, only, asked)), SCHEMA)
+        else:
+            rest = hot.mapInArrow(frugal(_recalled(first, only, asked)), SCHEMA)
+        rest = exchange(rest, parts).mapInArrow(frugal(_full(need, first)), SCHEMA)
         rest = exchange(rest, parts).mapInArrow(frugal(_settled()), _SETTLED).select(*line, *ends)
         rest = rest.unionByName(pairs.where(F.col("turn") > OFFERS).drop("turn")).distinct()
         rest = rest.join(open_, line, "left_semi").join(pairs.where(F.col("turn") <= OFFERS).drop("turn"), [*line, *ends], "left_anti")

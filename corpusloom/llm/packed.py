@@ -19,7 +19,10 @@ from pyspark.sql import DataFrame
 FAN = 4096
 #: Rows that a mapper holds before it emits them.
 FLUSH = 250_000
+#: Low bits that a key may leave empty: they are not moved, so the steps between the sorted keys that a mapper holds fit in 32 bits.
+SPARE_BITS = 19
 SCHEMA = "part int, kind byte, data binary"
+_SPARE = np.uint64((1 << SPARE_BITS) - 1)
 _NARROW = (np.uint8, np.uint16, np.uint32, np.uint64)
 _MOST = np.array([np.iinfo(t).max for t in _NARROW], np.uint64)
 
@@ -30,7 +33,7 @@ def pack(cols: list[np.ndarray]) -> bytes:
     head, body = [n, len(cols)], []
     for k, c in enumerate(cols):
         c = c.astype(np.int64, copy=False).view(np.uint64) if c.dtype != np.uint64 else c
-        shift = 16 if k == 0 and not (c & np.uint64(0xFFFF)).any() else 0
+        shift = SPARE_BITS if k == 0 and not (c & _SPARE).any() else 0
         if k == 0:
             lo = c[0] >> np.uint64(shift)
             rest = np.diff(c >> np.uint64(shift), prepend=lo)
@@ -54,7 +57,7 @@ def pack_pieces(cols: list[np.ndarray], starts: np.ndarray):
     for k, c in enumerate(cols):
         c = c.astype(np.int64, copy=False).view(np.uint64) if c.dtype != np.uint64 else c
         if k == 0:
-            shift = np.where(np.bitwise_or.reduceat(c, starts) & np.uint64(0xFFFF), 0, 16)
+            shift = np.where(np.bitwise_or.reduceat(c, starts) & _SPARE, 0, SPARE_BITS)
             c = c >> np.repeat(shift, n).astype(np.uint64)
             lo = c[starts]
             rest = np.diff(c, prepend=lo[:1])
