@@ -89,7 +89,7 @@ class _Known(dict):
 
 
 def _encoded(column) -> list[bytes]:
-    return [x.encode("utf-8", "replace") if x else b"" for x in column.to_pylist()]
+    return [x or b"" for x in column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()]
 
 
 def _count(n: int):
@@ -197,7 +197,9 @@ def overlaps(space: Workspace, pairs: DataFrame, sets: DataFrame) -> DataFrame:
     uses = pairs.groupBy("b").agg(F.count("*").alias("uses"))
     two = sets.select(F.col("set_id").alias("b"), F.col("data").alias("two")).join(uses, "b")
     both = join_groups(one, two, ["b"], "uses", total).select("a", "b", "one", "two")
-    return space.table(both.mapInArrow(frugal(_overlaps), "a long, b long, size_a long, size_b long, common long"))
+    out = space.table(both.mapInArrow(frugal(_overlaps), "a long, b long, size_a long, size_b long, common long"))
+    space.drop(pairs)
+    return out
 
 
 def links(seen: DataFrame, need: int) -> DataFrame:
@@ -274,24 +276,27 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     described = space.table(shared.where(F.col("kind") == DOC).select("id", F.col("size").cast("long").alias("n_shingles"), "set_id"))
     sets = space.table(shared.where(F.col("kind") == SET).groupBy("set_id").agg(F.first("data").alias("data")))
     parities = space.table(sets.mapInArrow(frugal(_parities), "set_id long, length long, " + ", ".join(f"{p} long" for p in PARITY)))
-    index = shared.where(F.col("kind") == INDEX).select("shingle", "set_id", "size", "place", "spot")
+    index = listed_rows = space.table(shared.where(F.col("kind") == INDEX).select("shingle", "set_id", "size", "place", "spot"))
+    space.drop(shared, listed)  # sets were twice there
     index_rows = index.count()
     lists = space.table(index.groupBy("shingle").agg(F.min("set_id").alias("pivot"), F.max("set_id").alias("last"), F.count("*").alias("n")).where("pivot < last").drop("last"))
     index = space.table(join_groups(index, lists, ["shingle"], "n", index_rows).dropDuplicates(["shingle", "set_id"]))
-    space.drop(shared, lists)
+    space.drop(listed_rows, lists)
     # Each set against the pivot that it shares most lists with.
     pivots = index.where("set_id <> pivot").groupBy("set_id", "pivot").agg(F.count("*").alias("c")).groupBy("set_id").agg(F.max(F.struct("c", "pivot")).alias("best"))
     seen = overlaps(space, pivots.select(F.col("set_id").alias("a"), F.col("best.pivot").alias("b")), sets)
     to_pivot = seen
     edges = links(seen, need)
     classes = components(space, edges)
-    open_ = index
+    kept = index
+    open_ = index.drop("pivot", "n")
     for step in range(rounds + 1):
-        # Lists that still hold two classes.
-        rooted = open_.drop("root").join(classes.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+        # Lists that still hold two classes. By one plan at all sizes: the classes grow with the sets.
+        rooted = open_.drop("root").join(classes.withColumnRenamed("node", "set_id").hint("merge"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
         rooted = space.table(rooted)
+        space.drop(kept)
         mixed = space.table(rooted.groupBy("shingle").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n_rows")).where("r0 < r1").drop("r0", "r1"))
-        open_ = space.table(join_groups(rooted.drop("n_rows"), mixed, ["shingle"], "n_rows", index_rows))
+        open_ = kept = space.table(join_groups(rooted.drop("n_rows"), mixed, ["shingle"], "n_rows", index_rows))
         space.drop(rooted, mixed)
         if step == rounds:
             break
