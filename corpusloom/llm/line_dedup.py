@@ -572,11 +572,11 @@ def _full(need: int, parts: int):
     return run
 
 
-def repeated_lines(docs: DataFrame, *, id_col: str, text_col: str, need: int = 80, reread: bool = False) -> DataFrame:
+def repeated_lines(docs: DataFrame, *, id_col: str, text_col: str, need: int = 80, reread: bool = True) -> DataFrame:
     """(id, row, lines): numbers of the lines of each text that go. row is the text's hash, or null where ids are unique.
 
-    reread: lists to be compared in full are told from the texts anew, by 128 parity bits, which suits very long
-    lines; else from the rows that were kept of them, by 64. What goes is the same.
+    reread: lists to be compared in full are told from the texts anew, by 128 parity bits; else from the rows that
+    were kept of them, by 64, which leaves more pairs to verify. What goes is the same.
     Ids are integers. need is 75 or more: with less, similar lines need not have a listed pair of words in common.
     """
     if not 75 <= need <= 100:
