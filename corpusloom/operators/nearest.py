@@ -16,21 +16,26 @@ from .lineage import checkpointed
 #: Rows of a block: a task holds two blocks. Small tables are dealt into SPREAD blocks, so that all cores have work.
 BLOCK_ROWS, SPREAD, SPREAD_ROWS = 32_768, 12, 1_000
 #: Rows and columns that are multiplied at once.
-ROWS, COLUMNS, FIRST = 1_024, 8_192, 2_048
+ROWS, COLUMNS, FIRST = 512, 4_096, 2_048
 #: So many candidates a row are worth picking out; beyond, the whole piece is sorted in double precision.
 MOST = 128
 
 
-def greatest(x: np.ndarray, y: np.ndarray, k: int, same: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, column, product) of the k greatest products of each row of x with rows of y, to 12 decimals, the lesser column first of equals; same: x is y, and a row is not its own column."""
+def greatest(x: np.ndarray, y: np.ndarray, k: int, same: bool | np.ndarray = False, single: tuple[np.ndarray, float] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, product) of the k greatest products of each row of x with rows of y, to 12 decimals, the lesser column first of equals.
+
+    same: x is y, and a row is not its own column; or the column that each row is, -1 where it is none. single: y in single
+    precision and the greatest length of its rows, where these are finite and it is known.
+    """
     none = np.zeros(0, np.int64)
     if not len(x) or not len(y):
         return none, none, np.zeros(0)
     with np.errstate(over="ignore"):
-        x32, y32 = x.astype(np.float32), y.astype(np.float32)
-    long = np.sqrt((y * y).sum(axis=1)).max()
+        x32, y32 = x.astype(np.float32), y.astype(np.float32) if single is None else single[0]
+    mine = same if isinstance(same, np.ndarray) else np.arange(len(x)) if same else np.full(len(x), -1)
+    long = np.sqrt((y * y).sum(axis=1)).max() if single is None else single[1]
     error = 2 * (x.shape[1] + 4) * 2.0**-24 * np.sqrt((x * x).sum(axis=1)) * long + 2e-12
-    plain = not (np.isfinite(x).all() and np.isfinite(y).all()) or error.max() > 1e20 or long > 1e18
+    plain = not (np.isfinite(x).all() and (single is not None or np.isfinite(y).all())) or error.max() > 1e20 or long > 1e18
     out = []
     for r in range(0, len(x), ROWS):
         own = slice(r, min(r + ROWS, len(x)))
@@ -38,11 +43,12 @@ def greatest(x: np.ndarray, y: np.ndarray, k: int, same: bool = False) -> tuple[
         best, least = (none, none, np.zeros(0)), np.full(n, -np.inf)
         for c in range(0, len(y), COLUMNS):
             other = slice(c, min(c + COLUMNS, len(y)))
-            both = np.arange(max(r, c), min(own.stop, other.stop)) if same else none
+            both = np.flatnonzero((mine[own] >= c) & (mine[own] < other.stop))
+            itself = mine[own][both] - c
             row = None
             if not plain:
                 sims = x32[own] @ y32[other].T
-                sims[both - r, both - c] = -np.inf
+                sims[both, itself] = -np.inf
                 if c == 0 and other.stop > k:
                     w = min(FIRST, other.stop)
                     least = np.partition(sims[:, :w], w - k, axis=1)[:, w - k].astype(float) if w >= k else least
@@ -50,7 +56,7 @@ def greatest(x: np.ndarray, y: np.ndarray, k: int, same: bool = False) -> tuple[
                 row = None if len(row) > MOST * n else row
             if row is None:
                 sims = x[own] @ y[other].T
-                sims[both - r, both - c] = -np.inf
+                sims[both, itself] = -np.inf
                 col = np.argsort(-np.round(sims, 12), axis=1, kind="stable")[:, :k]
                 row, col = np.repeat(np.arange(n), col.shape[1]), col.ravel()
                 value = sims[row, col]
@@ -108,3 +114,31 @@ def nearest(rows: DataFrame, k: int) -> DataFrame:
         return pd.concat(out).assign(by=a["by"].iloc[0])[["by", "key", "near", "sim"]]
 
     return left.groupBy("by", "i", "j").cogroup(right.groupBy("by2", "i2", "j2")).applyInPandas(pairs, f"by {by}, key {kind}, near {kind}, sim double")
+
+
+def nearest_of(wanted: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """wanted and rows(by, key, vec), keys unique in each value of `by` -> by, key, near, sim: what holds the k nearest among `rows` of each row wanted, the row of its own key left out; up to k of every block.
+
+    As `nearest`, for a part of the rows: blocks of those wanted meet all blocks.
+    """
+    largest = rows.groupBy("by").count().agg(F.max("count")).first()[0] or 1
+    most = wanted.groupBy("by").count().agg(F.max("count")).first()[0] or 1
+    parts, sides = max(-(-largest // BLOCK_ROWS), min(SPREAD, -(-largest // SPREAD_ROWS))), -(-most // BLOCK_ROWS)
+    kind, by = rows.schema["key"].dataType.simpleString(), rows.schema["by"].dataType.simpleString()
+
+    def packed(rows: DataFrame, n: int) -> DataFrame:
+        dealt = rows.select("by", "key", "vec", F.pmod(F.hash("key"), F.lit(n)).alias("own"), F.lit(n).alias("parts"))
+        return dealt.groupBy("by", "own").applyInPandas(_packed, f"by {by}, own int, parts int, keys array<{kind}>, single boolean, mat binary")
+
+    left = packed(wanted, sides).select("by", F.col("own").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("j"), "keys", "single", "mat")
+    right = packed(rows, parts).select(F.col("by").alias("by2"), F.explode(F.sequence(F.lit(0), F.lit(sides - 1))).alias("i2"), F.col("own").alias("j2"), F.col("keys").alias("keys2"), F.col("single").alias("single2"), F.col("mat").alias("mat2"))
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"by": [], "key": [], "near": [], "sim": []})
+        keys, keys2 = np.asarray(a["keys"].iloc[0]), np.asarray(b["keys2"].iloc[0])
+        x, y = _matrix(a["single"].iloc[0], a["mat"].iloc[0], len(keys)), _matrix(b["single2"].iloc[0], b["mat2"].iloc[0], len(keys2))
+        row, col, sim = greatest(x, y, k, pd.Index(keys2).get_indexer(keys))
+        return pd.DataFrame({"by": [a["by"].iloc[0]] * len(row), "key": keys[row], "near": keys2[col], "sim": sim})
+
+    return left.groupBy("by", "i", "j").cogroup(right.groupBy("by2", "i2", "j2")).applyInPandas(meet, f"by {by}, key {kind}, near {kind}, sim double")
