@@ -74,3 +74,26 @@ def test_nearest_of_some(spark):
     with mock.patch.multiple(nearest, BLOCK_ROWS=20):
         got = nearest.nearest_of(rows.where("key % 2 = 0"), rows, 1).groupBy("key").agg(F.min(F.struct(-F.round("sim", 12), "near"))["near"].alias("near")).collect()
     assert {r.key: r.near for r in got} == {k: int(np.argmax(sims[k])) for k in range(0, 90, 2)}
+
+
+def test_proposals_move_texts_of_groups_only(spark):
+    """No table of all writings' words is kept; parts of two texts and keys joined by a shuffle give the same rows."""
+    rng = np.random.default_rng(2)
+    x = [np.eye(6)[k % 2] + rng.normal(0, 0.05, 6) if k < 12 else rng.normal(size=6) for k in range(20)]
+    candidates = spark.createDataFrame([(k, [float(a) for a in v]) for k, v in enumerate(x)], "doc_id long, vec array<double>")
+    texts = [(k, " ".join(f"w{w}" + "." * int(w % 9 == 0) for w in rng.integers(0, 40, 60)) + f" own{k % 2} own{k % 2}") for k in range(300)]
+    writings = spark.createDataFrame([*texts, (300, None), (3, "w1 again again.")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, f"l{k % 3}") for k in range(300)], "doc_id long, label string")
+    themes = spark.createDataFrame([(t, [float(a) for a in v]) for t, v in enumerate(np.eye(3, 6))], "theme long, vec array<double>")
+    kept, keep = [], discover.checkpointed
+
+    def counted(df):
+        out = keep(df)
+        kept.append(out.count())
+        return out
+
+    with mock.patch.multiple(discover, checkpointed=counted):
+        one = sorted(map(str, discover.proposals(candidates, writings, labels, themes, 0.3).collect()))
+    with mock.patch.multiple(discover, GROUP_TEXTS=2, MOST_KEYS=0):
+        assert sorted(map(str, discover.proposals(candidates, writings, labels, themes, 0.3).collect())) == one
+    assert sum("part='term'" in r for r in one) >= 2 and max(kept) < 100
