@@ -16,7 +16,7 @@ from .lineage import checkpointed
 #: Rows of a block: a task holds two blocks. Small tables are dealt into SPREAD blocks, so that all cores have work.
 BLOCK_ROWS, SPREAD, SPREAD_ROWS = 32_768, 12, 1_000
 #: Rows and columns that are multiplied at once.
-ROWS, COLUMNS, FIRST = 512, 4_096, 2_048
+ROWS, COLUMNS, FIRST = 512, 2_048, 2_048
 #: So many candidates a row are worth picking out; beyond, the whole piece is sorted in double precision.
 MOST = 128
 
@@ -36,7 +36,7 @@ def greatest(x: np.ndarray, y: np.ndarray, k: int, same: bool | np.ndarray = Fal
     long = np.sqrt((y * y).sum(axis=1)).max() if single is None else single[1]
     error = 2 * (x.shape[1] + 4) * 2.0**-24 * np.sqrt((x * x).sum(axis=1)) * long + 2e-12
     plain = not (np.isfinite(x).all() and (single is not None or np.isfinite(y).all())) or error.max() > 1e20 or long > 1e18
-    out = []
+    out, room = [], np.empty(min(ROWS, len(x)) * min(COLUMNS, len(y)), np.float32)
     for r in range(0, len(x), ROWS):
         own = slice(r, min(r + ROWS, len(x)))
         n = own.stop - r
@@ -47,12 +47,18 @@ def greatest(x: np.ndarray, y: np.ndarray, k: int, same: bool | np.ndarray = Fal
             itself = mine[own][both] - c
             row = None
             if not plain:
-                sims = x32[own] @ y32[other].T
+                sims = np.matmul(x32[own], y32[other].T, out=room[: n * (other.stop - c)].reshape(n, -1))
                 sims[both, itself] = -np.inf
-                if c == 0 and other.stop > k:
+                some = slice(None)
+                if k == 1:  # only rows whose greatest of this piece can be their greatest of all
+                    top = sims.max(axis=1)
+                    some = np.flatnonzero(top >= (least - error[own]).astype(np.float32))
+                    least = np.maximum(least, top)
+                elif c == 0 and other.stop > k:
                     w = min(FIRST, other.stop)
                     least = np.partition(sims[:, :w], w - k, axis=1)[:, w - k].astype(float) if w >= k else least
-                row, col = np.divmod(np.flatnonzero(sims >= (least - error[own]).astype(np.float32)[:, None]), sims.shape[1])
+                row, col = np.divmod(np.flatnonzero(sims[some] >= (least - error[own]).astype(np.float32)[some, None]), sims.shape[1])
+                row = some[row] if k == 1 else row
                 row = None if len(row) > MOST * n else row
             if row is None:
                 sims = x[own] @ y[other].T

@@ -97,3 +97,21 @@ def test_proposals_move_texts_of_groups_only(spark):
     with mock.patch.multiple(discover, GROUP_TEXTS=2, MOST_KEYS=0):
         assert sorted(map(str, discover.proposals(candidates, writings, labels, themes, 0.3).collect())) == one
     assert sum("part='term'" in r for r in one) >= 2 and max(kept) < 100
+
+
+@pytest.mark.parametrize("kind", ["random", "copies", "near", "zero"])
+def test_the_greatest_product(kind):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(230, 16))
+    if kind == "copies":
+        x[50:200] = x[0]
+    if kind == "near":
+        x[50:200] = x[0] + rng.normal(size=(150, 16)) * 1e-8
+    if kind == "zero":
+        x[:60] = 0
+    sims = np.round(x @ x.T, 12)
+    np.fill_diagonal(sims, -np.inf)
+    some, long = np.arange(0, 230, 3), np.sqrt((x * x).sum(axis=1)).max()
+    with mock.patch.multiple(nearest, ROWS=64, COLUMNS=90, MOST=8):
+        for got in (nearest.greatest(x[some], x, 1, some), nearest.greatest(x[some], x, 1, some, (x.astype(np.float32), long))):
+            assert got[0].tolist() == list(range(len(some))) and got[1].tolist() == sims[some].argmax(axis=1).tolist()
